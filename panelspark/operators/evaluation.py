@@ -1,0 +1,97 @@
+"""Forecast, ranking and strategy evaluation, policy selection, and data audits."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+FLOOR = 1e-6
+
+
+def forecast_metrics(df: DataFrame, by: Sequence[str], forecast: str, target: str, baseline: str) -> DataFrame:
+    """n, MAE, RMSE, QLIKE and out-of-sample R^2 against the baseline, in one pass."""
+    f, y, b = F.col(forecast), F.col(target), F.col(baseline)
+    ratio = F.greatest(y, F.lit(FLOOR)) / F.greatest(f, F.lit(FLOOR))
+    both = df.where(f.isNotNull() & y.isNotNull())
+    base = b.isNotNull()
+    return both.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(f - y)).alias("mae"), F.sqrt(F.avg((f - y) * (f - y))).alias("rmse"), F.avg(ratio - F.ln(ratio) - 1).alias("qlike"), (1 - F.sum(F.when(base, (f - y) * (f - y))) / F.nullif(F.sum(F.when(base, (b - y) * (b - y))), F.lit(0.0))).alias("oos_r2"))
+
+
+def cluster_inference(df: DataFrame, loss: str, clusters: Sequence[str]) -> DataFrame:
+    """Per clustering: mean of ``loss``, and its standard error from sums by cluster."""
+    total = df.agg(F.avg(loss).alias("m"), F.count(loss).alias("n"))
+    out = None
+    for c in clusters:
+        sums = df.where(F.col(loss).isNotNull()).groupBy(c).agg(F.sum(loss).alias("s"), F.count("*").alias("k")).crossJoin(F.broadcast(total))  # one row
+        one = sums.groupBy("m", "n").agg(F.sum(F.pow(F.col("s") - F.col("k") * F.col("m"), F.lit(2.0))).alias("v"), F.count("*").alias("clusters")).select(F.lit(c).alias("cluster"), F.col("m").alias("mean"), "n", "clusters", (F.sqrt("v") / F.col("n")).alias("se"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def strategy_metrics(df: DataFrame, by: Sequence[str], net: str, premium: str) -> DataFrame:
+    """Sums, return on premium, Sharpe, hit rate, 5 % tail, per group."""
+    n_, p = F.coalesce(F.col(net), F.lit(0.0)), F.col(premium)
+    return df.groupBy(*by).agg(F.count("*").alias("trades"), F.sum(n_).alias("net"), (F.sum(n_) / F.nullif(F.sum(p), F.lit(0.0))).alias("return_on_premium"), (F.avg(n_) / F.nullif(F.stddev_samp(n_), F.lit(0.0)) * F.sqrt(F.count("*"))).alias("sharpe"), F.avg((n_ > 0).cast("double")).alias("hit_rate"), F.percentile(n_, F.lit(0.05)).alias("p05"))
+
+
+def max_drawdown(df: DataFrame, by: Sequence[str], order: Sequence[str], net: str) -> DataFrame:
+    """Per group the deepest fall of the cumulative sum below its running peak (which starts at the first value)."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    run = df.withColumn("_cum", F.sum(F.coalesce(F.col(net), F.lit(0.0))).over(w))
+    return run.withColumn("_peak", F.max("_cum").over(w)).groupBy(*by).agg(F.min(F.col("_cum") - F.col("_peak")).alias("max_drawdown"), F.count("*").alias("n"))
+
+
+def cost_sensitivity(df: DataFrame, gross: str, cost: str, multipliers: Sequence[float] = (0.0, 0.5, 1.0, 1.5, 2.0)) -> DataFrame:
+    """Per cost multiplier: trades, net result and hit rate; rows are read once."""
+    each = df.withColumn("multiplier", F.explode(F.array(*[F.lit(float(m)) for m in multipliers]))).withColumn("_net", F.col(gross) - F.col("multiplier") * F.col(cost))
+    return each.groupBy("multiplier").agg(F.count("*").alias("n"), F.sum("_net").alias("net"), F.avg((F.col("_net") > 0).cast("double")).alias("hit_rate"))
+
+
+def breakdowns(df: DataFrame, dimensions: Sequence[str], net: str) -> DataFrame:
+    """The same sums by each single dimension: one pass, one group-by over (dimension, value)."""
+    d = F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in dimensions]))
+    return df.select(d.alias("_d"), net).groupBy("_d.dimension", "_d.value").agg(F.count("*").alias("n"), F.sum(net).alias("net"), F.avg((F.col(net) > 0).cast("double")).alias("hit_rate"))
+
+
+def top_k(df: DataFrame, by: Sequence[str], order: Sequence, k: int, name: str = "rank") -> DataFrame:
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
+
+
+def policy_grid(trades: DataFrame, thresholds: Sequence[float], edges: Sequence[float], edge: str, cost: str, net: str) -> DataFrame:
+    """Every (threshold, least edge) policy's trades and net result. The grid is a constant, the trades are read once."""
+    grid = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.lit(float(e)).alias("min_edge")) for t in thresholds for e in edges]))
+    each = trades.select(edge, cost, net, grid.alias("_g")).select("*", "_g.*")
+    taken = (F.col(edge) > F.col("threshold") * F.col(cost)) & (F.col(edge) >= F.col("min_edge"))
+    return each.groupBy("threshold", "min_edge").agg(F.count_if(taken).alias("trades"), F.coalesce(F.sum(F.when(taken, F.col(net))), F.lit(0.0)).alias("net"))
+
+
+def portfolio_caps(trades: DataFrame, date: str, sector: str, edge: str, size: str, per_date: float, per_sector: float) -> DataFrame:
+    """Scales sizes so that a date, then a sector of a date, stays within its cap, shared by positive expected edge."""
+    out = trades
+    for keys, cap in (([date], per_date), ([date, sector], per_sector)):
+        w = Window.partitionBy(*keys)
+        share = F.greatest(F.col(edge), F.lit(0.0)) / F.nullif(F.sum(F.greatest(F.col(edge), F.lit(0.0))).over(w), F.lit(0.0))
+        total = F.sum(size).over(w)
+        scaled = F.when(total <= cap, F.col(size)).otherwise(F.coalesce(F.least(F.col(size), share * cap), F.col(size) * cap / total))
+        out = out.withColumn(size, scaled)
+    return out
+
+
+def leakage_rows(df: DataFrame, asof: str, entry: str) -> DataFrame:
+    """Counts of rows whose features are later than their entry, or have no time."""
+    return df.agg(F.count("*").alias("rows"), F.count_if(F.col(asof) > F.col(entry)).alias("late"), F.count_if(F.col(asof).isNull() | F.col(entry).isNull()).alias("missing"))
+
+
+def coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column, non-null rows and their share, in one pass."""
+    one = df.agg(F.count("*").alias("_n"), *[F.count(c).alias(c) for c in columns])
+    long = one.unpivot(["_n"], list(columns), "column", "filled")
+    return long.select("column", "filled", (F.col("filled") / F.col("_n")).alias("share"))
+
+
+def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that occur more than once or hold a null."""
+    bad = F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0))
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where((F.col("n") > 1) | (bad > 0))
