@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 LOW, HIGH, HALVINGS = 1e-4, 5.0, 60
 # The rational approximation of the complementary error function (|error| < 1.2e-7).
@@ -27,7 +28,7 @@ def price(spot, strike, t, vol, call) -> np.ndarray:
     return np.where(call, c, c - spot + strike)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _implied(premium: pd.Series, spot: pd.Series, strike: pd.Series, t: pd.Series, call: pd.Series) -> pd.Series:
     p, s, k, y, c = (x.to_numpy(float) for x in (premium, spot, strike, t, call))
     c = c > 0.5
