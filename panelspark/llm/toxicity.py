@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 SAMPLE, TERMS = 40_000, 400
 SHORTEST, LONGEST = 4, 7
@@ -236,8 +236,17 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id").where(~held_out())
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, text, toxic of about ``sample`` labelled documents that aren't held out, chosen by a hash of the id.
+
+    The ids are chosen before texts are read, so only the sample's texts move; the ids are broadcast, as they
+    are at most twice ``sample`` (else, with labels repeated beyond that, joined by shuffle).
+    """
+    known = labels.select("doc_id", "toxic").dropna().where(~held_out()).where("toxic in (0, 1)")
+    unit = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(6)), 11) / float(2**53)
+    chosen = known.where(unit <= min(1.0, sample / max(1, known.count())))
+    few = chosen.count() <= 2 * sample
+    return materialise(docs.select("doc_id", "text").join(F.broadcast(chosen) if few else chosen, "doc_id"), "toxic-sample")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
