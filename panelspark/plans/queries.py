@@ -324,7 +324,7 @@ def topk_in_split(spark, sf):
     return rounded(evaluation.top_k(trades(spark, sf), ["timing"], [F.desc("edge"), "event_id"], 25).select("timing", "event_id", "rank"))
 
 
-@query(f"WITH {TR}, a AS (SELECT *, premium AS s0, greatest(edge, 0) AS e, sum(greatest(edge, 0)) OVER (PARTITION BY event_date) AS te, sum(premium) OVER (PARTITION BY event_date) AS ts FROM tr), b AS (SELECT *, CASE WHEN ts <= 5000 THEN s0 ELSE coalesce(least(s0, e / nullif(te, 0) * 5000), s0 * 5000 / ts) END AS s1 FROM a), c AS (SELECT *, sum(e) OVER (PARTITION BY event_date, timing) AS te2, sum(s1) OVER (PARTITION BY event_date, timing) AS ts2 FROM b) SELECT event_id, round(CASE WHEN ts2 <= 1500 THEN s1 ELSE coalesce(least(s1, e / nullif(te2, 0) * 1500), s1 * 1500 / ts2) END, 4) AS premium FROM c")
+@query(f"WITH {TR}, a AS (SELECT *, premium AS s0, greatest(edge, 0) AS e, sum(greatest(edge, 0)) OVER (PARTITION BY event_date) AS te, sum(premium) OVER (PARTITION BY event_date) AS ts FROM tr), b AS (SELECT *, CASE WHEN ts <= 5000 THEN s0 ELSE coalesce(least(s0, e / nullif(te, 0) * 5000), s0 * 5000 / ts) END AS s1 FROM a), c AS (SELECT *, sum(e) OVER (PARTITION BY event_date, timing) AS te2, sum(s1) OVER (PARTITION BY event_date, timing) AS ts2 FROM b) SELECT event_id, round(CASE WHEN ts2 <= 1500 THEN s1 ELSE coalesce(least(s1, e / nullif(te2, 0) * 1500), s1 * 1500 / ts2) END, 7) AS premium FROM c")
 def portfolio_caps(spark, sf):
     return rounded(evaluation.portfolio_caps(trades(spark, sf), "event_date", "timing", "edge", "premium", 5000.0, 1500.0).select("event_id", "premium"), 7)
 
