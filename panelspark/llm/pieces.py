@@ -7,9 +7,10 @@ Viterbi's (best sum of scores). For a BPE table, such as piece_bpe_32k, the high
 SentencePiece returns, so the fold over the same lattice merges the best-scored neighbours step by step, which is.
 Characters without a piece become bytes.
 
-Units that occur often are sent to the tasks (at most HOT of them, a checked bound), all others are joined by
-shuffle on the unit, once for each text that holds them; then each text's units are put in order. Units
-longer than LONG code points would make the fold slow and are merged where they are met, by the same rule.
+The lattice and its fold are made for the units that occur most (at most HOT of them, a checked bound; over nine in
+ten of all occurrences), whose ids are then sent to the tasks. A unit beyond those, or longer than LONG code points,
+is merged where it is met, by the same rule. ``join_rare`` sends every unit through the lattice instead and joins the
+rare ones by shuffle; it gives the same ids, for several times the work (figures in the README).
 
 Defined results: null and empty texts have no ids and decode to the empty text; a space and U+2581 are the same
 to SentencePiece, so decoding gives the text with U+2581 as spaces; text that holds the name of a control or byte
@@ -35,7 +36,7 @@ from .common import materialise, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-HOT, LONG, HELD = 500_000, 48, 400_000
+HOT, LONG, HELD = 150_000, 48, 200_000
 BPE, UNIGRAM = "bpe", "unigram"
 GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 
@@ -311,9 +312,9 @@ def distinct_units(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> D
     return units.where(F.char_length("unit") <= LONG).groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def dictionary(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataFrame:
-    """unit, n, ids: the encoding of every distinct unit of the corpus."""
-    return lattice(distinct_units(docs, pieces, text_col), pieces).select("unit", "n", fold(F.col("edges"), F.col("unit"), pieces).alias("ids"))
+def dictionary(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """unit, n, ids: the encoding of each of these units."""
+    return lattice(units, pieces).select("unit", "n", fold(F.col("edges"), F.col("unit"), pieces).alias("ids"))
 
 
 def _often(words: DataFrame, most: int) -> int:
@@ -327,19 +328,23 @@ def _often(words: DataFrame, most: int) -> int:
     return at - 1
 
 
-def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """id, text, ids of every whole text."""
+def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, join_rare: bool = False) -> DataFrame:
+    """id, text, ids of every whole text. ``join_rare``: rare units too go through the lattice and are joined."""
     spark = docs.sparkSession
+    counts = materialise(distinct_units(docs, pieces, text_col), "piece-units")
+    least = _often(counts, hot)
+    often, seldom = counts.where(F.col("n") > least), counts.where(F.col("n") <= least)
     # a unit's edges come one after another, so a task's groups are few and short: no need to sort them
     old = spark.conf.get(GROUPS)
-    spark.conf.set(GROUPS, str(1 << 17))
+    spark.conf.set(GROUPS, str(1 << 14))
     try:
-        words = materialise(dictionary(docs, pieces, text_col), "piece-words")
+        # units were counted by a shuffle that cut them small; the lattice is the larger work, so deal them out again
+        few = dictionary(often.repartition("unit"), pieces).select("unit", "ids").toPandas()  # at most ``hot`` short units
+        words = materialise(dictionary(seldom.repartition("unit"), pieces), "piece-words") if join_rare else None
     finally:
         spark.conf.set(GROUPS, old)
-    least = _often(words, hot)
-    few = words.where(F.col("n") > least).select("unit", "ids").toPandas()  # at most ``hot`` short units
     known = spark.sparkContext.broadcast({u: np.asarray(i, np.int32).tobytes() for u, i in zip(few["unit"], few["ids"])})
+    del few
     key = F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
     rows = docs.select(key.alias("key"), F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("text"))
 
@@ -383,10 +388,13 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), lists], names=[id_col, "text", "ids"])
 
-    asked = rows.select("key", "text").mapInArrow(rare, "key long, unit string").join(words.where(F.col("n") <= least).select("unit", "ids"), "unit")
-    held = asked.groupBy("key").agg(F.collect_list("unit").alias("units"), F.collect_list("ids").alias("found"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.join(held, "key", "left").mapInArrow(put, f"`{id_col}` {kind}, text string, ids array<int>")
+    if words is None:
+        both = rows.withColumns({"units": F.lit(None).cast("array<string>"), "found": F.lit(None).cast("array<array<int>>")})
+    else:
+        asked = rows.select("key", "text").mapInArrow(rare, "key long, unit string").join(words.select("unit", "ids"), "unit")
+        both = rows.join(asked.groupBy("key").agg(F.collect_list("unit").alias("units"), F.collect_list("ids").alias("found")), "key", "left")
+    return both.mapInArrow(put, f"`{id_col}` {kind}, text string, ids array<int>")
 
 
 def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFrame:
