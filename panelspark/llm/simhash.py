@@ -33,10 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialise, table
+from .common import components, hash_buckets, materialise, table
 
 SHINGLE, RADIUS, MOST_PAIRS_IN = 3, 2, 48
 SIMILARITY, NEAR_SHINGLE, SKETCH_LONGS, TABLES, MASK_BITS, LEADERS = 0.8, 5, 16, 128, 24, 8
+ROWS_PER_TASK = 4000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -170,7 +171,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     # copies of a text sketch alike, so any of them serves
     sketches = texts.where(~empty).select("node", "text").mapInArrow(sketched, "node long, sketch array<long>").dropDuplicates(["node"])
     sketches = materialise(sketches, "near-sketches")
-    keyed = sketches.mapInArrow(keys, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+    # each row makes as many keys as there are tables: few rows a task keep its memory small
+    spread = sketches.repartition(hash_buckets(sketches.count(), ROWS_PER_TASK, 12), "node")
+    keyed = spread.mapInArrow(keys, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
     buckets = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
     members = materialise(keyed.join(buckets, "key"), "near-members")
 
