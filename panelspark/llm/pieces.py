@@ -36,7 +36,7 @@ from .common import materialise, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-HOT, LONG, HELD = 150_000, 48, 200_000
+HOT, LONG, HELD, FAR = 150_000, 48, 200_000, 1 << 30
 BPE, UNIGRAM = "bpe", "unigram"
 GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 
@@ -63,6 +63,14 @@ class Pieces:
         order = {s: i for i, s in enumerate(sorted({self.scores[i] for i, o in enumerate(self.ordinary) if o}, reverse=True))}
         return {n: (order[self.scores[i]], i) for i, n in enumerate(self.names) if self.ordinary[i]}
 
+    @cached_property
+    def place(self) -> dict[str, int]:
+        return {n: p for n, (p, _) in self.rank.items()}
+
+    @cached_property
+    def id(self) -> dict[str, int]:
+        return {n: i for n, (_, i) in self.rank.items()}
+
     @cached_property
     def byte_ids(self) -> list[int]:
         at = {n: i for i, n in enumerate(self.names)}
@@ -132,7 +140,34 @@ class Pieces:
         return [u for c in self.chunks(text) for u in self.units_of(c)]
 
     def merge(self, unit: str) -> list[int]:
-        """The ids of one unit by BPE, with a queue of pairs (for long units, and to test the fold)."""
+        """The ids of one unit by BPE: the best-scored neighbours join, the leftmost of equals, until none do."""
+        return self._merge_long(unit) if len(unit) > LONG else self._merge_short(unit)
+
+    def _ids_of(self, parts) -> list[int]:
+        ids, out = self.id, []
+        for x in parts:
+            if (i := ids.get(x)) is not None:
+                out.append(i)
+            else:
+                out += [self.byte_ids[b] for b in x.encode("utf-8", "surrogatepass")]
+        return out
+
+    def _merge_short(self, unit: str) -> list[int]:
+        """Scans all neighbours for the best at each step, which is fastest for a few dozen characters."""
+        parts, place = list(unit), self.place
+        made = [place.get(a + b, FAR) for a, b in zip(parts, parts[1:])]
+        while made and (best := min(made)) < FAR:
+            i = made.index(best)
+            parts[i] += parts.pop(i + 1)
+            del made[i]
+            if i < len(made):
+                made[i] = place.get(parts[i] + parts[i + 1], FAR)
+            if i:
+                made[i - 1] = place.get(parts[i - 1] + parts[i], FAR)
+        return self._ids_of(parts)
+
+    def _merge_long(self, unit: str) -> list[int]:
+        """Keeps a queue of pairs, so that a unit of any length takes little more than linear time."""
         parts, nxt, prev = list(unit), list(range(1, len(unit) + 1)), list(range(-1, len(unit) - 1))
         queue: list = []
 
@@ -154,10 +189,7 @@ class Pieces:
             offer(a)
             if prev[a] >= 0:
                 offer(prev[a])
-        out: list[int] = []
-        for x in filter(None, parts):
-            out += [self.rank[x][1]] if x in self.rank else [self.byte_ids[b] for b in x.encode("utf-8", "surrogatepass")]
-        return out
+        return self._ids_of(filter(None, parts))
 
     def viterbi(self, unit: str) -> list[int]:
         """The ids of one unit with the best sum of scores (for long units, and to test the fold)."""
@@ -232,7 +264,7 @@ def fold(edges: Column, unit: Column, pieces: Pieces) -> Column:
 
 def _bpe(edges: Column, unit: Column, pieces: Pieces) -> Column:
     """Merge the neighbours that make the best-scored piece, the leftmost of equals, until none do."""
-    size, far = F.char_length(unit), 1 << 30
+    size, far = F.char_length(unit), FAR
     state = lambda cuts, done: F.struct(cuts.alias("cuts"), F.lit(done).alias("done"))
 
     def cuts_of(places: Column) -> Column:
