@@ -77,10 +77,10 @@ class Pieces:
         return [at.get(f"<0x{b:02X}>", at.get("<unk>", 0)) for b in range(256)]
 
     @cached_property
-    def texts(self) -> list[str | int | None]:
-        """What each id stands for: text, a byte, or nothing."""
-        byte = {i: b for b, i in enumerate(self.byte_ids)}
-        return [n if o else byte.get(i) for i, (n, o) in enumerate(zip(self.names, self.ordinary))]
+    def shown(self) -> list[bytes]:
+        """What each id stands for in UTF-8: a piece's text, a byte, or nothing."""
+        byte = {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
+        return [n.replace(SPACE, " ").encode() if o else byte.get(i, b"") for i, (n, o) in enumerate(zip(self.names, self.ordinary))]
 
     @cached_property
     def longest(self) -> int:
@@ -212,19 +212,7 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The text of these ids; the space that encoding puts first is taken away."""
-        out, waiting = [], bytearray()
-        for i in ids:
-            x = self.texts[i]
-            if isinstance(x, int):
-                waiting.append(x)
-                continue
-            if waiting:
-                out.append(waiting.decode("utf-8", "replace"))
-                waiting.clear()
-            if x:
-                out.append(x)
-        out.append(waiting.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        text = b"".join(map(self.shown.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text[:1] == " " else text
 
 
