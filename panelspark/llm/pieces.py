@@ -348,6 +348,21 @@ def _often(words: DataFrame, most: int) -> int:
     return at - 1
 
 
+class Encoded(dict):
+    """The packed ids of each chunk met so far; ``own`` holds units that were joined to the text at hand."""
+
+    def __init__(self, pieces: Pieces, common: dict[str, bytes]):
+        super().__init__()
+        self.pieces, self.common, self.own = pieces, common, {}
+
+    def _unit(self, unit: str) -> bytes:
+        return self.common.get(unit) or np.asarray(self.own.get(unit) or self.pieces.ids(unit), np.int32).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        got = self[chunk] = b"".join(map(self._unit, self.pieces.units_of(chunk)))
+        return got
+
+
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, join_rare: bool = False) -> DataFrame:
     """id, text, ids of every whole text. ``join_rare``: rare units too go through the lattice and are joined."""
     spark = docs.sparkSession
@@ -386,22 +401,13 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(units, pa.string())], names=["key", "unit"])
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, seen = known.value, {}
-        pack = lambda x: np.asarray(x, np.int32).tobytes()
+        seen = Encoded(pieces, known.value)
         for b in batches:
             for i in range(0, b.num_rows, 200):
                 part, ids = b.slice(i, 200), []
                 for t, u, x in zip(part.column(2), part.column(3), part.column(4)):
-                    own = dict(zip(u.as_py() or (), x.as_py() or ()))
-                    found = []
-                    for c in pieces.chunks(t.as_py()):
-                        if (got := seen.get(c)) is None:
-                            units, whole = pieces.units_of(c), []
-                            for a in units:
-                                whole.append(common.get(a) or (pack(own[a]) if a in own else pack(pieces.ids(a))))
-                            got = seen[c] = b"".join(whole)
-                        found.append(got)
-                    ids.append(np.frombuffer(b"".join(found), np.int32))
+                    seen.own = dict(zip(u.as_py() or (), x.as_py() or ()))
+                    ids.append(np.frombuffer(b"".join(map(seen.__getitem__, pieces.chunks(t.as_py()))), np.int32))
                     if len(seen) > HELD:
                         seen.clear()
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
