@@ -19,10 +19,12 @@ piece is ordinary text; repeated rows are repeated; an empty table gives no rows
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -36,7 +38,7 @@ from .common import materialise, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-HOT, LONG, HELD, FAR = 150_000, 48, 200_000, 1 << 30
+HOT, LONG, HELD, FAR = 150_000, 48, 150_000, 1 << 30
 BPE, UNIGRAM = "bpe", "unigram"
 GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 
@@ -191,6 +193,81 @@ class Pieces:
                 offer(prev[a])
         return self._ids_of(filter(None, parts))
 
+    @cached_property
+    def symbols(self) -> np.ndarray:
+        """The number of each code point: a piece's id, a number after the ids, or the last number for all others."""
+        chars = {c for n in self.rank for c in n}
+        more = {c: len(self.names) + i for i, c in enumerate(sorted(chars - self.id.keys()))}
+        number = np.full(0x110000, len(self.names) + len(more), np.int64)
+        for c in chars:
+            number[ord(c)] = more.get(c, self.id.get(c))
+        return number
+
+    @cached_property
+    def none(self) -> int:
+        """The number of what no piece holds."""
+        return int(self.symbols[0x10FFFF])
+
+    @cached_property
+    def joins(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys of the pairs of symbols that make a piece; place * 2^32 + id of that piece."""
+        of = lambda x: self.id[x] if x in self.id else int(self.symbols[ord(x)]) if len(x) == 1 else -1
+        pairs = [(of(n[:k]), of(n[k:]), p << 32 | i) for n, (p, i) in self.rank.items() for k in range(1, len(n))]
+        found = np.array(sorted((a * (self.none + 1) + b, v) for a, b, v in pairs if a >= 0 and b >= 0) or [(-1, FAR << 32)], np.int64)
+        return found[:, 0].copy(), found[:, 1].copy()
+
+    def _made(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """place * 2^32 + id of what these symbols make together."""
+        keys, values = self.joins
+        asked = left * (self.none + 1) + right
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        return np.where(keys[at] == asked, values[at], FAR << 32)
+
+    def _merge_rows(self, units: list[str]) -> list[bytes]:
+        """``merge`` for many units at once: a row of symbols each, one step of all rows after the other."""
+        left = np.fromiter(map(len, units), np.int64, len(units))
+        inside = np.arange(int(left.max()) + 1) < left[:, None]
+        rows = np.full(inside.shape, self.none, np.int64)
+        rows[inside] = self.symbols[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        out, active, made = rows.copy(), np.arange(len(units)), self._made(rows[:, :-1], rows[:, 1:])
+        while len(active):
+            # equal places: id must not decide, the leftmost does
+            best = (made >> 32).argmin(axis=1)
+            value = made[np.arange(len(active)), best]
+            go = value >> 32 < FAR
+            if not go.all():
+                out[active[~go]] = rows[~go]
+                active, rows, made, best, value = active[go], rows[go], made[go], best[go], value[go]
+            each, after = np.arange(len(active)), np.arange(rows.shape[1]) > best[:, None]
+            rows[:, :-1] = np.where(after[:, :-1], rows[:, 1:], rows[:, :-1])
+            rows[:, -1] = self.none
+            rows[each, best] = value & 0xFFFFFFFF
+            made[:, :-1] = np.where(after[:, 1:-1], made[:, 1:], made[:, :-1])
+            made[:, -1] = FAR << 32
+            made[each, best] = self._made(rows[each, best], rows[each, best + 1])
+            before = np.maximum(best - 1, 0)
+            made[each, before] = self._made(rows[each, before], rows[each, before + 1])
+            left[active] -= 1
+        filled = np.arange(out.shape[1]) < left[:, None]
+        plain = ((out < len(self.names)) | ~filled).all(axis=1)
+        data, ends = out[filled].astype(np.int32).tobytes(), (np.cumsum(left) * 4).tolist()
+        return [data[a:b] if p else array("i", self.merge(u)).tobytes() for a, b, p, u in zip([0, *ends], ends, plain.tolist(), units)]
+
+    def packed(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit as 32-bit integers; units of like lengths are merged together."""
+        order = sorted(range(len(units)), key=lambda i: len(units[i]))
+        out: list[bytes] = [b""] * len(units)
+        for most in (8, 12, 20, LONG, None):
+            cut = len(order) if most is None else bisect.bisect_right(order, most, key=lambda i: len(units[i]))
+            now, order = order[:cut], order[cut:]
+            for a in range(0, len(now), 1 << 13):
+                at = now[a : a + (1 << 13)]
+                part = [units[i] for i in at]
+                alone = most is None or self.kind != BPE
+                for i, x in zip(at, [array("i", self.ids(u)).tobytes() for u in part] if alone else self._merge_rows(part)):
+                    out[i] = x
+        return out
+
     def viterbi(self, unit: str) -> list[int]:
         """The ids of one unit with the best sum of scores (for long units, and to test the fold)."""
         best: list = [(0.0, [])]
@@ -349,18 +426,23 @@ def _often(words: DataFrame, most: int) -> int:
 
 
 class Encoded(dict):
-    """The packed ids of each chunk met so far; ``own`` holds units that were joined to the text at hand."""
+    """The packed ids of each chunk met so far; ``rare`` holds units beyond the common ones, merged or joined."""
 
     def __init__(self, pieces: Pieces, common: dict[str, bytes]):
         super().__init__()
-        self.pieces, self.common, self.own = pieces, common, {}
-
-    def _unit(self, unit: str) -> bytes:
-        return self.common.get(unit) or np.asarray(self.own.get(unit) or self.pieces.ids(unit), np.int32).tobytes()
+        self.pieces, self.common, self.rare = pieces, common, {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        got = self[chunk] = b"".join(map(self._unit, self.pieces.units_of(chunk)))
-        return got
+    def learn(self, texts: list[list[str]], joined: Iterable[tuple[str, list[int]]] = ()) -> None:
+        """Take in the chunks of these texts; ``joined``: units whose ids are known."""
+        if max(len(self), len(self.rare)) > HELD:
+            self.clear()
+            self.rare.clear()
+        self.rare.update((u, array("i", ids).tobytes()) for u, ids in joined)
+        new = {c: self.pieces.units_of(c) for chunks in texts for c in chunks if c not in self}
+        unmet = list({u for units in new.values() for u in units if u not in self.common and u not in self.rare})
+        self.rare.update(zip(unmet, self.pieces.packed(unmet)))
+        for chunk, units in new.items():
+            self[chunk] = b"".join([self.common.get(u) or self.rare[u] for u in units])
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, join_rare: bool = False) -> DataFrame:
@@ -404,12 +486,11 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
         seen = Encoded(pieces, known.value)
         for b in batches:
             for i in range(0, b.num_rows, 200):
-                part, ids = b.slice(i, 200), []
-                for t, u, x in zip(part.column(2), part.column(3), part.column(4)):
-                    seen.own = dict(zip(u.as_py() or (), x.as_py() or ()))
-                    ids.append(np.frombuffer(b"".join(map(seen.__getitem__, pieces.chunks(t.as_py()))), np.int32))
-                    if len(seen) > HELD:
-                        seen.clear()
+                part = b.slice(i, 200)
+                joined = [(k, v) for u, x in zip(part.column(3), part.column(4)) for k, v in zip(u.as_py() or (), x.as_py() or ())]
+                texts = [pieces.chunks(t.as_py()) for t in part.column(2)]
+                seen.learn(texts, joined)
+                ids = [np.frombuffer(b"".join(map(seen.__getitem__, chunks)), np.int32) for chunks in texts]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), lists], names=[id_col, "text", "ids"])
