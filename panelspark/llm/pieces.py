@@ -38,7 +38,7 @@ from .common import materialise, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-HOT, LONG, HELD, FAR = 150_000, 48, 150_000, 1 << 30
+HOT, LONG, HELD, COUNTED, FAR = 150_000, 48, 200_000, 400_000, 1 << 30
 BPE, UNIGRAM = "bpe", "unigram"
 GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
 
@@ -401,7 +401,7 @@ def distinct_units(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> D
         for b in batches:
             for t in b.column(0):
                 held.update(pieces.chunks(t.as_py()))
-                if len(held) > HELD:
+                if len(held) > COUNTED:
                     yield from out()
         yield from out()
 
@@ -426,23 +426,30 @@ def _often(words: DataFrame, most: int) -> int:
 
 
 class Encoded(dict):
-    """The packed ids of each chunk met so far; ``rare`` holds units beyond the common ones, merged or joined."""
+    """The packed ids of each chunk of common units met so far; of chunks with rarer units, those of the texts at hand."""
 
     def __init__(self, pieces: Pieces, common: dict[str, bytes]):
         super().__init__()
-        self.pieces, self.common, self.rare = pieces, common, {}
+        self.pieces, self.common, self.now = pieces, common, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.now[chunk]
 
     def learn(self, texts: list[list[str]], joined: Iterable[tuple[str, list[int]]] = ()) -> None:
         """Take in the chunks of these texts; ``joined``: units whose ids are known."""
-        if max(len(self), len(self.rare)) > HELD:
+        if len(self) > HELD:
             self.clear()
-            self.rare.clear()
-        self.rare.update((u, array("i", ids).tobytes()) for u, ids in joined)
-        new = {c: self.pieces.units_of(c) for chunks in texts for c in chunks if c not in self}
-        unmet = list({u for units in new.values() for u in units if u not in self.common and u not in self.rare})
-        self.rare.update(zip(unmet, self.pieces.packed(unmet)))
-        for chunk, units in new.items():
-            self[chunk] = b"".join([self.common.get(u) or self.rare[u] for u in units])
+        common, rare = self.common, {u: array("i", ids).tobytes() for u, ids in joined}
+        left = {}
+        for chunk in {c for chunks in texts for c in chunks if c not in self}:
+            units = self.pieces.units_of(chunk)
+            try:
+                self[chunk] = b"".join([common[u] for u in units])
+            except KeyError:
+                left[chunk] = units
+        unmet = list({u for units in left.values() for u in units if u not in common and u not in rare})
+        rare.update(zip(unmet, self.pieces.packed(unmet)))
+        self.now = {chunk: b"".join([common.get(u) or rare[u] for u in units]) for chunk, units in left.items()}
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, join_rare: bool = False) -> DataFrame:
