@@ -59,3 +59,35 @@ def align_events(events: DataFrame, days: DataFrame, date: str, timing: str) ->
     entry = F.when(ok, F.when(amc, F.col(date)).otherwise(F.col("prev_day")))
     exit_ = F.when(ok, F.when(amc, F.col("next_day")).otherwise(F.col(date)))
     return out.select(*events.columns, entry.alias("entry_date"), exit_.alias("exit_date"), reason.alias("exclusion_reason"))
+
+
+def sequence_plan(events: DataFrame, dates: DataFrame, entry: str, date: str, steps: int = 20) -> DataFrame:
+    """For each event its last ``steps`` available dates up to its entry: source_date and seq_index.
+
+    The sequence is right-aligned: the latest date has index steps - 1, and an event with fewer dates starts later.
+    Events before the first date have no rows. Dates are a calendar, one row a day, so they are sent to all tasks.
+    """
+    last = events.agg(F.max(entry)).head()[0]
+    order = Window.orderBy("source_date")
+    known = dates.select(F.col(date).cast("date").alias("source_date")).where("source_date IS NOT NULL").distinct()
+    known = known.select("source_date", F.row_number().over(order).alias("_index"), F.lead("source_date").over(order).alias("_next"))
+    until = F.coalesce(F.date_sub("_next", 1), F.greatest("source_date", F.lit(last).cast("date")))
+    days = known.select(F.explode(F.sequence("source_date", until)).alias("_day"), F.col("_index").alias("_last"))
+    placed = events.join(F.broadcast(days), F.col(entry) == F.col("_day"))
+    spread = placed.withColumn("_index", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_last") - steps + 1), F.col("_last"))))
+    out = spread.join(F.broadcast(known.select("source_date", "_index")), "_index")
+    return out.select(*events.columns, "source_date", (steps - 1 - (F.col("_last") - F.col("_index"))).alias("seq_index"))
+
+
+def sequence_coverage(steps: DataFrame, key: str, valid: str, length: int = 20, least: int = 12) -> DataFrame:
+    """Per event: valid steps, those among the latest five, and whether both suffice."""
+    ok = F.coalesce(F.col(valid), F.lit(False))
+    out = steps.groupBy(key).agg(F.count_if(ok).alias("valid_days"), F.count_if(ok & (F.col("seq_index") >= length - 5)).alias("latest5_days"))
+    return out.withColumn("eligible", (F.col("valid_days") >= least) & (F.col("latest5_days") >= 1))
+
+
+def coverage_report(coverage: DataFrame, thresholds: tuple[int, ...] = (8, 12, 16, 20), risk: float = 0.1) -> DataFrame:
+    """One row: events, how many reach each number of valid steps, the share dropped, and whether that is a risk."""
+    at = [F.count_if(F.col("valid_days") >= t).alias(f"at_least_{t}") for t in thresholds]
+    out = coverage.agg(F.count("*").alias("events"), *at, F.avg((~F.col("eligible")).cast("int")).alias("drop_rate"))
+    return out.withColumn("at_risk", F.col("drop_rate") > risk)

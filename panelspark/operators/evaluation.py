@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FLOOR = 1e-6
@@ -95,3 +95,36 @@ def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once or hold a null."""
     bad = F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0))
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where((F.col("n") > 1) | (bad > 0))
+
+
+def defeat_events(df: DataFrame, forecast: str, realised: str, implied: str) -> DataFrame:
+    """Rows with all three numbers, each with both edges and errors and who was nearer: forecast or market."""
+    f, y, b = F.col(forecast), F.col(realised), F.col(implied)
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    out = df.where(finite(f) & finite(y) & finite(b))
+    out = out.withColumns({"forecast_edge": f - b, "realised_edge": y - b, "model_error": F.abs(f - y), "market_error": F.abs(b - y)})
+    long, paid = F.col("forecast_edge") > 0, F.col("realised_edge") > 0
+    nearer = F.col("model_error") < F.col("market_error")
+    flags = {"model_nearer": nearer, "sign_correct": long == paid, "false_positive": long & ~paid, "false_negative": ~long & paid, "model_corrected_market": nearer & (long == paid) & (F.col("realised_edge") != 0), "market_right_model_wrong": ~nearer & (long != paid)}
+    return out.withColumns(flags)
+
+
+def defeat_summary(defeats: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per group: rows, shares of each verdict and mean errors of both."""
+    share = lambda c: F.avg(F.col(c).cast("int"))
+    flags = ("model_nearer", "sign_correct", "false_positive", "false_negative", "model_corrected_market", "market_right_model_wrong")
+    return defeats.groupBy(*by).agg(F.count("*").alias("n"), *[share(c).alias(f"{c}_share") for c in flags], F.avg("model_error").alias("mean_model_error"), F.avg("market_error").alias("mean_market_error"))
+
+
+def casebook(defeats: DataFrame, by: Sequence[str], key: Sequence[str], fragile: Column | None = None, n: int = 25) -> DataFrame:
+    """The ``n`` severest rows of each case and group, ties to the smaller key; a row may illustrate several cases.
+
+    Spark keeps ``n`` rows a group before it shuffles, so groups may be of any size.
+    """
+    gain = F.col("market_error") - F.col("model_error")
+    cases = [("false_positive", F.col("false_positive"), F.col("forecast_edge")), ("false_negative", F.col("false_negative"), F.col("realised_edge")), ("model_corrected_market", F.col("model_corrected_market"), gain), ("market_right_model_wrong", F.col("market_right_model_wrong"), gain)]
+    if fragile is not None:
+        cases.append(("execution_fragile", F.coalesce(fragile, F.lit(False)), F.col("forecast_edge")))
+    case = F.array(*[F.struct(F.lit(name).alias("case_type"), holds.alias("holds"), F.abs(severity).alias("severity")) for name, holds, severity in cases])
+    met = defeats.select("*", F.inline(F.filter(case, lambda c: c["holds"]))).drop("holds")
+    return top_k(met, ["case_type", *by], [F.col("severity").desc(), *key], n)

@@ -400,3 +400,60 @@ def quote_stream_marks(spark, sf):
     folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/marks-{spark.sparkContext.applicationId}-{id(r)}"
     ticks(spark, sf).select("contract", "ts", "value").write.mode("overwrite").parquet(f"{folder}/in")
     return marks.run(spark, f"{folder}/in", "contract long, ts timestamp, value double", r, folder)
+
+
+PLAN = f"{EV}, {DAYS}, av AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM bars WHERE isodow(date) < 6)), placed AS (SELECT ev.*, av.i AS e FROM ev ASOF JOIN av ON ev.event_date >= av.date), plan AS (SELECT p.event_id, p.ticker, av.date AS source_date, 19 - (p.e - av.i) AS seq_index FROM placed p JOIN av ON av.i BETWEEN p.e - 19 AND p.e)"
+COVER = PLAN + ", cov AS (SELECT event_id, count(days.date) AS valid_days, count(days.date) FILTER (seq_index >= 15) AS latest5_days FROM plan LEFT JOIN days ON days.ticker = plan.ticker AND days.date = source_date GROUP BY 1)"
+
+
+def plan_of(spark, sf):
+    weekdays = bars(spark, sf).select("date").where(~F.dayofweek("date").isin(1, 7))
+    return calendar.sequence_plan(order_events(spark, sf).select("event_id", "ticker", "event_date"), weekdays, "event_date", "date")
+
+
+@query(f"WITH {PLAN} SELECT event_id, source_date, seq_index FROM plan")
+def sequence_plan(spark, sf):
+    return plan_of(spark, sf).select("event_id", "source_date", F.col("seq_index").cast("long").alias("seq_index"))
+
+
+def covered(spark, sf):
+    held = bars(spark, sf).select("ticker", F.col("date").alias("source_date")).distinct().withColumn("valid", F.lit(True))
+    return calendar.sequence_coverage(plan_of(spark, sf).join(held, ["ticker", "source_date"], "left"), "event_id", "valid")
+
+
+@query(f"WITH {COVER} SELECT *, valid_days >= 12 AND latest5_days >= 1 AS eligible FROM cov")
+def sequence_coverage(spark, sf):
+    return covered(spark, sf)
+
+
+@query(f"WITH {COVER} SELECT count(*) AS events, count(*) FILTER (valid_days >= 8) AS at_least_8, count(*) FILTER (valid_days >= 12) AS at_least_12, count(*) FILTER (valid_days >= 16) AS at_least_16, count(*) FILTER (valid_days >= 20) AS at_least_20, round(avg((NOT (valid_days >= 12 AND latest5_days >= 1))::INT), 4) AS drop_rate, avg((NOT (valid_days >= 12 AND latest5_days >= 1))::INT) > 0.1 AS at_risk FROM cov")
+def sequence_coverage_report(spark, sf):
+    return rounded(calendar.coverage_report(covered(spark, sf)))
+
+
+DEFEAT = """raw AS (SELECT l_returnflag AS model, l_orderkey AS orderkey, l_linenumber AS line, l_extendedprice / 1000 AS y, l_quantity * 1.5 AS f, 38.0::DOUBLE AS b FROM lineitem),
+er AS (SELECT *, f - b AS forecast_edge, y - b AS realised_edge, abs(f - y) AS model_error, abs(b - y) AS market_error FROM raw),
+df AS (SELECT *, model_error < market_error AS near, forecast_edge > 0 AS up, realised_edge > 0 AS paid FROM er)"""
+
+
+def defeats(spark, sf):
+    raw = load(spark, sf, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("line"), (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_quantity") * 1.5).alias("f"), F.lit(38.0).alias("b"))
+    return evaluation.defeat_events(raw, "f", "y", "b")
+
+
+@query(f"WITH {DEFEAT} SELECT model, count(*) AS n, round(avg(near::INT), 4) AS model_nearer_share, round(avg((up = paid)::INT), 4) AS sign_correct_share, round(avg((up AND NOT paid)::INT), 4) AS false_positive_share, round(avg((paid AND NOT up)::INT), 4) AS false_negative_share, round(avg((near AND up = paid AND realised_edge <> 0)::INT), 4) AS model_corrected_market_share, round(avg((NOT near AND up <> paid)::INT), 4) AS market_right_model_wrong_share, round(avg(model_error), 4) AS mean_model_error, round(avg(market_error), 4) AS mean_market_error FROM df GROUP BY 1")
+def defeat_summary(spark, sf):
+    return rounded(evaluation.defeat_summary(defeats(spark, sf), ["model"]))
+
+
+CASES = DEFEAT + """, cases AS (SELECT 'false_positive' AS case_type, abs(forecast_edge) AS severity, * FROM df WHERE up AND NOT paid
+UNION ALL SELECT 'false_negative', abs(realised_edge), * FROM df WHERE paid AND NOT up
+UNION ALL SELECT 'model_corrected_market', abs(market_error - model_error), * FROM df WHERE near AND up = paid AND realised_edge <> 0
+UNION ALL SELECT 'market_right_model_wrong', abs(market_error - model_error), * FROM df WHERE NOT near AND up <> paid
+UNION ALL SELECT 'execution_fragile', abs(forecast_edge), * FROM df WHERE line = 7)"""
+
+
+@query(f"WITH {CASES} SELECT case_type, model, orderkey, line::BIGINT AS line, round(severity, 7) AS severity, row_number() OVER (PARTITION BY case_type, model ORDER BY severity DESC, orderkey, line) AS rank FROM cases QUALIFY rank <= 25")
+def casebook(spark, sf):
+    out = evaluation.casebook(defeats(spark, sf), ["model"], ["orderkey", "line"], F.col("line") == 7)
+    return rounded(out.select("case_type", "model", "orderkey", "line", "severity", "rank"), 7)
