@@ -10,11 +10,12 @@ reach just if the balls of radius 1 around them share a point, a point lies in a
 a point's ball are linked to the smallest of them after a check. Links become classes by ``components``.
 
 For similarity 0.8 on five-word shingles (``near_duplicates``, which the pipeline uses) 64 bits are too noisy
-and a covering family of that radius would need thousands of tables, so the same sketch is 1,024 bits wide and
-``tables`` random masks of ``mask_bits`` positions bring candidates together; a pair links if the sketch's
-estimate of the Jaccard similarity reaches the bound (standard error about 0.013). Within a bucket every member
-is compared with a few leaders; members still in different classes afterwards are compared in full, so a large
-bucket costs no more pairs than it has members times leaders unless it truly holds different classes.
+and a covering family of that radius would need thousands of tables. There, MinHash signatures only propose
+pairs: texts that agree on all of ``band_rows`` minima of one of ``bands`` bands meet in a bucket (0.998 of the
+pairs of similarity 0.8 do), and pairs whose signatures agree in far fewer minima than 0.8 (four standard errors)
+go no further. What is left is compared by the sets of 64-bit shingle hashes, and a pair links just if the Jaccard
+similarity of these sets reaches the bound. Within a bucket every member is first compared with one leader, a few
+rounds long; members still in different classes afterwards are compared in full.
 
 Defined results: words are runs of characters other than ASCII white space, A-Z lower-cased; fewer words than a
 shingle make one shingle; null and empty texts have fingerprint zero, which links like any other (in
@@ -24,20 +25,20 @@ smallest non-null id names the class; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, hash_buckets, materialise, table
+from .common import components, materialise, table
 
 SHINGLE, RADIUS, MOST_PAIRS_IN = 3, 2, 48
-SIMILARITY, NEAR_SHINGLE, SKETCH_LONGS, TABLES, MASK_BITS, LEADERS = 0.8, 5, 16, 128, 24, 8
-ROWS_PER_TASK = 4000
+SIMILARITY, NEAR_SHINGLE, BANDS, BAND_ROWS, LEADERS = 0.8, 5, 20, 6, 3
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -65,18 +66,14 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def _mixed(h: np.ndarray, i: int) -> np.ndarray:
-    """Further 64-bit hashes of 64-bit hashes (a multiply-xorshift finaliser)."""
-    x = h + np.uint64((0x9E3779B97F4A7C15 * (i + 1)) % 2**64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def sketch(text: str | None, words: int, longs: int) -> np.ndarray:
-    """The wide SimHash of the text's set of shingles, as unsigned longs."""
-    h = np.unique(shingle_hashes(text, words))
-    return np.array([majority(_mixed(h, i)) for i in range(longs)], np.uint64)
+def signature(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The upper halves of the minima of ``size`` linear functions over these hashes, as signed ints."""
+    rng = np.random.default_rng(11)
+    by, plus = rng.integers(0, 2**64, (2, size), np.uint64)
+    by, least = by | np.uint64(1), np.full(size, 2**64 - 1, np.uint64)
+    for i in range(0, len(hashes), 1024):
+        least = np.minimum(least, (hashes[i : i + 1024, None] * by + plus).min(axis=0))
+    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _signed(x: int) -> int:
@@ -135,67 +132,76 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _similar(bits: int, similarity: float) -> int:
-    """The number of differing bits expected of two equally large sets at this Jaccard similarity."""
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi + 0.5)
+def least_agreeing(size: int, similarity: float) -> int:
+    """The number of agreeing minima, of ``size``, that a pair of this similarity reaches but for four standard errors."""
+    return int(size * similarity - 4 * math.sqrt(size * similarity * (1 - similarity)))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = NEAR_SHINGLE, longs: int = SKETCH_LONGS, tables: int = TABLES, mask_bits: int = MASK_BITS, leaders: int = LEADERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = NEAR_SHINGLE, bands: int = BANDS, band_rows: int = BAND_ROWS, leaders: int = LEADERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """digest (of the text), class_id, kept: one row per distinct text; of each class one text is kept.
 
     kept is the text of the class's smallest id, the digest breaking ties.
     """
-    rng = np.random.default_rng(11)
-    masks = np.stack([rng.choice(64 * longs, mask_bits, replace=False) for _ in range(tables)])
-    places, most = (1 << np.arange(mask_bits, dtype=np.int64)), _similar(64 * longs, similarity)
+    minima = bands * band_rows
 
-    lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+    lists = lambda x, ends, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, kind))
 
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wide = np.stack([sketch(t.as_py(), words, longs) for t in b.column(1)]) if b.num_rows else np.zeros((0, longs), np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), lists(wide.view(np.int64))], names=["node", "sketch"])
+            sigs = [signature(np.unique(shingle_hashes(t.as_py(), words)), minima) for t in b.column(1)]
+            sigs = lists(np.concatenate([np.zeros(0, np.int32), *sigs]), np.arange(b.num_rows + 1) * minima, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), sigs], names=["node", "sig"])
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wide = b.column(1).flatten().to_numpy(zero_copy_only=False).astype("<i8").reshape(b.num_rows, longs)
-            bits = np.unpackbits(wide.view(np.uint8).reshape(b.num_rows, 8 * longs), axis=1, bitorder="little")
-            out = np.stack([(bits[:, m].astype(np.int64) @ places) + (i << mask_bits) for i, m in enumerate(masks)], axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), lists(out)], names=["node", "keys"])
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in part.column(1)]
+                found = lists(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), found], names=["node", "shingles"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     digest = F.md5(text.cast("binary"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), digest.alias("digest"), F.xxhash64(digest).alias("node"), text.alias("text"))
     firsts = materialise(texts.groupBy("digest", "node").agg(F.min("id").alias("least")), "near-texts")
-    empty = F.regexp_replace("text", r"[\x20\x09-\x0D]+", "") == ""
-    # copies of a text sketch alike, so any of them serves
-    sketches = texts.where(~empty).select("node", "text").mapInArrow(sketched, "node long, sketch array<long>").dropDuplicates(["node"])
-    sketches = materialise(sketches, "near-sketches")
-    # each row makes as many keys as there are tables: few rows a task keep its memory small
-    spread = sketches.repartition(hash_buckets(sketches.count(), ROWS_PER_TASK, 12), "node")
-    keyed = spread.mapInArrow(keys, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+    # copies of a text have one signature, so any of them serves
+    full = texts.where(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "") != "").select("node", "text")
+    sigs = materialise(full.mapInArrow(signed, "node long, sig array<int>").dropDuplicates(["node"]), "near-signatures")
+    band = [F.xxhash64(F.lit(i), F.slice("sig", i * band_rows + 1, band_rows)) for i in range(bands)]
+    keyed = sigs.select("node", F.explode(F.array(*band)).alias("key"))
     buckets = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
     members = materialise(keyed.join(buckets, "key"), "near-members")
+    met = full.dropDuplicates(["node"]).join(members.select("node").distinct(), "node", "leftsemi")
+    sets = materialise(met.mapInArrow(shingled, "node long, shingles array<long>"), "near-sets")
 
-    bits = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    def with_both(pairs: DataFrame, of: DataFrame, name: str) -> DataFrame:
+        left, right = (of.select(F.col("node").alias(c), F.col(name).alias(f"{name}_{c}")) for c in "ab")
+        return pairs.join(left, "a").join(right, "b")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, tag: str) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-        met = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-        return met.where(bits(F.col("sa"), F.col("sb")) <= most).select("a", "b")
-
-    # a member leads its bucket if its hash for this bucket falls among the first; small buckets are all leaders
-    place = F.row_number().over(Window.partitionBy("key").orderBy("h", "node"))
-    led = members.withColumn("h", F.xxhash64("node", "key")).withColumn("place", place).where(F.col("place") <= leaders)
-    led = materialise(led.select("key", F.col("node").alias("b")), "near-leaders")
-    links = materialise(verified(members.select("key", F.col("node").alias("a")).join(led, "key").select("a", "b")), "near-links")
-    roots = components(links, "near-first")
-    # whole comparison of what larger buckets still hold in different classes
-    rest = members.where(F.col("n") > leaders).join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = rest.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
-    rest = materialise(rest.join(mixed, "key"), "near-rest")
-    far = rest.select("key", F.col("node").alias("a"), F.col("root").alias("ra")).join(rest.select("key", F.col("node").alias("b"), F.col("root").alias("rb")), "key").where("ra < rb")
-    roots = components(links.unionByName(verified(far.select("a", "b"))), "near-last")
+        agreeing = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+        likely = with_both(pairs, sigs, "sig").where(agreeing >= least_agreeing(minima, similarity)).select("a", "b")
+        shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
+        either = F.size("shingles_a") + F.size("shingles_b") - shared
+        return materialise(with_both(likely, sets, "shingles").where(shared + 1e-9 >= F.lit(float(similarity)) * either).select("a", "b"), tag)
+
+    # the leader of a round is the member that a hash of the round ranks first, alike in all buckets
+    links, rest = None, members.select("key", "node", F.col("node").alias("root"))
+    for turn in range(leaders + 1):
+        if turn < leaders:
+            first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("b"), F.col("root").alias("rb")))
+            other = rest.groupBy("key").agg(first.alias("first")).select("key", "first.b", "first.rb")
+        else:
+            # whole comparison of what buckets still hold in different classes
+            other = rest.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
+        found = verified(rest.join(other, "key").where("root <> rb").select(F.col("node").alias("a"), "b"), "near-links")
+        links = found if links is None else links.unionByName(found)
+        roots = components(links, "near-classes")
+        if turn < leaders:
+            rest = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+            mixed = rest.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
+            rest = materialise(rest.join(mixed, "key"), "near-rest")
     classed = firsts.join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("class_id"))
     best = classed.groupBy("class_id").agg(F.min(F.struct("least", "digest")).alias("best"))
     return classed.join(best, "class_id").select("digest", "class_id", (F.col("digest") == F.col("best.digest")).alias("kept"))

@@ -197,6 +197,31 @@ def test_near_duplicates(spark, docs, odd, none):
     assert texts.count("a b c d e f g h") == 1 and "x" in texts and LONG_TEXT in texts
 
 
+def test_near_duplicates_link_at_exactly_the_bound(spark):
+    rng = np.random.default_rng(3)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    texts, want = [], []
+    # 600 shingles, of which a run of changed words alters `c`: similarity (600 - c) / (600 + c) is 0.802 or 0.799
+    for c in (66, 67):
+        for _ in range(60):
+            base = some(604)
+            at = int(rng.integers(4, 600 - c))
+            texts += [base, base[:at] + some(c - 4) + base[at + c - 4 :]]
+            want.append(c == 66)
+    # five shingles, of which four are in the other text: similarity 0.8; against three it is 0.6
+    for cut in (8, 7):
+        for _ in range(60):
+            base = some(9)
+            texts += [base, base[:cut]]
+            want.append(cut == 8)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    assert all(2 * i in kept for i in range(len(want)))
+    linked = [2 * i + 1 not in kept for i in range(len(want))]
+    assert not any(got and not w for got, w in zip(linked, want))
+    assert sum(linked) >= 0.98 * sum(want), (sum(linked), sum(want))
+
+
 # 8 ----------------------------------------------------------------------------------------------------------------
 
 def brute_base(text):
