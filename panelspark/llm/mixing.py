@@ -1,9 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Slots 0, 1, 2, ... are mapped by their golden-ratio points through the cumulative target shares to a source;
-a slot's rank among its source's slots names the equal-token block it takes of that source's shuffled token
-stream (documents in hash order, end to end). A source with more slots than blocks is read again from its
-start, at most to the given number of passes. Every prefix of the schedule is thus near the target mix.
+Slots 0, 1, 2, ... are mapped by their golden-ratio points through the cumulative shares of the slots that each
+source's target takes; a slot's rank among its source's slots names the equal-token block it takes of that
+source's shuffled token stream (documents in hash order, end to end). A source's blocks are equal parts of it, of
+at most the common block size, so that the smallest source has one, too. A source with more slots than blocks is
+read again from its start, at most to the given number of passes. Every prefix of the schedule is thus near the
+target mix, and all of it takes each source's target, rounded to a whole word.
 
 Nothing here depends on how many documents or tokens a source holds: stream positions and slot ranks are sums
 over hash buckets or slot chunks plus ranks inside them, points find their source through a grid of cells
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import hash_buckets, materialise, ranked, table
@@ -28,7 +30,7 @@ GOLDEN = 0.6180339887498949
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
 MOST_PASSES = 2
-#: Least number of slots, and slots a source at least; a block holds total / slots tokens.
+#: Least number of slots, and slots for each source on average at least; a block holds at most total / slots tokens.
 SLOTS, SLOTS_PER_SOURCE = 1 << 18, 1 << 10
 CELLS = 1 << 10
 CHUNK = 1 << 11
@@ -56,35 +58,59 @@ def targets(sizes: DataFrame, weights: Sequence[float], total_share: float, most
             break
         level = (total - capped) / rest
     src = src.withColumn("target", F.least(cap, F.lit(level) * F.col("w")))
-    # place orders the sources; running sums over chunks of places, then inside a chunk
-    chunk = F.floor(F.col("place") / 10_000)
-    src = src.withColumn("_chunk", chunk)
+    return materialise(running_sum(src, "target", "cum", 0.0), "mix-targets")
+
+
+def running_sum(src: DataFrame, of: str, name: str, zero: float) -> DataFrame:
+    """Adds ``name``: the sum of ``of`` over the sources before, in the order of place."""
+    # running sums over chunks of places, then inside a chunk
+    src = src.withColumn("_chunk", F.floor(F.col("place") / 10_000))
     before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = src.groupBy("_chunk").agg(F.sum("target").alias("t")).select("_chunk", F.coalesce(F.sum("t").over(before), F.lit(0.0)).alias("_start"))
+    starts = src.groupBy("_chunk").agg(F.sum(of).alias("t")).select("_chunk", F.coalesce(F.sum("t").over(before), F.lit(zero)).alias("_start"))
     inside = Window.partitionBy("_chunk").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    out = src.withColumn("_in", F.coalesce(F.sum("target").over(inside), F.lit(0.0))).join(starts, "_chunk")
-    return materialise(out.withColumn("cum", F.col("_start") + F.col("_in")).drop("_start", "_in", "_chunk"), "mix-targets")
+    out = src.withColumn("_in", F.coalesce(F.sum(of).over(inside), F.lit(zero))).join(starts, "_chunk")
+    return out.withColumn(name, F.col("_start") + F.col("_in")).drop("_start", "_in", "_chunk")
+
 
+def own_block(block: int) -> Column:
+    """Tokens in a block of a source: its size in equal parts of at most ``block`` tokens (1 for an empty source)."""
+    return F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.ceil(F.col("source_size") / block))).cast("long")
 
-def schedule(src: DataFrame, slots: int, total: float, block: int, most_passes: int) -> DataFrame:
-    """The slots: slot, place (of its source), rank, pass, block, lo, hi (stream positions it takes, from the pass's start)."""
+
+def schedule(src: DataFrame, slots: int, _total: float, block: int, most_passes: int) -> DataFrame:
+    """The slots: slot, place (of its source), rank, pass, block, lo, hi (stream positions it takes, from the pass's start).
+
+    Each source gets as many slots as its target takes of its own blocks, and golden-ratio points fall to the sources
+    in proportion to that. At least ``slots`` points are drawn; where they leave a source short of its slots (by few,
+    as the points are spread evenly), the missing ones follow after the last point.
+    """
     spark = src.sparkSession
-    share = src.where("target > 0").select("place", "source_size", "target", (F.col("cum") / total).alias("lo_p"), ((F.col("cum") + F.col("target")) / total).alias("hi_p"))
+    goal = F.least(F.round("target").cast("long"), F.col("source_size") * most_passes)
+    size = F.col("source_size")
+    src = src.select("place", "source_size", goal.alias("goal"), own_block(block).alias("own")).where("goal > 0").withColumn("blocks", F.ceil(size / F.col("own")))
+    needed = F.floor(F.col("goal") / size) * F.col("blocks") + F.ceil((F.col("goal") % size) / F.col("own"))
+    src = materialise(running_sum(src.withColumn("needed", needed), "needed", "cum", 0), "mix-needed")
+    wanted = src.agg(F.sum("needed")).head()[0] or 0
+    drawn = max(slots, wanted)
+    share = src.select("place", (F.col("cum") / wanted).alias("lo_p"), ((F.col("cum") + F.col("needed")) / wanted).alias("hi_p"))
     cells = share.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo_p") * CELLS), F.least(F.floor(F.col("hi_p") * CELLS), F.lit(CELLS - 1)))))
     x = F.col("slot") * GOLDEN + 0.5
     point = (x - F.floor(x)).alias("point")
-    points = spark.range(slots).select(F.col("id").alias("slot"), F.col("id")).select("slot", point).withColumn("cell", F.least(F.floor(F.col("point") * CELLS), F.lit(CELLS - 1)))
+    points = spark.range(drawn).select(F.col("id").alias("slot"), F.col("id")).select("slot", point).withColumn("cell", F.least(F.floor(F.col("point") * CELLS), F.lit(CELLS - 1)))
     # the last interval ends at 1 but for rounding
-    own = points.join(cells, "cell").where((F.col("point") >= F.col("lo_p")) & (F.col("point") < F.col("hi_p"))).select("slot", "place", "source_size", "target")
+    own = points.join(cells, "cell").where((F.col("point") >= F.col("lo_p")) & (F.col("point") < F.col("hi_p"))).select("slot", "place")
     own = materialise(own.withColumn("chunk", F.floor(F.col("slot") / CHUNK)), "mix-slots")
     before = Window.partitionBy("place").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = own.groupBy("place", "chunk").count().select("place", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    out = own.withColumn("_in", F.row_number().over(Window.partitionBy("place", "chunk").orderBy("slot")) - 1).join(starts, ["place", "chunk"])
-    size, blocks = F.col("source_size"), F.ceil(F.col("source_size") / block)
-    out = out.withColumn("rank", F.col("_start") + F.col("_in")).withColumn("pass", F.floor(F.col("rank") / blocks)).withColumn("block", F.col("rank") % blocks)
-    lo = F.col("block") * block
-    limit = F.least(F.round("target").cast("long"), size * most_passes) - F.col("pass") * size
-    out = out.withColumn("lo", lo).withColumn("hi", F.least(lo + block, size, limit))
+    met = own.withColumn("_in", F.row_number().over(Window.partitionBy("place", "chunk").orderBy("slot")) - 1).join(starts, ["place", "chunk"])
+    met = met.select("slot", "place", (F.col("_start") + F.col("_in")).alias("rank"))
+    short = src.join(own.groupBy("place").count(), "place", "left").withColumn("count", F.coalesce("count", F.lit(0))).where(F.col("count") < F.col("needed"))
+    short = short.select("place", F.explode(F.sequence("count", F.col("needed") - 1)).alias("rank"))
+    late = ranked(short, [F.col("rank"), F.col("place")], "late", "mix-late").select((F.col("late") + drawn).alias("slot"), "place", "rank")
+    out = met.unionByName(late).join(src.select("place", "source_size", "goal", "own", "blocks", "needed"), "place").where(F.col("rank") < F.col("needed"))
+    out = out.withColumn("pass", F.floor(F.col("rank") / F.col("blocks"))).withColumn("block", F.col("rank") % F.col("blocks"))
+    lo = F.col("block") * F.col("own")
+    out = out.withColumn("lo", lo).withColumn("hi", F.least(lo + F.col("own"), size, F.col("goal") - F.col("pass") * size))
     return out.where("hi > lo").select("slot", "place", "rank", "pass", "block", "lo", "hi")
 
 
@@ -116,8 +142,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, total_share: float
     rows = rows.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["place", "bucket"])
     rows = rows.withColumn("start", F.col("_start") + F.col("_in")).drop("_start", "_in", "bucket", "h")
 
-    full = rows.where("size > 0").select("place", "start", "size")
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
+    full = rows.where("size > 0").select("place", "start", "size", own_block(block).alias("own"))
+    first, last = F.floor(F.col("start") / F.col("own")), F.floor((F.col("start") + F.col("size") - 1) / F.col("own"))
     parts = full.withColumn("block", F.explode(F.sequence(first, last)))
     met = parts.join(schedule(src, slots, total, block, most_passes), ["place", "block"])
     lo, hi = F.greatest("lo", "start") - F.col("start"), F.least(F.col("hi"), F.col("start") + F.col("size")) - F.col("start")

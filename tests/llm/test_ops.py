@@ -118,6 +118,18 @@ def test_schedule_prefixes_are_near_the_mix(spark):
         assert all(abs(v - n / 3) < 6 for v in share.values())
 
 
+def test_tiny_sources_reach_their_targets(spark):
+    words = {"big": 400_000, "s1": 1, "s2": 7, "s3": 200, "s4": 1000, "s5": 5003}
+    parts = [(s, min(50, n - i)) for s, n in words.items() for i in range(0, n, 50)]
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(parts)], "doc_id long, text string, source string")
+    want = brute_targets(words)
+    for slots in (64, 1 << 12):
+        rows, pieces = mixing.mix(docs, least_slots=slots)
+        place = {r.place: r.source_size for r in rows.select("place", "source_size").distinct().collect()}
+        got = {place[r.place]: r.taken for r in pieces.groupBy("place").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken")).collect()}
+        assert got == {n: math.floor(want[s] + 0.5) for s, n in words.items()}
+
+
 # 7 ----------------------------------------------------------------------------------------------------------------
 
 def brute_fp(text, k=3):
