@@ -25,7 +25,6 @@ from .common import table
 
 #: An action's place when one pattern has several entries at one instant.
 ORDER = "CASE action WHEN 'allow' THEN 0 WHEN 'remove' THEN 1 ELSE 2 END"
-MOST_LABELS = 8
 
 
 def host(url: Column) -> Column:
@@ -37,9 +36,9 @@ def patterns(url: Column) -> Column:
     """The keys that list entries can have for this URL: host and parent domains ("d:"), host and first path segment ("p:")."""
     name = host(url)
     labels = F.split(name, r"\.")
-    # parent domains of two labels or more, down from the whole host; the last eight labels count
+    # parent domains of two labels or more, up to the whole host
     n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(n, F.lit(MOST_LABELS)))), lambda k: F.concat(F.lit("d:"), F.array_join(F.slice(labels, F.greatest(n - k, F.lit(0)) + 1, k), ".")))
+    domains = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), n)), lambda k: F.concat(F.lit("d:"), F.array_join(F.slice(labels, F.greatest(n - k, F.lit(0)) + 1, k), ".")))
     segment = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^/?#]+)", 1)
     path = F.when(segment != "", F.array(F.concat(F.lit("p:"), name, segment))).otherwise(F.array().cast("array<string>"))
     return F.when(F.coalesce(name, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.array(F.concat(F.lit("d:"), name)), domains, path)))

@@ -456,6 +456,12 @@ def test_url_filter(spark):
     assert url_filter.decide(c.limit(0), e).count() == 0
 
 
+def test_url_filter_asks_for_every_parent_of_a_deep_host(spark):
+    c = spark.sql("SELECT 1L AS page_id, 'http://a.b.c.d.e.f.g.h.i.j.example.com/' AS url, timestamp'2024-01-02' AS fetched_at")
+    e = spark.sql("SELECT 'd:c.d.e.f.g.h.i.j.example.com' AS pattern, 'block' AS action, timestamp'2024-01-01' AS listed_at UNION ALL SELECT 'd:example.com', 'allow', timestamp'2024-01-01'")
+    assert rows(url_filter.decide(c, e), "verdict", "pattern") == [("block", "d:c.d.e.f.g.h.i.j.example.com")]
+
+
 # common -----------------------------------------------------------------------------------------------------------
 
 def test_ranked_and_components(spark):
