@@ -34,13 +34,13 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import hash_buckets, materialise, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 HOT, LONG, HELD, COUNTED, FAR = 150_000, 48, 200_000, 400_000, 1 << 30
 BPE, UNIGRAM = "bpe", "unigram"
-GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+UNITS_A_TASK = 2000
 
 
 @dataclass(frozen=True)
@@ -452,21 +452,20 @@ class Encoded(dict):
         self.now = {chunk: b"".join([common.get(u) or rare[u] for u in units]) for chunk, units in left.items()}
 
 
-def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, join_rare: bool = False) -> DataFrame:
-    """id, text, ids of every whole text. ``join_rare``: rare units too go through the lattice and are joined."""
+def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, join_rare: bool = False, compare: bool = False) -> DataFrame:
+    """id, text, ids of every whole text. ``join_rare``: rare units too go through the lattice and are joined.
+
+    ``compare`` decodes the ids again where they were made and gives id, n_tokens, ids and round_trip (whether the
+    decoded text is the text) instead, so that texts enter one Python worker a task and don't leave it.
+    """
     spark = docs.sparkSession
     counts = materialise(distinct_units(docs, pieces, text_col), "piece-units")
     least = _often(counts, hot)
     often, seldom = counts.where(F.col("n") > least), counts.where(F.col("n") <= least)
-    # a unit's edges come one after another, so a task's groups are few and short: no need to sort them
-    old = spark.conf.get(GROUPS)
-    spark.conf.set(GROUPS, str(1 << 14))
-    try:
-        # units were counted by a shuffle that cut them small; the lattice is the larger work, so deal them out again
-        few = dictionary(often.repartition("unit"), pieces).select("unit", "ids").toPandas()  # at most ``hot`` short units
-        words = materialise(dictionary(seldom.repartition("unit"), pieces), "piece-words") if join_rare else None
-    finally:
-        spark.conf.set(GROUPS, old)
+    # the folds are far more work than bytes, so their partitions are numbered and stay as many
+    dealt = lambda units: units.repartition(hash_buckets(units.count(), UNITS_A_TASK, 1), "unit")
+    few = dictionary(dealt(often), pieces).select("unit", "ids").toPandas()  # at most ``hot`` short units
+    words = materialise(dictionary(dealt(seldom), pieces), "piece-words") if join_rare else None
     known = spark.sparkContext.broadcast({u: np.asarray(i, np.int32).tobytes() for u, i in zip(few["unit"], few["ids"])})
     del few
     key = F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
@@ -500,7 +499,11 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
                 ids = [np.frombuffer(b"".join(map(seen.__getitem__, chunks)), np.int32) for chunks in texts]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), lists], names=[id_col, "text", "ids"])
+                if not compare:
+                    yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), lists], names=[id_col, "text", "ids"])
+                    continue
+                same = [pieces.decode(x.tolist()) == (t.as_py() or "").replace(SPACE, " ") for x, t in zip(ids, part.column(2))]
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(np.diff(ends), pa.int64()), lists, pa.array(same, pa.bool_())], names=[id_col, "n_tokens", "ids", "round_trip"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     if words is None:
@@ -508,7 +511,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     else:
         asked = rows.select("key", "text").mapInArrow(rare, "key long, unit string").join(words.select("unit", "ids"), "unit")
         both = rows.join(asked.groupBy("key").agg(F.collect_list("unit").alias("units"), F.collect_list("ids").alias("found")), "key", "left")
-    return both.mapInArrow(put, f"`{id_col}` {kind}, text string, ids array<int>")
+    return both.mapInArrow(put, f"`{id_col}` {kind}, " + ("n_tokens long, ids array<int>, round_trip boolean" if compare else "text string, ids array<int>"))
 
 
 def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFrame:
@@ -528,10 +531,7 @@ def decode(encoded: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFram
 
 def encoded_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, ids, and whether decoding gives the text back."""
-    pieces = Pieces.load(model)
-    back = decode(encode(docs.select("doc_id", "text"), pieces), pieces)
-    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), SPACE, " ")
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    return encode(docs.select("doc_id", "text"), Pieces.load(model), compare=True)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
