@@ -3,33 +3,12 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_own_folder: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="spark-"))
-    return _own_folder[0]
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, nothing runs twice."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from panelspark.operators.staging import materialise, shared_folder  # noqa: F401  (the operators take them from here)
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -58,26 +37,29 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
 
     Each round every node moves to the neighbour (or itself) that a hash of the round ranks first, and the
     edges follow; a constant share of the nodes disappears each round, so rounds grow with the logarithm of
-    the graph. State lives in tables; neither edges nor labels reach the driver.
+    the graph. Rounds' moves are tables, which the nodes follow one after another in the end; neither edges nor
+    labels reach the driver.
     """
     edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{tag}-edges")
-    label = None
+    turns: list[DataFrame] = []
     for turn in range(200):
         if edges.isEmpty():
             break
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ends = F.explode(F.array(F.struct(F.col("a").alias("at"), F.col("b").alias("to")), F.struct(F.col("b").alias("at"), F.col("a").alias("to")))).alias("e")
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("to"))
-        moves = both.groupBy("a").agg(F.min(rank("b")).alias("n")).select(F.col("a").alias("at"), F.least("n", rank("a"))["to"].alias("to"))
-        moves = materialise(moves, f"{tag}-moves")
-        if label is None:
-            label = moves.select(F.col("at").alias("node"), F.col("to").alias("root"))
-        else:
-            label = label.join(moves, label["root"] == moves["at"], "left").select("node", F.coalesce("to", "root").alias("root"))
-        label = materialise(label, f"{tag}-labels")
-        ends = edges.join(moves.select(F.col("at").alias("a"), F.col("to").alias("a2")), "a").join(moves.select(F.col("at").alias("b"), F.col("to").alias("b2")), "b")
-        edges = materialise(ends.where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), f"{tag}-edges")
+        both = edges.select(ends).select("e.*")
+        moves = both.groupBy("at").agg(F.min(rank("to")).alias("n")).select("at", F.least("n", rank("at"))["to"].alias("to"))
+        turns.append(materialise(moves, f"{tag}-moves"))
+        by = lambda c: turns[-1].select(F.col("at").alias(c), F.col("to").alias(f"{c}2"))
+        moved = edges.join(by("a"), "a").join(by("b"), "b").where("a2 <> b2")
+        edges = materialise(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), f"{tag}-edges")
     else:
         raise RuntimeError("components did not converge")
-    if label is None:
+    if not turns:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return label
+    # from the last round back: where a node of that round ends up
+    label = turns[-1]
+    for moves in reversed(turns[:-1]):
+        then = label.select(F.col("at").alias("to"), F.col("to").alias("end"))
+        label = moves.join(then, "to", "left").select("at", F.coalesce("end", "to").alias("to"))
+    return materialise(label.select(F.col("at").alias("node"), F.col("to").alias("root")), f"{tag}-roots")

@@ -30,9 +30,10 @@ GOLDEN = 0.6180339887498949
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
 MOST_PASSES = 2
+#: Least number of cells that points find their source through.
+CELLS = 1 << 10
 #: Least number of slots, and slots for each source on average at least; a block holds at most total / slots tokens.
 SLOTS, SLOTS_PER_SOURCE = 1 << 18, 1 << 10
-CELLS = 1 << 10
 CHUNK = 1 << 11
 ROWS_PER_BUCKET = 2000
 #: Sources up to this many are broadcast to the rows.
@@ -93,10 +94,12 @@ def schedule(src: DataFrame, slots: int, _total: float, block: int, most_passes:
     wanted = src.agg(F.sum("needed")).head()[0] or 0
     drawn = max(slots, wanted)
     share = src.select("place", (F.col("cum") / wanted).alias("lo_p"), ((F.col("cum") + F.col("needed")) / wanted).alias("hi_p"))
-    cells = share.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo_p") * CELLS), F.least(F.floor(F.col("hi_p") * CELLS), F.lit(CELLS - 1)))))
+    # as many cells as sources at least, so that a cell meets few of them
+    n_cells = max(CELLS, src.count())
+    cells = share.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo_p") * n_cells), F.least(F.floor(F.col("hi_p") * n_cells), F.lit(n_cells - 1)))))
     x = F.col("slot") * GOLDEN + 0.5
     point = (x - F.floor(x)).alias("point")
-    points = spark.range(drawn).select(F.col("id").alias("slot"), F.col("id")).select("slot", point).withColumn("cell", F.least(F.floor(F.col("point") * CELLS), F.lit(CELLS - 1)))
+    points = spark.range(drawn).select(F.col("id").alias("slot"), F.col("id")).select("slot", point).withColumn("cell", F.least(F.floor(F.col("point") * n_cells), F.lit(n_cells - 1)))
     # the last interval ends at 1 but for rounding
     own = points.join(cells, "cell").where((F.col("point") >= F.col("lo_p")) & (F.col("point") < F.col("hi_p"))).select("slot", "place")
     own = materialise(own.withColumn("chunk", F.floor(F.col("slot") / CHUNK)), "mix-slots")
@@ -161,27 +164,22 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves, with the columns of ``docs``: one row for each pass over a document.
 
-    A pass that takes every word keeps the text as it is; one that takes some (at the cut at the end of a
-    source's share) keeps those words, joined by spaces. n_chars, where there is such a column, follows.
+    A pass that takes every word keeps the text as it is; one that takes some (at the cut at the end of a source's share)
+    keeps those words, joined by spaces. n_chars, where there is such a column, follows. Documents without words are never
+    taken; null is a source of its own; repeated rows are documents of their own; columns may have any names, as rows are
+    carried whole; an empty table stays empty.
     """
-    rows, pieces = mix(docs, keep=[c for c in ("_digest",) if c in docs.columns], **options)
-    passes = pieces.groupBy("place", "start", "pass").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return rows.where("size > 0").join(passes, ["place", "start"])
-
-
-def op4_stage(docs: DataFrame) -> DataFrame:
-    columns = docs.columns
-    keyed = docs.withColumn("_digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    passes = mix_documents(keyed).select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_d"), F.col("size").alias("_size"), F.col("pass").alias("_pass"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    # equal (id, text) rows are equal documents: each takes the passes of one of them
-    nth = Window.partitionBy("_id", "_d", "_pass").orderBy("_lo", "_hi")
-    passes = passes.withColumn("_nth", F.row_number().over(nth))
-    mine = Window.partitionBy("doc_id", "_digest").orderBy(F.monotonically_increasing_id())
-    keyed = keyed.withColumn("_mine", F.row_number().over(mine))
-    met = keyed.join(passes, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")) & (F.col("_mine") == F.col("_nth")))
-    whole = (F.col("_lo") == 0) & (F.col("_hi") == F.col("_size"))
-    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("_lo") + 1).cast("int"), (F.col("_hi") - F.col("_lo")).cast("int")), " ")
-    out = met.withColumn("text", F.when(whole, F.col("text")).otherwise(words))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    # rows that agree in every column are one another's equals: each takes the passes of one of them
+    keyed = packed.withColumn("same", F.md5(F.to_json("row").cast("binary")))
+    rows, pieces = mix(keyed.select("same", "row.doc_id", "row.text", "row.source"), keep=["same"], **options)
+    cuts = pieces.groupBy("place", "start", "pass").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    passes = rows.where("size > 0").join(cuts, ["place", "start"]).select("same", "size", "pass", "lo", "hi")
+    mine = F.row_number().over(Window.partitionBy("same").orderBy("same"))
+    theirs = F.row_number().over(Window.partitionBy("same", "pass").orderBy("lo", "hi"))
+    met = keyed.withColumn("nth", mine).join(passes.withColumn("nth", theirs), ["same", "nth"])
+    whole = (F.col("lo") == 0) & (F.col("hi") == F.col("size"))
+    words = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")), " ")
+    text = F.when(whole, F.col("row.text")).otherwise(words)
+    changed = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return met.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

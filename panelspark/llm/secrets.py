@@ -43,15 +43,15 @@ BASE = (
 )
 RULES = (
     *BASE,
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,255}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,4096}\.eyJ[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{8,4096}"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
-    Rule("stripe", r"[sr]k_live_[0-9A-Za-z]{16,255}"),
-    Rule("login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,255}:[^\s/:@]{1,255}@"),
+    Rule("stripe", r"[sr]k_live_[0-9A-Za-z]{16,}"),
+    Rule("login", r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]+://[^\s/:@]+:[^\s/:@]+@"),
 )
-#: Candidate texts up to this many are broadcast (a long and a small number each).
+#: Candidate texts up to this many are broadcast (a long and the names of a few rules each).
 FEW_CANDIDATES = 1_000_000
 MASK = "[SECRET]"
 MOST_STRINGS = 64
@@ -130,14 +130,37 @@ def trigram_query(pattern: str) -> Query:
     return clauses
 
 
+#: Letters of running text from the most common on; a trigram of rarer characters screens better.
+COMMON = "etaoinsrhldcumfpgwybvkxjqz"
+
+
+def screen_grams(rules: tuple[Rule, ...]) -> list[str]:
+    """One trigram of each alternative that rules hold to: a text with none of them is no candidate of any indexed rule."""
+    rarity = lambda g: sum(COMMON.find(c) if c in COMMON else len(COMMON) for c in g)
+    chosen = set()
+    for r in rules:
+        clauses = trigram_query(r.pattern)
+        if clauses:
+            # any clause will do, as all must hold: the one with the rarest trigrams
+            best = [{max(alt, key=lambda g: (rarity(g), g)) for alt in clause} for clause in clauses]
+            chosen |= max(best, key=lambda grams: (min(map(rarity, grams)), -len(grams)))
+    return sorted(chosen)
+
+
 def candidates(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """key, kinds: which indexed rules may match the texts of this key. ``texts`` has key and text."""
+    """key, kinds: which indexed rules may match the texts of this key. ``texts`` has key and text.
+
+    Only texts that hold a screening trigram are indexed by all trigrams of the queries.
+    """
     spark = texts.sparkSession
     terms = [(g, r.kind, c, a, len(alt), len(q)) for r in rules if (q := trigram_query(r.pattern)) for c, clause in enumerate(q) for a, alt in enumerate(sorted(clause, key=sorted)) for g in sorted(alt)]
     grams = sorted({t[0] for t in terms})
-    low = F.lower("text")
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams]))
-    postings = texts.select("key", F.explode(held).alias("gram")).distinct()
+    any_ = F.lit(False)
+    for g in screen_grams(rules):
+        any_ = any_ | F.contains("low", F.lit(g))
+    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))
+    found = texts.select("key", F.lower("text").alias("low")).select("key", F.when(any_, held).alias("grams"))
+    postings = found.select("key", F.explode("grams").alias("gram")).distinct()
     query = spark.createDataFrame(terms, "gram string, kind string, clause int, alt int, grams int, clauses int")
     met = postings.join(F.broadcast(query), "gram").groupBy("key", "kind", "clause", "alt", "grams", "clauses").count().where("count = grams")
     whole = met.groupBy("key", "kind", "clauses").agg(F.count_distinct("clause").alias("n")).where("n = clauses")
@@ -172,21 +195,19 @@ def _screen(rule: Rule) -> str:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", few: int = FEW_CANDIDATES) -> DataFrame:
-    """``docs`` with _spans: what the rules found, by start, then by the rules' order."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumn("_text", text).withColumn("_key", F.xxhash64("_text"))
-    found = candidates(docs.select(F.xxhash64(text).alias("key"), text.alias("text")), rules)
-    found = found.select(F.col("key").alias("_key"), F.col("kinds").alias("_kinds"))
-    found = materialise(found, "secret-candidates")
-    joined = keyed.join(F.broadcast(found) if found.count() <= few else found, "_key", "left")
+    """row (a struct of all columns of ``docs``, whatever their names) and spans: what the rules found, by start, then by the rules' order."""
+    text = F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", text.alias("text")).withColumn("key", F.xxhash64("text"))
+    found = materialise(candidates(keyed.select("key", "text"), rules), "secret-candidates")
+    joined = keyed.join(F.broadcast(found) if found.count() <= few else found, "key", "left")
     none, each = F.array().cast(SPANS), []
     for place, rule in enumerate(rules):
-        worth = F.col("_text").rlike(_screen(rule))
+        worth = F.col("text").rlike(_screen(rule))
         if trigram_query(rule.pattern):
-            worth = F.array_contains(F.coalesce("_kinds", F.array().cast("array<string>")), rule.kind) & worth
-        each.append(F.when(worth, _spans(F.col("_text"), rule, place)).otherwise(none))
+            worth = F.array_contains(F.coalesce("kinds", F.array().cast("array<string>")), rule.kind) & worth
+        each.append(F.when(worth, _spans(F.col("text"), rule, place)).otherwise(none))
     # a run of one class needs no second look at the rest of the text: its screen asks for the length
-    return joined.withColumn("_spans", F.array_sort(F.flatten(F.array(*each)))).drop("_text", "_key", "_kinds")
+    return joined.select("row", F.array_sort(F.flatten(F.array(*each))).alias("spans"))
 
 
 def digest(spans: Column) -> Column:
@@ -194,16 +215,19 @@ def digest(spans: Column) -> Column:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_spans")
-    base = F.filter("_spans", lambda s: s["place"] < len(BASE))
-    count = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(r.kind) for r in BASE], F.sha2(digest(base).cast("binary"), 256).alias("base_sha256"), digest(F.col("_spans")).alias("spans"))
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", "spans")
+    base = F.filter("spans", lambda s: s["place"] < len(BASE))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(r.kind) for r in BASE], F.sha2(digest(base).cast("binary"), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span in ``text`` replaced by a mark (overlapping spans by one); n_chars follows."""
-    columns = docs.columns
-    text = F.col("text").cast("string")
+    """``docs`` with every span in ``text`` replaced by a mark (overlapping spans by one); n_chars follows.
+
+    A text without a span, null included, stays as it is; rows repeat as they come; columns may have any names, as rows are
+    carried whole; an empty table stays empty.
+    """
+    text = F.col("row.text").cast("string")
 
     def step(acc, s):
         before = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
@@ -211,8 +235,9 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
         return F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), out.alias("out")))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    out = scan(docs).withColumn("text", F.when(F.size("_spans") > 0, masked).otherwise(text))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    masked = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+    found = scan(docs).select("row", "spans", F.when(F.size("spans") > 0, masked).otherwise(text).alias("masked"))
+    changed = {"text": F.col("masked")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.size("spans") > 0, F.length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return found.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

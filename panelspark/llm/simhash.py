@@ -14,8 +14,9 @@ and a covering family of that radius would need thousands of tables. There, MinH
 pairs: texts that agree on all of ``band_rows`` minima of one of ``bands`` bands meet in a bucket (0.998 of the
 pairs of similarity 0.8 do), and pairs whose signatures agree in far fewer minima than 0.8 (four standard errors)
 go no further. What is left is compared by the sets of 64-bit shingle hashes, and a pair links just if the Jaccard
-similarity of these sets reaches the bound. Within a bucket every member is first compared with one leader, a few
-rounds long; members still in different classes afterwards are compared in full.
+similarity of these sets reaches the bound. Within a bucket every member is first compared with a few leaders. Buckets
+that still hold several classes then compare their pairs if they are small; the members of larger ones are compared where
+they share rare shingles (``prefix_pairs``), which misses no pair of that similarity.
 
 Defined results: words are runs of characters other than ASCII white space, A-Z lower-cased; fewer words than a
 shingle make one shingle; null and empty texts have fingerprint zero, which links like any other (in
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialise, table
@@ -137,20 +138,56 @@ def least_agreeing(size: int, similarity: float) -> int:
     return int(size * similarity - 4 * math.sqrt(size * similarity * (1 - similarity)))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = NEAR_SHINGLE, bands: int = BANDS, band_rows: int = BAND_ROWS, leaders: int = LEADERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _with_both(pairs: DataFrame, of: DataFrame, name: str) -> DataFrame:
+    left, right = (of.select(F.col("node").alias(c), F.col(name).alias(f"{name}_{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are similar enough."""
+    shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    either = F.size("shingles_a") + F.size("shingles_b") - shared
+    return _with_both(pairs, sets, "shingles").where(shared + 1e-9 >= F.lit(float(similarity)) * either).select("a", "b")
+
+
+def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots, every pair of that similarity among them, by their rarest shingles.
+
+    ``sets``: node, root, shingles. Shingles are put in one order for all sets, rarest first. Sets that reach the bound
+    share a shingle among the first ones of both: the larger set's first (1 - s) share and the smaller one's first
+    (1 - 2s / (1 + s)) share, each and one more. Only these few are joined, each a group of sets that share a rare shingle.
+    """
+    s = float(similarity)
+    each = sets.select("node", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("n"))
+    met = each.join(often, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("n", "shingle")))
+    probe = met.where(F.col("place") <= F.col("size") - F.ceil(F.lit(s) * F.col("size") - 1e-9) + 1)
+    probe = materialise(probe.select("node", "root", "size", "shingle", "place"), "near-prefixes")
+    kept = probe.where(F.col("place") <= F.col("size") - F.ceil(F.lit(2 * s / (1 + s)) * F.col("size") - 1e-9) + 1)
+    x, y = (d.select(*[F.col(c).alias(f"{c}_{n}") for c in ("node", "root", "size", "place")], "shingle") for d, n in ((probe, "x"), (kept, "y")))
+    longer = (F.col("size_x") > F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("node_x") > F.col("node_y")))
+    needed = F.ceil(F.lit(s / (1 + s)) * (F.col("size_x") + F.col("size_y")) - 1e-9)
+    left = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) + 1  # the most that can still be shared
+    pairs = x.join(y, "shingle").where(longer & (F.col("root_x") != F.col("root_y")) & (F.col("size_y") + 1e-9 >= s * F.col("size_x")))
+    # a pair is found by its first shared shingle, after which at most ``left`` - 1 more can be shared
+    return pairs.where(left >= needed).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = NEAR_SHINGLE, bands: int = BANDS, band_rows: int = BAND_ROWS, leaders: int = LEADERS, most_pairs_in: int = MOST_PAIRS_IN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """digest (of the text), class_id, kept: one row per distinct text; of each class one text is kept.
 
     kept is the text of the class's smallest id, the digest breaking ties.
     """
     minima = bands * band_rows
-
     lists = lambda x, ends, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, kind))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sigs = [signature(np.unique(shingle_hashes(t.as_py(), words)), minima) for t in b.column(1)]
-            sigs = lists(np.concatenate([np.zeros(0, np.int32), *sigs]), np.arange(b.num_rows + 1) * minima, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), sigs], names=["node", "sig"])
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                sigs = [signature(np.unique(shingle_hashes(t.as_py(), words)), minima) for t in part.column(1)]
+                sigs = lists(np.concatenate([np.zeros(0, np.int32), *sigs]), np.arange(part.num_rows + 1) * minima, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), sigs], names=["node", "sig"])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,55 +200,56 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     digest = F.md5(text.cast("binary"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), digest.alias("digest"), F.xxhash64(digest).alias("node"), text.alias("text"))
-    firsts = materialise(texts.groupBy("digest", "node").agg(F.min("id").alias("least")), "near-texts")
-    # copies of a text have one signature, so any of them serves
-    full = texts.where(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "") != "").select("node", "text")
-    sigs = materialise(full.mapInArrow(signed, "node long, sig array<int>").dropDuplicates(["node"]), "near-signatures")
+    # copies of a text are sketched once
+    firsts = materialise(texts.groupBy("digest", "node").agg(F.min("id").alias("least"), F.first("text").alias("text")), "near-texts")
+    full = firsts.where(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "") != "").select("node", "text")
+    sigs = materialise(full.mapInArrow(signed, "node long, sig array<int>"), "near-signatures")
     band = [F.xxhash64(F.lit(i), F.slice("sig", i * band_rows + 1, band_rows)) for i in range(bands)]
     keyed = sigs.select("node", F.explode(F.array(*band)).alias("key"))
-    buckets = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
-    members = materialise(keyed.join(buckets, "key"), "near-members")
-    met = full.dropDuplicates(["node"]).join(members.select("node").distinct(), "node", "leftsemi")
-    sets = materialise(met.mapInArrow(shingled, "node long, shingles array<long>"), "near-sets")
-
-    def with_both(pairs: DataFrame, of: DataFrame, name: str) -> DataFrame:
-        left, right = (of.select(F.col("node").alias(c), F.col(name).alias(f"{name}_{c}")) for c in "ab")
-        return pairs.join(left, "a").join(right, "b")
+    # a bucket's leaders are the members that a hash for each of them ranks first, alike in all buckets
+    w = Window.partitionBy("key")
+    first = [F.min(F.struct(F.xxhash64("node", F.lit(t)).alias("h"), F.col("node").alias("b"))).over(w)["b"] for t in range(leaders)]
+    led = keyed.select("key", "node", F.count("*").over(w).alias("n"), F.array_distinct(F.array(*first)).alias("leaders"))
+    members = materialise(led.where("n > 1").select("key", "node", "leaders"), "near-members")
+    sets = materialise(full.join(members.select("node").distinct(), "node", "leftsemi").mapInArrow(shingled, "node long, shingles array<long>"), "near-sets")
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
         agreeing = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        likely = with_both(pairs, sigs, "sig").where(agreeing >= least_agreeing(minima, similarity)).select("a", "b")
-        shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
-        either = F.size("shingles_a") + F.size("shingles_b") - shared
-        return materialise(with_both(likely, sets, "shingles").where(shared + 1e-9 >= F.lit(float(similarity)) * either).select("a", "b"), tag)
-
-    # the leader of a round is the member that a hash of the round ranks first, alike in all buckets
-    links, rest = None, members.select("key", "node", F.col("node").alias("root"))
-    for turn in range(leaders + 1):
-        if turn < leaders:
-            first = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("b"), F.col("root").alias("rb")))
-            other = rest.groupBy("key").agg(first.alias("first")).select("key", "first.b", "first.rb")
-        else:
-            # whole comparison of what buckets still hold in different classes
-            other = rest.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-        found = verified(rest.join(other, "key").where("root <> rb").select(F.col("node").alias("a"), "b"), "near-links")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links, "near-classes")
-        if turn < leaders:
-            rest = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-            mixed = rest.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
-            rest = materialise(rest.join(mixed, "key"), "near-rest")
-    classed = firsts.join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("class_id"))
+        likely = _with_both(pairs, sigs, "sig").where(agreeing >= least_agreeing(minima, similarity)).select("a", "b")
+        return materialise(_similar(likely, sets, similarity), tag)
+
+    links = verified(members.select(F.col("node").alias("a"), F.explode("leaders").alias("b")), "near-links")
+    roots = components(links, "near-classes")
+    # buckets that hold several classes: few members compare their pairs, many go by their rarest shingles
+    rooted = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    held = rooted.select("*", F.count("*").over(w).alias("n"), F.min("root").over(w).alias("r1"), F.max("root").over(w).alias("r2"))
+    rest = materialise(held.where("r1 <> r2").select("key", "node", "root", "n"), "near-rest")
+    few = rest.where(F.col("n") <= most_pairs_in).groupBy("key").agg(F.collect_list(F.struct("node", "root")).alias("m"))
+    pairs = few.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where("x.node < y.node AND x.root <> y.root").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    more = verified(pairs, "near-links")
+    many = rest.where(F.col("n") > most_pairs_in).select("node", "root").distinct()
+    if not many.isEmpty():
+        own = materialise(many.join(sets, "node"), "near-many")
+        more = more.unionByName(materialise(_similar(prefix_pairs(own, similarity), sets, similarity), "near-links"))
+    if not more.isEmpty():
+        roots = components(links.unionByName(more), "near-classes")
+    classed = firsts.select("digest", "node", "least").join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("class_id"))
     best = classed.groupBy("class_id").agg(F.min(F.struct("least", "digest")).alias("best"))
-    return classed.join(best, "class_id").select("digest", "class_id", (F.col("digest") == F.col("best.digest")).alias("kept"))
+    return classed.join(best, "class_id").select("digest", "class_id", (F.col("digest") == F.col("best.digest")).alias("kept"), "least")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class of near-duplicates, with all columns; of equal texts the smallest id stays."""
-    columns = docs.columns
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("digest").alias("_digest"))
-    keyed = docs.withColumn("_digest", F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    ids = materialise(keyed.groupBy("_digest").agg(F.min("doc_id").alias("_least")).join(kept, "_digest"), "near-kept")
-    one = keyed.join(ids, (keyed["_digest"] == ids["_digest"]) & keyed["doc_id"].eqNullSafe(ids["_least"])).drop(ids["_digest"])
-    return one.dropDuplicates(["_digest"]).select(*columns)
+    """One document of each class of near-duplicates, with all columns; of equal texts the smallest id stays.
+
+    Texts that are null, empty or white space are classes by their texts alone. Of rows that share text and id one stays;
+    columns may have any names, as rows are carried whole; an empty table stays empty.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = packed.select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text"))
+    kept = near_duplicates(rows, **options).where("kept").select("digest", "least")
+    keyed = rows.select("row", "doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    one = keyed.join(materialise(kept, "near-kept"), "digest").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    # which of several rows of one text and id stays doesn't depend on their order
+    chosen = one.groupBy("digest").agg(F.min_by("row", F.to_json(F.col("row").dropFields("text"))).alias("row"))
+    return chosen.select("row.*")

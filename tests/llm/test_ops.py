@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from panelspark.llm import fingerprint, language, mixing, neighbours, pieces, queries, secrets, sharding, simhash, toxicity, url_filter
 from panelspark.llm.common import components, ranked
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, hash string, start int"
+#: Extra columns are named like those that operators make on their way.
+EXTRA = "row spans key kinds digest least same nth lo hi pass place start h bucket node _id _lo _text _key _spans _digest".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, hash string, " + ", ".join(f"{c} int" for c in EXTRA)
 LONG_TEXT = "The quick brown fox. " * 6000
 
 
@@ -26,7 +28,7 @@ def odd(spark):
         (1, "a b c d e f g h", "en", "s1"), (2, "a b c d e f g h", "en", "s1"), (2, "a b c d e f g h", "en", "s1"), (3, "", "en", None), (4, None, None, "s2"),
         (None, "orphan text without id", "de", "s2"), (5, LONG_TEXT, "en", "s1"), (6, "   \n\t ", "fr", "s3"), (7, "token = abcdefgh12 日本 ﬁ", None, ""), (8, "x", "en", "s2"), (9, "123 !!", "en", "s2"),
     ]
-    return spark.createDataFrame([(*r, None, "zz", None, 7) for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, None, "zz", None, *[7] * len(EXTRA)) for r in rows], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -100,7 +102,7 @@ def test_mixing(spark, docs, odd, none, tmp_path):
         assert all(abs(got[s] - want[s]) <= max(5, 0.01 * want[s]) for s in want), (got, want)
         again = queries.QUERIES["op4_mixing"](spark, str(tmp_path)).collect()
         assert sorted(map(str, (r.asDict() for r in again))) == sorted(map(str, out))
-        mixed = mixing.op4_stage(d)
+        mixed = mixing.mix_documents(d)
         assert mixed.columns == d.columns
         assert mixed.select(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).head()[0] == sum(got.values())
     assert mixing.mix(none)[0].count() == 0
@@ -262,8 +264,8 @@ def test_secrets(spark, docs, odd, none, tmp_path):
             assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest(), (text[r.doc_id], r.spans, base)
             assert (r.n_assign, r.n_access, r.n_hex) == tuple(len(re.findall(k, base)) for k in ("assign", "access", "hex"))
             assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
-    wide = secrets.scan(tricky, few=0).select("doc_id", secrets.digest(F.col("_spans")).alias("s"))
-    assert rows(wide, "doc_id", "s") == rows(secrets.scan(tricky).select("doc_id", secrets.digest(F.col("_spans")).alias("s")), "doc_id", "s")
+    wide = secrets.scan(tricky, few=0).select("row.doc_id", secrets.digest(F.col("spans")).alias("s"))
+    assert rows(wide, "doc_id", "s") == rows(secrets.scan(tricky).select("row.doc_id", secrets.digest(F.col("spans")).alias("s")), "doc_id", "s")
     kinds = {k.split(":")[0] for r in wide.collect() for k in r.s.split(",") if k}
     assert {"github", "pem", "login"} <= kinds
     masked = {r.doc_id: r.text for r in secrets.mask_secrets(tricky).collect()}
