@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -9,39 +11,55 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 LOW, HIGH, HALVINGS = 1e-4, 5.0, 60
-# The rational approximation of the complementary error function (|error| < 1.2e-7).
-ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+_erfc = np.frompyfunc(math.erfc, 1, 1)
 
 
 def normal_cdf(x: np.ndarray) -> np.ndarray:
-    z = np.abs(x) / np.sqrt(2)
-    t = 1 / (1 + z / 2)
-    e = t * np.exp(-z * z + np.polynomial.polynomial.polyval(t, ERFC))
-    return np.where(x >= 0, 1 - e / 2, e / 2)
+    return 0.5 * _erfc(-np.asarray(x, float) / math.sqrt(2)).astype(float)
 
 
-def price(spot, strike, t, vol, call) -> np.ndarray:
+def price(spot, strike, t, vol, call, rate: float = 0.0) -> np.ndarray:
+    """The price; without time or volatility left it is the intrinsic value."""
     with np.errstate(divide="ignore", invalid="ignore"):
         s = vol * np.sqrt(t)
-        d1 = np.log(spot / strike) / s + s / 2
-        c = spot * normal_cdf(d1) - strike * normal_cdf(d1 - s)
-    return np.where(call, c, c - spot + strike)
+        d1 = (np.log(spot / strike) + rate * t) / s + s / 2
+        due = strike * np.exp(-rate * t)
+        a, b = normal_cdf(d1), normal_cdf(d1 - s)
+        value = np.where(call, spot * a - due * b, due * (1 - b) - spot * (1 - a))
+    intrinsic = np.where(call, np.maximum(spot - strike, 0), np.maximum(strike - spot, 0))
+    return np.where((np.asarray(t) > 0) & (np.asarray(vol) > 0), value, intrinsic)
 
 
 @F.pandas_udf(DoubleType())
 def _implied(premium: pd.Series, spot: pd.Series, strike: pd.Series, t: pd.Series, call: pd.Series) -> pd.Series:
     p, s, k, y, c = (x.to_numpy(float) for x in (premium, spot, strike, t, call))
-    c = c > 0.5
-    ok = (p > 0) & (s > 0) & (k > 0) & (y > 0) & (p >= np.where(c, np.maximum(s - k, 0), np.maximum(k - s, 0)))
-    low, high = np.full(len(p), LOW), np.full(len(p), HIGH)
-    ok &= (price(s, k, y, low, c) <= p) & (price(s, k, y, high, c) >= p)
+    c, out = c > 0.5, np.full(len(p), np.nan)
+    with np.errstate(invalid="ignore"):
+        ok = (p > 0) & (s > 0) & (k > 0) & (y > 0) & (p >= np.where(c, np.maximum(s - k, 0), np.maximum(k - s, 0)))
+    at = np.flatnonzero(ok)
+    p, s, k, y, c = p[at], s[at], k[at], y[at], c[at]
+    low, high = np.full(len(at), LOW), np.full(len(at), HIGH)
+    inside = (price(s, k, y, low, c) <= p) & (price(s, k, y, high, c) >= p)
     for _ in range(HALVINGS):
         mid = (low + high) / 2
         below = price(s, k, y, mid, c) < p
         low, high = np.where(below, mid, low), np.where(below, high, mid)
-    return pd.Series(np.where(ok, (low + high) / 2, np.nan)).where(ok, None)
+    out[at[inside]] = ((low + high) / 2)[inside]
+    return pd.Series(out).where(~np.isnan(out), None)
+
+
+@F.pandas_udf(DoubleType())
+def _price(spot: pd.Series, strike: pd.Series, t: pd.Series, vol: pd.Series, call: pd.Series) -> pd.Series:
+    s, k, y, v, c = (x.to_numpy(float) for x in (spot, strike, t, vol, call))
+    out = price(s, k, y, v, c > 0.5)
+    return pd.Series(out).where(~np.isnan(out), None)
 
 
 def implied_volatility(premium: Column, spot: Column, strike: Column, t: Column, is_call: Column) -> Column:
     """The volatility at which the price is the premium; null where none in [1e-4, 5] is."""
-    return _implied(premium.cast("double"), spot.cast("double"), strike.cast("double"), t.cast("double"), is_call.cast("double"))
+    return _implied(*[c.cast("double") for c in (premium, spot, strike, t, is_call)])
+
+
+def option_price(spot: Column, strike: Column, t: Column, volatility: Column, is_call: Column) -> Column:
+    """The Black-Scholes price at rate 0."""
+    return _price(*[c.cast("double") for c in (spot, strike, t, volatility, is_call)])

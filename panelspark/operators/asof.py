@@ -12,36 +12,55 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.numbers import number
+from panelspark.operators.staging import materialise
 
-def asof_backward(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str, values: Sequence[str], strict: bool = False, max_lag_days: int | None = None, bucket_days: int = 90) -> DataFrame:
+
+def asof_backward(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str, values: Sequence[str], strict: bool | Column = False, max_lag_days: int | None = None, bucket_days: int = 90) -> DataFrame:
     """``left`` with ``values`` of the latest ``right`` row at or before (``strict``: before) its time, or nulls.
 
-    Both sides are united and sorted once; work is linear in their rows. Of right rows with one key and time the
-    one with the largest values counts.
+    ``strict`` may be a condition on the left row. Both sides are united, written once and sorted inside (key, time
+    bucket); work is linear in their rows. Of right rows with one key and time the one with the largest values counts.
     """
     bucket = lambda ts: F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / (86400 * bucket_days))
-    payload = F.struct(F.col(right_ts).alias("_at"), *values)
-    r = right.where(F.col(right_ts).isNotNull()).groupBy(*on, right_ts).agg(F.max(F.struct(*values)).alias("_v")).select(*on, right_ts, "_v.*")
-    r = r.select(*on, F.col(right_ts).alias("_ts"), bucket(right_ts).alias("_b"), F.lit(1 if strict else 0).alias("_side"), payload.alias("_p"), F.lit(None).cast(left.schema).alias("_row"))
-    l_ = left.select(*on, F.col(left_ts).alias("_ts"), bucket(left_ts).alias("_b"), F.lit(0 if strict else 1).alias("_side"), F.lit(None).cast(r.schema["_p"].dataType).alias("_p"), F.struct(*left.columns).alias("_row"))
-    inside = Window.partitionBy(*on, "_b").orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = r.unionByName(l_).withColumn("_found", F.last("_p", ignorenulls=True).over(inside)).where(F.col("_row").isNotNull())
-    # the last right row of each bucket, carried over buckets without one
-    ends = r.groupBy(*on, "_b").agg(F.max_by("_p", "_ts").alias("_end"))
-    asked = both.select(*on, "_b").distinct().join(ends, [*on, "_b"], "full")
+    one = right.where(F.col(right_ts).isNotNull()).groupBy(*on, right_ts).agg(F.max(F.struct(*values)).alias("_v"))
+    r = one.select(*on, F.col(right_ts).alias("_ts"), bucket(right_ts).alias("_b"), F.lit(1).alias("_side"), F.struct(F.col(right_ts).alias("_at"), "_v.*").alias("_p"), F.lit(None).cast(left.schema).alias("_row"))
+    before = strict if isinstance(strict, Column) else F.lit(strict)
+    side = F.when(F.coalesce(before, F.lit(True)), 0).otherwise(2)
+    l_ = left.select(*on, F.col(left_ts).alias("_ts"), bucket(left_ts).alias("_b"), side.alias("_side"), F.lit(None).cast(r.schema["_p"].dataType).alias("_p"), F.struct(*left.columns).alias("_row"))
+    both = materialise(r.unionByName(l_), "asof")
+    # what each bucket hands on is its last right row; a bucket without one hands on what it got
     earlier = Window.partitionBy(*on).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = asked.select(*on, "_b", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
-    out = both.join(carried, [*on, "_b"], "left").withColumn("_hit", F.coalesce("_found", "_carried"))
+    ends = both.groupBy(*on, "_b").agg(F.max_by("_p", F.when(F.col("_side") == 1, F.col("_ts"))).alias("_end"))
+    carried = ends.select(*on, "_b", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    inside = Window.partitionBy(*on, "_b").orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_found", F.last("_p", ignorenulls=True).over(inside)).where(F.col("_row").isNotNull())
+    out = found.join(carried, [*on, "_b"], "left").withColumn("_hit", F.coalesce("_found", "_carried"))
     if max_lag_days is not None:
         out = out.withColumn("_hit", F.when(F.datediff("_ts", "_hit._at") <= max_lag_days, F.col("_hit")))
     return out.select("_row.*", *[F.col(f"_hit.{v}").alias(v) for v in values], F.col("_hit._at").alias(f"matched_{right_ts}"))
 
 
-def gated_latest(left: DataFrame, right: DataFrame, on: Sequence[str], key: str, gate: Column, order: Sequence[Column], values: Sequence[str]) -> DataFrame:
-    """For each left row the first right row by ``order`` among those that pass ``gate``; left rows without one stay."""
-    met = left.join(right, list(on), "left").withColumn("_ok", F.coalesce(gate, F.lit(False)))
-    n = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_ok"), *order))
-    return met.withColumn("_n", n).where("_n = 1").select(*left.columns, *[F.when(F.col("_ok"), F.col(v)).alias(v) for v in values])
+def gated_latest(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, accepted: str, filed: str, order: Sequence[str], value: str) -> DataFrame:
+    """Adds latest and previous: the last two values that were known at the left row's time, and known_at of the latest.
+
+    A right row with an ``accepted`` instant is known from then on; one without is known from the day after its ``filed``
+    date, so a row filed on the same day isn't. Rows come in the order of acceptance (or of the filed date), then of
+    ``order``. Two as-of joins, one for each kind of row, bring two candidates each; no event meets all rows of its key.
+    """
+    rows = right.where(F.col(value).isNotNull()).withColumn("_sort", F.coalesce(F.col(accepted), F.col(filed).cast("timestamp")))
+    out, n = left, 0
+    for test, known in ((F.col(accepted).isNotNull(), F.col(accepted)), (F.col(accepted).isNull(), F.date_add(filed, 1).cast("timestamp"))):
+        item = F.struct("_sort", *order, F.col(value).alias("_value"))
+        w = Window.partitionBy(*on).orderBy("_sort", *order, value)
+        states = rows.where(test).select(*on, known.alias("_known"), item.alias("_now"), F.lag(item).over(w).alias("_last"))
+        # rows known at one instant: the last of them in the order, with the one before
+        out = asof_backward(out, states, on, left_ts, "_known", ["_now", "_last"]).drop("matched__known")
+        out = out.withColumnsRenamed({"_now": f"_now{n}", "_last": f"_last{n}"})
+        n += 1
+    best = F.reverse(F.array_sort(F.array_compact(F.array("_now0", "_last0", "_now1", "_last1"))))
+    out = out.withColumn("_best", best)
+    return out.select(*left.columns, F.get("_best", F.lit(0))["_value"].alias("latest"), F.get("_best", F.lit(1))["_value"].alias("previous"), F.get("_best", F.lit(0))["_sort"].alias("known_at"))
 
 
 def window_requests(events: DataFrame, key: str, windows: dict[str, tuple[Column, Column]], keep: Sequence[str]) -> DataFrame:
@@ -50,7 +69,7 @@ def window_requests(events: DataFrame, key: str, windows: dict[str, tuple[Column
     return events.select(key, *keep, F.inline(made))
 
 
-def _met(ticks: DataFrame, requests: DataFrame, on: Sequence[str], ts: str, closed_end: bool) -> DataFrame:
+def within_windows(ticks: DataFrame, requests: DataFrame, on: Sequence[str], ts: str, closed_end: bool = True) -> DataFrame:
     """Ticks within requests. Both sides are cut into hours, so a busy key is many small join keys."""
     hour = lambda c: F.floor(F.unix_timestamp(c) / 3600)
     asked = requests.withColumn("_h", F.explode(F.sequence(hour("start_ts"), hour("end_ts"))))
@@ -61,16 +80,39 @@ def _met(ticks: DataFrame, requests: DataFrame, on: Sequence[str], ts: str, clos
 
 def interval_latest(ticks: DataFrame, requests: DataFrame, on: Sequence[str], ts: str, value: str, valid: Column, ids: Sequence[str], tie: str, stale_seconds: int = 60) -> DataFrame:
     """Per request: ticks, valid ticks, the last valid one with its age at the end, and a status."""
-    found = _met(ticks, requests, on, ts, True).groupBy(*ids).agg(F.count("*").alias("tick_count"), F.count_if(valid).alias("valid_count"), F.max_by(value, F.when(valid, F.struct(ts, tie))).alias("mark"), F.max(F.when(valid, F.col(ts))).alias("mark_ts"))
+    found = within_windows(ticks, requests, on, ts, True).groupBy(*ids).agg(F.count("*").alias("tick_count"), F.count_if(valid).alias("valid_count"), F.max_by(value, F.when(valid, F.struct(ts, tie))).alias("mark"), F.max(F.when(valid, F.col(ts))).alias("mark_ts"))
     out = requests.join(found, list(ids), "left")
     age = F.unix_timestamp("end_ts") - F.unix_timestamp("mark_ts")
     status = F.when(F.col("tick_count").isNull(), "missing").when(F.col("valid_count") == 0, "invalid").when(age > stale_seconds, "stale").otherwise("ok")
     return out.select(*requests.columns, F.coalesce("tick_count", F.lit(0)).alias("tick_count"), F.coalesce("valid_count", F.lit(0)).alias("valid_count"), "mark", "mark_ts", age.alias("age_seconds"), status.alias("status"))
 
 
-def interval_vwap(ticks: DataFrame, requests: DataFrame, on: Sequence[str], ts: str, price: str, volume: str, ids: Sequence[str], closed_end: bool = True) -> DataFrame:
-    """Per request the volume-weighted mean price of its ticks with positive price and volume."""
-    p, v = F.col(price), F.col(volume)
-    found = _met(ticks.where((p > 0) & (v > 0)), requests, on, ts, closed_end).groupBy(*ids).agg((F.sum(p * v) / F.sum(v)).alias("vwap"), F.max(ts).alias("last_ts"), F.sum(v).alias("volume"), F.count("*").alias("rows"))
+def interval_vwap(ticks: DataFrame, requests: DataFrame, on: Sequence[str], ts: str, price: str, volume: str, ids: Sequence[str], closed_end: bool = True, transactions: str | None = None) -> DataFrame:
+    """Per request the volume-weighted mean price of its ticks with positive price and volume, and how old the last is at the end.
+
+    A window that doesn't end after it starts is an error.
+    """
+    kept = ticks.select(*on, ts, number(price).alias("_p"), number(volume).alias("_v"), *([transactions] if transactions else [])).where("_p > 0 AND _v > 0")
+    n = F.sum(F.coalesce(F.col(transactions), F.lit(0))) if transactions else F.lit(0)
+    found = within_windows(kept, requests, on, ts, closed_end).groupBy(*ids).agg((F.sum(F.col("_p") * F.col("_v")) / F.sum("_v")).alias("vwap"), F.max(ts).alias("last_ts"), F.sum("_v").cast("long").alias("volume"), n.cast("long").alias("transactions"), F.count("*").alias("rows"))
+    sound = F.when(F.col("end_ts") > F.col("start_ts"), F.col("end_ts")).when(F.col("end_ts").isNotNull() & F.col("start_ts").isNotNull(), F.raise_error(F.lit("a window must end after its start")).cast("timestamp"))
+    out = requests.withColumn("end_ts", sound).join(found, list(ids), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    age = (F.unix_micros("end_ts") - F.unix_micros("last_ts")) / 1e6
+    return out.select(*requests.columns, "vwap", "last_ts", age.alias("age_seconds"), zero("volume"), zero("transactions"), zero("rows"), F.when(F.col("rows") > 0, "ok").otherwise("no_trade_in_cutoff_window").alias("status"))
+
+
+def first_last(ticks: DataFrame, requests: DataFrame, on: Sequence[str], ts: str, price: str, volume: str, ids: Sequence[str], transactions: str | None = None) -> DataFrame:
+    """Per request the first and last price inside it, the return between them, and sums of volume and transactions."""
+    rows = within_windows(ticks.withColumn("_p", number(price)).where("_p > 0"), requests, on, ts)
+    n = F.sum(F.coalesce(F.col(transactions), F.lit(0))) if transactions else F.lit(0)
+    found = rows.groupBy(*ids).agg(F.min_by("_p", ts).alias("first_close"), F.max_by("_p", ts).alias("last_close"), F.max(ts).alias("last_ts"), F.sum(F.coalesce(number(volume), F.lit(0.0))).alias("volume"), n.cast("long").alias("transactions"), F.count("*").alias("rows"))
     out = requests.join(found, list(ids), "left")
-    return out.select(*requests.columns, "vwap", "last_ts", F.coalesce("volume", F.lit(0)).alias("volume"), F.coalesce("rows", F.lit(0)).alias("rows"), F.when(F.col("rows") > 0, "ok").otherwise("missing").alias("status"))
+    return out.withColumns({"window_return": F.col("last_close") / F.col("first_close") - 1, "status": F.when(F.col("rows") > 0, "ok").otherwise("missing")})
+
+
+def before_cutoff(bars: DataFrame, cutoffs: DataFrame, on: Sequence[str], ts: str, cutoff: str, buffer_minutes: int) -> DataFrame:
+    """Bars from ``buffer_minutes`` before their cutoff up to it, both ends included."""
+    start = F.col(cutoff) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(buffer_minutes))
+    asked = cutoffs.select(*on, F.col(cutoff), start.alias("start_ts"), F.col(cutoff).alias("end_ts"))
+    return within_windows(bars, asked, on, ts).drop("start_ts", "end_ts", "_h")

@@ -49,16 +49,36 @@ def trading_days(spark: SparkSession, start: str, end: str) -> DataFrame:
     return days.select("date", "is_trading_day", "close_minutes", F.last(own, True).over(past).alias("prev_day"), F.first(own, True).over(future).alias("next_day"), index.cast("int").alias("index"))
 
 
-def align_events(events: DataFrame, days: DataFrame, date: str, timing: str) -> DataFrame:
-    """Entry and exit dates: after the close the event falls between its day and the next, before the open between the day before and its own."""
+def align_events(events: DataFrame, days: DataFrame, date: str, timing: str, source_timing: str | None = None, bars: DataFrame | None = None, ticker: str = "ticker") -> DataFrame:
+    """Entry and exit dates: after the close the event falls between its day and the next, before the open between the day before and its own.
+
+    exclusion_reason is the first of: the source's own timing (``source_timing``) speaks against the calendar's or for midday, the
+    day isn't a trading day, the timing isn't known, a date lies outside the calendar, or (with ``bars``: ticker, date) one of
+    the two days has no bar.
+    """
     cal = days.select(F.col("date").alias(date), "is_trading_day", "prev_day", "next_day")
-    out = events.join(F.broadcast(cal), date, "left")
+    out = events.join(F.broadcast(cal), date, "left")  # a row a day
     amc, bmo, trading = F.col(timing) == "AMC", F.col(timing) == "BMO", F.coalesce("is_trading_day", F.lit(False))
-    reason = F.when(~F.coalesce(amc | bmo, F.lit(False)), "non_bmo_amc").when(~trading, "announcement_date_not_trading_day").when(F.when(amc, F.col("next_day")).otherwise(F.col("prev_day")).isNull(), "missing_entry_or_exit_date")
+    told = F.col(source_timing) if source_timing else F.lit(None).cast("string")
+    mismatch = F.coalesce((told == "DMH") | (told.isin("BMO", "AMC") & (amc | bmo) & (told != F.col(timing))), F.lit(False))
+    reason = F.when(mismatch, "source_timestamp_timing_mismatch").when(~F.coalesce(amc | bmo, F.lit(False)), "non_bmo_amc").when(~trading, "announcement_date_not_trading_day").when(F.when(amc, F.col("next_day")).otherwise(F.col("prev_day")).isNull(), "missing_entry_or_exit_date")
     ok = reason.isNull()
     entry = F.when(ok, F.when(amc, F.col(date)).otherwise(F.col("prev_day")))
     exit_ = F.when(ok, F.when(amc, F.col("next_day")).otherwise(F.col(date)))
-    return out.select(*events.columns, entry.alias("entry_date"), exit_.alias("exit_date"), reason.alias("exclusion_reason"))
+    out = out.select(*events.columns, entry.alias("entry_date"), exit_.alias("exit_date"), reason.alias("exclusion_reason"))
+    if bars is None:
+        return out
+    for side in ("entry_date", "exit_date"):
+        have = bars.select(ticker, F.col("date").alias(side)).distinct().withColumn(f"_{side}", F.lit(True))
+        out = out.join(have, [ticker, side], "left")
+    missing = F.col("exclusion_reason").isNull() & (F.col("_entry_date").isNull() | F.col("_exit_date").isNull())
+    return out.withColumn("exclusion_reason", F.when(missing, "missing_underlying_entry_or_exit_bar").otherwise(F.col("exclusion_reason"))).select(*events.columns, "entry_date", "exit_date", "exclusion_reason")
+
+
+def nearest_days(days: DataFrame) -> DataFrame:
+    """Each date's trading days around it: prev_day and next_day (strictly), on_or_before and on_or_after."""
+    own = F.when(F.col("is_trading_day"), F.col("date"))
+    return days.select("date", "prev_day", "next_day", F.coalesce(own, F.col("prev_day")).alias("on_or_before"), F.coalesce(own, F.col("next_day")).alias("on_or_after"))
 
 
 def sequence_plan(events: DataFrame, dates: DataFrame, entry: str, date: str, steps: int = 20) -> DataFrame:
@@ -86,6 +106,21 @@ def sequence_coverage(steps: DataFrame, key: str, valid: str, length: int = 20,
     return out.withColumn("eligible", (F.col("valid_days") >= least) & (F.col("latest5_days") >= 1))
 
 
+def coverage_by_event(steps: DataFrame, key: str, length: int = 20, least: int = 12, thresholds: tuple[int, ...] = (8, 12, 16, 20)) -> DataFrame:
+    """Per event: steps, valid ones, those among the latest five, days without a price or without options, and why it isn't eligible.
+
+    ``steps``: seq_index, source_date, is_valid_sequence_day, has_underlying_close, missing_options.
+    """
+    ok = F.coalesce(F.col("is_valid_sequence_day"), F.lit(False))
+    out = steps.groupBy(key).agg(
+        F.count("source_date").alias("sequence_days"), F.count_if(ok).alias("valid_days"), F.count_if(ok & (F.col("seq_index") >= length - 5)).alias("latest5_days"), F.count_if(~F.coalesce(F.col("has_underlying_close"), F.lit(False))).alias("missing_underlying_days"),
+        F.count_if(F.coalesce(F.col("missing_options"), F.lit(False))).alias("missing_options_days"), F.max("source_date").alias("max_source_date"),
+    )
+    recent = F.col("latest5_days") >= 1
+    out = out.withColumns({"eligible": (F.col("valid_days") >= least) & recent} | {f"eligible_min_{t}_days": (F.col("valid_days") >= t) & recent for t in thresholds})
+    return out.withColumn("eligibility_reason", F.when(F.col("eligible"), "eligible").when(F.col("valid_days") < least, "insufficient_valid_sequence_days").otherwise("insufficient_latest_5_call_put_pairs"))
+
+
 def coverage_report(coverage: DataFrame, thresholds: tuple[int, ...] = (8, 12, 16, 20), risk: float = 0.1) -> DataFrame:
     """One row: events, how many reach each number of valid steps, the share dropped, and whether that is a risk."""
     at = [F.count_if(F.col("valid_days") >= t).alias(f"at_least_{t}") for t in thresholds]

@@ -1,4 +1,4 @@
-"""From bars and contracts to the event panel: liquidity universes, targets, contract selection, event variance."""
+"""From bars to the event panel: tickers, liquidity universes, targets, pairs at the money and histories."""
 
 from __future__ import annotations
 
@@ -7,6 +7,69 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.numbers import number, positive
+from panelspark.operators.asof import asof_backward
+
+
+# Where common equities trade, and words of funds' names.
+EXCHANGES, FUND_WORDS = ("nasdaq", "nyse", "nyse american", "nyse arca"), (" etf", " fund", " trust", " etn", " index")
+
+
+def eligible_equities(listings: DataFrame) -> DataFrame:
+    """ticker, exchange, eligible and filter_reason of listings (ticker, name, exchange): no other exchange, no fund by its name."""
+    name = F.concat(F.lit(" "), F.lower(F.coalesce(F.col("name").cast("string"), F.lit(""))))
+    exchange = F.lower(F.trim(F.coalesce("exchange", F.lit(""))))
+    odd = (exchange != "") & ~exchange.isin(*EXCHANGES)
+    fund = F.greatest(*[F.contains(name, F.lit(w)) for w in FUND_WORDS])
+    reason = F.when(odd, "unsupported_exchange").when(fund, "fund_or_index_like_name").otherwise("eligible_common_equity")
+    out = listings.select(F.upper(F.trim("ticker")).alias("ticker"), F.nullif(F.upper(exchange), F.lit("")).alias("exchange"), reason.alias("filter_reason")).where("ticker <> ''")
+    return out.withColumn("eligible", F.col("filter_reason") == "eligible_common_equity")
+
+
+def ticker_mapping(requested: DataFrame, available: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """ticker, mapped_ticker, mapping_status and candidates of requested tickers: the one of itself and its aliases that is available.
+
+    ``aliases``: ticker, alias. Two that are available are ambiguous.
+    """
+    asked = requested.select(F.upper("ticker").alias("ticker")).distinct()
+    every = asked.select("ticker", F.col("ticker").alias("candidate"))
+    if aliases is not None:
+        every = every.unionByName(aliases.select(F.upper("ticker").alias("ticker"), F.upper("alias").alias("candidate")).join(asked, "ticker", "left_semi"))
+    known = available.select(F.upper("ticker").alias("candidate")).distinct().withColumn("_known", F.lit(True))
+    found = every.distinct().join(known, "candidate", "left").groupBy("ticker").agg(F.count("_known").alias("n"), F.min(F.when(F.col("_known"), F.col("candidate"))).alias("one"), F.array_join(F.sort_array(F.collect_set("candidate")), ",").alias("candidate_tickers"))
+    return found.select("ticker", F.when(F.col("n") == 1, F.col("one")).alias("mapped_ticker"), F.when(F.col("n") == 1, "ok").when(F.col("n") > 1, "ticker_mapping_ambiguous").otherwise("ticker_not_found").alias("mapping_status"), "candidate_tickers")
+
+
+def mean_volume_universe(rows: DataFrame, ticker: str, volume: str, top_n: int) -> DataFrame:
+    """The ``top_n`` tickers by mean volume with their rank; ties go to the ticker that sorts last."""
+    means = rows.groupBy(F.col(ticker).alias("ticker")).agg(F.avg(F.coalesce(number(volume), F.lit(0.0))).alias("mean_volume"))
+    top = means.orderBy(F.desc("mean_volume"), F.desc("ticker")).limit(top_n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_volume"), F.desc("ticker"))))  # top_n rows
+
+
+def universe_membership(events: DataFrame, universe: DataFrame, ticker: str, date: str) -> DataFrame:
+    """Events with the rank of their ticker in the latest universe of their month or before, and why they have none."""
+    month = events.withColumn("_month", F.trunc(date, "MM"))
+    out = asof_backward(month, universe.select(ticker, "universe_month", "rank"), [ticker], "_month", "universe_month", ["rank"])
+    status = F.when(F.col("_month").isNull(), "bad_event_month").when(F.col("matched_universe_month").isNull(), "no_universe_membership").otherwise("in_universe")
+    return out.withColumn("universe_filter_status", status).withColumnsRenamed({"rank": "universe_rank", "matched_universe_month": "universe_month"}).drop("_month")
+
+
+def halted(bars: DataFrame, vendor_flag: str | None = None) -> Column:
+    """The reason to think that trading was halted, or null: the vendor says so, or nothing was traded at one price."""
+    told = F.col(vendor_flag).cast("boolean") if vendor_flag and vendor_flag in bars.columns else F.lit(False)
+    still = (F.col("volume") == 0) & (F.col("open") == F.col("high")) & (F.col("open") == F.col("low")) & (F.col("open") == F.col("close"))
+    return F.when(told, "vendor_halt_flag").when(still, "proxy_zero_volume_unchanged_ohlc")
+
+
+def telemetry_bucket(date: Column) -> Column:
+    return F.when(date.between(F.lit("2020-01-01").cast("date"), F.lit("2020-09-30").cast("date")), "covid_shock").otherwise("steady_proxy")
+
+
+TARGETS = ("day", "jump", "reaction")
+# The names of targets.
+TARGET_IDS = {"day": "day_c2c", "jump": "jump_c2o", "reaction": "reaction_o2c"}
+
 
 def month_liquidity(bars: DataFrame, ticker: str, date: str, price: Column, volume: Column, multiplier: float = 100.0) -> DataFrame:
     """month, ticker, liquidity (sum of price x volume x multiplier) and rows. Partial sums come before the shuffle."""
@@ -28,17 +91,24 @@ def trailing_universe(liquidity: DataFrame, trailing_months: int, top_n: int) ->
 
 
 def return_targets(windows: DataFrame, bars: DataFrame, ticker: str, floor: float = 1e-6) -> DataFrame:
-    """Adds the log returns close-to-close, close-to-open and open-to-close of each window, their squares and identities.
+    """Adds the log returns close-to-close, close-to-open and open-to-close of each window, their squares, identities and shares.
 
-    ``bars``: ticker, date, open, close. Windows without positive prices keep their row with nulls.
+    ``bars``: ticker, date, open, close and, if known, volume. A price that isn't a finite number above zero is missing. A
+    window with an exclusion_reason keeps its row, without targets.
     """
-    ok = lambda c: F.when(F.col(c) > 0, F.col(c))
-    entry = bars.select(ticker, F.col("date").alias("entry_date"), ok("close").alias("close_before"))
-    exit_ = bars.select(ticker, F.col("date").alias("exit_date"), ok("open").alias("open_after"), ok("close").alias("close_after"))
+    has_volume = F.coalesce(number("volume") > 0, F.lit(False)) if "volume" in bars.columns else F.lit(False)
+    entry = bars.select(ticker, F.col("date").alias("entry_date"), positive("close").alias("close_before"))
+    exit_ = bars.select(ticker, F.col("date").alias("exit_date"), positive("open").alias("open_after"), positive("close").alias("close_after"), has_volume.alias("open_after_volume_available"))
     out = windows.join(entry, [ticker, "entry_date"], "left").join(exit_, [ticker, "exit_date"], "left")
+    if "exclusion_reason" in windows.columns:
+        kept = F.coalesce(F.col("exclusion_reason"), F.lit("")) == ""
+        out = out.withColumns({c: F.when(kept, F.col(c)) for c in ("close_before", "open_after", "close_after", "open_after_volume_available")})
     out = out.withColumns({"r_day": F.ln(F.col("close_after") / F.col("close_before")), "r_jump": F.ln(F.col("open_after") / F.col("close_before")), "r_reaction": F.ln(F.col("close_after") / F.col("open_after"))})
-    out = out.withColumns({f"rvar_{k}": F.pow(f"r_{k}", F.lit(2.0)) for k in ("day", "jump", "reaction")} | {"cross_term": 2 * F.col("r_jump") * F.col("r_reaction")})
-    return out.withColumns({"residual": F.col("rvar_day") - F.col("rvar_jump") - F.col("rvar_reaction") - F.col("cross_term"), "rvar_floored": F.greatest("rvar_day", F.lit(floor))})
+    out = out.withColumns({f"rvar_{k}": F.col(f"r_{k}") * F.col(f"r_{k}") for k in ("day", "jump", "reaction")} | {"cross_term": 2 * F.col("r_jump") * F.col("r_reaction")})
+    out = out.withColumns({"rvar_reconstructed": F.col("rvar_jump") + F.col("rvar_reaction") + F.col("cross_term"), "residual": F.col("r_day") - F.col("r_jump") - F.col("r_reaction")})
+    out = out.withColumns({"cross_term_share_raw": F.abs("cross_term") / F.nullif(F.col("rvar_reconstructed"), F.lit(0.0)), "cross_term_share_floored": F.abs("cross_term") / F.greatest(F.abs("rvar_reconstructed"), F.lit(floor))})
+    known = F.col("open_after").isNotNull()
+    return out.withColumns({"s_before": F.col("close_before"), "s_after": F.col("close_after"), "rvar_event": F.col("rvar_day"), "open_after_status": F.when(known, "vendor_regular_ohlc_assumed").otherwise("unavailable"), "open_after_source": F.when(known, "underlying_day_aggs_open"), "open_after_volume_available": F.coalesce("open_after_volume_available", F.lit(False))})
 
 
 def targets_long(targets: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -46,11 +116,11 @@ def targets_long(targets: DataFrame, keep: Sequence[str]) -> DataFrame:
     return targets.unpivot(list(keep), ["rvar_day", "rvar_jump", "rvar_reaction"], "target_id", "rvar").where("rvar IS NOT NULL")
 
 
-def contract_status(contracts: DataFrame, dte_min: int = 5, dte_max: int = 14) -> DataFrame:
-    """Adds dte and the first failing test: missing, non_standard, outside_dte, not_covering, or ok."""
-    dte = F.datediff("expiration", "entry_date")
-    status = F.when(F.col("options_ticker").isNull(), "missing").when(~F.coalesce(F.col("standard"), F.lit(False)), "non_standard").when(~dte.between(dte_min, dte_max), "outside_dte").when(F.col("expiration") < F.col("exit_date"), "not_covering").otherwise("ok")
-    return contracts.withColumn("dte", dte).withColumn("status", status)
+def target_frames(panel: DataFrame, ivar: str = "ivar_event") -> DataFrame:
+    """The panel once for each target, with its variance as rvar_event and its realised edge over the implied variance."""
+    each = F.inline(F.array(*[F.struct(F.lit(TARGET_IDS[t]).alias("target_id"), number(f"rvar_{t}").alias("_rvar")) for t in TARGETS]))
+    out = panel.select("*", each).withColumn("rvar_event", F.col("_rvar")).drop("_rvar")
+    return out.withColumn("edge_var_realized", F.col("rvar_event") - number(ivar))
 
 
 def pair_at_the_money(quotes: DataFrame, by: Sequence[str], spot: str) -> DataFrame:
@@ -65,42 +135,6 @@ def pair_at_the_money(quotes: DataFrame, by: Sequence[str], spot: str) -> DataFr
     return pairs.withColumn("_n", best).where("_n = 1").select(*by, "strike", "spot", "moneyness", "call_price", "put_price", (F.col("call_price") + F.col("put_price")).alias("premium"), ((F.col("_ci") + F.col("_pi")) / 2).alias("iv"), "volume")
 
 
-def two_expiry_variance(points: DataFrame, event: str, dte: str = "dte", iv: str = "iv") -> DataFrame:
-    """Per event the variance implied for it by its first two covering expiries, or the reason there is none.
-
-    w = iv^2 t with t = dte / 365; event variance = (t2 w1 - t1 w2) / (t2 - t1).
-    """
-    good = points.where((F.col(dte) > 0) & (F.col(iv) > 0))
-    n = F.row_number().over(Window.partitionBy(event).orderBy(dte, F.col(iv)))
-    one = good.groupBy(event, dte).agg(F.avg(iv).alias(iv)).withColumn("_n", n).where("_n <= 2")
-    at = lambda i, c: F.max(F.when(F.col("_n") == i, F.col(c)))
-    two = one.groupBy(event).agg((at(1, dte) / 365.0).alias("t1"), (at(2, dte) / 365.0).alias("t2"), at(1, iv).alias("iv1"), at(2, iv).alias("iv2"))
-    w1, w2 = F.pow("iv1", F.lit(2.0)) * F.col("t1"), F.pow("iv2", F.lit(2.0)) * F.col("t2")
-    v = (F.col("t2") * w1 - F.col("t1") * w2) / (F.col("t2") - F.col("t1"))
-    code = F.when(F.col("t2").isNull(), "missing_second_expiry").when(w2 < w1, "nonmonotone_total_variance").when(v < 0, "negative_event_variance").otherwise("ok")
-    every = points.select(event).distinct().join(two, event, "left")
-    return every.select(event, "t1", "t2", "iv1", "iv2", F.when(F.col("t1").isNull(), "missing_first_expiry").otherwise(code).alias("status"), F.when(code == "ok", v).alias("event_variance"))
-
-
-def strict_prior_history(events: DataFrame, ticker: str, ts: str, value: str) -> DataFrame:
-    """Adds statistics of the ticker's earlier events; events at one instant never see each other (RANGE, not ROWS)."""
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(ticker).orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
-    v = F.col(value)
-    return events.withColumns({
-        "prior_count": F.count(v).over(w), "prior_mean": F.avg(v).over(w), "prior_median": F.percentile(v, F.lit(0.5)).over(w), "prior_p75": F.percentile(v, F.lit(0.75)).over(w),
-        "prior_std": F.stddev_pop(v).over(w), "prior_max": F.max(v).over(w), "days_since_last": F.datediff(F.col(ts), F.max(F.col(ts)).over(w)),
-    })
-
-
-def strict_prior_last_mean(events: DataFrame, ticker: str, ts: str, key: str, value: str, k: int = 4) -> DataFrame:
-    """Adds the mean of the ticker's last ``k`` values before this instant (order inside one instant: by key)."""
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(ticker).orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
-    seen = F.transform(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct(at, key, value)).over(w))), 1, k), lambda s: s[value])
-    return events.withColumn("_p", seen).withColumn("prior_last_mean", F.when(F.size("_p") > 0, F.aggregate("_p", F.lit(0.0), lambda a, x: a + x) / F.size("_p"))).drop("_p")
-
-
 def rolling_variance(bars: DataFrame, ticker: str, date: str, close: str, k: int = 5) -> DataFrame:
     """Adds the daily return and the sample variance of the last ``k`` returns (two at least)."""
     w = Window.partitionBy(ticker).orderBy(date)
@@ -116,20 +150,3 @@ def sequence_aggregates(steps: DataFrame, key: str, order: Sequence[str], value:
     v = F.col(value)
     slope = F.coalesce(F.regr_slope(v, F.col("_x")), F.lit(0.0))
     return placed.groupBy(key).agg(F.count(v).alias("steps"), F.avg(v).alias("mean"), F.max_by(v, F.when(v.isNotNull(), F.col("_x"))).alias("last"), F.coalesce(F.stddev_pop(v), F.lit(0.0)).alias("std"), slope.alias("slope"))
-
-
-FILING_MARKERS = {"earnings": ("the", "and"), "other": ("license", "rights reserved")}
-
-
-def classify_filing(texts: DataFrame, text: str, markers: dict[str, Sequence[str]] = FILING_MARKERS) -> DataFrame:
-    """Adds status: markers of other filings beat markers of earnings; white space is squeezed first."""
-    flat = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
-    has = lambda kind: F.coalesce(F.greatest(*[F.contains(flat, F.lit(m)) for m in markers[kind]], F.lit(False)), F.lit(False))
-    status = F.when(F.coalesce(flat, F.lit("")) == "", "missing_text").when(has("other"), "not_earnings").when(has("earnings"), "earnings").otherwise("undecided")
-    return texts.withColumn("status", status)
-
-
-def expected_payoff(options: DataFrame, nodes: Sequence[tuple[float, float]], spot: str, strike: str, variance: str) -> DataFrame:
-    """Adds the expected straddle payoff under a log-normal move of the given variance, by quadrature over (node, weight)."""
-    total = F.aggregate(F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(w)).alias("w")) for x, w in nodes]), F.lit(0.0), lambda a, n: a + n["w"] * F.abs(F.col(spot) * F.exp(F.sqrt(F.col(variance)) * n["x"] - F.col(variance) / 2) - F.col(strike)))
-    return options.withColumn("expected_payoff", total)

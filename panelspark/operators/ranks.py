@@ -1,7 +1,8 @@
-"""Ranks, quantile buckets, chronological splits and train-only normalisation.
+"""Ranks, quantiles, quantile buckets, chronological splits and train-only normalisation.
 
 ``ntile`` is not the quantile bucket of ranks, and Spark has no average rank; both are built from ranks and counts.
-Global ranks use one count per range partition (``global_rank``) instead of one task with all rows.
+Ranks and quantiles are running sums over range partitions (``staging.running_sum``) of counts by distinct value, so
+neither one group nor one value with a third of the rows gathers in a task.
 """
 
 from __future__ import annotations
@@ -11,33 +12,92 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.staging import running_sum
 
-def average_rank(df: DataFrame, value: str, by: Sequence[str], name: str) -> DataFrame:
-    """Adds the 1-based rank of ``value`` in its group, ties sharing their mean rank.
 
-    Ranks are made on the distinct values with their counts, so what is sorted in a group is its values.
+def _same(left: str, right: str, by: Sequence[str]) -> Column:
+    """Groups match null-safely: null is a group."""
+    out = F.lit(True)
+    for c in by:
+        out = out & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return out
+
+
+def value_counts(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """by, value, n and below (rows of the group with a smaller value) and total: one row for each distinct value.
+
+    Rows are counted before they are ordered, so ties cost one row; nulls are left out.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    below = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(name, F.coalesce(F.sum("_c").over(below), F.lit(0)) + (F.col("_c") + 1) / 2).drop("_c")
-    return df.join(ranks, [*by, value], "left")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    placed = running_sum(counts, by, [F.col(value)], F.col("n"), "below")
+    total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
+    return placed.alias("l").join(total.alias("r"), _same("l", "r", by)).select(*[F.col(f"l.{c}") for c in (*by, value, "n", "below")], "r.total")
+
+
+def average_rank(df: DataFrame, value: str, by: Sequence[str], name: str) -> DataFrame:
+    """Adds the 1-based rank of ``value`` in its group, ties sharing their mean rank; a null value has a null rank."""
+    ranks = value_counts(df, value, by).select(*by, value, (F.col("below") + (F.col("n") + 1) / 2).alias(name))
+    met = df.alias("l").join(ranks.alias("r"), _same("l", "r", [*by, value]), "left")
+    return met.select("l.*", f"r.{name}")
 
 
-def quantile_bucket(rank: Column, n: Column, q: int) -> Column:
-    """The bucket 0..q-1 of a first rank 1..n by linear quantile edges, right-closed."""
+def quantiles(df: DataFrame, value: str, by: Sequence[str], shares: dict[str, float]) -> DataFrame:
+    """by and one column for each named share: the exact quantile by linear interpolation, as ``percentile`` gives it.
+
+    Only counts of distinct values are ordered, over all partitions; no buffer holds a group's values.
+    """
+    at = value_counts(df, value, by)
+    wanted = []
+    for name, share in shares.items():
+        place = F.lit(float(share)) * (F.col("total") - 1)
+        holds = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
+        low, high = F.max(F.when(holds(F.floor(place)), F.col(value))), F.max(F.when(holds(F.ceil(place)), F.col(value)))
+        wanted.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    return at.groupBy(*by).agg(*wanted)
+
+
+def quantile_bucket(rank: Column, n: Column, q: int | Column) -> Column:
+    """The bucket 0..q-1 of a first rank 1..n by linear quantile edges, right-closed; fewer rows than buckets: one each."""
+    q = F.least(F.lit(q) if isinstance(q, int) else q, n)
     return F.when(n <= 1, F.lit(0)).otherwise(F.greatest(F.lit(0), F.ceil((rank - 1) * q / (n - 1)).cast("int") - 1))
 
 
 def buckets(df: DataFrame, value: str, tie: str, by: Sequence[str], q: int, name: str) -> DataFrame:
-    w = Window.partitionBy(*by)
-    return df.withColumn("_r", F.row_number().over(w.orderBy(value, tie))).withColumn("_n", F.count("*").over(w)).withColumn(name, quantile_bucket(F.col("_r"), F.col("_n"), q)).drop("_r", "_n")
+    """Adds the quantile bucket of first ranks (by value, then ``tie``) of the rows of each group; rows without a value have none."""
+    kept = df.where(F.col(value).isNotNull())
+    ranked = running_sum(kept, by, [F.col(value), F.col(tie)], F.lit(1), "_below")
+    total = kept.groupBy(*by).agg(F.count("*").alias("_total"))
+    met = ranked.alias("l").join(F.broadcast(total.alias("r")) if not by else total.alias("r"), _same("l", "r", by))
+    return met.select(*[f"l.{c}" for c in df.columns], quantile_bucket(F.col("_below") + 1, F.col("_total"), q).alias(name))
+
+
+def tied_buckets(df: DataFrame, value: str, by: Sequence[str], q: int, name: str) -> DataFrame:
+    """Adds the quantile bucket of average ranks: equal values share a bucket, and edges that coincide count once.
+
+    Edges are quantiles of the ranks. A bucket's number is how many distinct edges above the least lie below the rank.
+    """
+    at = value_counts(df, value, by).withColumn("_rank", F.col("below") + (F.col("n") + 1) / 2)
+    edges = []
+    for i in range(q + 1):
+        # the i-th edge lies between the ranks at two places of the sorted rows
+        place = F.lit(float(i)) * (F.col("total") - 1) / F.least(F.lit(q), F.col("total"))
+        holds = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
+        low, high = F.max(F.when(holds(F.floor(place)), F.col("_rank"))), F.max(F.when(holds(F.ceil(place)), F.col("_rank")))
+        edges.append(F.when(F.max(F.lit(i) <= F.least(F.lit(q), F.col("total"))), low + (high - low) * F.max(place - F.floor(place))))
+    cuts = at.groupBy(*by).agg(F.array_sort(F.array_distinct(F.array_compact(F.array(*edges)))).alias("_cuts"))
+    met = at.alias("l").join(cuts.alias("r"), _same("l", "r", by))
+    # right-closed, the least edge included
+    inner = F.slice("r._cuts", F.lit(2), F.greatest(F.size("r._cuts") - 2, F.lit(0)))
+    bucket = F.size(F.filter(inner, lambda c: c < F.col("l._rank")))
+    found = met.select(*[f"l.{c}" for c in by], F.col(f"l.{value}").alias(value), bucket.alias(name))
+    return df.alias("l").join(found.alias("r"), _same("l", "r", [*by, value]), "left").select("l.*", f"r.{name}")
 
 
 def auc(df: DataFrame, score: str, outcome: str, by: Sequence[str]) -> DataFrame:
     """Per group the area under the ROC curve by average ranks; null with one class only."""
-    ranked = average_rank(df.where(F.col(score).isNotNull() & F.col(outcome).isNotNull()), score, by, "_rank")
-    pos, n = F.count_if(F.col(outcome) > 0).cast("double"), F.count("*").cast("double")
-    got = ranked.groupBy(*by).agg(F.sum(F.when(F.col(outcome) > 0, F.col("_rank"))).alias("_s"), pos.alias("_p"), n.alias("_n"))
+    known = df.where(F.col(score).isNotNull() & F.col(outcome).isNotNull()).withColumn("_hit", (F.col(outcome) > 0).cast("long"))
+    at = running_sum(known.groupBy(*by, score).agg(F.count("*").alias("_c"), F.sum("_hit").alias("_h")), by, [F.col(score)], F.col("_c"), "_below")
+    got = at.groupBy(*by).agg(F.sum(F.col("_h") * (F.col("_below") + (F.col("_c") + 1) / 2)).alias("_s"), F.sum("_h").cast("double").alias("_p"), F.sum("_c").cast("double").alias("_n"))
     neg = F.col("_n") - F.col("_p")
     return got.select(*by, F.col("_n").cast("long").alias("n"), F.when((F.col("_p") > 0) & (neg > 0), (F.col("_s") - F.col("_p") * (F.col("_p") + 1) / 2) / (F.col("_p") * neg)).alias("auc"))
 
@@ -45,21 +105,44 @@ def auc(df: DataFrame, score: str, outcome: str, by: Sequence[str]) -> DataFrame
 def chronological_split(df: DataFrame, key: str, ts: str, train: float = 0.7, validation: float = 0.85) -> DataFrame:
     """Adds split by the order of each key's first time: the earliest 70 % train, then validation, then test.
 
-    Ranks come from counts per day plus a rank inside the day.
+    Ranks come from counts per day plus a rank inside the day. Fewer than three keys can't be split: an error.
     """
     first = df.groupBy(key).agg(F.min(ts).alias("_t")).withColumn("_d", F.to_date("_t"))
     per_day = first.groupBy("_d").agg(F.count("*").alias("_c"))
     before = Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_day.select("_d", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
-    ranked = first.join(F.broadcast(starts), "_d").withColumn("_r", F.col("_start") + F.row_number().over(Window.partitionBy("_d").orderBy("_t", key)))
-    cut1 = F.greatest(F.lit(1), F.floor(F.lit(train) * F.col("_n")))
-    cut2 = F.least(F.greatest(cut1 + 1, F.floor(F.lit(validation) * F.col("_n"))), F.col("_n") - 1)
+    ranked = first.alias("f").join(F.broadcast(starts.alias("s")), F.col("f._d").eqNullSafe(F.col("s._d"))).select("f.*", "_start", "_n")
+    ranked = ranked.withColumn("_r", F.col("_start") + F.row_number().over(Window.partitionBy("_d").orderBy("_t", key)))
+    n = F.when(F.col("_n") >= 3, F.col("_n")).otherwise(F.raise_error(F.lit("a chronological split needs three keys")).cast("long"))
+    cut1 = F.greatest(F.lit(1), F.floor(F.lit(train) * n))
+    cut2 = F.least(F.greatest(cut1 + 1, F.floor(F.lit(validation) * n)), n - 1)
     split = F.when(F.col("_r") <= cut1, "train").when(F.col("_r") <= cut2, "validation").otherwise("test")
     return df.join(ranked.select(key, split.alias("split")), key)
 
 
-def train_fit(df: DataFrame, value: str, split: str = "split") -> DataFrame:
-    """Adds z: distance to the train median in population standard deviations of the train rows (1 if those are none)."""
-    fit = df.where(F.col(split) == "train").agg(F.percentile(value, F.lit(0.5)).alias("_m"), F.stddev_pop(value).alias("_s"))
-    out = df.crossJoin(F.broadcast(fit))  # one row
-    return out.withColumn("z", (F.col(value) - F.col("_m")) / F.when(F.col("_s") > 1e-12, F.col("_s")).otherwise(1.0)).drop("_m", "_s")
+def split_at(df: DataFrame, key: str, ts: str, split_date: str) -> DataFrame:
+    """Adds split by date: keys first seen before ``split_date`` train; the later ones halve into validation and test by their order."""
+    first = df.groupBy(key).agg(F.min(ts).alias("_t"))
+    late = running_sum(first.where(F.col("_t") >= F.lit(split_date).cast("timestamp")), [], [F.col("_t"), F.col(key)], F.lit(1), "_below")
+    n = late.agg(F.count("*").alias("_n"))
+    half = late.crossJoin(F.broadcast(n)).select(key, F.when(F.col("_below") < F.greatest(F.lit(1), F.ceil(F.col("_n") / 2)), "validation").otherwise("test").alias("split"))  # one row
+    return df.join(half, key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+
+
+def train_params(df: DataFrame, value: str, split: str = "split", fit: Sequence[str] = ("train",)) -> DataFrame:
+    """One row of what the fitted splits say of a value: n_fit, center (median), scale (population deviation, 1 if none) and five quantiles."""
+    train = df.where(F.col(split).isin(*fit) & F.col(value).isNotNull()).select(value)
+    shares = {"p10": 0.1, "p25": 0.25, "center": 0.5, "p75": 0.75, "p90": 0.9}
+    spread = F.stddev_pop(value)
+    scale = train.agg(F.count("*").alias("n_fit"), F.when(spread > 1e-12, spread).otherwise(1.0).alias("scale"))
+    return quantiles(train, value, [], shares).crossJoin(scale)  # one row each
+
+
+def train_fit(df: DataFrame, value: str, split: str = "split", fit: Sequence[str] = ("train",)) -> DataFrame:
+    """Adds z (distance to the fitted median in fitted deviations) and rank (share of fitted rows at or below)."""
+    # one running sum over all distinct values, in which only fitted rows count
+    params = train_params(df, value, split, fit).select("center", "scale", "n_fit")
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(split).isin(*fit)).alias("_c"))
+    below = running_sum(counts, [], [F.col(value)], F.col("_c"), "_below").select(F.col(value).alias("_v"), (F.col("_below") + F.col("_c")).alias("_upto"))
+    out = df.join(below, F.col(value) == F.col("_v"), "left").crossJoin(F.broadcast(params))  # one row
+    return out.withColumns({"z": (F.col(value) - F.col("center")) / F.col("scale"), "rank": F.col("_upto") / F.col("n_fit")}).drop("_v", "_upto", "center", "scale", "n_fit")

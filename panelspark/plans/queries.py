@@ -1,459 +1,8 @@
-"""The registered queries on the reference's operators, with their SQL.
-
-The driver's tables stand in for the panel's: lineitem for daily bars (l_partkey the ticker), orders for events
-(o_custkey the ticker), events for second bars and quote ticks (user_id the contract), documents for filings.
-Floats are rounded alike on both sides; both sides order ties by a key.
-"""
+"""All registered queries and their DuckDB SQL."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from panelspark.functions.black_scholes import implied_volatility
-from panelspark.operators import asof, calendar, evaluation, panel, ranks
-from panelspark.sources import tables
-from panelspark.streaming import marks
-
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return tables.read_table(spark, f"{sf}/{name}.parquet")
-
-
-def rounded(df: DataFrame, places: int = 4) -> DataFrame:
-    return df.select(*[F.round(f.name, places).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name).cast("long").alias(f.name) if f.dataType.simpleString() == "int" else F.col(f.name) for f in df.schema])
-
-
-def bars(spark, sf) -> DataFrame:
-    b = load(spark, sf, "lineitem")
-    return b.select(F.col("l_partkey").alias("ticker"), F.to_date("l_shipdate").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("volume"), F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("line"))
-
-
-def day_bars(spark, sf) -> DataFrame:
-    """One row per ticker and day: open, close (by order key and line), volume."""
-    o = F.struct("orderkey", "line")
-    return bars(spark, sf).groupBy("ticker", "date").agg(F.min_by("price", o).alias("open"), F.max_by("price", o).alias("close"), F.sum("volume").alias("volume"))
-
-
-def order_events(spark, sf) -> DataFrame:
-    o = load(spark, sf, "orders")
-    return o.select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("ticker"), F.to_date("o_orderdate").alias("event_date"), F.col("o_totalprice").alias("value"), F.when(F.col("o_orderpriority").startswith("1"), "BMO").when(F.col("o_orderpriority").startswith("2"), "AMC").when(F.col("o_orderpriority").startswith("3"), "DMH").otherwise("UNKNOWN").alias("timing"), "o_orderstatus", "o_orderpriority")
-
-
-def ticks(spark, sf) -> DataFrame:
-    e = load(spark, sf, "events")
-    return e.select("event_id", F.col("user_id").alias("contract"), "ts", "value", (F.get_json_object("props", "$.k").cast("long") + 1).alias("volume"), "event_type")
-
-
-BARS = "bars AS (SELECT l_partkey AS ticker, l_shipdate::DATE AS date, l_extendedprice / l_quantity AS price, l_quantity AS volume, l_orderkey AS orderkey, l_linenumber AS line FROM lineitem)"
-DAYS = BARS + ", days AS (SELECT ticker, date, arg_min(price, {'o': orderkey, 'l': line}) AS open, arg_max(price, {'o': orderkey, 'l': line}) AS close, sum(volume) AS volume FROM bars GROUP BY 1, 2)"
-EV = "ev AS (SELECT o_orderkey AS event_id, o_custkey AS ticker, o_orderdate::DATE AS event_date, o_totalprice AS value, CASE left(o_orderpriority, 1) WHEN '1' THEN 'BMO' WHEN '2' THEN 'AMC' WHEN '3' THEN 'DMH' ELSE 'UNKNOWN' END AS timing, o_orderstatus, o_orderpriority FROM orders)"
-TICKS = "ticks AS (SELECT event_id, user_id AS contract, ts, value, json_extract_string(props, '$.k')::BIGINT + 1 AS volume, event_type FROM events)"
-LIQ = "liq AS (SELECT date_trunc('month', date)::DATE AS month, ticker, sum(price * volume * 100) AS liquidity, count(*) AS row_count FROM bars GROUP BY 1, 2)"
-UNI = LIQ + """, months AS (SELECT DISTINCT (month + to_months(k))::DATE AS universe_month FROM liq, range(1, 7) t(k)), span AS (SELECT min(month) a, max(month) b FROM liq),
-uni AS (SELECT universe_month, ticker, sum(liquidity) AS trailing_liquidity FROM months, span, liq WHERE liq.month >= universe_month - INTERVAL 6 MONTH AND liq.month < universe_month AND universe_month <= b + INTERVAL 1 MONTH GROUP BY 1, 2),
-top AS (SELECT *, row_number() OVER (PARTITION BY universe_month ORDER BY round(trailing_liquidity, 4) DESC, ticker) AS rank FROM uni QUALIFY rank <= 50)"""
-
-
-def liquidity(spark, sf):
-    return panel.month_liquidity(bars(spark, sf), "ticker", "date", F.col("price"), F.col("volume"))
-
-
-def universe(spark, sf):
-    return panel.trailing_universe(liquidity(spark, sf), 6, 50)
-
-
-@query(f"WITH {BARS}, {LIQ} SELECT month, ticker, round(liquidity, 2) AS liquidity, row_count FROM liq")
-def ticker_month_liquidity(spark, sf):
-    return rounded(liquidity(spark, sf), 2)
-
-
-@query(f"WITH {BARS}, {UNI} SELECT universe_month, ticker, round(trailing_liquidity, 2) AS trailing_liquidity, rank FROM top")
-def monthly_top_universe(spark, sf):
-    return rounded(universe(spark, sf), 2)
-
-
-@query(f"WITH {BARS}, {UNI}, {EV} SELECT event_id, ev.ticker, event_date, arg_max(rank, universe_month) AS rank, max(universe_month) AS matched_universe_month FROM ev LEFT JOIN top ON top.ticker = ev.ticker AND universe_month <= event_date GROUP BY 1, 2, 3")
-def universe_membership_asof(spark, sf):
-    e = order_events(spark, sf).select("event_id", "ticker", "event_date")
-    return rounded(asof.asof_backward(e, universe(spark, sf), ["ticker"], "event_date", "universe_month", ["rank"]))
-
-
-@query(f"WITH {DAYS}, {EV}, m AS (SELECT event_id, ev.ticker, event_date, arg_max(close, date) AS close, max(date) AS d FROM ev LEFT JOIN days ON days.ticker = ev.ticker AND date < event_date GROUP BY 1, 2, 3) SELECT event_id, ticker, event_date, CASE WHEN event_date - d <= 5 THEN round(close, 7) END AS close, CASE WHEN event_date - d <= 5 THEN d END AS matched_date FROM m")
-def prior_close_asof_lag5(spark, sf):
-    e = order_events(spark, sf).select("event_id", "ticker", "event_date")
-    return rounded(asof.asof_backward(e, day_bars(spark, sf), ["ticker"], "event_date", "date", ["close"], strict=True, max_lag_days=5), 7)
-
-
-@query(f"WITH {BARS}, {EV}, m AS (SELECT event_id, ev.ticker, event_date, price, date, orderkey, line, (line % 2 = 0 AND date <= event_date) OR (line % 2 = 1 AND date < event_date) AS ok FROM ev LEFT JOIN bars USING (ticker) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY coalesce(ok, false) DESC, date DESC, orderkey DESC, line DESC) = 1) SELECT event_id, ticker, event_date, CASE WHEN ok THEN round(price, 7) END AS price, CASE WHEN ok THEN date END AS date FROM m")
-def two_tier_asof_gate(spark, sf):
-    accepted = (F.col("line") % 2 == 0) & (F.col("date") <= F.col("event_date"))
-    filed = (F.col("line") % 2 == 1) & (F.col("date") < F.col("event_date"))
-    e = order_events(spark, sf).select("event_id", "ticker", "event_date")
-    return rounded(asof.gated_latest(e, bars(spark, sf), ["ticker"], "event_id", accepted | filed, [F.desc("date"), F.desc("orderkey"), F.desc("line")], ["price", "date"]), 7)
-
-
-def requests(spark, sf):
-    """Two windows for every purchase: the 15 minutes before it and the hour after it."""
-    e = ticks(spark, sf).where("event_type = 'purchase'").select("event_id", "contract", "ts")
-    m = lambda n: F.expr(f"make_dt_interval(0, 0, {n}, 0)")
-    return asof.window_requests(e, "event_id", {"entry": (F.col("ts") - m(900), F.col("ts")), "exit": (F.col("ts"), F.col("ts") + m(1440))}, ["contract"])
-
-
-REQ = TICKS + ", req AS (SELECT event_id, contract, w.n AS \"window\", w.a AS start_ts, w.b AS end_ts FROM (SELECT event_id, contract, unnest([{'n': 'entry', 'a': ts - INTERVAL 900 MINUTE, 'b': ts}, {'n': 'exit', 'a': ts, 'b': ts + INTERVAL 1440 MINUTE}]) AS w FROM ticks WHERE event_type = 'purchase'))"
-MARKS = REQ + """, mk AS (SELECT r.event_id, r."window", count(t.ts) AS tick_count, count(*) FILTER (t.value > 20) AS valid_count, arg_max(t.value, {'t': t.ts, 'e': t.event_id}) FILTER (t.value > 20) AS mark, max(t.ts) FILTER (t.value > 20) AS mark_ts, any_value(r.end_ts) AS end_ts
- FROM req r LEFT JOIN ticks t ON t.contract = r.contract AND t.ts BETWEEN r.start_ts AND r.end_ts GROUP BY 1, 2),
- ms AS (SELECT *, epoch(date_trunc('second', end_ts))::BIGINT - epoch(date_trunc('second', mark_ts))::BIGINT AS age_seconds FROM mk), mm AS (SELECT *, CASE WHEN tick_count = 0 THEN 'missing' WHEN valid_count = 0 THEN 'invalid' WHEN age_seconds > 36000 THEN 'stale' ELSE 'ok' END AS status FROM ms)"""
-
-
-def latest_marks(spark, sf):
-    return asof.interval_latest(ticks(spark, sf).withColumnRenamed("event_id", "tick_id"), requests(spark, sf), ["contract"], "ts", "value", F.col("value") > 20, ["event_id", "window"], "tick_id", 36000)
-
-
-@query(f"WITH {MARKS} SELECT event_id, \"window\", tick_count, valid_count, round(mark, 4) AS mark, age_seconds, status FROM mm")
-def window_latest_mark(spark, sf):
-    return rounded(latest_marks(spark, sf).select("event_id", "window", "tick_count", "valid_count", "mark", "age_seconds", "status"))
-
-
-@query(f"WITH {MARKS}, s AS (SELECT event_id, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'stale') AS stale, max(age_seconds) AS max_age, quantile_cont(mark, 0.5) AS median_mark, avg(CASE status WHEN 'ok' THEN 1.0 WHEN 'stale' THEN 0.5 ELSE 0 END) AS score FROM mm GROUP BY 1) SELECT event_id, ok, stale, max_age, round(median_mark, 4) AS median_mark, score::DOUBLE AS score, CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.5 THEN 'medium' WHEN score > 0 THEN 'low' ELSE 'missing' END AS band FROM s")
-def mark_confidence_band(spark, sf):
-    s = F.when(F.col("status") == "ok", 1.0).when(F.col("status") == "stale", 0.5).otherwise(0.0)
-    out = latest_marks(spark, sf).groupBy("event_id").agg(F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "stale").alias("stale"), F.max("age_seconds").alias("max_age"), F.percentile("mark", F.lit(0.5)).alias("median_mark"), F.avg(s).alias("score"))
-    return rounded(out.withColumn("band", F.when(F.col("score") >= 0.75, "high").when(F.col("score") >= 0.5, "medium").when(F.col("score") > 0, "low").otherwise("missing")))
-
-
-@query(f"WITH {REQ} SELECT r.event_id, r.\"window\", round(sum(value * volume) / sum(volume), 7) AS vwap, coalesce(sum(volume), 0)::BIGINT AS volume, count(t.ts) AS rows, CASE WHEN count(t.ts) > 0 THEN 'ok' ELSE 'missing' END AS status FROM req r LEFT JOIN ticks t ON t.contract = r.contract AND t.ts BETWEEN r.start_ts AND r.end_ts AND value > 0 AND volume > 0 GROUP BY 1, 2")
-def window_vwap(spark, sf):
-    t = ticks(spark, sf).withColumnRenamed("event_id", "tick_id")
-    return rounded(asof.interval_vwap(t, requests(spark, sf), ["contract"], "ts", "value", "volume", ["event_id", "window"]).select("event_id", "window", "vwap", "volume", "rows", "status"), 7)
-
-
-def span_calendar(spark, sf):
-    a, b = order_events(spark, sf).agg(F.min("event_date"), F.max("event_date")).head()
-    return calendar.trading_days(spark, f"{a.year - 1}-01-01", f"{b.year + 1}-12-31")
-
-
-@query()
-def trading_calendar(spark, sf):
-    return span_calendar(spark, sf)
-
-
-@query()
-def event_windows(spark, sf):
-    return calendar.align_events(order_events(spark, sf), span_calendar(spark, sf), "event_date", "timing")
-
-
-TARGETS = f"""{DAYS}, w AS (SELECT ticker, date AS entry_date, lead(date) OVER (PARTITION BY ticker ORDER BY date) AS exit_date FROM days),
-t AS (SELECT w.ticker, w.entry_date, w.exit_date, ln(b.close / a.close) AS r_day, ln(b.open / a.close) AS r_jump, ln(b.close / b.open) AS r_reaction FROM w LEFT JOIN days a ON a.ticker = w.ticker AND a.date = w.entry_date LEFT JOIN days b ON b.ticker = w.ticker AND b.date = w.exit_date)"""
-
-
-def targets(spark, sf):
-    from pyspark.sql import Window
-
-    d = day_bars(spark, sf)
-    w = d.select("ticker", F.col("date").alias("entry_date"), F.lead("date").over(Window.partitionBy("ticker").orderBy("date")).alias("exit_date"))
-    return panel.return_targets(w, d, "ticker")
-
-
-@query(f"WITH {TARGETS} SELECT ticker, entry_date, exit_date, round(r_day, 6) AS r_day, round(r_jump * r_jump, 6) AS rvar_jump, round(2 * r_jump * r_reaction, 6) AS cross_term, abs(r_day * r_day - r_jump * r_jump - r_reaction * r_reaction - 2 * r_jump * r_reaction) < 1e-9 AS identity_holds FROM t")
-def return_targets(spark, sf):
-    return rounded(targets(spark, sf).select("ticker", "entry_date", "exit_date", "r_day", "rvar_jump", "cross_term", (F.abs("residual") < 1e-9).alias("identity_holds")), 6)
-
-
-@query(f"WITH {TARGETS} SELECT target_id, count(*) AS n, round(avg(v), 6) AS mean, round(max(v), 6) AS largest FROM (SELECT 'rvar_day' AS target_id, r_day * r_day AS v FROM t UNION ALL SELECT 'rvar_jump', r_jump * r_jump FROM t UNION ALL SELECT 'rvar_reaction', r_reaction * r_reaction FROM t) WHERE v IS NOT NULL GROUP BY 1")
-def targets_long(spark, sf):
-    return rounded(panel.targets_long(targets(spark, sf), ["ticker", "entry_date"]).groupBy("target_id").agg(F.count("*").alias("n"), F.avg("rvar").alias("mean"), F.max("rvar").alias("largest")), 6)
-
-
-@query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, date_diff('day', o_orderdate::DATE, l_shipdate::DATE) AS dte, CASE WHEN l_returnflag = 'R' THEN 'missing' WHEN NOT coalesce(l_linestatus = 'O', false) THEN 'non_standard' WHEN NOT date_diff('day', o_orderdate::DATE, l_shipdate::DATE) BETWEEN 5 AND 60 THEN 'outside_dte' WHEN l_shipdate::DATE < o_orderdate::DATE + 10 THEN 'not_covering' ELSE 'ok' END AS status FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
-def contract_status_ladder(spark, sf):
-    li, o = load(spark, sf, "lineitem"), load(spark, sf, "orders")
-    c = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") != "R", "x").alias("options_ticker"), (F.col("l_linestatus") == "O").alias("standard"), F.to_date("l_shipdate").alias("expiration"), F.to_date("o_orderdate").alias("entry_date"), F.date_add(F.to_date("o_orderdate"), 10).alias("exit_date"))
-    return rounded(panel.contract_status(c, 5, 60).select("l_orderkey", "l_linenumber", "dte", "status"))
-
-
-@query("""WITH q AS (SELECT l_partkey AS event_id, round(l_quantity / 5) AS strike, CASE WHEN l_linenumber % 2 = 0 THEN 'call' ELSE 'put' END AS side, l_extendedprice AS price, l_discount AS iv, l_quantity AS volume, p_size / 5.0 AS spot FROM lineitem JOIN part ON l_partkey = p_partkey),
-p AS (SELECT event_id, strike, max(price) FILTER (side = 'call') AS call_price, max(price) FILTER (side = 'put') AS put_price, max(iv) FILTER (side = 'call') AS ci, max(iv) FILTER (side = 'put') AS pi, sum(volume) AS volume, max(spot) AS spot FROM q GROUP BY 1, 2)
-SELECT event_id, strike::DOUBLE AS strike, round(call_price + put_price, 4) AS premium, round((ci + pi) / 2, 4) AS iv, volume FROM p WHERE call_price IS NOT NULL AND put_price IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY abs(strike / spot - 1), volume DESC, strike) = 1""")
-def pair_pivot_atm(spark, sf):
-    q = load(spark, sf, "lineitem").join(load(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_partkey").alias("event_id"), F.round(F.col("l_quantity") / 5).alias("strike"), F.when(F.col("l_linenumber") % 2 == 0, "call").otherwise("put").alias("right"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("iv"), F.col("l_quantity").alias("volume"), (F.col("p_size") / 5.0).alias("spot"))
-    return rounded(panel.pair_at_the_money(q, ["event_id"], "spot").select("event_id", "strike", "premium", "iv", "volume"))
-
-
-@query("""WITH p AS (SELECT o_custkey AS event_id, 1 + (l_linenumber * 7) % 40 AS dte, l_discount + 0.2 AS iv FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-o AS (SELECT event_id, dte, avg(iv) AS iv, row_number() OVER (PARTITION BY event_id ORDER BY dte) AS n FROM p GROUP BY 1, 2),
-t AS (SELECT event_id, max(dte) FILTER (n = 1) / 365.0::DOUBLE AS t1, max(dte) FILTER (n = 2) / 365.0::DOUBLE AS t2, max(iv) FILTER (n = 1) AS a, max(iv) FILTER (n = 2) AS b FROM o GROUP BY 1),
-v AS (SELECT *, a * a * t1 AS w1, b * b * t2 AS w2 FROM t)
-SELECT event_id, CASE WHEN t2 IS NULL THEN 'missing_second_expiry' WHEN w2 < w1 THEN 'nonmonotone_total_variance' WHEN (t2 * w1 - t1 * w2) / (t2 - t1) < 0 THEN 'negative_event_variance' ELSE 'ok' END AS status,
-CASE WHEN t2 IS NOT NULL AND w2 >= w1 AND (t2 * w1 - t1 * w2) / (t2 - t1) >= 0 THEN round((t2 * w1 - t1 * w2) / (t2 - t1), 6) END AS event_variance FROM v""")
-def two_expiry_variance(spark, sf):
-    li, o = load(spark, sf, "lineitem"), load(spark, sf, "orders")
-    p = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(F.col("o_custkey").alias("event_id"), (1 + (F.col("l_linenumber") * 7) % 40).alias("dte"), (F.col("l_discount") + 0.2).alias("iv"))
-    return rounded(panel.two_expiry_variance(p, "event_id").select("event_id", "status", "event_variance"), 6)
-
-
-PRIOR = "OVER (PARTITION BY ticker ORDER BY epoch_us(event_date::TIMESTAMP) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-
-
-@query(f"WITH {EV} SELECT event_id, count(value) {PRIOR} AS prior_count, round(avg(value) {PRIOR}, 7) AS prior_mean, round(quantile_cont(value, 0.75) {PRIOR}, 7) AS prior_p75, round(stddev_pop(value) {PRIOR}, 7) AS prior_std, round(max(value) {PRIOR}, 7) AS prior_max, date_diff('day', max(event_date) {PRIOR}, event_date) AS days_since_last FROM ev")
-def strict_prior_history(spark, sf):
-    out = panel.strict_prior_history(order_events(spark, sf), "ticker", "event_date", "value")
-    return rounded(out.select("event_id", "prior_count", "prior_mean", "prior_p75", "prior_std", "prior_max", "days_since_last"), 7)
-
-
-@query(f"WITH {EV}, c AS (SELECT a.event_id, b.value FROM ev a JOIN ev b ON a.ticker = b.ticker AND b.event_date < a.event_date QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY b.event_date DESC, b.event_id DESC) <= 4) SELECT ev.event_id, round(m, 7) AS prior_last_mean FROM ev LEFT JOIN (SELECT event_id, avg(value) AS m FROM c GROUP BY 1) USING (event_id)")
-def strict_prior_mean_last4(spark, sf):
-    return rounded(panel.strict_prior_last_mean(order_events(spark, sf), "ticker", "event_date", "event_id", "value").select("event_id", "prior_last_mean"), 7)
-
-
-@query(f"WITH {DAYS}, r AS (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM days) SELECT ticker, date, round(ret, 6) AS ret, CASE WHEN count(ret) OVER w >= 2 THEN round(var_samp(ret) OVER w, 6) END AS rv FROM r WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
-def rolling_rv5(spark, sf):
-    return rounded(panel.rolling_variance(day_bars(spark, sf), "ticker", "date", "close").select("ticker", "date", "ret", "rv"), 6)
-
-
-@query(f"WITH {DAYS}, p AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date)::DOUBLE AS x FROM days) SELECT ticker, count(close) AS steps, round(avg(close), 7) AS mean, round(arg_max(close, x), 7) AS last, round(stddev_pop(close), 7) AS std, round(coalesce(regr_slope(close, x), 0), 7) AS slope FROM p GROUP BY 1")
-def sequence_aggregates(spark, sf):
-    return rounded(panel.sequence_aggregates(day_bars(spark, sf), "ticker", ["date"], "close"), 7)
-
-
-SPLIT = EV + ", n AS (SELECT *, row_number() OVER (ORDER BY event_date, event_id) AS r, count(*) OVER () AS n FROM ev), cut AS (SELECT *, greatest(1, floor(0.7 * n)) AS c1 FROM n), sp AS (SELECT *, CASE WHEN r <= c1 THEN 'train' WHEN r <= least(greatest(c1 + 1, floor(0.85 * n)), n - 1) THEN 'validation' ELSE 'test' END AS split FROM cut)"
-
-
-def split_events(spark, sf):
-    return ranks.chronological_split(order_events(spark, sf), "event_id", "event_date")
-
-
-@query(f"WITH {SPLIT} SELECT event_id, split FROM sp")
-def chronological_split(spark, sf):
-    return split_events(spark, sf).select("event_id", "split")
-
-
-@query(f"WITH {SPLIT}, f AS (SELECT quantile_cont(value, 0.5) AS m, stddev_pop(value) AS s FROM sp WHERE split = 'train') SELECT event_id, split, round((value - m) / s, 4) AS z FROM sp, f")
-def train_fit_normalise(spark, sf):
-    return rounded(ranks.train_fit(split_events(spark, sf), "value").select("event_id", "split", "z"))
-
-
-@query(f"WITH {EV}, s AS (SELECT timing, floor(value / 100) AS score, (event_id % 3 = 0)::INT AS y FROM ev), r AS (SELECT *, rank() OVER (PARTITION BY timing ORDER BY score) + (count(*) OVER (PARTITION BY timing, score) - 1) / 2.0 AS rk FROM s) SELECT timing, count(*) AS n, round((sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y)))::DOUBLE, 6) AS auc FROM r GROUP BY 1")
-def average_rank_auc(spark, sf):
-    s = order_events(spark, sf).select("timing", F.floor(F.col("value") / 100).alias("score"), (F.col("event_id") % 3 == 0).cast("int").alias("y"))
-    return rounded(ranks.auc(s, "score", "y", ["timing"]), 6)
-
-
-BUCKET = "CASE WHEN n <= 1 THEN 0 ELSE greatest(0, ceil((r - 1) * 10.0::DOUBLE / (n - 1))::BIGINT - 1) END"
-
-
-@query(f"WITH {EV}, q AS (SELECT *, row_number() OVER (PARTITION BY timing ORDER BY value, event_id) AS r, count(*) OVER (PARTITION BY timing) AS n FROM ev), b AS (SELECT *, {BUCKET} AS bucket FROM q) SELECT timing, bucket, count(*) AS n, round(avg(value), 7) AS mean_score, round(avg((event_id % 3 = 0)::INT), 6) AS outcome_rate FROM b GROUP BY 1, 2")
-def qcut_deciles(spark, sf):
-    b = ranks.buckets(order_events(spark, sf), "value", "event_id", ["timing"], 10, "bucket")
-    return _deciles(b)
-
-
-def _deciles(b: DataFrame) -> DataFrame:
-    out = b.groupBy("timing", "bucket").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.avg((F.col("event_id") % 3 == 0).cast("int")).alias("o"))
-    return out.select("timing", F.col("bucket").cast("long").alias("bucket"), "n", F.round("m", 7).alias("mean_score"), F.round("o", 6).alias("outcome_rate"))
-
-
-FC = "fc AS (SELECT l_returnflag AS model, l_extendedprice / 1000 AS y, l_quantity * 1.5 AS f, 38.0 AS b, l_suppkey, l_shipdate::DATE AS d FROM lineitem)"
-
-
-def forecasts(spark, sf):
-    return load(spark, sf, "lineitem").select(F.col("l_returnflag").alias("model"), (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_quantity") * 1.5).alias("f"), F.lit(38.0).alias("b"), "l_suppkey", F.to_date("l_shipdate").alias("d"))
-
-
-@query(f"WITH {FC}, g AS (SELECT *, greatest(y, 1e-6) / greatest(f, 1e-6) AS q FROM fc) SELECT model, count(*) AS n, round(avg(abs(f - y)), 4) AS mae, round(sqrt(avg((f - y) ** 2)), 4) AS rmse, round(avg(q - ln(q) - 1), 4) AS qlike, round(1 - sum((f - y) ** 2) / sum((b - y) ** 2), 4) AS oos_r2 FROM g GROUP BY 1")
-def forecast_metrics(spark, sf):
-    return rounded(evaluation.forecast_metrics(forecasts(spark, sf), ["model"], "f", "y", "b"))
-
-
-@query(f"WITH {FC}, l AS (SELECT *, (f - y) ** 2 - (b - y) ** 2 AS loss FROM fc), t AS (SELECT avg(loss) AS m, count(*) AS n FROM l), a AS (SELECT 'l_suppkey' AS cluster, l_suppkey::VARCHAR AS k, sum(loss) AS s, count(*) AS c FROM l GROUP BY 2 UNION ALL SELECT 'd', d::VARCHAR, sum(loss), count(*) FROM l GROUP BY 2) SELECT cluster, round(m, 3) AS mean, n, count(*) AS clusters, round(sqrt(sum((s - c * m) ** 2)) / n, 3) AS se FROM a, t GROUP BY cluster, m, n")
-def cluster_inference(spark, sf):
-    loss = forecasts(spark, sf).withColumn("loss", F.pow(F.col("f") - F.col("y"), F.lit(2.0)) - F.pow(F.col("b") - F.col("y"), F.lit(2.0)))
-    return rounded(evaluation.cluster_inference(loss, "loss", ["l_suppkey", "d"]), 3)
-
-
-TR = EV + ", tr AS (SELECT *, value / 1000 - (event_id % 97) * 3 AS net, 10 + event_id % 11 AS cost, value / 100 AS premium, (event_id * 31 % 101) / 10.0::DOUBLE AS edge FROM ev)"
-
-
-def trades(spark, sf):
-    e = order_events(spark, sf)
-    return e.withColumns({"net": F.col("value") / 1000 - (F.col("event_id") % 97) * 3, "cost": (10 + F.col("event_id") % 11).cast("double"), "premium": F.col("value") / 100, "edge": (F.col("event_id") * 31 % 101) / F.lit(10.0)})
-
-
-@query(f"WITH {TR} SELECT timing, count(*) AS trades, round(sum(net), 7) AS net, round(sum(net) / sum(premium), 5) AS return_on_premium, round(avg(net) / stddev_samp(net) * sqrt(count(*)), 4) AS sharpe, round(avg((net > 0)::INT), 6) AS hit_rate, round(quantile_cont(net, 0.05), 4) AS p05 FROM tr GROUP BY 1")
-def strategy_metrics(spark, sf):
-    out = evaluation.strategy_metrics(trades(spark, sf), ["timing"], "net", "premium")
-    return out.select("timing", "trades", F.round("net", 7).alias("net"), F.round("return_on_premium", 5).alias("return_on_premium"), F.round("sharpe", 4).alias("sharpe"), F.round("hit_rate", 6).alias("hit_rate"), F.round("p05", 4).alias("p05"))
-
-
-@query(f"WITH {TR}, c AS (SELECT *, sum(net) OVER w AS cum FROM tr WINDOW w AS (PARTITION BY ticker ORDER BY event_date, event_id ROWS UNBOUNDED PRECEDING)), p AS (SELECT *, max(cum) OVER (PARTITION BY ticker ORDER BY event_date, event_id ROWS UNBOUNDED PRECEDING) AS peak FROM c) SELECT ticker, round(min(cum - peak), 7) AS max_drawdown, count(*) AS n FROM p GROUP BY 1")
-def drawdown(spark, sf):
-    return rounded(evaluation.max_drawdown(trades(spark, sf), ["ticker"], ["event_date", "event_id"], "net"), 7)
-
-
-@query(f"WITH {TR} SELECT m::DOUBLE AS multiplier, count(*) AS n, round(sum(net - m * cost), 7) AS net, round(avg((net - m * cost > 0)::INT), 6) AS hit_rate FROM tr, (VALUES (0.0), (0.5), (1.0), (1.5), (2.0)) v(m) GROUP BY 1")
-def cost_sensitivity(spark, sf):
-    return evaluation.cost_sensitivity(trades(spark, sf), "net", "cost").select("multiplier", "n", F.round("net", 7).alias("net"), F.round("hit_rate", 6).alias("hit_rate"))
-
-
-@query(f"WITH {TR} SELECT 'timing' AS dimension, timing AS value, count(*) AS n, round(sum(net), 7) AS net, round(avg((net > 0)::INT), 6) AS hit_rate FROM tr GROUP BY 2 UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*), round(sum(net), 7), round(avg((net > 0)::INT), 6) FROM tr GROUP BY 2")
-def breakdowns(spark, sf):
-    return evaluation.breakdowns(trades(spark, sf), ["timing", "o_orderstatus"], "net").select("dimension", "value", "n", F.round("net", 7).alias("net"), F.round("hit_rate", 6).alias("hit_rate"))
-
-
-@query(f"WITH {TR} SELECT t::DOUBLE AS threshold, e::DOUBLE AS min_edge, count(*) FILTER (edge > t * cost AND edge >= e) AS trades, round(coalesce(sum(net) FILTER (edge > t * cost AND edge >= e), 0), 7) AS net FROM tr, (VALUES (0.0), (0.25), (0.5), (0.75)) a(t), (VALUES (0.0), (2.5), (5.0)) b(e) GROUP BY 1, 2")
-def policy_grid(spark, sf):
-    return rounded(evaluation.policy_grid(trades(spark, sf), (0.0, 0.25, 0.5, 0.75), (0.0, 2.5, 5.0), "edge", "cost", "net"), 7)
-
-
-@query(f"WITH {TR} SELECT timing, event_id, row_number() OVER (PARTITION BY timing ORDER BY edge DESC, event_id) AS rank FROM tr QUALIFY rank <= 25")
-def topk_in_split(spark, sf):
-    return rounded(evaluation.top_k(trades(spark, sf), ["timing"], [F.desc("edge"), "event_id"], 25).select("timing", "event_id", "rank"))
-
-
-@query(f"WITH {TR}, a AS (SELECT *, premium AS s0, greatest(edge, 0) AS e, sum(greatest(edge, 0)) OVER (PARTITION BY event_date) AS te, sum(premium) OVER (PARTITION BY event_date) AS ts FROM tr), b AS (SELECT *, CASE WHEN ts <= 5000 THEN s0 ELSE coalesce(least(s0, e / nullif(te, 0) * 5000), s0 * 5000 / ts) END AS s1 FROM a), c AS (SELECT *, sum(e) OVER (PARTITION BY event_date, timing) AS te2, sum(s1) OVER (PARTITION BY event_date, timing) AS ts2 FROM b) SELECT event_id, round(CASE WHEN ts2 <= 1500 THEN s1 ELSE coalesce(least(s1, e / nullif(te2, 0) * 1500), s1 * 1500 / ts2) END, 7) AS premium FROM c")
-def portfolio_caps(spark, sf):
-    return rounded(evaluation.portfolio_caps(trades(spark, sf), "event_date", "timing", "edge", "premium", 5000.0, 1500.0).select("event_id", "premium"), 7)
-
-
-@query("SELECT count(*) AS rows, count(*) FILTER (l_shipdate > o_orderdate) AS late, count(*) FILTER (l_shipdate IS NULL OR o_orderdate IS NULL) AS missing FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
-def leakage_rows(spark, sf):
-    j = load(spark, sf, "lineitem").join(load(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return evaluation.leakage_rows(j, "l_shipdate", "o_orderdate")
-
-
-@query("SELECT c AS \"column\", f AS filled, f / n::DOUBLE AS share FROM (SELECT count(*) AS n, count(text) AS a, count(lang) AS b, count(source) AS d FROM documents), LATERAL (VALUES ('text', a), ('lang', b), ('source', d)) v(c, f)")
-def coverage_audit(spark, sf):
-    return evaluation.coverage(load(spark, sf, "documents"), ["text", "lang", "source"])
-
-
-@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1 OR user_id IS NULL OR event_type IS NULL")
-def key_uniqueness(spark, sf):
-    return evaluation.key_violations(load(spark, sf, "events"), ["user_id", "event_type"])
-
-
-@query("SELECT year(l_shipdate) AS year, count(DISTINCT l_shipdate::DATE) AS days, count(*) AS rows, count(DISTINCT l_partkey) AS tickers FROM lineitem GROUP BY 1")
-def year_coverage(spark, sf):
-    b = bars(spark, sf)
-    return rounded(b.groupBy(F.year("date").alias("year")).agg(F.count_distinct("date").alias("days"), F.count("*").alias("rows"), F.count_distinct("ticker").alias("tickers")))
-
-
-SYMBOL = "concat('O:', upper(regexp_replace(split_part(p_brand, '#', 1), '[^A-Za-z]', '')), '25', lpad((p_partkey % 12 + 1)::VARCHAR, 2, '0'), lpad((p_partkey % 28 + 1)::VARCHAR, 2, '0'), CASE WHEN p_size % 2 = 0 THEN 'C' ELSE 'P' END, lpad((p_size * 500)::VARCHAR, 8, '0'))"
-
-
-@query("SELECT p_partkey, upper(regexp_replace(split_part(p_brand, '#', 1), '[^A-Za-z]', '')) AS underlying, make_date(2025, (p_partkey % 12 + 1)::BIGINT, (p_partkey % 28 + 1)::BIGINT) AS expiration, CASE WHEN p_size % 2 = 0 THEN 'call' ELSE 'put' END AS \"right\", p_size * 500 / 1000.0::DOUBLE AS strike FROM part")
-def symbol_parse(spark, sf):
-    p = load(spark, sf, "part").select("p_partkey", F.expr(SYMBOL.replace("::VARCHAR", "::STRING")).alias("symbol"))
-    return tables.parse_option_symbol(p, "symbol").select("p_partkey", "underlying", "expiration", "right", "strike")
-
-
-@query("WITH t AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS f FROM documents) SELECT doc_id, CASE WHEN coalesce(f, '') = '' THEN 'missing_text' WHEN contains(f, 'license') OR contains(f, 'rights reserved') THEN 'not_earnings' WHEN contains(f, 'the') OR contains(f, 'and') THEN 'earnings' ELSE 'undecided' END AS status FROM t")
-def filing_classifier(spark, sf):
-    return panel.classify_filing(load(spark, sf, "documents"), "text").select("doc_id", "status")
-
-
-@query("SELECT o_custkey, count(*) AS n, max(o_orderkey) AS last_key, min(o_orderpriority) AS least FROM orders GROUP BY 1")
-def json_parallel_arrays(spark, sf):
-    packed = load(spark, sf, "orders").groupBy("o_custkey").agg(F.to_json(F.struct(F.collect_list("o_orderkey").alias("k"), F.collect_list("o_orderpriority").alias("p"))).alias("j"))
-    rows = tables.explode_parallel(packed, "j", {"k": "bigint", "p": "string"}, ["o_custkey"])
-    return rows.groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("k").alias("last_key"), F.min("p").alias("least"))
-
-
-@query("SELECT user_id, event_id, event_type, round(value, 4) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
-def keyed_dedupe_keep_last(spark, sf):
-    e = load(spark, sf, "events")
-    return rounded(tables.keep_last(e, ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type", "value"))
-
-
-NODES = ((-2.0, 0.05), (-1.0, 0.25), (0.0, 0.4), (1.0, 0.25), (2.0, 0.05))
-
-
-@query(f"SELECT p_partkey, round(sum(w * abs(p_retailprice * exp(sqrt(p_size / 500.0) * x - p_size / 1000.0) - 1000)), 4) AS expected_payoff FROM part, (VALUES {', '.join(map(str, NODES))}) n(x, w) GROUP BY 1")
-def expected_payoff_quadrature(spark, sf):
-    p = load(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("spot"), F.lit(1000.0).alias("strike"), (F.col("p_size") / 500.0).alias("variance"))
-    return rounded(panel.expected_payoff(p, NODES, "spot", "strike", "variance").select("p_partkey", "expected_payoff"))
-
-
-@query()
-def implied_vol(spark, sf):
-    p = load(spark, sf, "part").where("p_size > 0")
-    spot = F.col("p_retailprice")
-    return p.select("p_partkey", implied_volatility(spot * (F.lit(0.02) + F.col("p_size") / 1000), spot, spot * (F.lit(0.9) + (F.col("p_partkey") % 20) / 100), F.lit(30 / 365), F.col("p_size") % 2).alias("iv"))
-
-
-@query()
-def quote_stream_marks(spark, sf):
-    r = requests(spark, sf).where("window = 'entry'").select(F.col("event_id").alias("request_id"), "contract", "start_ts", "end_ts")
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/marks-{spark.sparkContext.applicationId}-{id(r)}"
-    ticks(spark, sf).select("contract", "ts", "value").write.mode("overwrite").parquet(f"{folder}/in")
-    return marks.run(spark, f"{folder}/in", "contract long, ts timestamp, value double", r, folder)
-
-
-PLAN = f"{EV}, {DAYS}, av AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM (SELECT DISTINCT date FROM bars WHERE isodow(date) < 6)), placed AS (SELECT ev.*, av.i AS e FROM ev ASOF JOIN av ON ev.event_date >= av.date), plan AS (SELECT p.event_id, p.ticker, av.date AS source_date, 19 - (p.e - av.i) AS seq_index FROM placed p JOIN av ON av.i BETWEEN p.e - 19 AND p.e)"
-COVER = PLAN + ", cov AS (SELECT event_id, count(days.date) AS valid_days, count(days.date) FILTER (seq_index >= 15) AS latest5_days FROM plan LEFT JOIN days ON days.ticker = plan.ticker AND days.date = source_date GROUP BY 1)"
-
-
-def plan_of(spark, sf):
-    weekdays = bars(spark, sf).select("date").where(~F.dayofweek("date").isin(1, 7))
-    return calendar.sequence_plan(order_events(spark, sf).select("event_id", "ticker", "event_date"), weekdays, "event_date", "date")
-
-
-@query(f"WITH {PLAN} SELECT event_id, source_date, seq_index FROM plan")
-def sequence_plan(spark, sf):
-    return plan_of(spark, sf).select("event_id", "source_date", F.col("seq_index").cast("long").alias("seq_index"))
-
-
-def covered(spark, sf):
-    held = bars(spark, sf).select("ticker", F.col("date").alias("source_date")).distinct().withColumn("valid", F.lit(True))
-    return calendar.sequence_coverage(plan_of(spark, sf).join(held, ["ticker", "source_date"], "left"), "event_id", "valid")
-
-
-@query(f"WITH {COVER} SELECT *, valid_days >= 12 AND latest5_days >= 1 AS eligible FROM cov")
-def sequence_coverage(spark, sf):
-    return covered(spark, sf)
-
-
-@query(f"WITH {COVER} SELECT count(*) AS events, count(*) FILTER (valid_days >= 8) AS at_least_8, count(*) FILTER (valid_days >= 12) AS at_least_12, count(*) FILTER (valid_days >= 16) AS at_least_16, count(*) FILTER (valid_days >= 20) AS at_least_20, round(avg((NOT (valid_days >= 12 AND latest5_days >= 1))::INT), 4) AS drop_rate, avg((NOT (valid_days >= 12 AND latest5_days >= 1))::INT) > 0.1 AS at_risk FROM cov")
-def sequence_coverage_report(spark, sf):
-    return rounded(calendar.coverage_report(covered(spark, sf)))
-
-
-DEFEAT = """raw AS (SELECT l_returnflag AS model, l_orderkey AS orderkey, l_linenumber AS line, l_extendedprice / 1000 AS y, l_quantity * 1.5 AS f, 38.0::DOUBLE AS b FROM lineitem),
-er AS (SELECT *, f - b AS forecast_edge, y - b AS realised_edge, abs(f - y) AS model_error, abs(b - y) AS market_error FROM raw),
-df AS (SELECT *, model_error < market_error AS near, forecast_edge > 0 AS up, realised_edge > 0 AS paid FROM er)"""
-
-
-def defeats(spark, sf):
-    raw = load(spark, sf, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("line"), (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_quantity") * 1.5).alias("f"), F.lit(38.0).alias("b"))
-    return evaluation.defeat_events(raw, "f", "y", "b")
-
-
-@query(f"WITH {DEFEAT} SELECT model, count(*) AS n, round(avg(near::INT), 4) AS model_nearer_share, round(avg((up = paid)::INT), 4) AS sign_correct_share, round(avg((up AND NOT paid)::INT), 4) AS false_positive_share, round(avg((paid AND NOT up)::INT), 4) AS false_negative_share, round(avg((near AND up = paid AND realised_edge <> 0)::INT), 4) AS model_corrected_market_share, round(avg((NOT near AND up <> paid)::INT), 4) AS market_right_model_wrong_share, round(avg(model_error), 4) AS mean_model_error, round(avg(market_error), 4) AS mean_market_error FROM df GROUP BY 1")
-def defeat_summary(spark, sf):
-    return rounded(evaluation.defeat_summary(defeats(spark, sf), ["model"]))
-
-
-CASES = DEFEAT + """, cases AS (SELECT 'false_positive' AS case_type, abs(forecast_edge) AS severity, * FROM df WHERE up AND NOT paid
-UNION ALL SELECT 'false_negative', abs(realised_edge), * FROM df WHERE paid AND NOT up
-UNION ALL SELECT 'model_corrected_market', abs(market_error - model_error), * FROM df WHERE near AND up = paid AND realised_edge <> 0
-UNION ALL SELECT 'market_right_model_wrong', abs(market_error - model_error), * FROM df WHERE NOT near AND up <> paid
-UNION ALL SELECT 'execution_fragile', abs(forecast_edge), * FROM df WHERE line = 7)"""
-
+from panelspark.plans import contracts, evaluation, feeds, panels, quoted, sequences  # noqa: F401  (each registers its queries)
+from panelspark.plans.common import ORACLES, QUERIES
 
-@query(f"WITH {CASES} SELECT case_type, model, orderkey, line::BIGINT AS line, round(severity, 7) AS severity, row_number() OVER (PARTITION BY case_type, model ORDER BY severity DESC, orderkey, line) AS rank FROM cases QUALIFY rank <= 25")
-def casebook(spark, sf):
-    out = evaluation.casebook(defeats(spark, sf), ["model"], ["orderkey", "line"], F.col("line") == 7)
-    return rounded(out.select("case_type", "model", "orderkey", "line", "severity", "rank"), 7)
+__all__ = ["ORACLES", "QUERIES"]

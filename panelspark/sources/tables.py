@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.numbers import finite
+
 #: Option symbols: O:ROOT, then yymmdd, C or P, strike in thousandths on eight digits.
 OPTION_SYMBOL = r"^O:([A-Z.]+)(\d{2})(\d{2})(\d{2})([CP])(\d{8})$"
 
@@ -15,8 +17,7 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     """Parquet or CSV by suffix; CSV needs its schema, so nothing is inferred by an extra pass."""
     if path.endswith((".csv", ".csv.gz")):
         return spark.read.csv(path, header=True, schema=schema)
-    df = spark.read.parquet(path)
-    return df.select(*[F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.simpleString() == "timestamp_ntz" else F.col(f.name) for f in df.schema])
+    return cleaned(spark.read.parquet(path))
 
 
 def write_partitions(df: DataFrame, path: str, by: str = "date") -> None:
@@ -24,9 +25,11 @@ def write_partitions(df: DataFrame, path: str, by: str = "date") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def finite(c: Column) -> Column:
-    """Null for NaN and infinities."""
-    return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
+def cleaned(df: DataFrame) -> DataFrame:
+    """Timestamps without zone as UTC instants; NaN and infinities, which mean missing here, as null."""
+    kind = lambda f: f.dataType.simpleString()
+    made = lambda f: F.col(f.name).cast("timestamp") if kind(f) == "timestamp_ntz" else finite(F.col(f.name)) if kind(f) in ("double", "float") else F.col(f.name)
+    return df.select(*[made(f).alias(f.name) for f in df.schema])
 
 
 def first_of(df: DataFrame, *names: str) -> Column:
@@ -38,9 +41,10 @@ def first_of(df: DataFrame, *names: str) -> Column:
 
 
 def epoch_timestamp(c: Column) -> Column:
-    """Timestamp of an epoch number whose unit (s, ms, us, ns) is told by its magnitude."""
+    """Timestamp of an epoch number whose unit (s, ms, us, ns) is told by its magnitude; digits below a microsecond go."""
     n = c.cast("long")
-    return F.when(n >= 10**17, F.timestamp_micros(F.floor(n / 1000))).when(n >= 10**14, F.timestamp_micros(n)).when(n >= 10**11, F.timestamp_millis(n)).otherwise(F.timestamp_seconds(n))
+    micros = F.floor(n.cast("decimal(20,0)") / 1000).cast("long")
+    return F.when(n > 10**17, F.timestamp_micros(micros)).when(n > 10**14, F.timestamp_micros(n)).when(n > 10**11, F.timestamp_millis(n)).otherwise(F.timestamp_seconds(c.cast("double")))
 
 
 def parse_option_symbol(df: DataFrame, symbol: str) -> DataFrame:
@@ -50,14 +54,18 @@ def parse_option_symbol(df: DataFrame, symbol: str) -> DataFrame:
     return df.withColumns({"underlying": part(1), "expiration": F.when(part(2).isNotNull(), F.try_to_date(day, "yyyy-MM-dd")), "right": F.when(part(5) == "C", "call").when(part(5) == "P", "put"), "strike": part(6).cast("double") / 1000.0})
 
 
-def normalise_quotes(quotes: DataFrame) -> DataFrame:
-    """options_ticker, ts, bid, ask, mid, spread, spread_over_mid from raw quotes under any of their known names."""
-    bid, ask = finite(first_of(quotes, "bid_price", "bid").cast("double")), finite(first_of(quotes, "ask_price", "ask").cast("double"))
-    at = first_of(quotes, "sip_timestamp", "quote_timestamp", "timestamp", "quote_timestamp_et")
-    kind = dict(quotes.dtypes)
-    at = epoch_timestamp(at) if "int" in kind.get("sip_timestamp", "") else at.cast("timestamp")
+def normalise_quotes(quotes: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """options_ticker, quote_date (in New York), ts, bid, ask, mid, spread, spread_over_mid from raw quotes under any of their known names.
+
+    A SIP instant is a whole number whose unit its magnitude tells, or a text. A spread over a mid of 0 is missing.
+    """
+    bid, ask = finite(first_of(quotes, "bid_price", "bid").try_cast("double")), finite(first_of(quotes, "ask_price", "ask").try_cast("double"))
+    kind = dict(quotes.dtypes).get("sip_timestamp", "")
+    raw = first_of(quotes, "sip_timestamp", "quote_timestamp", "timestamp", "quote_timestamp_et")
+    at = epoch_timestamp(raw) if kind in ("int", "bigint", "double") else F.coalesce(epoch_timestamp(raw.try_cast("double")), F.try_to_timestamp(raw)) if kind == "string" else raw.cast("timestamp")
     mid = (bid + ask) / 2
-    return quotes.select(first_of(quotes, "options_ticker", "ticker").alias("options_ticker"), at.alias("ts"), bid.alias("bid"), ask.alias("ask"), mid.alias("mid"), (ask - bid).alias("spread"), ((ask - bid) / F.nullif(mid, F.lit(0.0))).alias("spread_over_mid"))
+    day = F.col("quote_date").cast("date") if "quote_date" in quotes.columns else F.to_date(F.from_utc_timestamp(at, "America/New_York"))
+    return quotes.select(first_of(quotes, "ticker", "options_ticker").alias("options_ticker"), *keep, day.alias("quote_date"), at.alias("ts"), bid.alias("bid"), ask.alias("ask"), mid.alias("mid"), (ask - bid).alias("spread"), ((ask - bid) / F.nullif(mid, F.lit(0.0))).alias("spread_over_mid"))
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -1,35 +1,76 @@
-"""Incremental quote-window marks: files arrive, the latest valid tick per request is kept in a table.
+"""Incremental quote-window marks and prices: files arrive, and what each request knows so far is kept in a table.
 
-The latest of ticks is associative and idempotent, so a replayed micro-batch changes nothing and late files need no
-watermark. Each micro-batch reads the last version of the marks, joins its ticks, and writes the next version.
+The latest of ticks is associative and idempotent, so late files need no watermark. Sums aren't idempotent, so a batch's
+result is a version of its own, made from the version before it: a batch that runs again writes the same version again.
+Ticks meet requests by contract and hour. A version holds every request met so far.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.operators.asof import within_windows
+
+MARKS = "request_id long, ts timestamp, value double"
+SUMS = "request_id long, pv double, volume double, last_ts timestamp, rows long"
+
 
 def batch_marks(ticks: DataFrame, requests: DataFrame) -> DataFrame:
-    """ticks: contract, ts, value; requests: request_id, contract, start_ts, end_ts."""
-    met = ticks.where("value > 0").join(requests, "contract").where("ts BETWEEN start_ts AND end_ts")
+    """request_id, ts, value of the latest tick in each window. ticks: contract, ts, value; requests: request_id, contract, start_ts, end_ts."""
+    met = within_windows(ticks.where("value > 0"), requests, ["contract"], "ts")
     return met.groupBy("request_id").agg(F.max(F.struct("ts", "value")).alias("m")).select("request_id", "m.ts", "m.value")
 
 
-def run(spark: SparkSession, source: str, schema: str, requests: DataFrame, folder: str) -> DataFrame:
-    """Processes all files that have landed in ``source`` and returns the marks."""
+def merged_marks(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.unionByName(b).groupBy("request_id").agg(F.max(F.struct("ts", "value")).alias("m")).select("request_id", "m.ts", "m.value")
+
+
+def batch_sums(ticks: DataFrame, requests: DataFrame) -> DataFrame:
+    """request_id with the sums that a window's price is made of. ticks also have volume."""
+    met = within_windows(ticks.where("value > 0 AND volume > 0"), requests, ["contract"], "ts")
+    return met.groupBy("request_id").agg(F.sum(F.col("value") * F.col("volume")).alias("pv"), F.sum(F.col("volume").cast("double")).alias("volume"), F.max("ts").alias("last_ts"), F.count("*").alias("rows"))
+
+
+def merged_sums(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.unionByName(b).groupBy("request_id").agg(F.sum("pv").alias("pv"), F.sum("volume").alias("volume"), F.max("last_ts").alias("last_ts"), F.sum("rows").alias("rows"))
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """The versions that are written whole, by the file system's own list (the folder is small)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return sorted(int(n.removeprefix("version-")) for n in names if n.startswith("version-"))
+
+
+def run(spark: SparkSession, source: str, schema: str, folder: str, state: str, batch: Callable[[DataFrame], DataFrame], merged: Callable[[DataFrame, DataFrame], DataFrame], files_a_batch: int = 4) -> DataFrame:
+    """Processes all files that have landed in ``source`` since the last run and returns what is known now.
+
+    A run without new files, the first one included, returns the last version, or no rows.
+    """
+    def merge(ticks: DataFrame, number: int) -> None:
+        new = batch(ticks)
+        before = [v for v in _versions(spark, f"{folder}/state") if v < number]
+        if before:
+            new = merged(new, spark.read.schema(state).parquet(f"{folder}/state/version-{before[-1]}"))
+        new.write.mode("overwrite").parquet(f"{folder}/state/version-{number}")
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
+    known = _versions(spark, f"{folder}/state")
+    return spark.read.schema(state).parquet(f"{folder}/state/version-{known[-1]}") if known else spark.createDataFrame([], state)
+
 
-    def version(n: int) -> str:
-        return f"{folder}/marks-{n}"
+def run_marks(spark: SparkSession, source: str, schema: str, requests: DataFrame, folder: str) -> DataFrame:
+    return run(spark, source, schema, folder, MARKS, lambda t: batch_marks(t, requests), merged_marks)
 
-    def merge(ticks: DataFrame, batch: int) -> None:
-        new = batch_marks(ticks, requests)
-        if batch:
-            new = new.unionByName(spark.read.schema(new.schema).parquet(version(batch - 1))).groupBy("request_id").agg(F.max(F.struct("ts", "value")).alias("m")).select("request_id", "m.ts", "m.value")
-        new.write.mode("overwrite").parquet(version(batch))
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(source)
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
-    query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.parquet(version(last))
+def run_vwap(spark: SparkSession, source: str, schema: str, requests: DataFrame, folder: str) -> DataFrame:
+    """request_id, vwap, volume, last_ts, rows of all ticks that have arrived."""
+    known = run(spark, source, schema, folder, SUMS, lambda t: batch_sums(t, requests), merged_sums)
+    return known.select("request_id", (F.col("pv") / F.col("volume")).alias("vwap"), "volume", "last_ts", "rows")

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from panelspark.operators import calendar, evaluation
+from panelspark.operators import calendar, comparison
 
 
 def day(n):
@@ -30,12 +30,12 @@ def test_coverage_needs_enough_and_recent_days(spark):
 
 def test_defeats_and_casebook(spark):
     rows = [(1, 3.0, 4.0, 2.0), (2, 3.0, 1.0, 2.0), (3, 1.0, 4.0, 2.0), (4, 3.0, 1.0, 2.0), (5, None, 1.0, 2.0), (6, float("nan"), 1.0, 2.0), (7, 2.5, 2.0, 2.0)]
-    out = evaluation.defeat_events(spark.createDataFrame(rows, "id int, f double, y double, b double"), "f", "y", "b").withColumn("m", F.lit("x"))
+    out = comparison.defeat_events(spark.createDataFrame(rows, "id int, f double, y double, b double"), "f", "y", "b").withColumn("m", F.lit("x"))
     assert {r["id"]: (r["false_positive"], r["false_negative"], r["model_corrected_market"], r["market_right_model_wrong"]) for r in out.collect()} == {
         1: (False, False, True, False), 2: (True, False, False, True), 3: (False, True, False, True), 4: (True, False, False, True), 7: (True, False, False, True)
     }
-    cases = evaluation.casebook(out, ["m"], ["id"], F.col("id") == 7, 2).select("case_type", "id", "rank").collect()
+    cases = comparison.casebook(out, ["m"], ["id"], F.col("id") == 7, 2).select("case_type", "id", "rank").collect()
     assert {tuple(c) for c in cases if c[0] == "false_positive"} == {("false_positive", 2, 1), ("false_positive", 4, 2)}
     assert {tuple(c) for c in cases if c[0] == "execution_fragile"} == {("execution_fragile", 7, 1)}
-    assert evaluation.defeat_summary(out, ["m"]).head()["n"] == 5
-    assert evaluation.casebook(out.limit(0), ["m"], ["id"]).count() == 0
+    assert comparison.defeat_summary(out, ["m"]).head()["n"] == 5
+    assert comparison.casebook(out.limit(0), ["m"], ["id"]).count() == 0
