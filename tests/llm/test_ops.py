@@ -381,19 +381,64 @@ def test_language(spark, odd, none):
     assert language.identify(none, model).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    x = language.units("the cat sat on the mat. the hat")
-    g, n = np.unique(language.grams(x), return_counts=True)
-    m = language.Models(["en"], [(g, n)])
+def models_of(spark, texts, least_share=0.0):
+    docs = spark.createDataFrame(texts, "lang string, text string")
+    return language.from_counts(language.count_grams(docs, "text", "lang"), least_share)
+
+
+@pytest.mark.parametrize("least_share", [0.0, 0.05])
+def test_kneser_ney_sums_to_one(spark, least_share):
+    m = models_of(spark, [("en", "the cat sat on the mat. the hat")], least_share)
     every = np.arange(1 << 12, dtype=np.uint64)  # an unseen unit's share is one in 2^12 of what is held back
     for h in ([1, 1, 1], [ord("t"), ord("h"), ord("e")], [ord("z")] * 3):
         code = sum(np.uint64(c) << np.uint64(16 * (3 - i)) for i, c in enumerate(h)) | every
         assert abs(np.exp(m._log(code, 0)[:, 0].astype(float)).sum() - 1) < 1e-3
 
 
-def test_language_strides(monkeypatch):
-    m = language.Models(["en"], [np.unique(language.grams(language.units("the cat sat on the mat")), return_counts=True)])
-    texts = ["the cat", "sat " * 50, "mat", "x"]
+def test_entropy_against_a_plain_kneser_ney(spark):
+    """Interpolated Kneser-Ney once more, gram by gram in dictionaries."""
+    text, asked = "the cat sat on the mat. the hat", "that cat hates the mast"
+    x = language.units(text).tolist()
+    four = defaultdict(int)
+    for i in range(3, len(x)):
+        four[tuple(x[i - 3 : i + 1])] += 1
+    levels = {4: dict(four)}
+    for k in (3, 2, 1):
+        below = defaultdict(int)
+        for g in levels[k + 1]:
+            below[g[1:]] += 1
+        levels[k] = dict(below)
+
+    def discount(c):
+        one, two = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
+        return one / (one + 2 * two) if one and two else 0.5
+
+    def p(g):
+        c, d, k = levels[len(g)], discount(levels[len(g)]), len(g)
+        if k == 1:
+            total = sum(c.values())
+            return max(c.get(g, 0) - d, 0) / total + d * len(c) / total / (1 << 12)
+        own = {h: n for h, n in c.items() if h[:-1] == g[:-1]}
+        if not own:
+            return p(g[1:])
+        total = sum(own.values())
+        return max(own.get(g, 0) - d, 0) / total + d * len(own) / total * p(g[1:])
+
+    y = language.units(asked).tolist()
+    want = -sum(math.log(p(tuple(y[i - 3 : i + 1]))) for i in range(3, len(y))) / (len(y) - 3)
+    got = models_of(spark, [("en", text)]).entropies([language.units(asked)])[0][0, 0]
+    assert got == pytest.approx(want, rel=1e-5)
+
+
+def test_texts_without_a_letter_are_und(spark):
+    model = language.Identifier(models_of(spark, [("en", "the cat sat on the mat"), ("de", "die katze lag auf der matte")]))
+    got = [x[0] for x in model.identify(["🙂🙂", "🙂 123", "", None, "…", "the mat 🙂", "𝒶"])]
+    assert got[:5] == ["und"] * 5 and got[5] == "en" and got[6] in ("en", "de")
+
+
+def test_language_strides(spark, monkeypatch):
+    m = models_of(spark, [("en", "the cat sat on the mat")])
+    texts = [language.units(t) for t in ("the cat", "sat " * 50, "mat", "x")]
     whole = m.entropies(texts)[0]
     monkeypatch.setattr(language, "STRIDE", 16)
     assert np.allclose(m.entropies(texts)[0], whole)
