@@ -6,13 +6,13 @@ quartiles, and for each bucket the quartile that its count falls in (two bits),
 differ by a bounded score: the circular distance of lengths, of ratios, and per bucket 0, 1, 2 or 6 for quartiles
 that are 0, 1, 2 or 3 apart; ``likeness`` maps it to 1 (same digest) down to 0.
 
-``with_neighbours`` pairs every row with the next one by id without a window over all rows: ids are cut at
-quantile bounds, each range gets a copy of the next range's first row, and rows are read in order inside a range.
-The whole text crosses one shuffle.
+``compare_with_next`` pairs every row with the next one by id without a window over all rows: rows are range-partitioned
+and read in order, and each partition hands on its first and its last row, which meet in a join on the partition's number.
+The whole text crosses one shuffle. Nothing about the ranges reaches the driver or the plan.
 
 Defined results: null text is the empty text; texts of fewer than five bytes have no triplets and their digest
 holds the length and bucket 0's quartile everywhere, so equal texts still agree and different short ones differ
-by length only; rows of equal id are ordered by text, null ids come first; a single row is its own next row; an
+by length only; rows of equal id are ordered by a hash of their text, null ids come first; a single row is its own next row; an
 empty table gives no rows.
 """
 
@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 BUCKETS = 256
 #: Of the six triplets in a window: the places of the other two bytes, and a salt each.
@@ -75,58 +75,65 @@ def likeness(a: str, b: str) -> float:
     return max(0.0, 1.0 - difference(a, b) / FAR)
 
 
-def with_neighbours(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """range, last (false; true for the copy of the next range's first row), id, text: to be read in this order."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ids = rows.select("id")
-    parts = max(1, math.ceil(ids.count() / rows_per_range))
-    cuts = ids.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 100 * parts)).head()[0] if parts > 1 else []
-    cuts = sorted(set(cuts or []))
-    # the range: how many cuts lie at or below the id, found by halving
-    at = lambda lo, hi: F.lit(lo) if lo == hi else F.when(F.col("id") < F.lit(cuts[(lo + hi) // 2]).cast("long"), at(lo, (lo + hi) // 2)).otherwise(at((lo + hi) // 2 + 1, hi))
-    place = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(at(0, len(cuts))).cast("int")
-    firsts = ids.withColumn("range", place).groupBy("range").agg(F.min("id").alias("id")).collect()  # a row for each range
-    order = sorted(r["range"] for r in firsts)
-    if not order:
-        return rows.select(F.lit(0).alias("range"), F.lit(False).alias("last"), "id", "text")
-    before = {r: order[i - 1] for i, r in enumerate(order)}  # the first range's first row ends the last range
-    spark = docs.sparkSession
-    heads = spark.createDataFrame([(r["id"], before[r["range"]]) for r in firsts], "id long, range int")
-    head_rows = rows.join(F.broadcast(heads), rows["id"].eqNullSafe(heads["id"])).select("range", rows["id"], "text")
-    # of rows that share that id, the first by text
-    head_rows = head_rows.groupBy("range").agg(F.min_by(F.struct("id", "text"), "text").alias("f")).select("range", F.lit(True).alias("last"), "f.id", "f.text")
-    every = rows.select(place.alias("range"), F.lit(False).alias("last"), "id", "text").unionByName(head_rows)
-    return every.repartition("range").sortWithinPartitions("range", "last", "id", "text")
-
-
 def edited(text: str, following: str) -> str:
     n = len(text) // 4
     return text[: len(text) - n] + following[:n]
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = None
-    for b in batches:
-        out = []
-        for r, last, i, text in zip(*(b.column(k).to_pylist() for k in range(4))):
-            own = fingerprint(text.encode("utf-8", "surrogatepass"))
-            if held and held[0] == r:
-                _, hid, htext, hown = held
-                e = edited(htext, text).encode("utf-8", "surrogatepass")
-                other = fingerprint(e)
-                out.append((hid, len(htext), hashlib.sha256(e).hexdigest(), hown, other, likeness(hown, other), likeness(hown, own)))
-            held = None if last else (r, i, text, own)
-        yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, x)) for x in out], schema=_SCHEMA)
+def _compared(i: int | None, text: str, own: str, following: str, other: str) -> tuple:
+    """The result's row of a text (with its fingerprint) that is followed by another."""
+    e = edited(text, following).encode("utf-8", "surrogatepass")
+    changed = fingerprint(e)
+    return i, len(text), hashlib.sha256(e).hexdigest(), own, changed, likeness(own, changed), likeness(own, other)
 
 
 _NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-_SCHEMA = pa.schema([pa.field(n, t) for n, t in zip(_NAMES, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))])
+_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+_SCHEMA = pa.schema([pa.field(n, t) for n, t in zip(_NAMES, _TYPES)])
+_EDGES = pa.schema([*_SCHEMA, pa.field("part", pa.int32()), pa.field("side", pa.string()), pa.field("text", pa.string())])
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's rows (part, id, text, in order) the results of all but the last; its first and last row with their texts."""
+    held, part = None, None
+    names = _EDGES.names
+    for b in batches:
+        out = []
+        for part, i, text in zip(*(b.column(k).to_pylist() for k in range(3))):
+            own = fingerprint(text.encode("utf-8", "surrogatepass"))
+            if held:
+                out.append((*_compared(*held, text, own), part, None, None))
+            else:
+                out.append((i, None, None, own, None, None, None, part, "first", text))
+            held = (i, text, own)
+        yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in out], schema=_EDGES)
+    if held:
+        i, text, own = held
+        yield pa.RecordBatch.from_pylist([dict(zip(names, (i, None, None, own, None, None, None, part, "last", text)))], schema=_EDGES)
+
+
+def _at_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, _compared(*r))) for r in zip(*(b.column(k).to_pylist() for k in range(5)))], schema=_SCHEMA)
 
 
-def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Per row: id, n_chars, the fingerprints of its text and its edited text, and how alike they and the next row's are."""
-    out = with_neighbours(docs, id_col, text_col).mapInArrow(_digests, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return out.withColumnRenamed("doc_id", id_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    order = [F.col("id").asc_nulls_first(), F.col("tie")]
+    parts = max(1, math.ceil(docs.count() / rows_per_range))
+    spread = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text").select(F.spark_partition_id().alias("part"), "id", "text")
+    done = materialise(spread.mapInArrow(_in_order, f"{RESULT}, part int, side string, text string"), "fingerprints")
+    # of each partition's two rows: the last is followed by the first of the next partition that has rows (after the last: the first)
+    edge = lambda side: done.where(F.col("side") == side).select("part", F.col("doc_id").alias("id"), "text", F.col("fingerprint").alias("fp"))
+    numbers = done.where("side = 'first'").select("part")  # a number for each partition
+    following = F.coalesce(F.lead("part").over(Window.orderBy("part")), F.first("part").over(Window.orderBy("part")))
+    nexts = numbers.select("part", following.alias("after"))
+    firsts = edge("first").select(F.col("part").alias("after"), F.col("text").alias("following"), F.col("fp").alias("other"))
+    last = edge("last").join(nexts, "part").join(firsts, "after").select("id", "text", "fp", "following", "other")
+    names = [F.col(n).alias(id_col if n == "doc_id" else n) for n in _NAMES]
+    return done.where("side IS NULL").select(*_NAMES).unionByName(last.mapInArrow(_at_edges, RESULT)).select(*names)
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -283,24 +283,47 @@ def test_trigram_queries():
 
 # 6 ----------------------------------------------------------------------------------------------------------------
 
-def test_fingerprint(docs, odd, none):
-    for d, size in ((docs, 20), (docs, 4000), (odd, 2)):
-        original = fingerprint.ROWS_PER_RANGE
-        got = fingerprint.with_neighbours(d, "doc_id", "text", size)
-        out = got.mapInArrow(fingerprint._digests, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").collect()
-        src = sorted(((r.doc_id, r.text or "") for r in d.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-        assert len(out) == len(src) and original == fingerprint.ROWS_PER_RANGE
+def brute_digest(data):
+    """The digest again, triplet by triplet."""
+    counts = [0] * 256
+    for at in range(max(0, len(data) - 4)):
+        w = data[at : at + 5]
+        for i, j, salt in fingerprint.TRIPLETS:
+            counts[(w[0] + w[i] * 257 + w[j] * 65537 + salt) * 2654435761 % 2**32 >> 24] += 1
+    q = [sorted(counts)[k] for k in (63, 127, 191)]
+    length = min(255, int(math.log(len(data) + 1) / math.log(1.1)))
+    low = [q[0] * 16 // max(q[2], 1) % 16, q[1] * 16 // max(q[2], 1) % 16]
+    body = [sum(sum(counts[4 * k + n] > x for x in q) << 2 * n for n in range(4)) for k in range(64)]
+    return bytes([length, low[0] << 4 | low[1], *body]).hex()
+
+
+def brute_difference(a, b):
+    x, y = bytes.fromhex(a), bytes.fromhex(b)
+    around = lambda p, q, n: min(abs(p - q), n - abs(p - q))
+    step = lambda d: d if d <= 1 else (d - 1) * 12
+    total = min(step(around(x[0], y[0], 256)), 120) + step(around(x[1] >> 4, y[1] >> 4, 16)) + step(around(x[1] % 16, y[1] % 16, 16))
+    for p, q in zip(x[2:], y[2:]):
+        total += sum((0, 1, 2, 6)[abs((p >> s & 3) - (q >> s & 3))] for s in (0, 2, 4, 6))
+    return max(0.0, 1 - total / fingerprint.FAR)
+
+
+def test_fingerprint(spark, docs, odd, none):
+    short = docs.where("n_chars < 1500").limit(60)
+    twice = spark.createDataFrame([(1, "same words here and there"), (1, "same words here and there"), (2, ""), (None, None)], "doc_id long, text string")
+    for d, size in ((short, 7), (short, 4000), (odd.where("coalesce(length(text), 0) < 1000"), 2), (twice, 1)):
+        out = fingerprint.compare_with_next(d, rows_per_range=size).collect()
+        order = d.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("t"), "t").collect()
         want = []
-        for (i, t), (_, nxt) in zip(src, src[1:] + src[:1]):
-            k = len(t) // 4
-            e = t[: len(t) - k] + nxt[:k]
-            fp = fingerprint.fingerprint(t.encode())
-            want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), fp, fingerprint.fingerprint(e.encode()), fingerprint.likeness(fp, fingerprint.fingerprint(nxt.encode()))))
-        assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_next)) for r in out)
-        if d is docs:
-            big = [r for r in out if r.n_chars > 500]
-            assert np.mean([r.near_edited for r in big]) > np.mean([r.near_next for r in big]) + 0.4
-    assert fingerprint.compare_with_next(none).count() == 0
+        for r, after in zip(order, order[1:] + order[:1]):
+            k = len(r.t) // 4
+            e = r.t[: len(r.t) - k] + after.t[:k]
+            own, other, following = (brute_digest(x.encode()) for x in (r.t, e, after.t))
+            want.append((r.doc_id, len(r.t), hashlib.sha256(e.encode()).hexdigest(), own, other, round(brute_difference(own, other), 9), round(brute_difference(own, following), 9)))
+        got = [(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in out]
+        assert sorted(map(str, want)) == sorted(map(str, got))
+    big = [r for r in fingerprint.compare_with_next(docs).collect() if r.n_chars > 500]
+    assert np.mean([r.near_edited for r in big]) > np.mean([r.near_next for r in big]) + 0.4
+    assert fingerprint.compare_with_next(odd).count() == odd.count() and fingerprint.compare_with_next(none).count() == 0
     assert fingerprint.likeness("00" * 66, "00" * 66) == 1.0
 
 
