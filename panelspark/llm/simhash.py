@@ -14,9 +14,9 @@ and a covering family of that radius would need thousands of tables. There, MinH
 pairs: texts that agree on all of ``band_rows`` minima of one of ``bands`` bands meet in a bucket (0.998 of the
 pairs of similarity 0.8 do), and pairs whose signatures agree in far fewer minima than 0.8 (four standard errors)
 go no further. What is left is compared by the sets of 64-bit shingle hashes, and a pair links just if the Jaccard
-similarity of these sets reaches the bound. Within a bucket every member is first compared with a few leaders. Buckets
-that still hold several classes then compare their pairs if they are small; the members of larger ones are compared where
-they share rare shingles (``prefix_pairs``), which misses no pair of that similarity.
+similarity of these sets reaches the bound. Within a bucket every member is compared with a few leaders. The members of
+buckets that still hold several classes are then compared where they share rare shingles (``prefix_pairs``), which misses
+no pair of that similarity.
 
 Defined results: words are runs of characters other than ASCII white space, A-Z lower-cased; fewer words than a
 shingle make one shingle; null and empty texts have fingerprint zero, which links like any other (in
@@ -40,6 +40,8 @@ from .common import components, materialise, table
 
 SHINGLE, RADIUS, MOST_PAIRS_IN = 3, 2, 48
 SIMILARITY, NEAR_SHINGLE, BANDS, BAND_ROWS, LEADERS = 0.8, 5, 20, 6, 3
+#: Texts that a task remembers to have sketched (copies that it meets later are sketched again).
+MOST_SEEN = 1 << 20
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -155,7 +157,8 @@ def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
 
     ``sets``: node, root, shingles. Shingles are put in one order for all sets, rarest first. Sets that reach the bound
     share a shingle among the first ones of both: the larger set's first (1 - s) share and the smaller one's first
-    (1 - 2s / (1 + s)) share, each and one more. Only these few are joined, each a group of sets that share a rare shingle.
+    (1 - 2s / (1 + s)) share, each and one more. Only these few are joined. Roots that share such a shingle meet first,
+    once each, and then their members: members of one root never meet, however many there are.
     """
     s = float(similarity)
     each = sets.select("node", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
@@ -164,77 +167,78 @@ def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     probe = met.where(F.col("place") <= F.col("size") - F.ceil(F.lit(s) * F.col("size") - 1e-9) + 1)
     probe = materialise(probe.select("node", "root", "size", "shingle", "place"), "near-prefixes")
     kept = probe.where(F.col("place") <= F.col("size") - F.ceil(F.lit(2 * s / (1 + s)) * F.col("size") - 1e-9) + 1)
+    roots = lambda d, n: d.select("shingle", F.col("root").alias(f"root_{n}")).distinct()
+    classes = materialise(roots(probe, "x").join(roots(kept, "y"), "shingle").where("root_x <> root_y"), "near-roots")
     x, y = (d.select(*[F.col(c).alias(f"{c}_{n}") for c in ("node", "root", "size", "place")], "shingle") for d, n in ((probe, "x"), (kept, "y")))
     longer = (F.col("size_x") > F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("node_x") > F.col("node_y")))
     needed = F.ceil(F.lit(s / (1 + s)) * (F.col("size_x") + F.col("size_y")) - 1e-9)
-    left = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) + 1  # the most that can still be shared
-    pairs = x.join(y, "shingle").where(longer & (F.col("root_x") != F.col("root_y")) & (F.col("size_y") + 1e-9 >= s * F.col("size_x")))
     # a pair is found by its first shared shingle, after which at most ``left`` - 1 more can be shared
-    return pairs.where(left >= needed).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    left = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) + 1
+    pairs = classes.join(x, ["shingle", "root_x"]).join(y, ["shingle", "root_y"]).where(longer & (F.col("size_y") + 1e-9 >= s * F.col("size_x")) & (left >= needed))
+    return pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = NEAR_SHINGLE, bands: int = BANDS, band_rows: int = BAND_ROWS, leaders: int = LEADERS, most_pairs_in: int = MOST_PAIRS_IN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """digest (of the text), class_id, kept: one row per distinct text; of each class one text is kept.
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = NEAR_SHINGLE, bands: int = BANDS, band_rows: int = BAND_ROWS, leaders: int = LEADERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """digest (of the text), class_id, kept, least (its smallest id): one row per distinct text; of each class one text is kept.
 
     kept is the text of the class's smallest id, the digest breaking ties.
     """
     minima = bands * band_rows
     lists = lambda x, ends, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, kind))
 
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                part = b.slice(i, 1024)
-                sigs = [signature(np.unique(shingle_hashes(t.as_py(), words)), minima) for t in part.column(1)]
-                sigs = lists(np.concatenate([np.zeros(0, np.int32), *sigs]), np.arange(part.num_rows + 1) * minima, pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), sigs], names=["node", "sig"])
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in part.column(1)]
-                found = lists(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), found], names=["node", "shingles"])
+    def sketched(sketch, name: str, kind):
+        """A function over batches of (node, text) that gives each node met in a task once, with a list from its shingle hashes."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for b in batches:
+                for i in range(0, b.num_rows, 256):
+                    part, nodes, found = b.slice(i, 256), [], []
+                    for node, t in zip(part.column(0).to_pylist(), part.column(1)):
+                        if node not in seen:
+                            seen.add(node)
+                            nodes.append(node)
+                            found.append(sketch(np.unique(shingle_hashes(t.as_py(), words))))
+                    if len(seen) > MOST_SEEN:
+                        seen.clear()
+                    if nodes:
+                        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), lists(np.concatenate(found), np.cumsum([0, *map(len, found)]), kind)], names=["node", name])
+
+        return run
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     digest = F.md5(text.cast("binary"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), digest.alias("digest"), F.xxhash64(digest).alias("node"), text.alias("text"))
-    # copies of a text are sketched once
-    firsts = materialise(texts.groupBy("digest", "node").agg(F.min("id").alias("least"), F.first("text").alias("text")), "near-texts")
-    full = firsts.where(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "") != "").select("node", "text")
-    sigs = materialise(full.mapInArrow(signed, "node long, sig array<int>"), "near-signatures")
+    firsts = materialise(texts.groupBy("digest", "node").agg(F.min("id").alias("least")), "near-texts")
+    full = texts.where(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "") != "").select("node", "text")
+    signed = sketched(lambda h: signature(h, minima), "sig", pa.int32())
+    sigs = materialise(full.mapInArrow(signed, "node long, sig array<int>").dropDuplicates(["node"]), "near-signatures")
     band = [F.xxhash64(F.lit(i), F.slice("sig", i * band_rows + 1, band_rows)) for i in range(bands)]
     keyed = sigs.select("node", F.explode(F.array(*band)).alias("key"))
     # a bucket's leaders are the members that a hash for each of them ranks first, alike in all buckets
-    w = Window.partitionBy("key")
-    first = [F.min(F.struct(F.xxhash64("node", F.lit(t)).alias("h"), F.col("node").alias("b"))).over(w)["b"] for t in range(leaders)]
-    led = keyed.select("key", "node", F.count("*").over(w).alias("n"), F.array_distinct(F.array(*first)).alias("leaders"))
-    members = materialise(led.where("n > 1").select("key", "node", "leaders"), "near-members")
-    sets = materialise(full.join(members.select("node").distinct(), "node", "leftsemi").mapInArrow(shingled, "node long, shingles array<long>"), "near-sets")
+    first = [F.min(F.struct(F.xxhash64("node", F.lit(t)).alias("h"), F.col("node").alias("b")))["b"] for t in range(leaders)]
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*first)).alias("leaders")).where("n > 1").select("key", "leaders")
+    members = materialise(keyed.join(buckets, "key"), "near-members")
+    shingled = sketched(lambda h: h.view(np.int64), "shingles", pa.int64())
+    sets = materialise(full.join(members.select("node").distinct(), "node", "leftsemi").mapInArrow(shingled, "node long, shingles array<long>").dropDuplicates(["node"]), "near-sets")
 
-    def verified(pairs: DataFrame, tag: str) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
         agreeing = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         likely = _with_both(pairs, sigs, "sig").where(agreeing >= least_agreeing(minima, similarity)).select("a", "b")
-        return materialise(_similar(likely, sets, similarity), tag)
+        return materialise(_similar(likely, sets, similarity), "near-links")
 
-    links = verified(members.select(F.col("node").alias("a"), F.explode("leaders").alias("b")), "near-links")
+    links = verified(members.select(F.col("node").alias("a"), F.explode("leaders").alias("b")))
     roots = components(links, "near-classes")
-    # buckets that hold several classes: few members compare their pairs, many go by their rarest shingles
-    rooted = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    held = rooted.select("*", F.count("*").over(w).alias("n"), F.min("root").over(w).alias("r1"), F.max("root").over(w).alias("r2"))
-    rest = materialise(held.where("r1 <> r2").select("key", "node", "root", "n"), "near-rest")
-    few = rest.where(F.col("n") <= most_pairs_in).groupBy("key").agg(F.collect_list(F.struct("node", "root")).alias("m"))
-    pairs = few.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where("x.node < y.node AND x.root <> y.root").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    more = verified(pairs, "near-links")
-    many = rest.where(F.col("n") > most_pairs_in).select("node", "root").distinct()
-    if not many.isEmpty():
-        own = materialise(many.join(sets, "node"), "near-many")
-        more = more.unionByName(materialise(_similar(prefix_pairs(own, similarity), sets, similarity), "near-links"))
-    if not more.isEmpty():
-        roots = components(links.unionByName(more), "near-classes")
-    classed = firsts.select("digest", "node", "least").join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("class_id"))
+    # members of buckets that still hold several classes are compared where they share rare shingles
+    rooted = materialise(members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
+    rest = materialise(rooted.join(mixed, "key", "leftsemi").select("node", "root").distinct().join(sets, "node"), "near-rest")
+    if not rest.isEmpty():
+        more = materialise(_similar(prefix_pairs(rest, similarity), sets, similarity), "near-links")
+        if not more.isEmpty():
+            roots = components(links.unionByName(more), "near-classes")
+    classed = firsts.join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("class_id"))
     best = classed.groupBy("class_id").agg(F.min(F.struct("least", "digest")).alias("best"))
     return classed.join(best, "class_id").select("digest", "class_id", (F.col("digest") == F.col("best.digest")).alias("kept"), "least")
 

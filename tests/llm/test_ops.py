@@ -236,6 +236,24 @@ def test_near_duplicates_link_at_exactly_the_bound(spark):
     assert sum(linked) >= 0.98 * sum(want), (sum(linked), sum(want))
 
 
+def test_prefix_pairs_lose_no_pair(spark):
+    rng = np.random.default_rng(8)
+    common = rng.integers(0, 2**62, 60).tolist()
+    sets = []
+    for i in range(120):  # many sets share most of their elements; some are close to each other
+        own = common[: int(rng.integers(20, 60))] + rng.integers(0, 2**62, int(rng.integers(0, 12))).tolist()
+        sets.append(set(own))
+    for i in range(20):
+        near = list(sets[i])
+        sets.append(set(near[: len(near) - int(rng.integers(0, 6))]) | {int(rng.integers(0, 2**62))})
+    root = [i % 7 for i in range(len(sets))]
+    df = spark.createDataFrame([(i, root[i], sorted(x)) for i, x in enumerate(sets)], "node long, root long, shingles array<long>")
+    want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    got = {tuple(sorted((r.a, r.b))) for r in simhash.prefix_pairs(df, 0.8).collect()}
+    assert want and want <= got and len(got) < 3 * len(want)
+    assert simhash.prefix_pairs(df.limit(0), 0.8).count() == 0
+
+
 # 8 ----------------------------------------------------------------------------------------------------------------
 
 def brute_base(text):
