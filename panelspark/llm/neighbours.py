@@ -3,13 +3,19 @@
 Trees are grown on a bounded sample of distinct vectors: a node splits its points at the median of their
 projections on the difference of two random points. Every distinct vector is then indexed in one leaf of each
 tree. A query walks all trees with one priority queue, ordered by the smallest margin on the way, until it has
-taken the given number of leaves (a share of all by default: vectors without clusters need a wide search for a
-recall over 0.9; a fixed number makes the work linear); the vectors of those leaves are ranked by exact distance.
-A leaf's vectors and the queries that chose it meet in one task, which returns each query's best only.
+taken a number of leaves; the vectors of those leaves are ranked by exact distance. By default that number is the
+share ``SHARE`` of one tree's leaves, so a query computes at most that share of the distances of an exact search
+(some of them twice, where two trees bring the same vector). Vectors without clusters need a share as wide as this for
+a recall over 0.9 (figures in the README); a fixed number of leaves makes the work linear. Tables of up to ``EXACT``
+distinct vectors have one tree, whose leaves are all taken.
+
+Leaves are dealt out to groups of about GROUP rows; a leaf with more vectors or queries than MOST_IN_LEAF is cut into
+parts, each part of its queries meeting each part of its vectors, so that no task holds more. A group returns the
+best few of each of its queries only.
 
 Equal vectors are one entry that carries its k + 1 smallest ids (exact for any query, as ties go to smaller
 ids), so a vector that a third of the rows share is no hot leaf. The sample grows with the rows up to SAMPLE, and
-leaves with it; with more rows leaves grow, so raise SAMPLE (the forest's memory) with the corpus.
+leaves with it; with more rows leaves grow and are cut into parts.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, as query or
 candidate, nor do vectors of another length than the most common; a row whose id is null takes no part;
@@ -19,6 +25,7 @@ repeated rows (id and vector) count once; fewer candidates than k give fewer row
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-K, TREES, LEAF, SHARE, SAMPLE, SALTS = 10, 8, 512, 0.13, 1 << 15, 16
+K, TREES, LEAF, SHARE, SAMPLE, SALTS = 10, 16, 32, 0.6, 1 << 15, 16
+EXACT, GROUP, MOST_IN_LEAF = 4096, 20_000, 4096
 
 
 class Forest:
@@ -110,19 +118,29 @@ def _matrix(column: pa.Array, rows: int) -> np.ndarray:
     return flat.astype(np.float64).reshape(rows, -1) if rows else np.zeros((0, 1))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, leaf: int = LEAF, leaves: int | None = None, sample: int = SAMPLE) -> DataFrame:
+def sample_of(entries: DataFrame, n: int, sample: int) -> np.ndarray:
+    """At most about ``sample`` of the distinct vectors, in the order of their smallest ids."""
+    unit = F.shiftrightunsigned(F.xxhash64("cid", F.lit(9)), 11) / float(2**53)
+    part = entries.where(unit <= min(1.0, sample / max(1, n))).select("cid", "v").limit(2 * sample).toPandas().sort_values("cid")
+    return np.array(part["v"].tolist(), np.float64) if len(part) else np.zeros((0, 1))
+
+
+def grown(points: np.ndarray, n: int, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE) -> tuple[Forest, int]:
+    """The forest for ``n`` distinct vectors, and how many of its leaves a query takes."""
+    trees = 1 if n <= EXACT else trees
+    forest = Forest(points, trees, max(4, round(leaf * min(1.0, sample / max(1, n)))))
+    return forest, forest.leaves if n <= EXACT else max(trees, round(SHARE * forest.leaves / trees))
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, leaf: int = LEAF, leaves: int | None = None, sample: int = SAMPLE, most_in_leaf: int = MOST_IN_LEAF) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found to each row for which ``is_query`` (of id) holds."""
     rows = materialise(valid(vectors, id_col, vector_col), "ann-rows")
     entries = materialise(distinct_vectors(rows, k + 1), "ann-entries")
     n = entries.count()
     spark = vectors.sparkSession
-    unit = F.shiftrightunsigned(F.xxhash64("cid", F.lit(9)), 11) / float(2**53)
-    part = entries.where(unit <= min(1.0, sample / max(1, n))).select("cid", "v").limit(2 * sample).toPandas().sort_values("cid")
-    points = np.array(part["v"].tolist(), np.float64) if len(part) else np.zeros((0, 1))
-    own_leaf = max(4, round(leaf * min(1.0, sample / max(1, n))))
-    grown = Forest(points, trees, own_leaf)
-    taken = leaves or max(4 * trees, round(SHARE * grown.leaves))
-    forest = spark.sparkContext.broadcast(grown)
+    made, taken = grown(sample_of(entries, n, sample), n, trees, leaf, sample)
+    taken = leaves or taken
+    forest = spark.sparkContext.broadcast(made)  # grown on the sample, so as large as that at most
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,25 +153,53 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.list_(pa.int64()))], names=["cid", "v", "leaves"])
 
     schema = "cid long, v array<double>, leaves array<long>"
-    # vectors travel in the type that they came in, which is exact
-    flat = lambda df: df.select("cid", F.col("v").cast(vectors.schema[vector_col].dataType).alias("v"), F.explode("leaves").alias("leaf"))
     queries = rows.where(is_query).select("id", "v").distinct()
     asked = materialise(queries.join(entries.select("v", "cid"), "v").select(F.col("id").alias("query_id"), "cid"), "ann-queries")
     asking = entries.join(asked.select("cid").distinct(), "cid", "left_semi").select("cid", "v")
+    in_leaf, per_tree = n * len(made.roots) / max(1, made.leaves), taken / max(1, made.leaves)
+    c_parts, q_parts = max(1, math.ceil(in_leaf / most_in_leaf)), max(1, math.ceil(asking.count() * per_tree / most_in_leaf))
+    groups = max(1, math.ceil(n * len(made.roots) * q_parts / GROUP))
+
+    def dealt(df: DataFrame, c_part: Column, q_part: Column) -> DataFrame:
+        """A row for each leaf and part, with its slot (the same for vectors and queries that are to meet) and group."""
+        # vectors travel in the type that they came in, which is exact
+        flat = df.select("cid", F.col("v").cast(vectors.schema[vector_col].dataType).alias("v"), F.explode("leaves").alias("leaf"))
+        placed = flat.select("cid", "v", "leaf", c_part.alias("cp")).select("cid", "v", "leaf", "cp", q_part.alias("qp"))
+        return placed.select("cid", "v", F.xxhash64("leaf", "cp", "qp").alias("slot")).withColumn("group", F.pmod("slot", F.lit(groups)))
+
+    part = lambda seed, parts: F.pmod(F.xxhash64("cid", F.lit(seed)), F.lit(parts))
+    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
 
     def rank(key, q: pa.Table, c: pa.Table) -> pa.Table:
-        out_q, out_c, out_d = [], [], []
+        none = np.zeros(0, np.int64)
+        ids, found, far = [none], [none], [np.zeros(0)]
         if q.num_rows and c.num_rows:
-            qv, cv, qid, cid = _matrix(q["v"], q.num_rows), _matrix(c["v"], c.num_rows), q["cid"].to_numpy(), c["cid"].to_numpy()
-            for i in range(len(qid)):
-                d = np.sqrt(((cv - qv[i]) ** 2).sum(axis=1))
-                best = np.lexsort((cid, d))[: k + 1]
-                out_q += [qid[i]] * len(best)
-                out_c += cid[best].tolist()
-                out_d += d[best].tolist()
-        return pa.table({"q": pa.array(out_q, pa.int64()), "c": pa.array(out_c, pa.int64()), "d": pa.array(out_d, pa.float64())})
-
-    met = flat(asking.mapInArrow(ask, schema)).groupBy("leaf").cogroup(flat(entries.select("cid", "v").mapInArrow(index, schema)).groupBy("leaf")).applyInArrow(rank, "q long, c long, d double")
+            qv, cv = _matrix(q["v"], q.num_rows), _matrix(c["v"], c.num_rows)
+            qid, cid, qs, cs = (x.to_numpy() for x in (q["cid"], c["cid"], q["slot"], c["slot"]))
+            q_order, c_order = np.argsort(qs, kind="stable"), np.argsort(cs, kind="stable")
+            both = np.intersect1d(qs, cs)
+            at = lambda x, order: (np.searchsorted(x, both, side, order) for side in ("left", "right"))
+            for q1, q2, c1, c2 in zip(*at(qs, q_order), *at(cs, c_order)):
+                mine, own = q_order[q1:q2], c_order[c1:c2]
+                for i in mine:
+                    d = np.sqrt(((cv[own] - qv[i]) ** 2).sum(axis=1))
+                    best = np.lexsort((cid[own], d))[: k + 1]
+                    ids.append(np.full(len(best), qid[i])), found.append(cid[own[best]]), far.append(d[best])
+        a, b, d = np.concatenate(ids), np.concatenate(found), np.concatenate(far)
+        # of each query the nearest of all leaves of the group, a vector once
+        o = np.lexsort((b, d, a))
+        a, b, d = a[o], b[o], d[o]
+        once = np.ones(len(a), bool)
+        once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        a, b, d = a[once], b[once], d[once]
+        start = np.r_[0, np.flatnonzero(a[1:] != a[:-1]) + 1] if len(a) else np.zeros(0, int)
+        place = np.arange(len(a)) - np.repeat(start, np.diff(np.r_[start, len(a)])) if len(a) else np.zeros(0, int)
+        near = place <= k
+        return pa.table({"q": pa.array(a[near], pa.int64()), "c": pa.array(b[near], pa.int64()), "d": pa.array(d[near], pa.float64())})
+
+    asks = dealt(asking.mapInArrow(ask, schema), every(c_parts), part(1, q_parts))
+    holds = dealt(entries.select("cid", "v").mapInArrow(index, schema), part(2, c_parts), every(q_parts))
+    met = asks.groupBy("group").cogroup(holds.groupBy("group")).applyInArrow(rank, "q long, c long, d double")
     found = met.groupBy("q", "c").agg(F.min("d").alias("score"))
     # k + 1 entries a query hold its k nearest rows besides itself
     near = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "c"))).where(F.col("r") <= k + 1)

@@ -363,13 +363,13 @@ def test_neighbours(spark, none):
     bad = [(1000, None), (1100, [0.0] * 8), (1200, [float("nan")] + [1.0] * 7), (1300, [None] + [1.0] * 7), (1400, [float("inf")] + [1.0] * 7), (1500, [1.0, 2.0]), (None, [1.0] * 8)]
     df = spark.createDataFrame([*data.items(), *bad, (100, data[100])], "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
     got = defaultdict(list)
-    for r in neighbours.search(df, F.col("id") % 100 == 0, trees=6, leaf=40, leaves=10_000).orderBy("query_id", "rank").collect():
+    for r in neighbours.search(df, F.col("id") % 100 == 0, leaf=40, leaves=10_000).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.score, r.vec_id))
     want = brute_knn(data, range(0, 900, 100), 10)
     assert set(got) == set(want)
     for q in want:
         assert [i for _, i in got[q]] == [i for _, i in want[q]] and np.allclose([s for s, _ in got[q]], [s for s, _ in want[q]], rtol=1e-12, atol=1e-12)
-    narrow = neighbours.search(df, F.col("id") % 100 == 0, trees=6, leaf=40, leaves=40)
+    narrow = neighbours.search(df, F.col("id") % 100 == 0, leaf=40, leaves=12)
     found = {(r.query_id, r.vec_id) for r in narrow.collect()}
     assert len(found & {(q, i) for q in want for _, i in want[q]}) >= 0.8 * 10 * len(want)
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
@@ -386,6 +386,26 @@ def test_neighbours_recall(spark, sf):
     assert len(got & {(q, i) for q in want for _, i in want[q]}) >= 0.9 * sum(map(len, want.values()))
 
 
+def test_neighbours_recall_where_half_of_the_rows_are_seen(spark):
+    """Vectors without clusters, more than are searched exactly: what a query sees, and what it finds."""
+    n = 10_000
+    data = np.random.default_rng(6).normal(size=(n, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)], "vec_id long, embedding array<float>")
+    points = data.astype(np.float64)
+    forest, taken = neighbours.grown(points, n)
+    at, asked = forest.place(points), range(0, n, 250)
+    seen = [np.isin(at, forest.search(points[q], taken)) for q in asked]
+    assert np.mean([x.sum() for x in seen]) <= 0.65 * n and np.mean([x.any(axis=1).sum() for x in seen]) <= 0.5 * n
+    hits = 0
+    want = {q: np.argsort(((points - points[q]) ** 2).sum(axis=1), kind="stable")[1:11].tolist() for q in asked}
+    for most in (neighbours.MOST_IN_LEAF, 7):
+        got = defaultdict(set)
+        for r in neighbours.search(df, F.col("id") % 250 == 0, most_in_leaf=most).collect():
+            got[r.query_id].add(r.vec_id)
+        hits = sum(len(got[q] & set(want[q])) for q in asked)
+        assert hits >= 0.9 * 10 * len(asked), hits
+
+
 # 3 and 9 ----------------------------------------------------------------------------------------------------------
 
 def test_toxicity(spark, odd, none):
