@@ -20,7 +20,7 @@ no pair of that similarity.
 
 Defined results: words are runs of characters other than ASCII white space, A-Z lower-cased; fewer words than a
 shingle make one shingle; null and empty texts have fingerprint zero, which links like any other (in
-``near_duplicates`` such texts are never dropped); equal texts share fingerprints; null ids take part, and the
+``near_duplicates`` they are one text, the empty one); equal texts share fingerprints; null ids take part, and the
 smallest non-null id names the class; an empty table gives no rows.
 """
 
@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One document of each class of near-duplicates, with all columns; of equal texts the smallest id stays.
 
-    Texts that are null, empty or white space are classes by their texts alone. Of rows that share text and id one stays;
+    Null counts as the empty text; texts of white space only have no near-duplicates but their copies. Of rows that share text and id one stays;
     columns may have any names, as rows are carried whole; an empty table stays empty.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

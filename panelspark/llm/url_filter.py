@@ -3,12 +3,13 @@
 List entries are dated: ``entries`` holds (pattern_kind, pattern, action, listed_at), where action is "block",
 "allow" or "remove". Per pattern, entries in time order become validity intervals [valid_from, valid_to); a
 "remove" only ends the one before. Each capture is decided by the entries that were active when it was fetched:
-its host, each parent domain of the host and the host's first path segment are looked up by equi-join, and the
-latest entry at or before the fetch counts per pattern (the as-of join); among patterns the longest decides, and
-"allow" wins over "block" at equal length.
+its host, each parent domain of the host and the host's first path segment are asked for, and the latest entry at
+or before the fetch counts per pattern (the as-of join); among patterns the longest decides, and "allow" wins over
+"block" at equal length.
 
-A hot host doesn't gather in a task: lookups are first reduced to distinct (pattern, day) pairs with partial
-aggregation, the as-of join runs on those, and the verdicts are joined back.
+A hot host doesn't gather in a task: lookups are first reduced to distinct (pattern, instant) pairs with partial
+aggregation, and the as-of join sorts them inside (pattern, day) buckets, of which only the last entry goes on to the
+next; the verdicts of distinct (patterns, instant) are joined back.
 
 Defined results: a null, empty or unparsable URL or a null fetch time is "unknown" and not kept out; entries with
 null fields are ignored; of entries of one pattern at one instant "allow" counts before "remove" before "block";
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators.asof import asof_backward
+
 from .common import table
 
 #: An action's place when one pattern has several entries at one instant.
@@ -45,11 +48,11 @@ def patterns(url: Column) -> Column:
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """pattern, action, valid_from, valid_to (null: open) of the entries that block or allow."""
+    """pattern, action, valid_from, valid_to (null: open): one row for each instant at which a pattern's entry changes."""
     known = entries.select("pattern", "action", "listed_at").dropna().where(F.col("action").isin("block", "allow", "remove"))
     one = known.groupBy("pattern", "listed_at").agg(F.min_by("action", F.expr(ORDER)).alias("action"))
     until = F.lead("listed_at").over(Window.partitionBy("pattern").orderBy("listed_at"))
-    return one.withColumn("valid_to", until).where("action <> 'remove'").select("pattern", "action", F.col("listed_at").alias("valid_from"), "valid_to")
+    return one.select("pattern", "action", F.col("listed_at").alias("valid_from"), until.alias("valid_to"))
 
 
 def decide(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", at_col: str = "fetched_at") -> DataFrame:
@@ -57,8 +60,8 @@ def decide(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url
     rows = captures.select(F.col(id_col), F.col(url_col).alias("url"), F.col(at_col).alias("fetched_at"))
     keyed = rows.withColumn("host", host(F.col("url"))).withColumn("patterns", patterns(F.col("url")))
     asked = keyed.where(F.col("fetched_at").isNotNull()).select(F.explode("patterns").alias("pattern"), "fetched_at").distinct()
-    listed = intervals(entries)
-    active = asked.join(listed, "pattern").where((F.col("valid_from") <= F.col("fetched_at")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to"))))
+    met = asof_backward(asked, intervals(entries), ["pattern"], "fetched_at", "valid_from", ["action", "valid_to"], bucket_days=1)
+    active = met.where("action <> 'remove'").withColumnRenamed("matched_valid_from", "valid_from")
     # back to the captures: (host, path, instant) decide alike, so they are decided once
     what = keyed.where(F.col("fetched_at").isNotNull()).select("patterns", "fetched_at").distinct()
     met = what.withColumn("pattern", F.explode("patterns")).join(active, ["pattern", "fetched_at"])
@@ -111,7 +114,7 @@ spans AS (SELECT pattern, action, listed_at AS valid_from, lead(listed_at) OVER
 keys AS (
   SELECT DISTINCT page_id, fetched_at, pattern FROM (
     SELECT page_id, fetched_at, 'd:' || array_to_string(list_slice(string_split(host, '.'), -k, -1), '.') AS pattern
-      FROM captures, range(1, 64) t(k) WHERE host <> '' AND (k = len(string_split(host, '.')) OR (k >= 2 AND k <= least(8, len(string_split(host, '.')))))
+      FROM captures, range(1, 256) t(k) WHERE host <> '' AND (k = len(string_split(host, '.')) OR (k >= 2 AND k <= len(string_split(host, '.'))))
     UNION ALL SELECT page_id, fetched_at, 'p:' || host || segment FROM captures WHERE host <> '' AND segment <> '')),
 best AS (
   SELECT page_id, s.action, s.pattern, s.valid_from, s.valid_to FROM keys k JOIN spans s ON k.pattern = s.pattern AND s.action <> 'remove' AND s.valid_from <= k.fetched_at AND (s.valid_to IS NULL OR k.fetched_at < s.valid_to)

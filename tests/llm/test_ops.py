@@ -47,6 +47,28 @@ def rows(df, *cols):
 
 # 10 ---------------------------------------------------------------------------------------------------------------
 
+def brute_shard(key, node, path=""):
+    """The descent again, with the hash library's XXH64 chained over key and name as Spark chains it."""
+    if not isinstance(node, dict):
+        return int(path.rsplit("/", 1)[1])
+
+    def draw(name, w):
+        h = 42 if key is None else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+        h = xxhash.xxh64_intdigest(f"{path}/{name}".encode(), h)
+        return -math.log(((h >> 11) + 0.5) / 2**53) / w
+
+    names = [n for n in node if sharding.weight(node[n]) > 0]
+    best = min(names, key=lambda n: draw(n, sharding.weight(node[n]))) if len(names) > 1 else names[0]
+    return brute_shard(key, node[best], f"{path}/{best}")
+
+
+def test_sharding_against_a_descent_of_its_own(spark, odd):
+    tree = {"a": {"r": {0: 1.0, 1: 3.0}, "q": {5: 0.5}}, "b": {"r": {2: 4.0}}, "c": {"x": {9: 0.0}}}
+    rows = spark.range(-20, 300).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).unionByName(odd.select("doc_id", "text"))
+    for r in sharding.shard(rows, tree, sharding.grow(tree, 11)).collect():
+        assert r.shard == brute_shard(r.doc_id, tree) and r.grown_shard == brute_shard(r.doc_id, sharding.grow(tree, 11))
+
+
 def test_sharding(docs, odd, none):
     for d in (docs, odd):
         out = sharding.shard(d, sharding.EIGHT, sharding.grow(sharding.EIGHT, 8)).collect()
