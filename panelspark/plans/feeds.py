@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from panelspark.operators import asof, quality
+from panelspark.operators import asof, filings, panel, quality, quotes, strategy
 from panelspark.operators.staging import shared_folder
-from panelspark.plans.common import BARS, TICKS, bars, load, query, rounded, ticks
+from panelspark.plans.common import BARS, EV, TICKS, bars, load, order_events, query, rounded, ticks
+from panelspark.plans.contracts import OPT, option_events
+from panelspark.plans.panels import CALENDAR, span_calendar
 from panelspark.sources import scans, tables
 
 
@@ -135,3 +137,49 @@ def shape_counts(spark, sf):
 @query("SELECT 'documents' AS dataset, v.f AS field, v.a AS available, round(CASE WHEN v.a THEN v.c / n::DOUBLE ELSE 0 END, 6) AS non_null_share, n AS row_count FROM (SELECT count(*) AS n, count(text) AS t, count(lang) AS l FROM documents), LATERAL (VALUES ('text', true, t), ('lang', true, l), ('vendor_iv', false, 0)) v(f, a, c)")
 def field_audit(spark, sf):
     return rounded(quality.field_audit(load(spark, sf, "documents"), "documents", ["text", "lang", "vendor_iv"]), 6)
+
+
+@query(f"WITH {EV}, r AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN ' bmo ' WHEN 1 THEN 'Amc' WHEN 2 THEN 'DMH' WHEN 3 THEN 'noon' END AS t FROM ev) SELECT event_id, CASE WHEN upper(trim(t)) IN ('BMO', 'AMC', 'DMH', 'UNKNOWN') THEN upper(trim(t)) ELSE 'UNKNOWN' END AS announcement_timing, coalesce(upper(trim(t)) IN ('BMO', 'AMC'), false) AS is_main_sample_timing FROM r")
+def calendar_validation(spark, sf):
+    told = F.expr("CASE event_id % 5 WHEN 0 THEN ' bmo ' WHEN 1 THEN 'Amc' WHEN 2 THEN 'DMH' WHEN 3 THEN 'noon' END")
+    return filings.validate_calendar(order_events(spark, sf).select("event_id", told.alias("announcement_timing")))
+
+
+@query(f"WITH {BARS}, d AS (SELECT ticker, date, min(price) AS low, max(price) AS high, arg_min(price, {{'o': orderkey, 'l': line}}) AS open, arg_max(price, {{'o': orderkey, 'l': line}}) AS close, CASE WHEN sum(volume) < 20 THEN 0 ELSE sum(volume) END AS volume FROM bars GROUP BY 1, 2) SELECT ticker, date, CASE WHEN ticker % 50 = 0 THEN 'vendor_halt_flag' WHEN volume = 0 AND low = high THEN 'proxy_zero_volume_unchanged_ohlc' END AS reason, CASE WHEN date BETWEEN DATE '2020-01-01' AND DATE '2020-09-30' THEN 'covid_shock' ELSE 'steady_proxy' END AS bucket FROM d")
+def halted_days(spark, sf):
+    o = F.struct("orderkey", "line")
+    d = bars(spark, sf).groupBy("ticker", "date").agg(F.min("price").alias("low"), F.max("price").alias("high"), F.min_by("price", o).alias("open"), F.max_by("price", o).alias("close"), F.sum("volume").alias("volume"))
+    d = d.withColumns({"volume": F.when(F.col("volume") < 20, 0.0).otherwise(F.col("volume")), "vendor": F.col("ticker") % 50 == 0})
+    return d.select("ticker", "date", panel.halted(d, "vendor").alias("reason"), panel.telemetry_bucket(F.col("date")).alias("bucket"))
+
+
+@query(f"WITH {OPT}, {CALENDAR}, s AS (SELECT event_id FROM oe ORDER BY 1 LIMIT 400 OFFSET 10), r AS (SELECT event_id, unnest([{{'l': 'entry_preclose_15m', 'd': entry_date}}, {{'l': 'exit_preclose_15m', 'd': exit_date}}]) AS w FROM oe SEMI JOIN s USING (event_id)) SELECT event_id, w.l AS window_label, w.d AS quote_date, epoch_us((w.d::TIMESTAMP + to_minutes(coalesce(close_minutes, 960)::BIGINT)) AT TIME ZONE 'America/New_York') AS end_us FROM r LEFT JOIN cal ON cal.date = w.d")
+def quote_requests(spark, sf):
+    e = option_events(spark, sf)
+    c = e.select("event_id", "entry_date", "exit_date", F.concat("ticker", F.lit("C")).alias("options_ticker"), (F.col("event_id") >= 0).alias("eligible_for_quote_pool"))
+    out = quotes.window_requests(c, e.select("event_id", "ticker"), span_calendar(spark, sf), max_events=400, event_offset=10)
+    return out.select("event_id", "window_label", "quote_date", F.unix_micros("window_end").alias("end_us"))
+
+
+@query(f"WITH {EV} SELECT event_id, round(coalesce(CASE WHEN event_id % 3 > 0 THEN value END, 0) * 0.005, 6) AS cost, round(ln(greatest(value / 1e6 - 0.1, 0) + 1e-6), 6) AS log_target, round(greatest(exp(ln(greatest(value / 1e6 - 0.1, 0) + 1e-6)) - 1e-6, 1e-6) + 1e-9, 6) AS back, CASE WHEN event_id % 3 > 0 THEN round(greatest((value + value / 2) / 2e6, 1e-6) + 1e-9, 6) END AS ensemble FROM ev")
+def forecast_transforms(spark, sf):
+    v = F.col("value")
+    e = order_events(spark, sf).withColumns({"premium": F.when(F.col("event_id") % 3 > 0, v), "a": v / 1e6, "b": F.when(F.col("event_id") % 3 > 0, v / 2e6), "y": v / 1e6 - 0.1})
+    log = strategy.log_target(F.col("y"))
+    return rounded(e.select("event_id", strategy.proxy_cost("premium", 0.005).alias("cost"), log.alias("log_target"), (strategy.from_log(log) + 1e-9).alias("back"), (strategy.ensemble("a", "b") + 1e-9).alias("ensemble")), 6)
+
+
+@query("SELECT o_custkey::VARCHAR AS ticker, (o_orderkey % 7)::VARCHAR AS source_id, concat('text ', max(o_orderkey)) AS text FROM orders GROUP BY 1, 2")
+def filing_texts(spark, sf):
+    """Texts as files of results: of one accession the last entry counts."""
+    k = F.col("o_orderkey")
+    entry = F.struct(k.alias("n"), (k % 7).cast("string").alias("accession_number"), F.concat(F.lit("text "), k).alias("items_text"))
+    one = load(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(entry)).alias("results"))
+    return filings.texts_by_accession(one.select(F.col("o_custkey").cast("string").alias("ticker"), F.to_json(F.struct("results")).alias("payload")))
+
+
+@query("SELECT c_custkey::VARCHAR AS ticker, c_nationkey::BIGINT AS cik, c_mktsegment AS category, NULL::VARCHAR AS sic FROM customer")
+def company_metadata(spark, sf):
+    c = load(spark, sf, "customer")
+    payload = F.to_json(F.struct(F.col("c_nationkey").alias("cik"), F.col("c_mktsegment").alias("category")))
+    return filings.company_metadata(c.select(F.col("c_custkey").cast("string").alias("ticker"), payload.alias("payload"))).select("ticker", "cik", "category", "sic")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.numbers import finite
-from panelspark.sources.tables import cleaned, parse_option_symbol
+from panelspark.sources.tables import cleaned, parse_option_symbol, write_partitions
 
 #: Lists of tickers up to this long are written into the filter; longer ones are joined.
 MOST_LISTED = 1000
@@ -56,7 +56,7 @@ def ingest_day_files(spark: SparkSession, paths: Sequence[str], folder: str, dat
     """Day files (CSV, gzipped or not, header) into a table partitioned by date; a rerun replaces just the dates that it brings."""
     raw = spark.read.csv(list(paths), header=True, schema=DAY_FILE).withColumn("source_key", F.input_file_name())
     days = normalised_days(raw, dataset).where("date IS NOT NULL")
-    days.repartition("date").sortWithinPartitions("ticker").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(folder)
+    write_partitions(days.repartition("date").sortWithinPartitions("ticker"), folder)
     return spark.read.schema(days.schema).parquet(folder)
 
 

@@ -16,7 +16,7 @@ OPTION_SYMBOL = r"^O:([A-Z.]+)(\d{2})(\d{2})(\d{2})([CP])(\d{8})$"
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Parquet or CSV by suffix; CSV needs its schema, so nothing is inferred by an extra pass."""
     if path.endswith((".csv", ".csv.gz")):
-        return spark.read.csv(path, header=True, schema=schema)
+        return cleaned(spark.read.csv(path, header=True, schema=schema))
     return cleaned(spark.read.parquet(path))
 
 

@@ -229,6 +229,19 @@ def test_scans_count_what_they_read(spark):
     assert told.ts == ts("2025-01-01T10:00:00.123456") and told.mid == 2.0 and told.quote_date == day("2025-01-01")
 
 
+def test_small_sources(spark, tmp_path):
+    raw = spark.createDataFrame([("a", day("2025-01-02"), "1", "2", "?", "1.5", "7")], "ticker string, date date, open string, high string, low string, close string, volume string")
+    r = scans.underlying_days(raw).head()
+    assert (r.ticker, r.high, r.low, r.volume) == ("A", 2.0, None, 7)
+    bars = spark.createDataFrame([("C", day("2025-01-02"), 1.0), ("C", day("2025-01-03"), 2.0)], "options_ticker string, date date, option_vwap double")
+    c = spark.createDataFrame([("C", day("2025-01-03"), day("2025-02-01"), 9.0, "call")] * 2, "options_ticker string, date date, expiration date, strike double, right string")
+    assert [(r.option_vwap, r.strike) for r in scans.contract_bars(bars, c).collect()] == [(2.0, 9.0)]
+    spark.createDataFrame([("x", 1.5), ("y", float("nan"))], "k string, v double").coalesce(1).write.csv(f"{tmp_path}/t.csv", header=True)
+    assert {r.k: r.v for r in tables.read_table(spark, f"{tmp_path}/t.csv", "k string, v double").collect()}["x"] == 1.5
+    spark.createDataFrame([("x", float("nan"), float("inf"))], "k string, v double, w double").write.parquet(f"{tmp_path}/t.parquet")
+    assert tuple(tables.read_table(spark, f"{tmp_path}/t.parquet").head()) == ("x", None, None)
+
+
 def test_names_that_leak():
     blocked, vendor = features.leaking_names(["prior_day_rvar_median", "prior_guidance_flag", "rvar_event", "s_after", "spy_return", "predicted_iv", "future"], ["predicted_iv"])
     assert blocked == ["future", "prior_guidance_flag", "rvar_event", "s_after"] and vendor == []
