@@ -175,10 +175,10 @@ def proxies(spark, sf):
 TAKEN = PX + ", tk AS (SELECT *, coalesce(ivar > 0 AND premium > 0 AND forecast - ivar > 0.001 AND (forecast - ivar) / nullif(ivar, 0) * premium > 1.5 * fee, false) AS go, (forecast - ivar) / nullif(ivar, 0) * premium AS expected FROM px)"
 
 
-@query(f"WITH {TAKEN} SELECT event_id, go AS should_trade, round(expected, 5) AS expected_edge, pnl IS NOT NULL AS pnl_available, round(go::INT * pnl, 6) AS gross, round(go::INT * pnl - go::INT * fee, 6) AS net FROM tk")
+@query(f"WITH {TAKEN} SELECT event_id, go AS should_trade, round(expected + 1e-8, 5) AS expected_edge, pnl IS NOT NULL AS pnl_available, round(go::INT * pnl, 6) AS gross, round(go::INT * pnl - go::INT * fee, 6) AS net FROM tk")
 def proxy_trades(spark, sf):
     out = strategy.proxy_trades(proxies(spark, sf), "forecast", "ivar", "pnl", "premium", "fee", 0.001)
-    return out.select("event_id", "should_trade", F.round("expected_edge", 5).alias("expected_edge"), "pnl_available", F.round("gross", 6).alias("gross"), F.round("net", 6).alias("net"))
+    return out.select("event_id", "should_trade", F.round(F.col("expected_edge") + 1e-8, 5).alias("expected_edge"), "pnl_available", F.round("gross", 6).alias("gross"), F.round("net", 6).alias("net"))
 
 
 @query(f"""WITH {TAKEN}, c AS (SELECT *, go AND is_main_dte_5_14 AND coalesce(execution_confidence_band, 'missing') IN ('high', 'medium') AND execution_confidence_score >= 0.2 AS cand FROM tk),

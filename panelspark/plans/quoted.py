@@ -33,15 +33,17 @@ def window_marks(spark, sf):
     return quotes.window_marks(q, rq, stale_seconds=86400, key=("request", "window_label"), tie=("tie",))
 
 
-@query(f"WITH {TICKS}, {WINDOW} SELECT request, l AS window_label, quote_count, round(bid, 5) AS bid, round(ask, 5) AS ask, round(sp, 5) AS spread_over_mid, round(age, 5) AS quote_age_seconds, status AS quote_status, score AS quote_score FROM sc")
+@query(f"WITH {TICKS}, {WINDOW} SELECT request, l AS window_label, quote_count, round(bid, 5) AS bid, round(ask, 5) AS ask, round(sp, 5) AS spread_over_mid, round(age, 6) AS quote_age_seconds, status AS quote_status, score AS quote_score FROM sc")
 def quote_marks(spark, sf):
-    return rounded(window_marks(spark, sf).select("request", "window_label", "quote_count", "bid", "ask", "spread_over_mid", "quote_age_seconds", "quote_status", "quote_score"), 5)
+    out = window_marks(spark, sf)
+    return out.select("request", "window_label", "quote_count", *[F.round(c, 5).alias(c) for c in ("bid", "ask", "spread_over_mid")], F.round("quote_age_seconds", 6).alias("quote_age_seconds"), "quote_status", "quote_score")
 
 
-@query(f"WITH {TICKS}, {WINDOW}, c AS (SELECT event_id, count(*) AS required_quote_marks, count(*) FILTER (status = 'ok') AS ok_quote_marks, count(*) FILTER (status = 'stale_quote') AS stale_quote_marks, count(*) FILTER (status = 'wide_spread') AS wide_spread_marks, round(max(age), 5) AS max_quote_age_seconds, round(quantile_cont(sp, 0.5), 5) AS median_spread_over_mid, avg(score) AS s FROM sc GROUP BY 1) SELECT * EXCLUDE (s), round(s, 5) AS execution_confidence_score, CASE WHEN s >= 0.8 THEN 'high' WHEN s >= 0.5 THEN 'medium' WHEN s > 0 THEN 'low' ELSE 'missing' END AS execution_confidence_band FROM c")
+@query(f"WITH {TICKS}, {WINDOW}, c AS (SELECT event_id, count(*) AS required_quote_marks, count(*) FILTER (status = 'ok') AS ok_quote_marks, count(*) FILTER (status = 'stale_quote') AS stale_quote_marks, count(*) FILTER (status = 'wide_spread') AS wide_spread_marks, round(max(age), 6) AS max_quote_age_seconds, round(quantile_cont(sp, 0.5), 5) AS median_spread_over_mid, avg(score) AS s FROM sc GROUP BY 1) SELECT * EXCLUDE (s), round(s, 5) AS execution_confidence_score, CASE WHEN s >= 0.8 THEN 'high' WHEN s >= 0.5 THEN 'medium' WHEN s > 0 THEN 'low' ELSE 'missing' END AS execution_confidence_band FROM c")
 def execution_confidence(spark, sf):
     out = quotes.execution_confidence(window_marks(spark, sf))
-    return rounded(out.select("event_id", "required_quote_marks", "ok_quote_marks", "stale_quote_marks", "wide_spread_marks", "max_quote_age_seconds", "median_spread_over_mid", "execution_confidence_score", "execution_confidence_band"), 5)
+    five = lambda c: F.round(c, 5).alias(c)
+    return out.select("event_id", "required_quote_marks", "ok_quote_marks", "stale_quote_marks", "wide_spread_marks", F.round("max_quote_age_seconds", 6).alias("max_quote_age_seconds"), five("median_spread_over_mid"), five("execution_confidence_score"), "execution_confidence_band")
 
 
 @query(f"WITH {TICKS}, {WINDOW} SELECT request, l AS window_label, CASE WHEN l LIKE 'entry%' THEN 'buy_to_open' ELSE 'sell_to_close' END AS execution_side, round(CASE WHEN l LIKE 'entry%' THEN ask ELSE bid END * 100, 4) AS long_fill_value_usd, round(mid * 100, 4) AS mid_fill_value_usd FROM sc")
@@ -108,8 +110,8 @@ def quote_stream_marks(spark, sf):
     return out.select("request_id", F.round("value", 5).alias("value"), F.unix_micros("ts").alias("us"))
 
 
-@query(f"WITH {TICKS}, {PURCHASES} SELECT request_id, round(sum(value * volume) / sum(volume), 5) AS vwap, sum(volume)::DOUBLE AS volume, count(*) AS rows FROM rq JOIN ticks USING (contract) WHERE value > 0 AND volume > 0 AND ts BETWEEN a AND b GROUP BY 1")
+@query(f"WITH {TICKS}, {PURCHASES} SELECT request_id, round(sum(value * volume) / sum(volume) + 1e-9, 5) AS vwap, sum(volume)::DOUBLE AS volume, count(*) AS rows FROM rq JOIN ticks USING (contract) WHERE value > 0 AND volume > 0 AND ts BETWEEN a AND b GROUP BY 1")
 def quote_stream_vwap(spark, sf):
     r, folder = _stream(spark, sf)
     out = marks.run_vwap(spark, f"{folder}/in", "contract long, ts timestamp, value double, volume long", r, folder)
-    return out.select("request_id", F.round("vwap", 5).alias("vwap"), "volume", "rows")
+    return out.select("request_id", F.round(F.col("vwap") + 1e-9, 5).alias("vwap"), "volume", "rows")

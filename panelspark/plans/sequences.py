@@ -59,13 +59,14 @@ def intraday_surface(spark, sf):
     return rounded(out.select("event_id", "bin", "valid_pair_count", "surface_missing_rate", "atm_iv_proxy", "latest_option_trade_bar_age_seconds", "hybrid_valid_step"), 6)
 
 
-# steps of events: the plan joined with the days' bars; every fourth is a step of the last hour
-STEPS = PLAN + ", st AS (SELECT plan.event_id, seq_index, source_date, close, volume, CASE WHEN seq_index % 4 = 3 THEN 'intraday' ELSE 'daily' END AS step_type FROM plan LEFT JOIN days ON days.ticker = plan.ticker AND days.date = source_date)"
+# steps of events: the plan joined with the days' bars; every fourth is a step of the last hour. Prices are moved off the
+# fives that end many of them, on which engines round apart.
+STEPS = PLAN + ", st AS (SELECT plan.event_id, seq_index, source_date, close + 1e-7 AS close, volume, CASE WHEN seq_index % 4 = 3 THEN 'intraday' ELSE 'daily' END AS step_type FROM plan LEFT JOIN days ON days.ticker = plan.ticker AND days.date = source_date)"
 
 
 def steps(spark, sf):
     s = plan_of(spark, sf).join(day_bars(spark, sf).withColumnRenamed("date", "source_date"), ["ticker", "source_date"], "left")
-    return s.withColumn("step_type", F.when(F.col("seq_index") % 4 == 3, "intraday").otherwise("daily"))
+    return s.withColumns({"close": F.col("close") + 1e-7, "step_type": F.when(F.col("seq_index") % 4 == 3, "intraday").otherwise("daily")})
 
 
 @query(f"WITH {STEPS} SELECT event_id, count(*) AS sequence_days, count(close) AS valid_days, count(close) FILTER (seq_index >= 15) AS latest5_days, count(*) FILTER (volume IS NULL) AS missing_options_days, CASE WHEN count(close) >= 12 AND count(close) FILTER (seq_index >= 15) >= 1 THEN 'eligible' WHEN count(close) < 12 THEN 'insufficient_valid_sequence_days' ELSE 'insufficient_latest_5_call_put_pairs' END AS eligibility_reason FROM st GROUP BY 1")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions import black_scholes
-from panelspark.operators import asof, comparison, features, metrics, options, panel, quotes, ranks, strategy, surface, variance
+from panelspark.operators import asof, comparison, features, metrics, models, options, panel, quality, quotes, ranks, strategy, surface, variance
 from panelspark.sources import scans, tables
 from panelspark.streaming import marks
 
@@ -263,6 +263,46 @@ def test_bar_on_an_edge_is_in_both_bins(spark):
     assert [r.bin for r in out if r.hybrid_valid_step] == [0, 1] and len(out) == 12 and out[0].latest_option_trade_bar_age_seconds == 0 and out[1].latest_option_trade_bar_age_seconds == 300
 
 
+def test_index_surfaces_side_by_side(spark):
+    rows = [("SPY", day("2025-01-10"), 100.0, r, 8, 2.0, 3) for r in ("call", "put")] + [("SPY", day("2025-01-10"), 105.0, "call", 8, None, 0), ("QQQ", day("2025-01-10"), 100.0, "call", 8, 2.0, 1)]
+    c = spark.createDataFrame(rows, "symbol string, expiration date, strike double, right string, dte int, vwap double, volume long").withColumns({"event_id": F.lit("e"), "spot": F.lit(100.0)})
+    out = surface.index_surface(c, c, ["event_id", "symbol"])
+    got = {r.symbol: r for r in out.collect()}
+    assert got["SPY"].status == "ok" and got["SPY"].valid_pair_count == 1 and got["SPY"].surface_missing_rate == pytest.approx(1 - 1 / 1.5) and got["SPY"].straddle_premium_to_spot == pytest.approx(0.04)
+    assert got["QQQ"].status == "no_prices" and got["QQQ"].priced_contracts == 1
+    wide = surface.prefixed_by_symbol(out, "event_id", "symbol", ["SPY", "QQQ"], ["status"]).head()
+    assert (wide.spy_second_status, wide.qqq_second_status) == ("ok", "no_prices")
+
+
+def test_hybrid_sequence(spark):
+    plan = spark.createDataFrame([("e", day("2025-01-02"), 18, day("2025-01-03"), ts("2025-01-03T21:00:00")), ("e", day("2025-01-03"), 19, day("2025-01-03"), ts("2025-01-03T21:00:00"))], "event_id string, source_date date, seq_index int, entry_date date, event_entry_timestamp timestamp")
+    daily = spark.createDataFrame([("e", day("2025-01-02"), 0.5, True)], "event_id string, source_date date, atm_iv_proxy double, is_valid_sequence_day boolean")
+    long = surface.sequence_long(plan, [daily], [["event_id", "source_date"]])
+    assert [(r.seq_index, r.is_valid_sequence_day) for r in long.orderBy("seq_index").collect()] == [(18, True), (19, False)]
+    bins = spark.createDataFrame([("e", 0, ts("2025-01-03T20:05:00"), 0.6, True, ts("2025-01-03T21:00:00"))], "event_id string, bin int, end_ts timestamp, atm_iv_proxy double, hybrid_valid_step boolean, event_entry_timestamp timestamp")
+    out = surface.hybrid_sequence(surface.hybrid_daily(long), bins).orderBy("seq_index").collect()
+    assert [(r.seq_index, r.step_type) for r in out] == [(18, "daily"), (19, "intraday")] and out[0].source_timestamp == ts("2025-01-02T21:00:00")
+    assert out[1].log_delta_minutes_from_prev_step == pytest.approx(math.log1p(23 * 60 + 5)) and out[1].normalized_time_to_entry == pytest.approx(-55 / 28800)
+    arrays = surface.sequence_arrays(surface.sequence_matrix(long, "event_id", ["atm_iv_proxy"]), "event_id", ["atm_iv_proxy"]).head()
+    assert arrays.x[18] == [0.5] and arrays.mask[18:] == [[True], [False]] and len(arrays.x) == 20
+
+
+def test_constraints_folds_and_availability(spark):
+    q = spark.createDataFrame([(1, 1.0, 2.0), (2, 3.0, 2.0), (3, None, 1.0)], "id int, bid double, ask double")
+    assert [r.id for r in quality.violations(q, quality.quote_rules()).collect()] == [2]
+    assert quality.enforced(q.where("id <> 2"), quality.quote_rules()).count() == 2
+    with pytest.raises(Exception, match="row constraint"):
+        quality.enforced(q, quality.quote_rules()).collect()
+    rows = spark.range(12).select("id", F.when(F.col("id") < 8, "train").when(F.col("id") < 10, "validation").otherwise("test").alias("split"), F.when(F.col("id") != 9, 1.0).alias("f"))
+    folds = {r.id: r.fold for r in models.time_folds(rows, ["id"], 3).collect()}
+    assert [folds[i] for i in range(12)] == [0] * 3 + [1] * 3 + [2] * 3 + [3] * 3
+    assert tuple(models_row for models_row in strategy.availability(rows, "f").head()) == (11, 1, 2)
+    assert models.skip_reason(rows, "f") == "skipped_insufficient_train_rows"
+    assert features.model_columns(spark.createDataFrame([(1, 2.0, "x", 3.0)], "cik int, vix double, name string, seqagg_v double"), False) == ["vix"]
+    signal = spark.createDataFrame([(0.1, 0.3, 0.2, 5.0, 9.0, 4.0), (0.2, 0.3, 0.2, 5.0, 9.0, 4.0)], "edge_var double, forecast double, ivar double, expected_edge double, expected_value double, entry_cost double")
+    assert quality.violations(signal, quality.signal_rules()).count() == 1
+
+
 def test_bootstrap_interval_holds_the_lift(spark):
     rng = np.random.default_rng(1)
     rows = [(i, m, float(e * (m == "a") + rng.normal()), float(e)) for i in range(200) for e in [rng.normal()] for m in "ab"]
