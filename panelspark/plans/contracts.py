@@ -88,7 +88,7 @@ def facts_at_events(spark, sf):
 @query(f"""WITH {EV}, ob AS (SELECT o_orderdate::DATE AS d, avg(o_totalprice) / 5000 AS x FROM orders GROUP BY 1), va AS (SELECT d, x FROM ob WHERE day(d) % 9 > 0 AND NOT (dayofweek(d) IN (0, 6))), w AS (SELECT *, x - lag(x) OVER o AS c1, x - lag(x, 5) OVER o AS c5, list(x) OVER (ORDER BY d ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING) AS past FROM va WINDOW o AS (ORDER BY d)),
 p AS (SELECT d, x, c1, c5, CASE WHEN len(past) >= 40 THEN (SELECT avg((u <= x)::INT) FROM (SELECT unnest(past) AS u)) END AS pct FROM w),
 j AS (SELECT event_id, event_date, p.* FROM ev ASOF LEFT JOIN p ON CASE WHEN timing = 'AMC' THEN event_date ELSE event_date - 1 END >= p.d)
-SELECT event_id, CASE WHEN event_date - d <= 5 THEN d END AS vix_date, CASE WHEN event_date - d <= 5 THEN round(x, 6) END AS vix_level, CASE WHEN event_date - d <= 5 THEN round(c1, 6) END AS vix_change_1d, CASE WHEN event_date - d <= 5 THEN round(c5, 6) END AS vix_change_5d, CASE WHEN event_date - d <= 5 THEN round(pct, 6) END AS vix_percentile_252d,
+SELECT event_id, CASE WHEN event_date - d <= 5 THEN d END AS vix_date, CASE WHEN event_date - d <= 5 THEN round(x + 1e-9, 6) END AS vix_level, CASE WHEN event_date - d <= 5 THEN round(c1 + 1e-9, 6) END AS vix_change_1d, CASE WHEN event_date - d <= 5 THEN round(c5 + 1e-9, 6) END AS vix_change_5d, CASE WHEN event_date - d <= 5 THEN round(pct, 6) END AS vix_percentile_252d,
 CASE WHEN event_date - d <= 5 THEN CASE WHEN pct <= 1 / 3.0 THEN 'low' WHEN pct <= 2 / 3.0 THEN 'mid' WHEN pct IS NOT NULL THEN 'high' END END AS vix_regime_tercile, coalesce(event_date - d <= 5, false) AS vix_available FROM j""")
 def vix_features(spark, sf):
     d = F.col("d")
@@ -97,6 +97,7 @@ def vix_features(spark, sf):
     raw = days.select(d.cast("string").alias("observation_date"), F.when(missing, ".").otherwise(F.col("x").cast("string")).alias("VIXCLS"), F.unix_date(d).alias("line"))
     raw = raw.unionByName(raw.select("observation_date", F.lit("999").alias("VIXCLS"), (F.col("line") - 100_000).alias("line"))).unionByName(raw.limit(1).select(F.lit("no date").alias("observation_date"), "VIXCLS", "line"))
     out = features.vix_features(features.vix_daily(raw), order_events(spark, sf), "event_date", "timing", same_day_amc=True)
+    out = out.withColumns({c: F.col(c) + 1e-9 for c in ("vix_level", "vix_change_1d", "vix_change_5d")})
     return rounded(out.select("event_id", "vix_date", "vix_level", "vix_change_1d", "vix_change_5d", "vix_percentile_252d", "vix_regime_tercile", "vix_available"), 6)
 
 

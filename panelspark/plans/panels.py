@@ -193,12 +193,12 @@ PRIOR = "OVER (PARTITION BY ticker ORDER BY epoch_us(event_date::TIMESTAMP) RANG
 EWM = "ewm AS (SELECT event_id, sum(w * value) / sum(w) AS m FROM (SELECT a.event_id, b.value, exp(CASE WHEN count(*) OVER p = 1 THEN -1.5 ELSE -1.5 + 1.5 * (row_number() OVER q - 1) / (count(*) OVER p - 1) END) AS w FROM ev a JOIN ev b ON a.ticker = b.ticker AND b.event_date < a.event_date WINDOW p AS (PARTITION BY a.event_id), q AS (PARTITION BY a.event_id ORDER BY b.event_date, b.event_id)) GROUP BY 1)"
 
 
-@query(f"WITH {EV}, {EWM} SELECT event_id, count(value) {PRIOR} AS prior_earnings_count, round(quantile_cont(value, 0.5) {PRIOR}, 6) AS prior_day_rvar_median, round(quantile_cont(value, 0.75) {PRIOR}, 6) AS prior_day_rvar_p75, round(quantile_cont(value, 0.9) {PRIOR}, 6) AS prior_day_rvar_p90, round(stddev_pop(value) {PRIOR}, 5) AS prior_day_rvar_std, round(max(value) {PRIOR}, 6) AS prior_day_rvar_max, date_diff('day', max(event_date) {PRIOR}, event_date)::DOUBLE AS prior_days_since_earnings, round(avg((value > 150000)::INT) {PRIOR}, 6) AS prior_day_rvar_gt_ivar_hit_rate, round(m, 5) AS prior_day_rvar_ewm FROM ev LEFT JOIN ewm USING (event_id)")
+@query(f"WITH {EV}, {EWM} SELECT event_id, count(value) {PRIOR} AS prior_earnings_count, round(quantile_cont(value, 0.5) {PRIOR}, 6) AS prior_day_rvar_median, round(quantile_cont(value, 0.75) {PRIOR}, 6) AS prior_day_rvar_p75, round(quantile_cont(value, 0.9) {PRIOR}, 6) AS prior_day_rvar_p90, round(stddev_pop(value) {PRIOR} + 1e-7, 5) AS prior_day_rvar_std, round(max(value) {PRIOR}, 6) AS prior_day_rvar_max, date_diff('day', max(event_date) {PRIOR}, event_date)::DOUBLE AS prior_days_since_earnings, round(avg((value > 150000)::INT) {PRIOR}, 6) AS prior_day_rvar_gt_ivar_hit_rate, round(m + 1e-7, 5) AS prior_day_rvar_ewm FROM ev LEFT JOIN ewm USING (event_id)")
 def strict_prior_history(spark, sf):
     e = order_events(spark, sf).withColumn("implied", F.lit(150000.0))
     out = features.earnings_history(e, "ticker", "event_date", "event_id", {"day": "value"}, "implied")
     six = ("prior_day_rvar_median", "prior_day_rvar_p75", "prior_day_rvar_p90", "prior_day_rvar_max", "prior_day_rvar_gt_ivar_hit_rate", "prior_days_since_earnings")
-    return out.select("event_id", "prior_earnings_count", *[F.round(c, 6).alias(c) for c in six], *[F.round(c, 5).alias(c) for c in ("prior_day_rvar_std", "prior_day_rvar_ewm")])
+    return out.select("event_id", "prior_earnings_count", *[F.round(c, 6).alias(c) for c in six], *[F.round(F.col(c) + 1e-7, 5).alias(c) for c in ("prior_day_rvar_std", "prior_day_rvar_ewm")])
 
 
 LAST4 = "c AS (SELECT a.event_id, b.value FROM ev a JOIN ev b ON a.ticker = b.ticker AND b.event_date < a.event_date QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY b.event_date DESC, b.event_id DESC) <= 4), l4 AS (SELECT event_id, avg(value) AS m FROM c GROUP BY 1)"

@@ -102,10 +102,10 @@ def distribution_audit(spark, sf):
     return out.select("step_type", "metric", "n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), F.round("missing_rate", 6).alias("missing_rate"), *[F.round(c, 5).alias(c) for c in ("p01", "p50", "p99")])
 
 
-@query(f"WITH {STEPS}, x AS (SELECT *, row_number() OVER (PARTITION BY event_id, step_type ORDER BY seq_index)::DOUBLE AS x FROM st WHERE close IS NOT NULL) SELECT event_id, step_type, round(avg(close), 6) AS mean, round(stddev_pop(close), 4) AS std, round(min(close), 4) AS min, round(max(close), 4) AS max, round(arg_max(close, x), 4) AS last_value, round(CASE WHEN count(*) > 1 THEN regr_slope(close, x) ELSE 0 END, 4) AS simple_slope FROM x GROUP BY 1, 2")
+@query(f"WITH {STEPS}, x AS (SELECT *, row_number() OVER (PARTITION BY event_id, step_type ORDER BY seq_index)::DOUBLE AS x FROM st WHERE close IS NOT NULL) SELECT event_id, step_type, round(avg(close), 6) AS mean, round(stddev_pop(close) + 1e-7, 4) AS std, round(min(close), 4) AS min, round(max(close), 4) AS max, round(arg_max(close, x), 4) AS last_value, round(CASE WHEN count(*) > 1 THEN regr_slope(close, x) ELSE 0 END + 1e-7, 4) AS simple_slope FROM x GROUP BY 1, 2")
 def flat_aggregates(spark, sf):
     out = surface.flat_aggregates(steps(spark, sf), "event_id", "step_type", "close")
-    return out.select("event_id", "step_type", F.round("mean", 6).alias("mean"), *[F.round(c, 4).alias(c) for c in ("std", "min", "max", "last_value", "simple_slope")])
+    return out.select("event_id", "step_type", F.round("mean", 6).alias("mean"), *[F.round(c, 4).alias(c) for c in ("min", "max", "last_value")], *[F.round(F.col(c) + 1e-7, 4).alias(c) for c in ("std", "simple_slope")])
 
 
 @query(f"""WITH {STEPS}, b AS (SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY seq_index DESC) AS back, close, volume FROM st), l AS (SELECT event_id, back, 'close' AS feature, close AS v FROM b WHERE close IS NOT NULL UNION ALL SELECT event_id, back, 'volume', volume FROM b WHERE volume IS NOT NULL),
