@@ -235,8 +235,14 @@ def post_open_windows(spark, sf):
 
 @query()
 def local_iv(spark, sf):
-    out = options.iv_inputs(options.attach_iv(priced(spark, sf), straddle_events(spark, sf)), straddle_events(spark, sf))
-    return rounded(out.select("event_id", "expiration", "iv", "dte_days", "strike", "moneyness", "volume"), 6)
+    out = options.attach_iv(priced(spark, sf), straddle_events(spark, sf))
+    return rounded(out.select("event_id", "options_ticker", "local_iv", "local_iv_status"), 6)
+
+
+@query(f"WITH {DC}, q AS (SELECT event_id, expiration, strike, side, 0.2 + volume / 100 AS iv, volume::BIGINT AS v, spot, dte FROM dc), p AS (SELECT event_id, expiration, strike, avg(iv) AS iv, sum(v) AS v, any_value(spot) AS spot, any_value(dte) AS dte FROM q GROUP BY 1, 2, 3 HAVING count(*) FILTER (side = 'call') > 0 AND count(*) FILTER (side = 'put') > 0) SELECT event_id, expiration, round(iv, 6) AS iv, dte AS dte_days, strike, round(1 + abs(strike / spot - 1), 6) AS moneyness, v::BIGINT AS volume FROM p QUALIFY row_number() OVER (PARTITION BY event_id, expiration ORDER BY abs(strike / spot - 1), v DESC, strike) = 1")
+def iv_inputs(spark, sf):
+    p = priced(spark, sf).withColumn("local_iv", 0.2 + F.col("volume") / 100)
+    return rounded(options.iv_inputs(p, straddle_events(spark, sf)).select("event_id", "expiration", "iv", "dte_days", "strike", "moneyness", "volume"), 6)
 
 
 @query()
