@@ -101,14 +101,14 @@ def vix_features(spark, sf):
     return rounded(out.select("event_id", "vix_date", "vix_level", "vix_change_1d", "vix_change_5d", "vix_percentile_252d", "vix_regime_tercile", "vix_available"), 6)
 
 
-# lineitem as the option day table: the customer of the order is the underlying
-OPT = "op AS (SELECT o_custkey::VARCHAR AS ticker, o_orderdate::DATE AS date, concat(l_orderkey, '-', l_linenumber) AS options_ticker, l_shipdate::DATE AS expiration, round(l_quantity / 4) * 4 + 80 AS strike, CASE WHEN l_linenumber % 2 = 0 THEN 'call' ELSE 'put' END AS side, CASE WHEN l_linenumber < 7 THEN l_extendedprice / 10000 ELSE 0 END AS close, l_quantity AS volume FROM lineitem JOIN orders ON l_orderkey = o_orderkey), oe AS (SELECT o_orderkey AS event_id, o_custkey::VARCHAR AS ticker, o_orderdate::DATE AS entry_date, o_orderdate::DATE + 3 AS exit_date, 90 + o_orderkey % 20 AS spot FROM orders)"
+# lineitem as the option day table: the customer of the order is the underlying, an order's lines are calls and puts in pairs
+OPT = "op AS (SELECT o_custkey::VARCHAR AS ticker, o_orderdate::DATE AS date, concat(l_orderkey, '-', l_linenumber) AS options_ticker, (o_orderdate::DATE + (7 * (1 + (l_linenumber - 1) // 4))::INT) AS expiration, 84.0::DOUBLE + 4 * ((l_linenumber - 1) // 2 % 2) + 4 * (l_orderkey % 3) AS strike, CASE WHEN l_linenumber % 2 = 0 THEN 'call' ELSE 'put' END AS side, CASE WHEN l_linenumber < 7 THEN l_extendedprice / 10000 ELSE 0 END AS close, l_quantity AS volume FROM lineitem JOIN orders ON l_orderkey = o_orderkey), oe AS (SELECT o_orderkey AS event_id, o_custkey::VARCHAR AS ticker, o_orderdate::DATE AS entry_date, o_orderdate::DATE + 3 AS exit_date, 90 + o_orderkey % 20 AS spot FROM orders)"
 
 
 def option_table(spark, sf):
-    li, o = load(spark, sf, "lineitem"), load(spark, sf, "orders")
+    li, o, n = load(spark, sf, "lineitem"), load(spark, sf, "orders"), F.col("l_linenumber")
     j = li.join(o, li["l_orderkey"] == o["o_orderkey"])
-    return j.select(F.col("o_custkey").cast("string").alias("ticker"), F.to_date("o_orderdate").alias("date"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("options_ticker"), F.to_date("l_shipdate").alias("expiration"), (F.round(F.col("l_quantity") / 4) * 4 + 80).alias("strike"), F.when(F.col("l_linenumber") % 2 == 0, "call").otherwise("put").alias("right"), F.when(F.col("l_linenumber") < 7, F.col("l_extendedprice") / 10000).otherwise(0.0).alias("close"), F.col("l_quantity").alias("volume"), F.lit(1).alias("transactions"))
+    return j.select(F.col("o_custkey").cast("string").alias("ticker"), F.to_date("o_orderdate").alias("date"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("options_ticker"), F.date_add(F.to_date("o_orderdate"), (7 * (1 + F.floor((n - 1) / 4))).cast("int")).alias("expiration"), (84.0 + 4 * (F.floor((n - 1) / 2) % 2) + 4 * (F.col("l_orderkey") % 3)).cast("double").alias("strike"), F.when(F.col("l_linenumber") % 2 == 0, "call").otherwise("put").alias("right"), F.when(F.col("l_linenumber") < 7, F.col("l_extendedprice") / 10000).otherwise(0.0).alias("close"), F.col("l_quantity").alias("volume"), F.lit(1).alias("transactions"))
 
 
 def option_events(spark, sf):
@@ -155,14 +155,14 @@ st AS (SELECT *, (bid + ask) / 2 AS mid, (ask - bid) / ((bid + ask) / 2) AS sp,
 pr AS (SELECT event_id, expiration, strike, min({{'s': sp, 'm': mid}}) FILTER (side = 'call') AS c, min({{'s': sp, 'm': mid}}) FILTER (side = 'put') AS p, min(far) AS far FROM st GROUP BY 1, 2, 3),
 bs AS (SELECT event_id, strike + c.m - p.m AS f FROM pr WHERE c IS NOT NULL AND p IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY far, c.s, p.s, expiration, strike) = 1),
 py AS (SELECT DISTINCT event_id FROM oe JOIN dv USING (ticker) LEFT JOIN se USING (event_id) WHERE x BETWEEN entry_date AND coalesce(second, entry_date))
-SELECT oe.event_id, CASE WHEN f > 0 AND py.event_id IS NULL THEN 'put_call_parity' ELSE 'spot_fallback' END AS forward_source, round(CASE WHEN f > 0 AND py.event_id IS NULL THEN f ELSE spot END, 6) AS forward_price FROM oe LEFT JOIN bs USING (event_id) LEFT JOIN py USING (event_id)""")
+SELECT oe.event_id, CASE WHEN f > 0 AND py.event_id IS NULL THEN 'put_call_parity' ELSE 'spot_fallback' END AS forward_source, round(CASE WHEN f > 0 AND py.event_id IS NULL THEN f ELSE spot END + 1e-8, 6) AS forward_price FROM oe LEFT JOIN bs USING (event_id) LEFT JOIN py USING (event_id)""")
 def parity_forward(spark, sf):
     e = option_events(spark, sf).withColumn("spot", F.col("s_before"))
     ask = F.col("close") * (1 + (F.col("volume").cast("int") % 5) / F.lit(10.0))
     q = e.select("event_id", "ticker", "entry_date", "spot").join(option_table(spark, sf).withColumnRenamed("date", "entry_date"), ["ticker", "entry_date"]).select("event_id", "entry_date", "spot", "expiration", "strike", "right", F.col("close").alias("bid"), ask.alias("ask"))
     d = load(spark, sf, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").cast("string").alias("ticker"), F.lit("1995-06-15").cast("date").alias("ex_dividend_date"))
     out = options.parity_forward(e, q, d, dte_min=2, dte_max=60)
-    return rounded(out.select("event_id", "forward_source", "forward_price"), 6)
+    return out.select("event_id", "forward_source", F.round(F.col("forward_price") + 1e-8, 6).alias("forward_price"))
 
 
 @query(f"WITH {QT} SELECT DISTINCT event_id FROM oe JOIN dv USING (ticker) WHERE x BETWEEN entry_date AND entry_date + 60")
@@ -217,12 +217,12 @@ EXITS = PRICED + f""", {CALENDAR}, lg AS (SELECT event_id, unnest([c.t, p.t]) AS
 @query(f"""WITH {EXITS}, z AS (SELECT ch.event_id, (c.p + p.p) * 100 AS paid, ch.strike, ch.expiration, oe.exit_date, oe.spot + oe.event_id % 7 - 3 AS s_after, CASE WHEN oe.event_id % 6 > 0 THEN oe.spot + oe.event_id % 5 - 2 END AS opened,
  (SELECT sum(late) * 100 FROM pc WHERE pc.event_id = ch.event_id HAVING count(late) = 2) AS pre FROM ch JOIN oe USING (event_id)),
 w AS (SELECT *, CASE WHEN expiration <= exit_date OR pre IS NULL THEN abs(s_after - strike) * 100 ELSE pre END AS value FROM z)
-SELECT event_id, round(paid, 4) AS entry_premium_usd, round(value, 4) AS exit_option_value_usd, CASE WHEN expiration <= exit_date THEN 'expiration_at_exit_intrinsic' WHEN pre IS NOT NULL THEN 'ok' ELSE 'missing_exit_preclose_vwap_intrinsic_fallback' END AS option_exit_price_status, round(value - paid, 4) AS gross_proxy_pnl_usd, round(value - paid - 0.1 * paid, 4) AS haircut_pnl_usd, round(abs(opened - strike) * 100 - paid, 4) AS gross_c2o_intrinsic_proxy_pnl_usd FROM w""")
+SELECT event_id, round(paid, 6) AS entry_premium_usd, round(value, 6) AS exit_option_value_usd, CASE WHEN expiration <= exit_date THEN 'expiration_at_exit_intrinsic' WHEN pre IS NOT NULL THEN 'ok' ELSE 'missing_exit_preclose_vwap_intrinsic_fallback' END AS option_exit_price_status, round(value - paid, 6) AS gross_proxy_pnl_usd, round(value - paid - 0.1 * paid, 6) AS haircut_pnl_usd, round(abs(opened - strike) * 100 - paid, 6) AS gross_c2o_intrinsic_proxy_pnl_usd FROM w""")
 def straddle_diagnostics(spark, sf):
     e, p = straddle_events(spark, sf), priced(spark, sf)
     exits = options.exit_prices(exit_bars(spark, sf), options.choose_straddles(p, e), span_calendar(spark, sf))
     out = options.straddle_diagnostics(p, e, exits)
-    return rounded(out.select("event_id", "entry_premium_usd", "exit_option_value_usd", "option_exit_price_status", "gross_proxy_pnl_usd", "haircut_pnl_usd", "gross_c2o_intrinsic_proxy_pnl_usd"))
+    return rounded(out.select("event_id", "entry_premium_usd", "exit_option_value_usd", "option_exit_price_status", "gross_proxy_pnl_usd", "haircut_pnl_usd", "gross_c2o_intrinsic_proxy_pnl_usd"), 6)
 
 
 @query(f"WITH {EXITS} SELECT DISTINCT pc.event_id, t AS options_ticker, w AS window_label, round(CASE w WHEN '0_5' THEN (2 * early + later + 0.0) / 3 + 0.0 WHEN '5_15' THEN later + 0.0 ELSE late + 0.0 END, 6) AS vwap, CASE WHEN CASE w WHEN 'preclose_15m' THEN late ELSE later END IS NULL THEN 'no_trade_in_cutoff_window' ELSE 'ok' END AS status FROM pc, (VALUES ('0_5'), ('5_15'), ('preclose_15m')) v(w)")
