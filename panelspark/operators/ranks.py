@@ -41,19 +41,20 @@ def average_rank(df: DataFrame, value: str, by: Sequence[str], name: str) -> Dat
     return met.select("l.*", f"r.{name}")
 
 
+def _at_share(share: float, value: str) -> Column:
+    """The quantile of a group of distinct values with n, below and total, by linear interpolation."""
+    place = F.lit(float(share)) * (F.col("total") - 1)
+    holds = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
+    low, high = F.max(F.when(holds(F.floor(place)), F.col(value))), F.max(F.when(holds(F.ceil(place)), F.col(value)))
+    return low + (high - low) * F.max(place - F.floor(place))
+
+
 def quantiles(df: DataFrame, value: str, by: Sequence[str], shares: dict[str, float]) -> DataFrame:
     """by and one column for each named share: the exact quantile by linear interpolation, as ``percentile`` gives it.
 
     Only counts of distinct values are ordered, over all partitions; no buffer holds a group's values.
     """
-    at = value_counts(df, value, by)
-    wanted = []
-    for name, share in shares.items():
-        place = F.lit(float(share)) * (F.col("total") - 1)
-        holds = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
-        low, high = F.max(F.when(holds(F.floor(place)), F.col(value))), F.max(F.when(holds(F.ceil(place)), F.col(value)))
-        wanted.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
-    return at.groupBy(*by).agg(*wanted)
+    return value_counts(df, value, by).groupBy(*by).agg(*[_at_share(share, value).alias(name) for name, share in shares.items()])
 
 
 def quantile_bucket(rank: Column, n: Column, q: int | Column) -> Column:
@@ -129,20 +130,34 @@ def split_at(df: DataFrame, key: str, ts: str, split_date: str) -> DataFrame:
     return df.join(half, key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
+PARAMS = {"p10": 0.1, "p25": 0.25, "center": 0.5, "p75": 0.75, "p90": 0.9}
+
+
+def _fitted(df: DataFrame, value: str, split: str, fit: Sequence[str]) -> DataFrame:
+    """Every distinct value with n and below, which count fitted rows only, total (of them) and _s (their population deviation)."""
+    inside = F.col(split).isin(*fit)
+    known = df.where(F.col(value).isNotNull())
+    counts = known.groupBy(value).agg(F.count_if(inside).alias("n"))
+    whole = known.where(inside).agg(F.count("*").alias("total"), F.stddev_pop(value).alias("_s"))
+    return running_sum(counts, [], [F.col(value)], F.col("n"), "below").crossJoin(F.broadcast(whole))  # one row
+
+
+def _params(at: DataFrame, value: str) -> DataFrame:
+    scale = F.max("_s")
+    one = at.where("n > 0").agg(F.max("total").alias("n_fit"), F.when(scale > 1e-12, scale).otherwise(1.0).alias("scale"), *[_at_share(share, value).alias(name) for name, share in PARAMS.items()])
+    return one.select(*PARAMS, "n_fit", "scale")
+
+
 def train_params(df: DataFrame, value: str, split: str = "split", fit: Sequence[str] = ("train",)) -> DataFrame:
     """One row of what the fitted splits say of a value: n_fit, center (median), scale (population deviation, 1 if none) and five quantiles."""
-    train = df.where(F.col(split).isin(*fit) & F.col(value).isNotNull()).select(value)
-    shares = {"p10": 0.1, "p25": 0.25, "center": 0.5, "p75": 0.75, "p90": 0.9}
-    spread = F.stddev_pop(value)
-    scale = train.agg(F.count("*").alias("n_fit"), F.when(spread > 1e-12, spread).otherwise(1.0).alias("scale"))
-    return quantiles(train, value, [], shares).crossJoin(scale)  # one row each
+    return _params(_fitted(df, value, split, fit), value)
 
 
 def train_fit(df: DataFrame, value: str, split: str = "split", fit: Sequence[str] = ("train",)) -> DataFrame:
     """Adds z (distance to the fitted median in fitted deviations) and rank (share of fitted rows at or below)."""
-    # one running sum over all distinct values, in which only fitted rows count
-    params = train_params(df, value, split, fit).select("center", "scale", "n_fit")
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(split).isin(*fit)).alias("_c"))
-    below = running_sum(counts, [], [F.col(value)], F.col("_c"), "_below").select(F.col(value).alias("_v"), (F.col("_below") + F.col("_c")).alias("_upto"))
+    # one running sum over all distinct values gives both the quantiles and the ranks
+    at = _fitted(df, value, split, fit)
+    params = _params(at, value).select("center", "scale", "n_fit")
+    below = at.select(F.col(value).alias("_v"), (F.col("below") + F.col("n")).alias("_upto"))
     out = df.join(below, F.col(value) == F.col("_v"), "left").crossJoin(F.broadcast(params))  # one row
     return out.withColumns({"z": (F.col(value) - F.col("center")) / F.col("scale"), "rank": F.col("_upto") / F.col("n_fit")}).drop("_v", "_upto", "center", "scale", "n_fit")
