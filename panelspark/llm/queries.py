@@ -7,9 +7,11 @@ from .language import op9_language
 from .mixing import op4_mixing
 from .neighbours import op2_neighbours
 from .pieces import op5_sentencepiece
+from .ranked_search import OP13_SQL, op13_ranked_search
 from .secrets import op8_secrets
 from .sharding import op10_sharding
 from .simhash import op7_simhash
+from .token_files import op11_token_files
 from .toxicity import op3_toxicity
 from .url_filter import OP1_SQL, op1_url_filter
 
@@ -24,5 +26,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_language": op9_language,
     "op10_sharding": op10_sharding,
+    "op11_token_files": op11_token_files,
+    "op13_ranked_search": op13_ranked_search,
 }
-ORACLES = {"op1_url_filter": OP1_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op13_ranked_search": OP13_SQL}
