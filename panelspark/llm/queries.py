@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .conversations import OP12_SQL, op12_conversation_repair
 from .fingerprint import op6_fingerprint
 from .language import op9_language
 from .mixing import op4_mixing
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_sharding": op10_sharding,
     "op11_token_files": op11_token_files,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_ranked_search": op13_ranked_search,
 }
-ORACLES = {"op1_url_filter": OP1_SQL, "op13_ranked_search": OP13_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op12_conversation_repair": OP12_SQL, "op13_ranked_search": OP13_SQL}
