@@ -10,9 +10,10 @@ document, then the levels; all numbers are little-endian. Documents are dealt ou
 order of their names hold the documents in ascending order, and a range is cut into segments of about ``segment_ids`` ids.
 Files appear under their final name by a rename, so a task that is run again replaces its own.
 
-Texts are encoded with the tokenizers library. They are cut at single spaces between characters that aren't white
-space, where no word of the byte-level model's splitter can cross and on which its look-ahead doesn't depend; each
-distinct unit is encoded once as long as a worker's bounded store holds it.
+Texts are encoded with the tokenizers library. They are cut into units at single spaces between characters that aren't
+white space, and new units into parts at punctuation: places that no word of the byte-level model's splitter crosses and
+on which its look-ahead doesn't depend. Each distinct unit and part is encoded once as long as a worker's bounded store
+holds it.
 
 Defined results: null and empty texts have only the end id; null document ids come first and are kept as null; rows with
 one id follow each other by a hash of their text, and repeated rows are repeated; texts of any length are one document; the
@@ -25,8 +26,9 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +42,15 @@ from .common import materialise, shared_folder, table
 MAGIC = b"dactok1\n"
 END_ID = 2
 SEGMENT_IDS = 1 << 22
-#: Units that a worker keeps at most (but for those of one batch), and characters that it encodes at once.
-KEPT_UNITS, CHARS_AT_ONCE = 400_000, 1 << 20
+#: Units (and parts of units) in each of a worker's two generations, but for those of one batch; characters that it encodes at once.
+KEPT_UNITS, CHARS_AT_ONCE = 300_000, 1 << 20
 #: A space that no pre-token crosses: nothing white on either side (U+180E was white in older versions of Unicode).
-CUT = re.compile(r" (?![\s᠎])(?<![\s᠎] )")
-#: Units that may stand side by side: a space, then no white space at either end.
-JOINS = re.compile(r" [^\s᠎](?:.*[^\s᠎])?\Z", re.DOTALL)
-UNITS_AT_ONCE = 2000
+CUT = re.compile(r" (?![\s\u180e])(?<![\s\u180e] )")
+#: Where a unit may be cut again: between Latin letters or digits and a punctuation mark, and around a single line end.
+PART = re.compile(r"(?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])(?=[.,;:!?])|(?<=[.,;:!?])(?=\n)|(?<=[^\s\u180e]\n)(?=[^\s\u180e])")
+#: Parts that may be lines of one text: no white space at either end but for one space in front.
+LINE = re.compile(r" ?[^\s\u180e](?:.*[^\s\u180e])?\Z", re.DOTALL)
+PARTS_AT_ONCE = 2000
 BLOCK = 512
 
 
@@ -56,47 +60,65 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Encoder:
-    """Texts to ids (as bytes, four for each id) with a store of units that is emptied when it is full.
+class Store:
+    """What a worker has encoded: a dictionary and the one before it, from which entries that are met again move over."""
+
+    def __init__(self, kept: int):
+        self.kept, self.held, self._before = kept, {}, {}
+
+    def fill(self, keys: set[str], make: Callable[[list[str]], list[bytes]]) -> None:
+        """Sees to it that ``held`` has all these keys."""
+        if len(self.held) > self.kept:
+            self.held, self._before = {}, self.held
+        missing = keys.difference(self.held)
+        again = missing.intersection(self._before)
+        self.held.update((k, self._before[k]) for k in again)
+        new = list(missing - again)
+        self.held.update(zip(new, make(new), strict=True))
 
-    New units are encoded many at a time, end to end where that changes nothing; tokens are told apart by their bytes.
-    """
+
+class Encoder:
+    """Texts to ids (as bytes, four for each id). New units are made of parts, new parts are encoded many at a time."""
 
     def __init__(self, path: str, kept: int = KEPT_UNITS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept, self.store = Tokenizer.from_file(path), kept, {}
+        self.tokenizer, self.units, self.parts = Tokenizer.from_file(path), Store(kept), Store(kept)
         added, names = self.tokenizer.get_added_tokens_decoder(), self.tokenizer.get_vocab()
         self.width = np.zeros(max(names.values()) + 1, dtype=np.int64)
         for name, i in names.items():
             # a byte-level piece has a character for each byte; an added token stands for its own text
             self.width[i] = len(name.encode()) if i in added else len(name)
 
-    def _together(self, units: list[str]) -> list[bytes]:
-        text = "".join(units)
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-        last = np.cumsum([len(u.encode()) for u in units])
-        cuts = [0, *(np.searchsorted(np.cumsum(self.width[ids]), last, side="right") * 4).tolist()]
+    def _together(self, parts: list[str]) -> list[bytes]:
+        """Parts that neither begin nor end with white space but for one space, encoded as lines of one text; tokens are told apart by their bytes."""
+        sizes = np.array([len(p.encode()) for p in parts], dtype=np.int64)
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends, first = np.cumsum(self.width[ids]), np.cumsum(sizes + 1) - sizes - 1
+        lo, hi = np.searchsorted(ends, first, side="right") * 4, np.searchsorted(ends, first + sizes, side="right") * 4
         data = ids.tobytes()
-        return [data[a:b] for a, b in zip(cuts, cuts[1:])]  # noqa: B905
-
-    def _learn(self, new: list[str]) -> None:
-        alone = [u for u in new if not JOINS.match(u)]
-        for unit, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.store[unit] = np.array(e.ids, dtype="<u4").tobytes()
-        rest = [u for u in new if u not in self.store]
-        for lo in range(0, len(rest), UNITS_AT_ONCE):
-            some = rest[lo : lo + UNITS_AT_ONCE]
-            self.store.update(zip(some, self._together(some), strict=True))
+        return [data[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        found = {}
+        alone, rest = [p for p in parts if not LINE.match(p)], [p for p in parts if LINE.match(p)]
+        for part, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            found[part] = np.array(e.ids, dtype="<u4").tobytes()
+        for lo in range(0, len(rest), PARTS_AT_ONCE):
+            some = rest[lo : lo + PARTS_AT_ONCE]
+            found.update(zip(some, self._together(some), strict=True))
+        return [found[p] for p in parts]
+
+    def _compose(self, units: list[str]) -> list[bytes]:
+        cut = [PART.split(u) for u in units]
+        self.parts.fill(set(chain.from_iterable(cut)), self._encode)
+        return [b"".join(map(self.parts.held.__getitem__, c)) for c in cut]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [CUT.split(t) for t in texts]
-        # every part but a text's first has its space in front
-        units = [[p[0], *[f" {u}" for u in p[1:]]] for p in cut]
-        if len(self.store) > self.kept:
-            self.store = {}
-        self._learn(list(set().union(*units).difference(self.store)))
-        return [b"".join(map(self.store.__getitem__, u)) for u in units]
+        # every unit but a text's first has its space in front
+        units = [[p[0], *[f" {u}" for u in p[1:]]] for p in map(CUT.split, texts)]
+        self.units.fill(set(chain.from_iterable(units)), self._compose)
+        return [b"".join(map(self.units.held.__getitem__, u)) for u in units]
 
 
 @lru_cache(maxsize=1)
@@ -158,7 +180,7 @@ class Segment:
         _, words, starts = self.levels[level]
         block, word = at // BLOCK, at // 64
         out = int(starts[block]) + int(np.bitwise_count(words[block * (BLOCK // 64) : word]).sum())
-        return out + (int(words[word]) & ((1 << (at % 64)) - 1)).bit_count() if at % 64 else out
+        return out + (int(words[word]) & ((1 << int(at % 64)) - 1)).bit_count() if at % 64 else out
 
     def token(self, at: int) -> int:
         """The id at a position of the segment."""
