@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.black_scholes import implied_volatility
 from panelspark.functions.numbers import number
-from panelspark.operators.asof import within_windows
+from panelspark.operators.intervals import inside_intervals
 from panelspark.operators.variance import TIME_GAP, TOO_FEW, event_variance, first_two, year_fraction
 
 # Windows, statuses of a mark and of an implied volatility, and the bounds of both.
@@ -63,12 +63,12 @@ def window_marks(quotes: DataFrame, requests: DataFrame, stale_seconds: int = ST
     """
     day = ["quote_date"] if "quote_date" in requests.columns and "quote_date" in quotes.columns else []
     asked = requests.select(*key, *[c for c in (contract, *day) if c not in key], F.col("window_start").alias("start_ts"), F.col("window_end").alias("end_ts"))
-    ticks = quotes.select(contract, *day, ts, number("bid").alias("bid"), number("ask").alias("ask"), *[c for c in tie if c not in ("bid", "ask")])
+    ticks = quotes.select(contract, *day, F.col(ts).alias("_at"), number("bid").alias("bid"), number("ask").alias("ask"), *[c for c in tie if c not in ("bid", "ask")])
     valid = (F.col("bid") >= 0) & (F.col("ask") > 0) & (F.col("ask") >= F.col("bid"))
-    latest = F.max(F.when(valid, F.struct(ts, *tie, F.col("bid").alias("_b"), F.col("ask").alias("_a"))))
-    found = within_windows(ticks, asked, [contract, *day], ts).groupBy(*key).agg(F.count("*").alias("quote_count"), latest.alias("_q"))
+    latest = F.when(valid, F.struct("_at", *tie, F.col("bid").alias("_b"), F.col("ask").alias("_a")))
+    found = inside_intervals(ticks, asked, [contract, *day], "_at", key, {"quote_count": F.lit(1).cast("long")}, last=latest).withColumnRenamed("_last", "_q")
     out = requests.join(found, list(key), "left").withColumn("quote_count", F.coalesce("quote_count", F.lit(0)))
-    out = out.withColumns({"quote_timestamp": F.col(f"_q.{ts}"), "bid": F.col("_q._b"), "ask": F.col("_q._a")})
+    out = out.withColumns({"quote_timestamp": F.col("_q._at"), "bid": F.col("_q._b"), "ask": F.col("_q._a")})
     out = out.withColumns({"mid": (F.col("bid") + F.col("ask")) / 2, "spread": F.col("ask") - F.col("bid"), "quote_age_seconds": (F.unix_micros("window_end") - F.unix_micros("quote_timestamp")) / 1e6})
     out = out.withColumn("spread_over_mid", F.when(F.col("mid") > 0, F.col("spread") / F.col("mid")))
     out = out.withColumns({"stale_quote": F.coalesce(F.col("quote_age_seconds") > stale_seconds, F.lit(False)), "wide_spread": F.coalesce(F.col("spread_over_mid") > wide, F.lit(False))})

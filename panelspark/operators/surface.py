@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.black_scholes import implied_volatility
 from panelspark.functions.numbers import number, ratio
 from panelspark.operators import ranks
-from panelspark.operators.asof import within_windows
+from panelspark.operators.intervals import inside_intervals
 
 STRIKES, DTE_RANGE, TARGET_DTE, NEAR, FAR_DTE = 4, (3, 45), 14, (3, 14), (15, 45)
 BINS, BIN_MINUTES, DAILY_STEPS, MOST_MONEYNESS = 12, 5, 19, 0.05
@@ -87,7 +87,12 @@ def intraday_surface(bars: DataFrame, contracts: DataFrame, events: DataFrame, e
     """
     asked = bin_requests(events, cutoff, [event, spot])
     each = contracts.select(event, contract, "expiration", "strike", "right", "dte").join(asked, event)
-    last = within_windows(bars.select(contract, ts, number("option_vwap").alias("price"), "volume", "transactions"), each.select(event, "bin", contract, "start_ts", "end_ts"), [contract], ts).groupBy(event, "bin", contract).agg(F.max_by(F.struct("price", "volume", "transactions", ts), F.struct(ts, "price")).alias("b"))
+    trades = bars.select(contract, F.col(ts).alias("_at"), number("option_vwap").alias("price"), "volume", "transactions")
+    # the latest of a contract; of bars at one instant the one with the highest price
+    latest = F.struct("_at", "price", F.col("volume").alias("_volume"), F.col("transactions").alias("_transactions"))
+    last = inside_intervals(trades, each.select(event, "bin", contract, "start_ts", "end_ts"), [contract], "_at", [event, "bin", contract], {}, last=latest).where("_last IS NOT NULL")
+    bar = F.struct("_last.price", F.col("_last._volume").alias("volume"), F.col("_last._transactions").alias("transactions"), F.col("_last._at").alias(ts))
+    last = last.select(event, "bin", contract, bar.alias("b"))
     rows = last.join(each, [event, "bin", contract]).select(event, "bin", contract, "expiration", "strike", "right", "dte", F.col(spot).alias("spot"), "end_ts", "b.*")
     rows = rows.where((F.abs(F.col("strike") / F.col("spot") - 1) <= MOST_MONEYNESS) & (F.col("price") > 0) & (F.col("spot") > 0))
     rows = with_iv(rows, "price", "spot").where("iv_proxy IS NOT NULL")

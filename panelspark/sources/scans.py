@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.numbers import finite
@@ -98,7 +98,14 @@ def scan_quotes(quotes: DataFrame, requests: DataFrame, contract: str = "options
     ``requests``: contract, quote_date, window_start, window_end.
     """
     scanned, matched = Observation(), Observation()
-    met = requests.select(F.col(contract).alias("_c"), F.col("quote_date").alias("_d"), "window_start", "window_end").distinct()
-    inside = (F.col(contract) == F.col("_c")) & (F.col("quote_date") == F.col("_d")) & (F.col("ts") >= F.col("window_start")) & (F.col("ts") <= F.col("window_end"))
-    out = quotes.observe(scanned, F.count("*").alias("rows")).join(met, inside, "left_semi").observe(matched, F.count("*").alias("rows"))
-    return out, scanned, matched
+    # windows of a contract's day that touch become one, and the day's windows one row: a quote meets one row at most
+    w = Window.partitionBy("_c", "_d").orderBy("window_start", "window_end")
+    asked = requests.select(F.col(contract).alias("_c"), F.col("quote_date").alias("_d"), "window_start", "window_end").where("window_start <= window_end").distinct()
+    reach = asked.withColumn("_reach", F.max("window_end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    island = F.sum(F.when(F.col("window_start") <= F.col("_reach"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    merged = reach.withColumn("_i", island).groupBy("_c", "_d", "_i").agg(F.min("window_start").alias("a"), F.max("window_end").alias("b"))
+    days = merged.groupBy("_c", "_d").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_w"))
+    same = (F.col(contract) == F.col("_c")) & (F.col("quote_date") == F.col("_d"))
+    within = F.exists("_w", lambda x: (F.col("ts") >= x["a"]) & (F.col("ts") <= x["b"]))
+    met = quotes.observe(scanned, F.count("*").alias("rows")).join(days, same).where(within).select(*[quotes[c] for c in quotes.columns])
+    return met.observe(matched, F.count("*").alias("rows")), scanned, matched
