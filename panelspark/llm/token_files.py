@@ -11,9 +11,8 @@ order of their names hold the documents in ascending order, and a range is cut i
 Files appear under their final name by a rename, so a task that is run again replaces its own.
 
 Texts are encoded with the tokenizers library. They are cut into units at single spaces between characters that aren't
-white space, and new units into parts at punctuation: places that no word of the byte-level model's splitter crosses and
-on which its look-ahead doesn't depend. Each distinct unit and part is encoded once as long as a worker's bounded store
-holds it.
+white space: places that no word of the byte-level model's splitter crosses and on which its look-ahead doesn't depend.
+Each distinct unit is encoded once as long as a worker's bounded store holds it, many of them in one call.
 
 Defined results: null and empty texts have only the end id; null document ids come first and are kept as null; rows with
 one id follow each other by a hash of their text, and repeated rows are repeated; texts of any length are one document; the
@@ -42,15 +41,12 @@ from .common import materialise, shared_folder, table
 MAGIC = b"dactok1\n"
 END_ID = 2
 SEGMENT_IDS = 1 << 22
-#: Units (and parts of units) in each of a worker's two generations, but for those of one batch; characters that it encodes at once.
-KEPT_UNITS, CHARS_AT_ONCE = 300_000, 1 << 20
+#: Units in each of a worker's two generations, but for those of one batch; characters that it encodes at once.
+KEPT_UNITS, CHARS_AT_ONCE = 400_000, 1 << 20
 #: A space that no pre-token crosses: nothing white on either side (U+180E was white in older versions of Unicode).
 CUT = re.compile(r" (?![\s\u180e])(?<![\s\u180e] )")
-#: Where a unit may be cut again: between Latin letters or digits and a punctuation mark, and around a single line end.
-PART = re.compile(r"(?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])(?=[.,;:!?])|(?<=[.,;:!?])(?=\n)|(?<=[^\s\u180e]\n)(?=[^\s\u180e])")
-#: Parts that may be lines of one text: no white space at either end but for one space in front.
-LINE = re.compile(r" ?[^\s\u180e](?:.*[^\s\u180e])?\Z", re.DOTALL)
-PARTS_AT_ONCE = 2000
+ENDS_WHITE = re.compile(r"[\s\u180e]\Z")
+UNITS_AT_ONCE = 2000
 BLOCK = 512
 
 
@@ -70,55 +66,63 @@ class Store:
         """Sees to it that ``held`` has all these keys."""
         if len(self.held) > self.kept:
             self.held, self._before = {}, self.held
-        missing = keys.difference(self.held)
-        again = missing.intersection(self._before)
-        self.held.update((k, self._before[k]) for k in again)
-        new = list(missing - again)
-        self.held.update(zip(new, make(new), strict=True))
+        held, before, new = self.held, self._before, []
+        for k in keys.difference(held):
+            if k in before:
+                held[k] = before[k]
+            else:
+                new.append(k)
+        held.update(zip(new, make(new), strict=True))
 
 
 class Encoder:
-    """Texts to ids (as bytes, four for each id). New units are made of parts, new parts are encoded many at a time."""
+    """Texts to ids (as bytes, four for each id). Units are stored without the space that stands before each but a text's first."""
 
     def __init__(self, path: str, kept: int = KEPT_UNITS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.units, self.parts = Tokenizer.from_file(path), Store(kept), Store(kept)
+        self.tokenizer, self.units, self.firsts = Tokenizer.from_file(path), Store(kept), Store(kept // 8)
         added, names = self.tokenizer.get_added_tokens_decoder(), self.tokenizer.get_vocab()
         self.width = np.zeros(max(names.values()) + 1, dtype=np.int64)
         for name, i in names.items():
             # a byte-level piece has a character for each byte; an added token stands for its own text
             self.width[i] = len(name.encode()) if i in added else len(name)
 
-    def _together(self, parts: list[str]) -> list[bytes]:
-        """Parts that neither begin nor end with white space but for one space, encoded as lines of one text; tokens are told apart by their bytes."""
-        sizes = np.array([len(p.encode()) for p in parts], dtype=np.int64)
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+    def _alone(self, units: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _together(self, units: list[str]) -> list[bytes]:
+        """Units after a space, encoded as lines of one text; tokens are told apart by their bytes."""
+        sizes = np.array([len(u.encode()) for u in units], dtype=np.int64) + 1
+        text = " " + "\n ".join(units)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
         ends, first = np.cumsum(self.width[ids]), np.cumsum(sizes + 1) - sizes - 1
         lo, hi = np.searchsorted(ends, first, side="right") * 4, np.searchsorted(ends, first + sizes, side="right") * 4
         data = ids.tobytes()
         return [data[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        found = {}
-        alone, rest = [p for p in parts if not LINE.match(p)], [p for p in parts if LINE.match(p)]
-        for part, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            found[part] = np.array(e.ids, dtype="<u4").tobytes()
-        for lo in range(0, len(rest), PARTS_AT_ONCE):
-            some = rest[lo : lo + PARTS_AT_ONCE]
+    def _spaced(self, units: list[str]) -> list[bytes]:
+        # white space at the end, or nothing, occurs where a text ends
+        odd = [u for u in units if not u or ENDS_WHITE.search(u)]
+        found = dict(zip(odd, self._alone([f" {u}" for u in odd]), strict=True))
+        rest = [u for u in units if u not in found] if odd else units
+        for lo in range(0, len(rest), UNITS_AT_ONCE):
+            some = rest[lo : lo + UNITS_AT_ONCE]
             found.update(zip(some, self._together(some), strict=True))
-        return [found[p] for p in parts]
-
-    def _compose(self, units: list[str]) -> list[bytes]:
-        cut = [PART.split(u) for u in units]
-        self.parts.fill(set(chain.from_iterable(cut)), self._encode)
-        return [b"".join(map(self.parts.held.__getitem__, c)) for c in cut]
+        return [found[u] for u in units]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        # every unit but a text's first has its space in front
-        units = [[p[0], *[f" {u}" for u in p[1:]]] for p in map(CUT.split, texts)]
-        self.units.fill(set(chain.from_iterable(units)), self._compose)
-        return [b"".join(map(self.units.held.__getitem__, u)) for u in units]
+        units = [CUT.split(t) for t in texts]
+        firsts = [u[0] for u in units]
+        for u in units:
+            u[0] = ""
+        self.firsts.fill(set(firsts), self._alone)
+        self.units.fill(set(chain.from_iterable(units)) | {""}, self._spaced)
+        held, out = self.units.held, []
+        for first, u in zip(firsts, units, strict=True):
+            del u[0]
+            out.append(self.firsts.held[first] + b"".join(map(held.__getitem__, u)))
+        return out
 
 
 @lru_cache(maxsize=1)
