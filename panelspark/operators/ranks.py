@@ -1,8 +1,9 @@
 """Ranks, quantiles, quantile buckets, chronological splits and train-only normalisation.
 
 ``ntile`` is not the quantile bucket of ranks, and Spark has no average rank; both are built from ranks and counts.
-Ranks and quantiles are running sums over range partitions (``staging.running_sum``) of counts by distinct value, so
-neither one group nor one value with a third of the rows gathers in a task.
+Ranks are counts inside range partitions of the rows plus those of the partitions before (``places``), quantiles come from
+counts by distinct value or without any order of the rows (``selection``); so neither one group nor one value with a third
+of the rows gathers in a task.
 """
 
 from __future__ import annotations
@@ -12,15 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators.staging import running_sum
-
-
-def _same(left: str, right: str, by: Sequence[str]) -> Column:
-    """Groups match null-safely: null is a group."""
-    out = F.lit(True)
-    for c in by:
-        out = out & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
-    return out
+from panelspark.operators.selection import column_quantiles, same as _same
+from panelspark.operators.staging import materialise, running_sum
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -34,11 +28,41 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     return placed.alias("l").join(total.alias("r"), _same("l", "r", by)).select(*[F.col(f"l.{c}") for c in (*by, value, "n", "below")], "r.total")
 
 
+def places(df: DataFrame, value: str, by: Sequence[str], counted: Column | None = None) -> DataFrame:
+    """Adds below and upto: how many counted rows (default: all with a value) of the group have a smaller value, and at most this one.
+
+    Rows are dealt out by range of group, value and their own number, so that equal values spread over tasks, and stay where
+    they are: counts inside a range partition are windows, and only counts of partitions and of the values at their
+    ends go through windows over partitions. Nothing is joined back on a value.
+    """
+    there = F.col(value).isNotNull()
+    rows = df.withColumns({"_own": F.monotonically_increasing_id(), "_c": F.when(there & (counted if counted is not None else F.lit(True)), 1).otherwise(0).cast("long"), "_g": F.struct(F.lit(0).alias("all"), *by)})
+    spread = rows.repartitionByRange(*by, F.col(value), F.col("_own")).withColumn("_part", F.spark_partition_id())
+    ordered = Window.partitionBy("_g", "_part").orderBy(value)  # up to a row's peers
+    peers = Window.partitionBy("_g", "_part", value)
+    held = materialise(spread.withColumns({"_upto": F.sum("_c").over(ordered), "_peers": F.sum("_c").over(peers)}).drop("_own", "_c"), "places")
+    parts = held.groupBy("_g", "_part").agg(F.max("_upto").alias("c"), F.min_by("_peers", value).alias("c_lo"), F.max_by("_peers", value).alias("c_hi"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    before = Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_start", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    # a value at a partition's end may go on in others: its counts in the partitions before and after
+    ends = F.array(F.struct(F.col("lo").alias("v"), F.col("c_lo").alias("n")), F.struct(F.col("hi").alias("v"), F.when(F.col("hi") != F.col("lo"), F.col("c_hi")).otherwise(0).alias("n")))
+    each = parts.select("_g", "_part", F.inline(ends)).where("v IS NOT NULL").groupBy("_g", "v", "_part").agg(F.max("n").alias("n"))
+    same = Window.partitionBy("_g", "v").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumns({"_e": F.coalesce(F.sum("n").over(same), F.lit(0)), "_all": F.sum("n").over(Window.partitionBy("_g", "v"))})
+    each = each.select("_g", "_part", "v", "_e", (F.col("_all") - F.col("_e") - F.col("n")).alias("_l"))
+    shift = parts.join(each, ["_g", "_part"], "left").groupBy("_g", "_part").agg(
+        F.max("_start").alias("_start"), F.max("lo").alias("_lo"), F.max("hi").alias("_hi"), F.max(F.when(F.col("v") == F.col("lo"), F.col("_e"))).alias("_e"), F.max(F.when(F.col("v") == F.col("hi"), F.col("_l"))).alias("_l")
+    )
+    out = held.join(shift, ["_g", "_part"])
+    below = F.col("_start") + F.col("_upto") - F.col("_peers") - F.when(F.col(value) == F.col("_lo"), F.col("_e")).otherwise(0)
+    upto = F.col("_start") + F.col("_upto") + F.when(F.col(value) == F.col("_hi"), F.col("_l")).otherwise(0)
+    known = lambda c: F.when(F.col(value).isNotNull(), c)
+    return out.select(*df.columns, known(below).alias("below"), known(upto).alias("upto"))
+
+
 def average_rank(df: DataFrame, value: str, by: Sequence[str], name: str) -> DataFrame:
     """Adds the 1-based rank of ``value`` in its group, ties sharing their mean rank; a null value has a null rank."""
-    ranks = value_counts(df, value, by).select(*by, value, (F.col("below") + (F.col("n") + 1) / 2).alias(name))
-    met = df.alias("l").join(ranks.alias("r"), _same("l", "r", [*by, value]), "left")
-    return met.select("l.*", f"r.{name}")
+    return places(df, value, by).withColumn(name, (F.col("below") + F.col("upto") + 1) / 2).drop("below", "upto")
 
 
 def _at_share(share: float, value: str) -> Column:
@@ -86,12 +110,12 @@ def tied_buckets(df: DataFrame, value: str, by: Sequence[str], q: int, name: str
         low, high = F.max(F.when(holds(F.floor(place)), F.col("_rank"))), F.max(F.when(holds(F.ceil(place)), F.col("_rank")))
         edges.append(F.when(F.max(F.lit(i) <= F.least(F.lit(q), F.col("total"))), low + (high - low) * F.max(place - F.floor(place))))
     cuts = at.groupBy(*by).agg(F.array_sort(F.array_distinct(F.array_compact(F.array(*edges)))).alias("_cuts"))
-    met = at.alias("l").join(cuts.alias("r"), _same("l", "r", by))
+    ranked = average_rank(df, value, by, "_rank").alias("l")
+    met = ranked.join(F.broadcast(cuts.alias("r")) if not by else cuts.alias("r"), _same("l", "r", by), "left")
     # right-closed, the least edge included
     inner = F.slice("r._cuts", F.lit(2), F.greatest(F.size("r._cuts") - 2, F.lit(0)))
-    bucket = F.size(F.filter(inner, lambda c: c < F.col("l._rank")))
-    found = met.select(*[f"l.{c}" for c in by], F.col(f"l.{value}").alias(value), bucket.alias(name))
-    return df.alias("l").join(found.alias("r"), _same("l", "r", [*by, value]), "left").select("l.*", f"r.{name}")
+    bucket = F.when(F.col("l._rank").isNotNull(), F.size(F.filter(inner, lambda c: c < F.col("l._rank"))))
+    return met.select(*[f"l.{c}" for c in df.columns], bucket.alias(name))
 
 
 def auc(df: DataFrame, score: str, outcome: str, by: Sequence[str]) -> DataFrame:
@@ -133,31 +157,37 @@ def split_at(df: DataFrame, key: str, ts: str, split_date: str) -> DataFrame:
 PARAMS = {"p10": 0.1, "p25": 0.25, "center": 0.5, "p75": 0.75, "p90": 0.9}
 
 
-def _fitted(df: DataFrame, value: str, split: str, fit: Sequence[str]) -> DataFrame:
-    """Every distinct value with n and below, which count fitted rows only, total (of them) and _s (their population deviation)."""
-    inside = F.col(split).isin(*fit)
-    known = df.where(F.col(value).isNotNull())
-    counts = known.groupBy(value).agg(F.count_if(inside).alias("n"))
-    whole = known.where(inside).agg(F.count("*").alias("total"), F.stddev_pop(value).alias("_s"))
-    return running_sum(counts, [], [F.col(value)], F.col("n"), "below").crossJoin(F.broadcast(whole))  # one row
-
-
-def _params(at: DataFrame, value: str) -> DataFrame:
-    scale = F.max("_s")
-    one = at.where("n > 0").agg(F.max("total").alias("n_fit"), F.when(scale > 1e-12, scale).otherwise(1.0).alias("scale"), *[_at_share(share, value).alias(name) for name, share in PARAMS.items()])
-    return one.select(*PARAMS, "n_fit", "scale")
+def train_params(df: DataFrame, values: str | Sequence[str], split: str = "split", fit: Sequence[str] = ("train",)) -> DataFrame:
+    """What the fitted splits say of each value: feature, n_fit, center (median), scale (population deviation, 1 if none) and five quantiles.
 
+    Two aggregations for all columns at once, and no sort of rows.
+    """
+    columns = [values] if isinstance(values, str) else list(values)
+    fitted = df.where(F.col(split).isin(*fit)).select(*[F.col(c).cast("double").alias(c) for c in columns])
+    spreads = fitted.agg(F.array(*[F.struct(F.lit(c).alias("feature"), F.stddev_pop(c).alias("_s")) for c in columns]).alias("_a")).select(F.inline("_a"))
+    cuts = column_quantiles(fitted, columns, [], PARAMS).withColumnRenamed("n", "n_fit")
+    scale = F.when(F.col("_s") > 1e-12, F.col("_s")).otherwise(1.0)
+    return cuts.join(spreads, "feature").select("feature", *PARAMS, "n_fit", scale.alias("scale"))
 
-def train_params(df: DataFrame, value: str, split: str = "split", fit: Sequence[str] = ("train",)) -> DataFrame:
-    """One row of what the fitted splits say of a value: n_fit, center (median), scale (population deviation, 1 if none) and five quantiles."""
-    return _params(_fitted(df, value, split, fit), value)
 
+def train_fit(df: DataFrame, values: str | Sequence[str], split: str = "split", fit: Sequence[str] = ("train",), key: str | None = None) -> DataFrame:
+    """Adds, for one column, z (distance to the fitted median in fitted deviations) and rank (share of fitted rows at or below).
 
-def train_fit(df: DataFrame, value: str, split: str = "split", fit: Sequence[str] = ("train",)) -> DataFrame:
-    """Adds z (distance to the fitted median in fitted deviations) and rank (share of fitted rows at or below)."""
-    # one running sum over all distinct values gives both the quantiles and the ranks
-    at = _fitted(df, value, split, fit)
-    params = _params(at, value).select("center", "scale", "n_fit")
-    below = at.select(F.col(value).alias("_v"), (F.col("below") + F.col("n")).alias("_upto"))
-    out = df.join(below, F.col(value) == F.col("_v"), "left").crossJoin(F.broadcast(params))  # one row
-    return out.withColumns({"z": (F.col(value) - F.col("center")) / F.col("scale"), "rank": F.col("_upto") / F.col("n_fit")}).drop("_v", "_upto", "center", "scale", "n_fit")
+    For a list of columns adds <column>_train_z and <column>_train_rank; ``key`` must then name a column that tells rows
+    apart. Ranks of all columns come from one order of (column, value) cells and return to their rows by the key.
+    A column without a fitted value gives nulls.
+    """
+    inside = F.col(split).isin(*fit)
+    columns = [values] if isinstance(values, str) else list(values)
+    params = train_params(df, columns, split, fit)
+    held = params.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("center", "scale", "n_fit")))).alias("_p"))  # a row, an entry for each column
+    of = lambda c, what: F.col("_p")[c][what]
+    z = lambda c: (F.col(c) - of(c, "center")) / of(c, "scale")
+    if isinstance(values, str):
+        out = places(df, values, [], inside).crossJoin(F.broadcast(held))
+        return out.withColumns({"z": z(values), "rank": F.col("upto") / of(values, "n_fit")}).drop("_p", "below", "upto")
+    cells = df.select(key, inside.alias("_fit"), *[F.col(c).cast("double").alias(c) for c in columns]).unpivot([key, "_fit"], columns, "feature", "v").where("v IS NOT NULL")
+    ranked = places(cells, "v", ["feature"], F.col("_fit")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("feature", "upto"))).alias("_r"))
+    out = df.join(ranked, key, "left").crossJoin(F.broadcast(held))
+    made = {f"{c}_train_z": z(c) for c in columns} | {f"{c}_train_rank": F.col("_r")[c] / of(c, "n_fit") for c in columns}
+    return out.withColumns(made).drop("_p", "_r")

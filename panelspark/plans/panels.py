@@ -256,6 +256,35 @@ def train_parameters(spark, sf):
     return out.select("n_fit", *[F.round(c, 6).alias(c) for c in ("p10", "p25", "center", "p75", "p90")], F.round("scale", 4).alias("scale"))
 
 
+#: Five columns of events: amounts, their logarithm, few values with gaps, one value for a third of the rows, days.
+FIVE = {"value": "value", "log_value": "ln(value)", "digits": "CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 13 END", "spike": "CASE WHEN event_id % 3 = 0 THEN 0 ELSE ticker END", "days": "event_date - DATE '1990-01-01'"}
+FIVE_SQL = f"WITH {SPLIT}, fv AS (SELECT event_id, split, {', '.join(f'({x})::DOUBLE AS {n}' for n, x in FIVE.items())} FROM sp), " + ", ".join(
+    f"p_{n} AS (SELECT quantile_cont({n}, 0.5) AS m, stddev_pop({n}) AS s, count({n}) AS k FROM fv WHERE split = 'train'), "
+    f"u_{n} AS (SELECT v, sum(c) OVER (ORDER BY v) AS upto FROM (SELECT {n} AS v, count(*) FILTER (split = 'train') AS c FROM fv WHERE {n} IS NOT NULL GROUP BY 1))"
+    for n in FIVE
+)
+
+
+@query(FIVE_SQL + " SELECT event_id, " + ", ".join(f"round(({n} - p_{n}.m) / p_{n}.s, 4) AS {n}_train_z, round(u_{n}.upto / p_{n}.k, 6) AS {n}_train_rank" for n in FIVE) + " FROM fv " + " ".join(f"LEFT JOIN u_{n} ON u_{n}.v = fv.{n}" for n in FIVE) + ", " + ", ".join(f"p_{n}" for n in FIVE))
+def train_fit_columns(spark, sf):
+    e = split_events(spark, sf)
+    days = F.datediff("event_date", F.lit("1990-01-01"))
+    five = e.select("event_id", "split", *[(days if n == "days" else F.expr(x)).cast("double").alias(n) for n, x in FIVE.items()])
+    out = ranks.train_fit(five, list(FIVE), key="event_id")
+    return out.select("event_id", *[F.round(f"{n}_train_{k}", places).alias(f"{n}_train_{k}") for n in FIVE for k, places in (("z", 4), ("rank", 6))])
+
+
+PARAMETERS = ("p10", 0.1), ("p25", 0.25), ("center", 0.5), ("p75", 0.75), ("p90", 0.9)
+
+
+@query(FIVE_SQL + " " + " UNION ALL ".join(f"SELECT '{n}' AS feature, count({n}) AS n_fit, " + ", ".join(f"round(quantile_cont({n}, {q}), 6) AS {c}" for c, q in PARAMETERS) + f", round(stddev_pop({n}), 4) AS scale FROM fv WHERE split = 'train'" for n in FIVE))
+def train_parameters_columns(spark, sf):
+    days = F.datediff("event_date", F.lit("1990-01-01"))
+    five = split_events(spark, sf).select("split", *[(days if n == "days" else F.expr(x)).cast("double").alias(n) for n, x in FIVE.items()])
+    out = ranks.train_params(five, list(FIVE))
+    return out.select("feature", "n_fit", *[F.round(c, 6).alias(c) for c, _ in PARAMETERS], F.round("scale", 4).alias("scale"))
+
+
 @query(f"WITH {EV}, late AS (SELECT event_id, row_number() OVER (ORDER BY event_date, event_id) AS r, count(*) OVER () AS n FROM ev WHERE event_date >= DATE '1997-01-01') SELECT event_id, CASE WHEN r IS NULL THEN 'train' WHEN r <= greatest(1, ceil(n / 2)) THEN 'validation' ELSE 'test' END AS split FROM ev LEFT JOIN late USING (event_id)")
 def split_at_date(spark, sf):
     return ranks.split_at(order_events(spark, sf), "event_id", "event_date", "1997-01-01").select("event_id", "split")
