@@ -1,16 +1,16 @@
-"""Forecast models over the feature matrix: elastic net, boosted trees and ridge from Spark's library, on a log target, chosen on validation rows."""
+"""Forecast models over the feature matrix: elastic net and ridge from moments, boosted trees from Spark's library, chosen on train folds and validation rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.numbers import number
-from panelspark.operators import metrics, ranks
+from panelspark.operators import linear, metrics, ranks
 from panelspark.operators.staging import running_sum
 from panelspark.operators.strategy import from_log, log_target
 
@@ -20,9 +20,9 @@ LEAST = {"train": 20, "validation": 5, "test": 5}
 TREES = ({"maxDepth": 3, "maxIter": 30, "stepSize": 0.1}, {"maxDepth": 4, "maxIter": 20, "stepSize": 0.2})
 
 
-def assembled(df: DataFrame, features: Sequence[str], target: str, log: bool = True) -> DataFrame:
+def assembled(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Adds x, the features as a vector (missing numbers are 0), and y, the target (its logarithm)."""
-    out = df.withColumns({f"_x{i}": F.coalesce(number(f), F.lit(0.0)) for i, f in enumerate(features)}).withColumn("y", log_target(number(target)) if log else number(target))
+    out = df.withColumns({f"_x{i}": F.coalesce(number(f), F.lit(0.0)) for i, f in enumerate(features)}).withColumn("y", log_target(number(target)))
     names = [f"_x{i}" for i in range(len(features))]
     return VectorAssembler(inputCols=names, outputCol="x").transform(out).drop(*names)
 
@@ -39,46 +39,48 @@ def skip_reason(df: DataFrame, target: str, split: str = "split") -> str | None:
 
 
 def time_folds(train: DataFrame, order: Sequence[str], folds: int = 5) -> DataFrame:
-    """Adds fold: rows in time order cut into folds + 1 parts, numbered from 0; part k is tested by what came before it."""
+    """Adds fold: the last rows in time order are cut into ``folds`` equal parts 1, 2, ..., and what comes before them is part 0.
+
+    Each part is tested by what came before it.
+    """
     placed = running_sum(train, [], [F.col(c) for c in order], F.lit(1), "_at")
     n = F.broadcast(train.agg(F.count("*").alias("_n")))  # one row
-    return placed.crossJoin(n).withColumn("fold", F.floor(F.col("_at") * (folds + 1) / F.col("_n")).cast("int")).drop("_at", "_n")
+    size = F.floor(F.col("_n") / (folds + 1))
+    first = F.col("_n") - folds * size
+    fold = F.when(F.col("_at") < first, 0).otherwise(1 + F.floor((F.col("_at") - first) / size))
+    return placed.crossJoin(n).withColumn("fold", fold.cast("int")).drop("_at", "_n")
+
+
+def _predicted(model, df: DataFrame, name: str) -> DataFrame:
+    return model.transform(df).withColumn(name, from_log(F.col("p"))).drop("p")
 
 
-def _linear(alpha: float, l1: float) -> LinearRegression:
-    return LinearRegression(featuresCol="x", labelCol="y", predictionCol="p", regParam=alpha, elasticNetParam=l1, standardization=True, maxIter=200)
+def _forecast(df: DataFrame, name: str, value: Column, split: str) -> DataFrame:
+    """Adds a forecast, never below the floor, to the rows of validation and test."""
+    return df.withColumn(name, F.when(F.col(split) != "train", F.greatest(value, F.lit(metrics.FLOOR))))
 
 
-def _predicted(model, df: DataFrame, name: str, log: bool = True) -> DataFrame:
-    out = model.transform(df)
-    value = from_log(F.col("p")) if log else F.greatest("p", F.lit(metrics.FLOOR))
-    return out.withColumn(name, value).drop("p")
+def _none(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, F.lit(None).cast("double"))
 
 
 def elastic_net(df: DataFrame, features: Sequence[str], target: str, order: Sequence[str], name: str = "forecast_elastic_net", alphas: Sequence[float] = ALPHAS, ratios: Sequence[float] = L1_RATIOS, folds: int = 5, split: str = "split") -> tuple[DataFrame, dict]:
     """Adds the forecast of an elastic net whose penalty is chosen by time-ordered folds of train rows and that is fitted again on train and validation.
 
-    Returns (rows with the forecast, what was done). The grid is a constant; each fit is a distributed job, and one number
-    each comes to the driver.
+    Returns (rows with the forecast, what was done). All penalties and folds come from one pass over the rows (``linear``).
     """
     reason = skip_reason(df, target, split)
     if reason:
-        return df.withColumn(name, F.lit(None).cast("double")), {"status": reason}
-    ready = assembled(df, features, target)
-    train = time_folds(ready.where((F.col(split) == "train") & F.col("y").isNotNull()), order, folds).persist()
-    losses = {}
-    for alpha in alphas:
-        for ratio in ratios:
-            total, n = 0.0, 0
-            for k in range(1, folds + 1):
-                model = _linear(alpha, ratio).fit(train.where(F.col("fold") < k))
-                r = model.transform(train.where(F.col("fold") == k)).agg(F.sum((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("s"), F.count("*").alias("n")).head()
-                total, n = total + (r["s"] or 0.0), n + r["n"]
-            losses[alpha, ratio] = total / max(1, n)
-    train.unpersist()
+        return _none(df, name), {"status": reason}
+    known = df.withColumn("_y", log_target(number(target))).where("_y IS NOT NULL").select(split, "_y", *dict.fromkeys([*order, *features]))
+    train = time_folds(known.where(F.col(split) == "train"), order, folds)
+    rows = train.unionByName(known.where(F.col(split) == "validation").withColumn("fold", F.lit(folds + 1)))
+    parts = linear.moments(rows, features, "_y", "fold")
+    losses = linear.cross_validated({k: m for k, m in parts.items() if k <= folds}, alphas, ratios)
     alpha, ratio = min(losses, key=losses.get)
-    model = _linear(alpha, ratio).fit(ready.where(F.col(split).isin("train", "validation") & F.col("y").isNotNull()))
-    return _predicted(model, ready, name).drop("x", "y"), {"status": "trained", "alpha": alpha, "l1_ratio": ratio, "cv_mse": losses[alpha, ratio]}
+    model = linear.fit_elastic_net(linear.total(parts.values()), features, alpha, ratio)
+    done = {"status": "trained", "alpha": alpha, "l1_ratio": ratio, "cv_mse": losses[alpha, ratio], "grid_points": len(losses), "weights": model.weights.tolist(), "intercept": model.intercept}
+    return _forecast(df, name, from_log(model.predicted()), split), done
 
 
 def tuning_objective(scored: DataFrame, forecast: str, target: str, implied: str, key: str) -> float:
@@ -95,7 +97,7 @@ def boosted_trees(df: DataFrame, features: Sequence[str], target: str, implied:
     """Adds the forecast of boosted trees; of the variants the one that ranks validation rows best counts."""
     reason = skip_reason(df, target, split)
     if reason:
-        return df.withColumn(name, F.lit(None).cast("double")), {"status": reason}
+        return _none(df, name), {"status": reason}
     ready = assembled(df, features, target)
     known = ready.where(F.col(split).isin("train", "validation") & F.col("y").isNotNull()).withColumn("_held", F.col(split) == "validation").persist()
     best = None
@@ -106,18 +108,18 @@ def boosted_trees(df: DataFrame, features: Sequence[str], target: str, implied:
         if best is None or value > best[0]:
             best = (value, model, variant)
     known.unpersist()
-    return _predicted(best[1], ready, name).drop("x", "y"), {"status": "trained", "objective": best[0], **best[2]}
+    out = _predicted(best[1], ready, name).drop("x", "y")
+    return _forecast(out, name, F.col(name), split), {"status": "trained", "objective": best[0], **best[2]}
 
 
 def ridge(df: DataFrame, features: Sequence[str], target: str, name: str = "forecast_ridge", alpha: float = 0.01, split: str = "split") -> tuple[DataFrame, dict]:
     """Adds the forecast of a ridge regression of the plain target on train rows; train rows have none, and none is below the floor."""
     reason = skip_reason(df, target, split)
     if reason:
-        return df.withColumn(name, F.lit(None).cast("double")), {"status": reason}
-    ready = assembled(df, features, target, log=False)
-    model = LinearRegression(featuresCol="x", labelCol="y", predictionCol="p", regParam=alpha, elasticNetParam=0.0).fit(ready.where((F.col(split) == "train") & F.col("y").isNotNull()))
-    out = _predicted(model, ready, name, log=False).drop("x", "y")
-    return out.withColumn(name, F.when(F.col(split) != "train", F.col(name))), {"status": "trained", "alpha": alpha}
+        return _none(df, name), {"status": reason}
+    rows = df.where(F.col(split) == "train").select(number(target).alias("_y"), F.lit(0).alias("_part"), *features)
+    model = linear.fit_ridge(linear.moments(rows, features, "_y", "_part")[0], features, alpha)
+    return _forecast(df, name, model.predicted(), split), {"status": "trained", "alpha": alpha, "weights": model.weights.tolist(), "intercept": model.intercept}
 
 
 def rank_signal(df: DataFrame, forecasts: Sequence[str], implied: str, key: str, split: str = "split") -> DataFrame:
@@ -133,23 +135,33 @@ def rank_signal(df: DataFrame, forecasts: Sequence[str], implied: str, key: str,
     return out.withColumn("rank_signal", mean).drop(*[f"_{w}{i}" for w in ("edge", "rank", "n") for i in range(len(forecasts))])
 
 
-def model_suite(long: DataFrame, features: Sequence[str], order: Sequence[str], target: str, implied: str, key: str, target_id: str = "target_id", alphas: Sequence[float] = (0.01,), ratios: Sequence[float] = (0.5,), folds: int = 2) -> tuple[DataFrame, dict]:
-    """Every model for every target: rows with all forecasts, and what was done for each (target, model).
+SUITE = ("elastic_net", "gbt", "ridge")
+
+
+def model_suite(long: DataFrame, features: Sequence[str], order: Sequence[str], target: str, implied: str, key: str, targets: Sequence[str], target_id: str = "target_id", split: str = "split", trees: Sequence[dict] = TREES) -> tuple[DataFrame, DataFrame]:
+    """Every model for each of the named targets (three, say): rows with all forecasts, and what was done for each (target, model).
 
-    A model that was trained but has no usable forecast on validation and test rows is marked invalid.
+    The second frame has status, the rows of each split, the number of features, and how many rows of validation and test
+    have a forecast. A model that was trained but has no usable forecast there is marked invalid.
     """
-    done, frames = {}, []
-    for t in [r[0] for r in long.select(target_id).distinct().orderBy(target_id).collect()]:  # three targets
-        rows = long.where(F.col(target_id) == t)
-        rows, done[t, "elastic_net"] = elastic_net(rows, features, target, order, alphas=alphas, ratios=ratios, folds=folds)
-        rows, done[t, "gbt"] = boosted_trees(rows, features, target, implied, key, variants=TREES[:1])
-        rows, done[t, "ridge"] = ridge(rows, features, target)
-        for model in ("elastic_net", "gbt", "ridge"):
-            held = rows.where(F.col("split").isin("validation", "test")).agg(F.count(number(f"forecast_{model}")).alias("n")).head()["n"]
-            if done[t, model]["status"] == "trained" and not held:
-                done[t, model]["status"] = "invalid_no_usable_predictions"
+    done, frames = [], []
+    for t in targets:
+        rows, said = long.where(F.col(target_id) == t), {}
+        rows, said["elastic_net"] = elastic_net(rows, features, target, order, split=split)
+        rows, said["gbt"] = boosted_trees(rows, features, target, implied, key, variants=trees, split=split)
+        rows, said["ridge"] = ridge(rows, features, target, split=split)
         frames.append(rows)
+        done += [(t, m, said[m]["status"]) for m in SUITE]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    return out, done
+    of = lambda s: F.col(split) == s
+    usable = lambda m, s: F.count_if(of(s) & number(f"forecast_{m}").isNotNull()).alias(f"{s}_prediction_rows")
+    each = F.array(*[F.struct(F.lit(m).alias("model_id"), usable(m, "validation"), usable(m, "test")) for m in SUITE])
+    sizes = [F.count_if(of(s)).alias(f"{s}_rows") for s in LEAST]
+    counts = out.groupBy(target_id).agg(*sizes, each.alias("m")).select(target_id, *[f"{s}_rows" for s in LEAST], F.inline("m"))
+    told = long.sparkSession.createDataFrame(done, f"{target_id} string, model_id string, raw_status string")
+    held = F.col("validation_prediction_rows") + F.col("test_prediction_rows")
+    status = F.when((F.col("raw_status") == "trained") & (held == 0), "invalid_no_usable_predictions").otherwise(F.col("raw_status"))
+    report = counts.join(F.broadcast(told), [target_id, "model_id"])  # a row for each target and model
+    return out, report.withColumns({"status": status, "feature_count": F.lit(len(features)).cast("long")}).drop("raw_status")

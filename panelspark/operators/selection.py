@@ -73,7 +73,9 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], by: Sequence[str], s
     for lo in range(0, len(columns), COLUMNS_AT_ONCE):
         some = columns[lo : lo + COLUMNS_AT_ONCE]
         edges = materialise(_enclosed(typed, some, by, ps, accuracy).where("n > 0"), "quantile-edges")
-        got = materialise(_selected(typed, some, by, ps, edges), "quantiles")
+        found = edges.select(*by, "feature", "n").alias("l").join(_selected(typed, some, by, ps, edges).alias("r"), same("l", "r", [*by, "feature"]), "left")
+        none = F.array_repeat(F.lit(None).cast("double"), len(ps))
+        got = materialise(found.select(*[f"l.{c}" for c in (*by, "feature", "n")], F.coalesce("r.q", none).alias("q")), "quantiles")
         missed = [r.feature for r in got.where(F.exists("q", lambda x: x.isNull())).select("feature").distinct().collect()]  # column names
         if missed:
             ends = typed.groupBy(*by).agg(F.array(*[F.struct(F.lit(c).alias("feature"), F.min(c).alias("a"), F.max(c).alias("b"), F.count(c).alias("n")) for c in missed]).alias("_s")).select(*by, F.inline("_s")).where("n > 0")

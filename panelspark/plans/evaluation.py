@@ -336,20 +336,43 @@ def _learnable(spark, sf) -> DataFrame:
 
 
 FEATURES = ("forecast", "premium", "execution_confidence_score")
+ORDER = ("event_date", "event_id")
 
 
 @query()
 def elastic_net(spark, sf):
-    out, _ = models.elastic_net(_learnable(spark, sf), FEATURES, "target", ["event_date", "event_id"], alphas=(0.01, 0.1), ratios=(0.5,), folds=2)
+    out, _ = models.elastic_net(_learnable(spark, sf), FEATURES, "target", ORDER)
     return rounded(out.select("event_id", "split", "forecast_elastic_net"), 6)
 
 
 @query()
 def boosted_trees(spark, sf):
-    out, _ = models.boosted_trees(_learnable(spark, sf), FEATURES, "target", "implied", "event_id", variants=({"maxDepth": 3, "maxIter": 5, "stepSize": 0.2},))
+    out, _ = models.boosted_trees(_learnable(spark, sf), FEATURES, "target", "implied", "event_id")
     return rounded(out.select("event_id", "split", "forecast_gbt"), 6)
 
 
-@query()
+# three standardised features and a penalty of 0.01: the weights by Cramer's rule
+RIDGE = f"""WITH {PX}, lr AS (SELECT event_id, split, coalesce(forecast, 0)::DOUBLE AS x1, coalesce(premium, 0)::DOUBLE AS x2, coalesce(execution_confidence_score, 0)::DOUBLE AS x3, abs(premium / 10000 + forecast)::DOUBLE AS y FROM px),
+tr AS (SELECT * FROM lr WHERE split = 'train' AND y IS NOT NULL),
+mo AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(y) AS my, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, stddev_pop(x3) AS s3, covar_pop(x1, x2) AS c12, covar_pop(x1, x3) AS c13, covar_pop(x2, x3) AS c23, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2, covar_pop(x3, y) AS c3 FROM tr),
+gr AS (SELECT *, 1.01::DOUBLE AS d, c12 / (s1 * s2) AS a, c13 / (s1 * s3) AS b, c23 / (s2 * s3) AS c, c1 / s1 AS q1, c2 / s2 AS q2, c3 / s3 AS q3 FROM mo),
+de AS (SELECT *, d * (d * d - c * c) - a * (a * d - c * b) + b * (a * c - d * b) AS det FROM gr),
+we AS (SELECT *, (q1 * (d * d - c * c) - a * (q2 * d - c * q3) + b * (q2 * c - d * q3)) / det / s1 AS w1, (d * (q2 * d - c * q3) - q1 * (a * d - c * b) + b * (a * q3 - q2 * b)) / det / s2 AS w2,
+ (d * (d * q3 - q2 * c) - a * (a * q3 - q2 * b) + q1 * (a * c - d * b)) / det / s3 AS w3 FROM de)"""
+
+
+@query(RIDGE + " SELECT event_id, split, CASE WHEN split <> 'train' THEN round(greatest(1e-6, my + w1 * (x1 - m1) + w2 * (x2 - m2) + w3 * (x3 - m3)), 6) END AS forecast_ridge FROM lr, we")
 def ridge_regression(spark, sf):
     return rounded(models.ridge(_learnable(spark, sf), FEATURES, "target")[0].select("event_id", "split", "forecast_ridge"), 6)
+
+
+# three targets: one with every number, one without numbers in validation rows, one without test rows
+@query(f"""WITH {PX}, lo AS (SELECT event_id, split, t AS target_id, abs(premium / 10000 + forecast) AS y FROM px, unnest(['day_c2c', 'jump_c2o', 'reaction_o2c']) u(t) WHERE NOT (t = 'reaction_o2c' AND split = 'test')),
+co AS (SELECT target_id, count(*) FILTER (split = 'train') AS train_rows, count(*) FILTER (split = 'validation') AS validation_rows, count(*) FILTER (split = 'test') AS test_rows FROM lo GROUP BY 1)
+SELECT target_id, model_id, train_rows, validation_rows, test_rows, CASE target_id WHEN 'day_c2c' THEN validation_rows ELSE 0 END AS validation_prediction_rows, CASE target_id WHEN 'day_c2c' THEN test_rows ELSE 0 END AS test_prediction_rows,
+CASE target_id WHEN 'day_c2c' THEN 'trained' WHEN 'jump_c2o' THEN 'skipped_insufficient_finite_targets' ELSE 'skipped_insufficient_test_rows' END AS status, 3::BIGINT AS feature_count FROM co, unnest(['elastic_net', 'gbt', 'ridge']) v(model_id)""")
+def model_suite(spark, sf):
+    value = F.when(F.col("target_id") == "day_c2c", F.col("target")).when(F.col("target_id") == "jump_c2o", F.when(F.col("split") != "validation", F.col("target") / 2)).otherwise(F.col("target") / 3)
+    names = ("day_c2c", "jump_c2o", "reaction_o2c")
+    long = _learnable(spark, sf).select("*", F.explode(F.array(*map(F.lit, names))).alias("target_id")).where("NOT (target_id = 'reaction_o2c' AND split = 'test')")
+    return models.model_suite(long.withColumn("target", value), FEATURES, ORDER, "target", "implied", "event_id", names)[1]

@@ -296,6 +296,8 @@ def test_constraints_folds_and_availability(spark):
     rows = spark.range(12).select("id", F.when(F.col("id") < 8, "train").when(F.col("id") < 10, "validation").otherwise("test").alias("split"), F.when(F.col("id") != 9, 1.0).alias("f"))
     folds = {r.id: r.fold for r in models.time_folds(rows, ["id"], 3).collect()}
     assert [folds[i] for i in range(12)] == [0] * 3 + [1] * 3 + [2] * 3 + [3] * 3
+    folds = {r.id: r.fold for r in models.time_folds(spark.range(14), ["id"], 3).collect()}
+    assert [folds[i] for i in range(14)] == [0] * 5 + [1] * 3 + [2] * 3 + [3] * 3
     assert tuple(models_row for models_row in strategy.availability(rows, "f").head()) == (11, 1, 2)
     assert models.skip_reason(rows, "f") == "skipped_insufficient_train_rows"
     assert features.model_columns(spark.createDataFrame([(1, 2.0, "x", 3.0)], "cik int, vix double, name string, seqagg_v double"), False) == ["vix"]
