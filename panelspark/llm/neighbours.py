@@ -5,9 +5,9 @@ projections on the difference of two random points. Every distinct vector is the
 tree. A query walks all trees with one priority queue, ordered by the smallest margin on the way, until it has
 taken a number of leaves; the vectors of those leaves are ranked by exact distance. By default that number is the
 share ``SHARE`` of one tree's leaves, so a query computes at most that share of the distances of an exact search
-(some of them twice, where two trees bring the same vector). Vectors without clusters need a share as wide as this for
-a recall over 0.9 (figures in the README); a fixed number of leaves makes the work linear. Tables of up to ``EXACT``
-distinct vectors have one tree, whose leaves are all taken.
+(some of them twice, where two trees bring the same vector), or as many leaves as hold ``TAKEN`` vectors, if that is more.
+Vectors without clusters need a share as wide as this for a recall over 0.9 (figures in the README); a fixed number of
+leaves makes the work linear.
 
 Leaves are dealt out to groups of about GROUP rows; a leaf with more vectors or queries than MOST_IN_LEAF is cut into
 parts, each part of its queries meeting each part of its vectors, so that no task holds more. A group returns the
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 
 K, TREES, LEAF, SHARE, SAMPLE, SALTS = 10, 16, 32, 0.6, 1 << 15, 16
-EXACT, GROUP, MOST_IN_LEAF = 4096, 20_000, 4096
+TAKEN, GROUP, MOST_IN_LEAF = 2000, 20_000, 4096
 
 
 class Forest:
@@ -127,9 +127,9 @@ def sample_of(entries: DataFrame, n: int, sample: int) -> np.ndarray:
 
 def grown(points: np.ndarray, n: int, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE) -> tuple[Forest, int]:
     """The forest for ``n`` distinct vectors, and how many of its leaves a query takes."""
-    trees = 1 if n <= EXACT else trees
     forest = Forest(points, trees, max(4, round(leaf * min(1.0, sample / max(1, n)))))
-    return forest, forest.leaves if n <= EXACT else max(trees, round(SHARE * forest.leaves / trees))
+    in_leaf = max(1.0, n * trees / forest.leaves)
+    return forest, min(forest.leaves, max(round(SHARE * forest.leaves / trees), math.ceil(TAKEN / in_leaf)))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, leaf: int = LEAF, leaves: int | None = None, sample: int = SAMPLE, most_in_leaf: int = MOST_IN_LEAF) -> DataFrame:

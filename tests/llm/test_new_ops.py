@@ -25,7 +25,7 @@ def odd_documents(spark, rows):
 
 # 11 ---------------------------------------------------------------------------------------------------------------
 
-ODD = [" ", "  ", "\n", "\t", "a", "b", "'s", "'", "é", "日", "1", "!", " ", "\x1c", "\x85", "<|endoftext|>", " don't", "​", "᠎", "\r\n", "😀", "́", "ing", "."]
+ODD = [" ", "  ", "\n", "\t", "a", "b", "'s", "'", "\u00e9", "\u65e5", "1", "!", "\u00a0", "\u001c", "\u0085", "\u200b", "\u180e", "\u3000", "\u0301", "<|endoftext|>", " don't", "\r\n", "\U0001f600", "ing", ".", "a, "]
 
 
 @pytest.fixture(scope="module")

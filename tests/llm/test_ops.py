@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -400,16 +401,24 @@ def test_neighbours(spark, none):
     assert rows(neighbours.search(two, F.col("id") % 100 == 0), "query_id", "rank", "vec_id") == [(100, 1, 3)]
 
 
-def test_neighbours_recall(spark, sf):
-    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+@pytest.mark.parametrize("size", ["", "sf0.01", "sf0.1"])
+def test_neighbours_recall(spark, sf, size):
+    """At every size the forest's queue finds them: no table is searched whole because it is small."""
+    at = os.path.join(os.path.dirname(sf), size) if size else sf
+    if not os.path.exists(f"{at}/embeddings.parquet"):
+        pytest.skip("no such tables here")
+    df = spark.read.parquet(f"{at}/embeddings.parquet")
     vecs = {r.vec_id: list(map(float, r.embedding)) for r in df.collect()}
     want = brute_knn(vecs, [i for i in vecs if i % 100 == 0], 10)
-    got = {(r.query_id, r.vec_id) for r in queries.QUERIES["op2_neighbours"](spark, sf).collect()}
+    got = {(r.query_id, r.vec_id) for r in queries.QUERIES["op2_neighbours"](spark, at).collect()}
     assert len(got & {(q, i) for q in want for _, i in want[q]}) >= 0.9 * sum(map(len, want.values()))
+    points = np.array(list(vecs.values()))
+    forest, taken = neighbours.grown(points, len(points))
+    assert len(forest.roots) == neighbours.TREES and taken < forest.leaves
 
 
 def test_neighbours_recall_where_half_of_the_rows_are_seen(spark):
-    """Vectors without clusters, more than are searched exactly: what a query sees, and what it finds."""
+    """Vectors without clusters: what a query sees, and what it finds."""
     n = 10_000
     data = np.random.default_rng(6).normal(size=(n, 24)).astype(np.float32)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)], "vec_id long, embedding array<float>")
