@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.numbers import number
 from panelspark.operators import metrics, ranks
-from panelspark.operators.staging import materialise, running_sum
+from panelspark.operators.bootstrap import cluster_weights, weighted_auc
+from panelspark.operators.staging import materialise
 
 FLAGS = ("model_nearer", "sign_correct", "false_positive", "false_negative", "model_corrected_market", "market_right_model_wrong")
 CASES = 25
@@ -129,37 +129,77 @@ def pairwise_auc(long: DataFrame, by: Sequence[str], model: str, key: str, score
     return a.join(b, keys).withColumn("auc_lift", F.col("auc_a") - F.col("auc_b"))
 
 
-def draw_weight(draw: Column, cluster: Column, seed: int) -> Column:
-    """How often a bootstrap draw takes a cluster: a Poisson number of mean 1 from a hash of draw and cluster (the same on every machine)."""
-    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), draw, cluster), 11).cast("double") + 0.5) / float(2**53)
-    out, below, term = F.lit(0), 0.0, float(np.exp(-1.0))
-    for k in range(10):
-        below += term
-        out = out + (unit > below).cast("int")
-        term /= k + 1
-    return out
+def bootstrap_lifts(long: DataFrame, by: Sequence[str], model: str, key: str, score: str, edge: str, draws: int = 200, seed: int = 17, weights: DataFrame | None = None) -> DataFrame:
+    """by, model_a, model_b and lifts: an array with the AUC lift of each draw of clusters (``key``), on the rows that both models have.
+
+    ``weights``: key and w (``bootstrap.cluster_weights``), if they aren't to be drawn here.
+    """
+    pairs, keys = materialise(_pair_rows(long, by, model, key, score, edge), "bootstrap-pairs"), [*by, "model_a", "model_b"]
+    own = weights if weights is not None else cluster_weights(pairs, key, draws, seed)
+    rows = materialise(pairs.join(own, key), "bootstrap-rows")
+    a, b = (weighted_auc(rows, keys, c, "hit", "w", draws).alias(c) for c in "ab")
+    met = a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys])
+    return met.select(*[f"a.{c}" for c in keys], F.zip_with("a.auc", "b.auc", lambda x, y: x - y).alias("lifts"))
 
 
 def bootstrap_auc(long: DataFrame, by: Sequence[str], model: str, key: str, score: str, edge: str, draws: int = 200, seed: int = 17) -> DataFrame:
-    """Per pair of models the 95 % interval of the AUC lift over cluster draws (clusters are events).
+    """Per pair of models the 95 % interval of the AUC lift over draws of clusters with replacement (clusters are events)."""
+    lifts = bootstrap_lifts(long, by, model, key, score, edge, draws, seed)
+    keys = [*by, "model_a", "model_b"]
+    known = lifts.withColumn("lifts", F.array_sort(F.filter("lifts", lambda x: x.isNotNull()))).where(F.size("lifts") > 0)
+    return known.select(*keys, F.size("lifts").cast("long").alias("bootstrap_iter"), *[_sorted_share(F.col("lifts"), q).alias(c) for c, q in INTERVAL.items()])
+
+
+INTERVAL = {"auc_lift_ci_low": 0.025, "auc_lift_ci_high": 0.975}
+# Fixed value: the lift over both controls from which a sequence model is called an indication.
+LEAST_LIFT = 0.05
 
-    Each draw weighs every event by a hashed Poisson number, which for many clusters is the bootstrap with replacement.
-    Weighted AUCs come from sums by distinct score: score order is a running sum, so no draw gathers in a task.
+
+def _sorted_share(values: Column, share: float) -> Column:
+    """The quantile of a sorted array by linear interpolation."""
+    at = F.lit(share) * (F.size(values) - 1)
+    low = F.get(values, F.floor(at).cast("int"))
+    return low + (F.get(values, F.ceil(at).cast("int")) - low) * (at - F.floor(at))
+
+
+def sequence_controls(long: DataFrame, by: Sequence[str], model: str, key: str, score: str, edge: str, real: Sequence[str], mask: str, shuffle: str, draws: int = 200, seed: int = 17) -> DataFrame:
+    """Per group and sequence model (``real`` ones and the two controls): coverage, the share of rows without a score, AUC lifts over
+    the control that sees masks only, over the one with shuffled time and over the best real model, and the lower ends of the
+    control lifts' bootstrap intervals (0 of a control over itself).
+
+    A real model that lifts both by LEAST_LIFT, with intervals above 0, is a signal indication; all others are diagnostic.
     """
-    pairs, keys = materialise(_pair_rows(long, by, model, key, score, edge), "bootstrap-pairs"), [*by, "model_a", "model_b"]
-    each = pairs.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", draw_weight(F.col("draw"), F.col(key).cast("string"), seed)).where("w > 0")
-    lifts = None
-    for side in ("a", "b"):
-        at = each.groupBy(*keys, "draw", side).agg(F.sum("w").alias("_c"), F.sum(F.col("w") * F.col("hit")).alias("_h"))
-        at = running_sum(at, [*keys, "draw"], [F.col(side)], F.col("_c"), "_below")
-        rank = F.col("_below") + (F.col("_c") + 1) / 2
-        p, n = F.sum("_h").cast("double"), F.sum("_c").cast("double")
-        auc = F.when((p > 0) & (n > p), (F.sum(F.col("_h") * rank) - p * (p + 1) / 2) / (p * (n - p)))
-        one = at.groupBy(*keys, "draw").agg(auc.alias(f"auc_{side}"))
-        lifts = one if lifts is None else lifts.join(one, [*keys, "draw"])
-    lifts = lifts.withColumn("lift", F.col("auc_a") - F.col("auc_b")).where("lift IS NOT NULL")
-    counts = lifts.groupBy(*keys).agg(F.count("*").alias("bootstrap_iter"))
-    return counts.join(ranks.quantiles(lifts, "lift", keys, {"auc_lift_ci_low": 0.025, "auc_lift_ci_high": 0.975}), keys)
+    asked = [*real, mask, shuffle]
+    rows = long.where(F.col(model).isin(*asked)).select(*by, model, key, number(score).alias("_s"), number(edge).alias("_e"))
+    rows = materialise(rows, "control-rows")
+    scored = rows.withColumn("_hit", F.when(F.col("_e").isNotNull(), (F.col("_e") > 0).cast("long")))
+    auc = ranks.auc(scored.where("_s IS NOT NULL"), "_s", "_hit", [*by, model])
+    sizes = rows.groupBy(*by, model).agg(F.count("*").alias("_all"))
+    of = lambda m: F.max(F.when(F.col(model) == m, F.col("auc")))
+    tops = auc.groupBy(*by).agg(of(mask).alias("_mask"), of(shuffle).alias("_shuffle"), F.max(F.when(F.col(model).isin(*real), F.col("auc"))).alias("_best"))
+    both = lambda l_, r, keys: [F.col(f"{l_}.{c}").eqNullSafe(F.col(f"{r}.{c}")) for c in keys]
+    out = sizes.alias("l").join(auc.alias("r"), both("l", "r", [*by, model]), "left").select("l.*", F.coalesce("r.n", F.lit(0)).alias("coverage"), "r.auc")
+    out = out.alias("l").join(tops.alias("r"), both("l", "r", by) or F.lit(True), "left").select("l.*", "r._mask", "r._shuffle", "r._best")
+    # intervals of every model over each control; a pair's order is the names', so its lift may have to be turned
+    lifts = bootstrap_lifts(rows, by, model, key, "_s", "_e", draws, seed)
+    sides = []
+    for control in (mask, shuffle):
+        for a, b, sign in (("model_a", "model_b", 1.0), ("model_b", "model_a", -1.0)):
+            sides.append(lifts.where(F.col(b) == control).select(*by, F.col(a).alias(model), F.lit(control).alias("_control"), F.array_sort(F.transform(F.filter("lifts", lambda x: x.isNotNull()), lambda x: x * sign)).alias("_l")))  # noqa: B023
+    each = sides[0]
+    for side in sides[1:]:
+        each = each.unionByName(side)
+    ends = each.where(F.size("_l") > 0).select(*by, model, "_control", *[_sorted_share(F.col("_l"), q).alias(c) for c, q in INTERVAL.items()])
+    end = lambda c, m: F.max(F.when(F.col("_control") == m, F.col(c)))
+    wide = ends.groupBy(*by, model).agg(*[end(c, m).alias(f"_{n}_{c}") for n, m in (("mask", mask), ("shuffle", shuffle)) for c in INTERVAL])
+    out = out.alias("l").join(wide.alias("r"), both("l", "r", [*by, model]), "left").select("l.*", *[f"r._{n}_{c}" for n in ("mask", "shuffle") for c in INTERVAL])
+    own = {(n, c): F.when(F.col(model) == m, 0.0).otherwise(F.col(f"_{n}_{c}")) for n, m in (("mask", mask), ("shuffle", shuffle)) for c in INTERVAL}
+    lift = {"mask_only_lift": F.col("auc") - F.col("_mask"), "time_shuffle_lift": F.col("auc") - F.col("_shuffle"), "best_real_sequence_lift": F.col("auc") - F.col("_best")}
+    low, high = (F.least(own["mask", c], own["shuffle", c]) for c in INTERVAL)
+    out = out.select(*by, F.col(model).alias("model_id"), "coverage", (1 - F.col("coverage") / F.col("_all")).alias("drop_rate"), "auc", *[v.alias(n) for n, v in lift.items()], low.alias("auc_lift_ci_low"), high.alias("auc_lift_ci_high"))
+    both_lifts = (F.col("mask_only_lift") >= LEAST_LIFT) & (F.col("time_shuffle_lift") >= LEAST_LIFT) & (F.col("auc_lift_ci_low") > 0)
+    signal = F.coalesce(F.col("model_id").isin(*real) & both_lifts, F.lit(False))
+    return out.withColumns({"auc_lift": F.least("mask_only_lift", "time_shuffle_lift"), "claim_scope": F.when(signal, "diagnostic_grade_signal_indication").otherwise("diagnostic"), "fail_reason": F.when(~signal, "gate_not_passed_or_control_missing")})
 
 
 def stacked_increment(df: DataFrame, by: Sequence[str], baseline: str, candidate: str, target: str, implied: str, key: str, split: str = "split", least: int = 5) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.numbers import number, ratio
+from panelspark.functions.texts import single_spaced, stripped
 from panelspark.operators.asof import asof_backward, gated_latest
 from panelspark.sources.tables import keep_last
 
@@ -39,20 +40,20 @@ def local_date(accepted: Column) -> Column:
 
 def aware_timestamp(text: Column) -> Column:
     """The instant of a text with a zone (Z or an offset); without one it is null, as its instant is unknown."""
-    zoned = F.trim(text).rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$")
-    return F.when(zoned, F.try_to_timestamp(F.trim(text)))
+    zoned = stripped(text).rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$")
+    return F.when(zoned, F.try_to_timestamp(stripped(text)))
 
 
 def validate_calendar(calendar: DataFrame, timing_col: str = "announcement_timing") -> DataFrame:
     """The calendar with its timing in capitals, one of four (else UNKNOWN), and whether it is before the open or after the close."""
-    told = F.upper(F.trim(timing_col))
+    told = F.upper(stripped(timing_col))
     out = calendar.withColumn(timing_col, F.when(told.isin("BMO", "AMC", "DMH", "UNKNOWN"), told).otherwise("UNKNOWN"))
     return out.withColumn("is_main_sample_timing", F.col(timing_col).isin("BMO", "AMC"))
 
 
 def text_status(text: Column) -> Column:
     """What a filing's text says: other matters beat earnings, and without the item number neither counts."""
-    flat = F.lower(F.regexp_replace(text, r"\s+", " "))
+    flat = F.lower(single_spaced(text))
     has = lambda marks: F.greatest(*[F.contains(flat, F.lit(m)) for m in marks])
     return F.when(F.coalesce(text, F.lit("")) == "", NO_TEXT).when(~F.contains(flat, F.lit(ITEM)), NOT_ITEM).when(has(OTHER), UNRELATED).when(has(EARNINGS), VALIDATED).otherwise(AMBIGUOUS)
 
@@ -98,7 +99,7 @@ def submission_candidates(payloads: DataFrame, start: str, end: str, json_col: s
     each = parsed.select("ticker", F.col("j.cik").alias("cik"), F.posexplode(blocks).alias("block", "b"))
     names = ["form", "items", "filingDate", "acceptanceDateTime", "accessionNumber", "reportDate", "primaryDocument"]
     rows = each.where(F.col("b.form").isNotNull()).select("ticker", "cik", "block", F.posexplode(F.arrays_zip(*[F.coalesce(F.col(f"b.{n}"), F.array().cast("array<string>")).alias(n) for n in names])).alias("place", "f")).select("ticker", "cik", "block", "place", "f.*")
-    rows = rows.where((F.trim("form") == "8-K") & F.contains(F.coalesce("items", F.lit("")), F.lit("2.02")))
+    rows = rows.where((stripped("form") == "8-K") & F.contains(F.coalesce("items", F.lit("")), F.lit("2.02")))
     accepted = aware_timestamp(F.col("acceptanceDateTime"))
     rows = rows.withColumns({"accepted_at": accepted, "filing_date": F.try_to_date(F.substring("filingDate", 1, 10))}).withColumns({"acceptance_local_date": local_date(F.col("accepted_at")), "acceptance_inferred_timing": timing(F.col("accepted_at"))})
     rows = rows.withColumn("announcement_date", F.coalesce("acceptance_local_date", "filing_date")).where(F.col("announcement_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))

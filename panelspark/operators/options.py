@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.black_scholes import implied_volatility
 from panelspark.functions.numbers import number, positive
+from panelspark.functions.texts import stripped
 from panelspark.operators import ranks
 from panelspark.operators.asof import interval_vwap
 from panelspark.operators.quotes import close_time
@@ -25,7 +26,7 @@ YES = ("true", "1", "yes", "y", "t", "corporate_action", "adjusted")
 
 def flag(c: Column) -> Column:
     """A yes or no told in words; nothing told is no."""
-    return F.coalesce(F.lower(F.trim(c.cast("string"))).isin(*YES), F.lit(False))
+    return F.coalesce(F.lower(stripped(c.cast("string"))).isin(*YES), F.lit(False))
 
 
 def discover(events: DataFrame, contracts: DataFrame, dte_min: int = 5, dte_max: int = 14) -> DataFrame:
@@ -37,7 +38,7 @@ def discover(events: DataFrame, contracts: DataFrame, dte_min: int = 5, dte_max:
     size = F.coalesce(have("option_multiplier", None).try_cast("double"), F.lit(100.0))
     made = contracts.select(
         F.upper("ticker").alias("ticker"), F.col("expiration").cast("date").alias("expiration"), number("strike").alias("strike"), F.lower("right").alias("right"), F.coalesce(*[F.col(c) for c in ("options_ticker", "option_symbol") if c in contracts.columns], F.lit(None).cast("string")).alias("options_ticker"),
-        size.alias("option_multiplier"), F.coalesce(have("contract_size", None).try_cast("double"), size).alias("contract_size"), F.coalesce(F.lower(F.trim(have("deliverable_status", None).cast("string"))), F.lit("standard")).alias("deliverable_status"), flag(have("corporate_action_flag", None)).alias("corporate_action_flag"),
+        size.alias("option_multiplier"), F.coalesce(have("contract_size", None).try_cast("double"), size).alias("contract_size"), F.coalesce(F.lower(stripped(have("deliverable_status", None).cast("string"))), F.lit("standard")).alias("deliverable_status"), flag(have("corporate_action_flag", None)).alias("corporate_action_flag"),
     )
     out = events.withColumn("ticker", F.upper("ticker")).join(made, "ticker", "left")
     out = out.withColumns({"option_multiplier": F.coalesce("option_multiplier", F.lit(100.0)), "contract_size": F.coalesce("contract_size", F.lit(100.0)), "deliverable_status": F.coalesce("deliverable_status", F.lit("standard")), "corporate_action_flag": F.coalesce("corporate_action_flag", F.lit(False))})

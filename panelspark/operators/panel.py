@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.numbers import number, positive
+from panelspark.functions.texts import stripped
 from panelspark.operators.asof import asof_backward
 
 
@@ -18,11 +19,11 @@ EXCHANGES, FUND_WORDS = ("nasdaq", "nyse", "nyse american", "nyse arca"), (" etf
 def eligible_equities(listings: DataFrame) -> DataFrame:
     """ticker, exchange, eligible and filter_reason of listings (ticker, name, exchange): no other exchange, no fund by its name."""
     name = F.concat(F.lit(" "), F.lower(F.coalesce(F.col("name").cast("string"), F.lit(""))))
-    exchange = F.lower(F.trim(F.coalesce("exchange", F.lit(""))))
+    exchange = F.lower(stripped(F.coalesce("exchange", F.lit(""))))
     odd = (exchange != "") & ~exchange.isin(*EXCHANGES)
     fund = F.greatest(*[F.contains(name, F.lit(w)) for w in FUND_WORDS])
     reason = F.when(odd, "unsupported_exchange").when(fund, "fund_or_index_like_name").otherwise("eligible_common_equity")
-    out = listings.select(F.upper(F.trim("ticker")).alias("ticker"), F.nullif(F.upper(exchange), F.lit("")).alias("exchange"), reason.alias("filter_reason")).where("ticker <> ''")
+    out = listings.select(F.upper(stripped("ticker")).alias("ticker"), F.nullif(F.upper(exchange), F.lit("")).alias("exchange"), reason.alias("filter_reason")).where("ticker <> ''")
     return out.withColumn("eligible", F.col("filter_reason") == "eligible_common_equity")
 
 

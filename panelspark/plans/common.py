@@ -7,7 +7,7 @@ Floats are rounded alike on both sides; both sides order ties by a key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.sources import tables
@@ -25,8 +25,8 @@ def query(sql: str | None = None):
     return add
 
 
-def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return tables.read_table(spark, f"{sf}/{name}.parquet")
+def load(spark: SparkSession, sf: str, name: str, where: Column | None = None) -> DataFrame:
+    return tables.read_table(spark, f"{sf}/{name}.parquet", where=where)
 
 
 def rounded(df: DataFrame, places: int = 4) -> DataFrame:

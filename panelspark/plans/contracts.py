@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.functions.black_scholes import implied_volatility
+from panelspark.functions.black_scholes import implied_volatility, option_price
 from panelspark.operators import features, filings, options, panel
 from panelspark.plans.common import BARS, DAYS, EV, bars, load, order_events, query, rounded
 from panelspark.plans.panels import CALENDAR, span_calendar
@@ -245,6 +245,18 @@ def iv_inputs(spark, sf):
     return rounded(options.iv_inputs(p, straddle_events(spark, sf)).select("event_id", "expiration", "iv", "dte_days", "strike", "moneyness", "volume"), 6)
 
 
+# a premium has a volatility if it isn't below what the option is worth at once; the volatility prices it back
+@query("""WITH v AS (SELECT p_partkey, p_retailprice AS s, p_retailprice * (0.9::DOUBLE + (p_partkey % 20) / 100.0::DOUBLE) AS k, p_retailprice * (0.0205::DOUBLE + p_size / 1000.0::DOUBLE) AS p, p_size % 2 = 1 AS c FROM part WHERE p_size > 0),
+f AS (SELECT p_partkey, p >= greatest(CASE WHEN c THEN s - k ELSE k - s END, 0) AS priced FROM v) SELECT p_partkey, priced, CASE WHEN priced THEN true END AS reprices FROM f""")
+def implied_vol_reprices(spark, sf):
+    p = load(spark, sf, "part").where("p_size > 0")
+    spot, t, call = F.col("p_retailprice"), F.lit(30 / 365), F.col("p_size") % 2
+    strike, premium = spot * (F.lit(0.9) + (F.col("p_partkey") % 20) / 100), spot * (F.lit(0.0205) + F.col("p_size") / 1000)
+    out = p.select("p_partkey", spot.alias("s"), strike.alias("k"), premium.alias("p"), call.alias("c"), implied_volatility(premium, spot, strike, t, call).alias("iv"))
+    back = option_price(F.col("s"), F.col("k"), t, F.col("iv"), F.col("c"))
+    return out.select("p_partkey", F.col("iv").isNotNull().alias("priced"), F.when(F.col("iv").isNotNull(), F.abs(back - F.col("p")) < 1e-9 * F.col("s")).alias("reprices"))
+
+
 @query()
 def implied_vol(spark, sf):
     p = load(spark, sf, "part").where("p_size > 0")

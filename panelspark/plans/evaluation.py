@@ -296,7 +296,32 @@ def pairwise_auc(spark, sf):
 
 @query()
 def bootstrap_auc(spark, sf):
-    return rounded(comparison.bootstrap_auc(scored(spark, sf), ["timing"], "model", "event_id", "score", "e", 40), 6)
+    return rounded(comparison.bootstrap_auc(scored(spark, sf), ["timing"], "model", "event_id", "score", "e"), 6)
+
+
+PAIRS = LONG + ", pr AS (SELECT a.timing, a.event_id, a.model AS model_a, b.model AS model_b, a.score AS sa, b.score AS sb, (a.e > 0)::INT AS y FROM ml a JOIN ml b ON a.timing = b.timing AND a.event_id = b.event_id AND a.model < b.model WHERE a.score IS NOT NULL AND b.score IS NOT NULL)"
+
+
+@query(f"""WITH {PAIRS}, wp AS (SELECT timing, model_a, model_b, d, y, unnest([sa, sb]) AS s, unnest(['a', 'b']) AS side, CASE d WHEN 0 THEN 1 ELSE event_id % 4 END AS w FROM pr, unnest([0, 1]) t(d)),
+r AS (SELECT *, sum(w * (1 - y)) OVER (PARTITION BY timing, model_a, model_b, d, side ORDER BY s) - sum(w * (1 - y)) OVER (PARTITION BY timing, model_a, model_b, d, side, s) / 2.0 AS below FROM wp),
+u AS (SELECT timing, model_a, model_b, d, side, (sum(w * y * below) / (sum(w * y) * sum(w * (1 - y))))::DOUBLE AS auc FROM r GROUP BY ALL)
+SELECT timing, model_a, model_b, round(max(auc) FILTER (d = 0 AND side = 'a') - max(auc) FILTER (d = 0 AND side = 'b'), 6) AS plain_lift, round(max(auc) FILTER (d = 1 AND side = 'a') - max(auc) FILTER (d = 1 AND side = 'b'), 6) AS weighted_lift FROM u GROUP BY 1, 2, 3""")
+def weighted_lifts(spark, sf):
+    """Two given draws: every event once, and every event as often as its number modulo 4."""
+    rows = scored(spark, sf)
+    weights = rows.select("event_id").distinct().withColumn("w", F.concat(F.unhex(F.lit("01")), F.unhex(F.lpad((F.col("event_id") % 4).cast("string"), 2, "0"))))
+    out = comparison.bootstrap_lifts(rows, ["timing"], "model", "event_id", "score", "e", 2, weights=weights)
+    return rounded(out.select("timing", "model_a", "model_b", F.get("lifts", F.lit(0)).alias("plain_lift"), F.get("lifts", F.lit(1)).alias("weighted_lift")), 6)
+
+
+@query(f"""WITH {LONG}, hm AS (SELECT *, (e > 0)::INT AS y FROM ml WHERE score IS NOT NULL), sz AS (SELECT timing, model, count(*) AS n FROM ml GROUP BY 1, 2),
+r AS (SELECT *, rank() OVER (PARTITION BY timing, model ORDER BY score) + (count(*) OVER (PARTITION BY timing, model, score) - 1) / 2.0 AS r FROM hm),
+u AS (SELECT timing, model, count(*) AS coverage, ((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))))::DOUBLE AS auc FROM r GROUP BY 1, 2),
+t AS (SELECT timing, max(auc) FILTER (model = 'a') AS m, max(auc) FILTER (model = 'c') AS s, max(auc) FILTER (model = 'b') AS b FROM u GROUP BY 1)
+SELECT timing, model AS model_id, coverage, round(1 - coverage / n::DOUBLE, 6) AS drop_rate, round(auc - m, 6) AS mask_only_lift, round(auc - s, 6) AS time_shuffle_lift, round(auc - b, 6) AS best_real_sequence_lift FROM u JOIN sz USING (timing, model) JOIN t USING (timing)""")
+def sequence_controls(spark, sf):
+    out = comparison.sequence_controls(scored(spark, sf), ["timing"], "model", "event_id", "score", "e", ["b"], "a", "c")
+    return rounded(out.select("timing", "model_id", "coverage", "drop_rate", "mask_only_lift", "time_shuffle_lift", "best_real_sequence_lift"), 6)
 
 
 @query(f"""WITH {SPLIT}, d AS (SELECT timing, event_id, split, (event_id * 31 % 101)::DOUBLE AS x, (event_id * 17 % 89)::DOUBLE AS z, value / 1000 AS y, 150.0::DOUBLE AS i FROM sp),

@@ -14,6 +14,12 @@ from panelspark.plans.panels import CALENDAR, span_calendar
 from panelspark.sources import scans, tables
 
 
+@query("SELECT l_returnflag AS flag, count(*) AS lines, round(sum(l_extendedprice), 2) AS total FROM lineitem WHERE l_quantity > 45 AND l_discount BETWEEN 0.02 AND 0.05 GROUP BY 1")
+def filtered_scan(spark, sf):
+    large = load(spark, sf, "lineitem", (F.col("l_quantity") > 45) & F.col("l_discount").between(0.02, 0.05))
+    return rounded(large.groupBy(F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("lines"), F.sum("l_extendedprice").alias("total")), 2)
+
+
 @query("SELECT l_partkey, count(*) AS n, round(sum(l_quantity), 4) AS q FROM lineitem WHERE l_partkey IN (1, 5, 7, 11) GROUP BY 1")
 def ticker_scan(spark, sf):
     df = scans.scan_tickers(spark, f"{sf}/lineitem.parquet", [1, 5, 7, 11], ["l_quantity"], "l_partkey")
@@ -32,13 +38,13 @@ def date_listing(spark, sf):
     return scans.list_dates(scans.between_dates(bars(spark, sf), "1995-01-01", "1995-12-31"))
 
 
-@query("SELECT l_partkey::VARCHAR AS ticker, l_shipdate::DATE AS date, count(*) AS n, round(sum(l_extendedprice), 3) AS close, count(*) FILTER (l_linenumber < 7) AS with_volume FROM lineitem WHERE l_shipdate < DATE '1995-07-01' GROUP BY 1, 2")
+@query("SELECT l_partkey::VARCHAR AS ticker, l_shipdate::DATE AS date, count(*) AS n, round(sum(l_extendedprice), 3) AS close, count(*) FILTER (l_linenumber < 7) AS with_volume FROM lineitem GROUP BY 1, 2")
 def day_file_ingest(spark, sf):
-    """Lines of half a year as gzipped day files, taken in twice: the second time replaces the same dates."""
+    """All lines as gzipped day files, taken in twice: the second time replaces the same dates."""
     folder = f"{shared_folder(spark)}/days-{uuid.uuid4().hex}"
     noon = (F.unix_timestamp(F.to_date("l_shipdate").cast("timestamp")) + 17 * 3600) * 10**9
     text = lambda c: F.col(c).cast("string")
-    raw = load(spark, sf, "lineitem").where("l_shipdate < '1995-07-01'").select(text("l_partkey").alias("ticker"), F.when(F.col("l_linenumber") < 7, text("l_quantity")).otherwise("n/a").alias("volume"), text("l_extendedprice").alias("open"), text("l_extendedprice").alias("close"), text("l_extendedprice").alias("high"), text("l_extendedprice").alias("low"), text("l_discount").alias("vwap"), noon.alias("window_start"), F.lit("1").alias("transactions"))
+    raw = load(spark, sf, "lineitem").select(text("l_partkey").alias("ticker"), F.when(F.col("l_linenumber") < 7, text("l_quantity")).otherwise("n/a").alias("volume"), text("l_extendedprice").alias("open"), text("l_extendedprice").alias("close"), text("l_extendedprice").alias("high"), text("l_extendedprice").alias("low"), text("l_discount").alias("vwap"), noon.alias("window_start"), F.lit("1").alias("transactions"))
     raw.repartition(4).write.option("compression", "gzip").csv(f"{folder}/raw", header=True)
     for _ in range(2):
         out = scans.ingest_day_files(spark, [f"{folder}/raw"], f"{folder}/bronze", "day_aggs")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.functions.texts import WHITE
 from panelspark.operators import asof, calendar, comparison, features, filings, metrics, options, panel, quality, quotes, ranks, strategy, variance
 from panelspark.plans.common import BARS, DAYS, EV, LIQ, TICKS, UNI, bars, day_bars, load, order_events, query, rounded, ticks
 from panelspark.sources import tables
@@ -341,21 +342,21 @@ def symbol_parse(spark, sf):
     return tables.parse_option_symbol(p, "symbol").select("p_partkey", "underlying", "expiration", "right", "strike")
 
 
-FILED = "CASE doc_id % 5 WHEN 0 THEN concat('ITEM  2.02 Results of the fiscal quarter. ', text) WHEN 1 THEN concat('Item 2.02 annual meeting; financial results ', text) WHEN 2 THEN concat('item 2.02 ', text) WHEN 3 THEN '' ELSE text END"
+FILED = "CASE doc_id % 5 WHEN 0 THEN concat('ITEM  2.02 Results of the fiscal quarter. ', text) WHEN 1 THEN concat('Item 2.02 annual meeting; financial results ', text) WHEN 2 THEN concat('item\u00a02.02 ', CASE WHEN doc_id % 2 = 0 THEN 'quarter\u2009 ended ' ELSE '' END, text) WHEN 3 THEN '' ELSE text END"
 # the statuses of a filing's text, from the same words
 STATUS = f"""CASE WHEN coalesce(x, '') = '' THEN 'missing_text' WHEN NOT contains(f, 'item 2.02') THEN 'not_item_2_02_text' WHEN {' OR '.join(f"contains(f, '{w}')" for w in filings.OTHER)} THEN 'non_earnings_item_2_02'
  WHEN {' OR '.join(f"contains(f, '{w}')" for w in filings.EARNINGS)} THEN 'validated_earnings_release' ELSE 'ambiguous_item_2_02_text' END"""
 
 
-@query(f"WITH t AS (SELECT doc_id, {FILED} AS x FROM documents), u AS (SELECT doc_id, x, lower(regexp_replace(x, '\\s+', ' ', 'g')) AS f FROM t) SELECT doc_id, {STATUS} AS status FROM u")
+@query(f"WITH t AS (SELECT doc_id, {FILED} AS x FROM documents), u AS (SELECT doc_id, x, lower(regexp_replace(x, '{WHITE}', ' ', 'g')) AS f FROM t) SELECT doc_id, {STATUS} AS status FROM u")
 def filing_classifier(spark, sf):
     return filings.classify_filing(load(spark, sf, "documents").select("doc_id", F.expr(FILED).alias("text")), "text").select("doc_id", "status")
 
 
-FIRST, SECOND = "CASE WHEN doc_id % 7 > 2 THEN concat('item 2.02 ', left(text, 40)) WHEN doc_id % 7 = 1 THEN 'item 2.02 quarter ended' ELSE NULL END", "CASE WHEN doc_id % 3 = 0 THEN 'item 2.02 financial results' WHEN doc_id % 3 = 1 THEN 'item 2.02 weak' ELSE NULL END"
+FIRST, SECOND = "CASE WHEN doc_id % 7 > 2 THEN concat('item 2.02 ', left(text, 40)) WHEN doc_id % 7 = 1 THEN 'item 2.02 quarter\u00a0ended' ELSE NULL END", "CASE WHEN doc_id % 3 = 0 THEN 'item 2.02 financial\u3000results' WHEN doc_id % 3 = 1 THEN 'item 2.02 weak' ELSE NULL END"
 
 
-@query(f"""WITH a AS (SELECT doc_id, x, lower(regexp_replace(x, '\\s+', ' ', 'g')) AS f FROM (SELECT doc_id, {FIRST} AS x FROM documents)), b AS (SELECT doc_id, x, lower(regexp_replace(x, '\\s+', ' ', 'g')) AS f FROM (SELECT doc_id, {SECOND} AS x FROM documents)),
+@query(f"""WITH a AS (SELECT doc_id, x, lower(regexp_replace(x, '{WHITE}', ' ', 'g')) AS f FROM (SELECT doc_id, {FIRST} AS x FROM documents)), b AS (SELECT doc_id, x, lower(regexp_replace(x, '{WHITE}', ' ', 'g')) AS f FROM (SELECT doc_id, {SECOND} AS x FROM documents)),
 s AS (SELECT a.doc_id, s1, s2, s1 IN ('validated_earnings_release', 'non_earnings_item_2_02', 'not_item_2_02_text') AS settled, s2 IN ('validated_earnings_release', 'non_earnings_item_2_02', 'not_item_2_02_text') AS other FROM (SELECT doc_id, {STATUS} AS s1 FROM a) a JOIN (SELECT doc_id, {STATUS} AS s2 FROM b) b USING (doc_id))
 SELECT doc_id, CASE WHEN NOT settled AND other THEN s2 ELSE s1 END AS text_validation_status, CASE WHEN NOT settled AND other THEN 'auxiliary_text_fallback' ELSE 'official_text' END AS text_validation_source, CASE WHEN settled THEN '' ELSE s2 END AS text_validation_aux_status FROM s""")
 def official_then_aux(spark, sf):

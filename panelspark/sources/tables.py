@@ -13,11 +13,15 @@ from panelspark.functions.numbers import finite
 OPTION_SYMBOL = r"^O:([A-Z.]+)(\d{2})(\d{2})(\d{2})([CP])(\d{8})$"
 
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Parquet or CSV by suffix; CSV needs its schema, so nothing is inferred by an extra pass."""
-    if path.endswith((".csv", ".csv.gz")):
-        return cleaned(spark.read.csv(path, header=True, schema=schema))
-    return cleaned(spark.read.parquet(path))
+def read_table(spark: SparkSession, path: str, schema: str | None = None, where: Column | None = None) -> DataFrame:
+    """Parquet or CSV by suffix; CSV needs its schema, so nothing is inferred by an extra pass.
+
+    ``where`` is a filter on columns as they are stored: it reaches the scan, which one put on the cleaned columns can't (their
+    cleaning stands in between). It is applied again afterwards, as NaN is above every number where it is stored.
+    """
+    csv = path.endswith((".csv", ".csv.gz"))
+    raw = spark.read.csv(path, header=True, schema=schema) if csv else spark.read.parquet(path)
+    return cleaned(raw) if where is None else cleaned(raw.where(where)).where(where)
 
 
 def write_partitions(df: DataFrame, path: str, by: str = "date") -> None:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions import black_scholes
-from panelspark.operators import asof, comparison, features, metrics, models, options, panel, quality, quotes, ranks, strategy, surface, variance
+from panelspark.operators import asof, comparison, features, filings, metrics, models, options, panel, quality, quotes, ranks, strategy, surface, variance
 from panelspark.sources import scans, tables
 from panelspark.streaming import marks
 
@@ -312,3 +312,22 @@ def test_bootstrap_interval_holds_the_lift(spark):
     lift = comparison.pairwise_auc(long, [], "model", "event_id", "score", "edge").head().auc_lift
     r = comparison.bootstrap_auc(long, [], "model", "event_id", "score", "edge", 100).head()
     assert r.bootstrap_iter == 100 and r.auc_lift_ci_low < lift < r.auc_lift_ci_high and r.auc_lift_ci_low > 0
+
+
+@pytest.mark.parametrize("white", [" ", "\u00a0", "\u2009", "\u3000", "\x1c", "\u00a0 \n"])
+def test_white_space_of_filings(spark, white):
+    """What counts as white space in a text isn't ASCII alone."""
+    texts = [(1, f"Item{white}2.02 results for the quarter{white}ended May 3"), (2, f"Item{white}2.02 nothing else"), (3, white)]
+    got = dict(filings.classify_filing(spark.createDataFrame(texts, "id int, text string"), "text").select("id", "status").collect())
+    assert got == {1: "validated_earnings_release", 2: "ambiguous_item_2_02_text", 3: "not_item_2_02_text"}
+    calendar = spark.createDataFrame([(f"{white}bmo{white}",)], "announcement_timing string")
+    assert filings.validate_calendar(calendar).head().announcement_timing == "BMO"
+    assert spark.createDataFrame([(f"{white}2024-05-01T10:00:00Z{white}",)], "t string").select(filings.aware_timestamp(F.col("t")).isNotNull()).head()[0]
+
+
+def test_filters_on_doubles_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([(1, 2.0), (2, 5.0), (3, float("nan")), (4, None)], "id int, v double").write.parquet(f"{tmp_path}/t.parquet")
+    out = tables.read_table(spark, f"{tmp_path}/t.parquet", where=F.col("v") > 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(v,3.0)" in plan.split("PushedFilters: ")[1].split("]")[0]
+    assert [r.id for r in out.collect()] == [2]

@@ -1,6 +1,7 @@
 """Intervals by prefix states, quantiles without a sort, ranks inside range partitions and linear models from moments, against brute force."""
 
 import datetime as dt
+import math
 import random
 
 import numpy as np
@@ -8,7 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.operators import asof, intervals, linear, models, ranks, selection
+from panelspark.functions import black_scholes
+from panelspark.operators import asof, bootstrap, comparison, intervals, linear, models, ranks, selection
 from panelspark.sources import scans
 
 T0 = dt.datetime(2024, 3, 1, 9, 30)
@@ -250,3 +252,87 @@ def test_full_grid_is_one_pass_and_ridge_meets_numpy(spark, regression):
     few = df.where("split <> 'test'")
     assert models.ridge(few, NAMES, "y")[1] == {"status": "skipped_insufficient_test_rows"}
     assert linear.moments(df.limit(0).withColumn("p", F.lit(0)), NAMES, "y", "p") == {}
+
+
+# volatilities -------------------------------------------------------------------------------------------------------
+
+def test_erfc_meets_the_library():
+    x = np.concatenate([np.linspace(-8, 30, 20_001), [0.0, 0.46875, -0.46875, 4.0, -4.0, 26.9, 40, -40, np.inf, -np.inf]])
+    want = np.array([math.erfc(v) for v in x])
+    got = black_scholes.erfc(x)
+    some = want > 1e-300
+    assert np.abs(got[some] / want[some] - 1).max() < 2e-15 * 10 and np.abs(got - want).max() < 1e-15
+    assert np.isnan(black_scholes.erfc(np.array([np.nan]))).all()
+
+
+def test_newton_meets_bisection():
+    rng = np.random.default_rng(0)
+    n = 20_000
+    s, k, y, v = rng.uniform(20, 500, n), rng.uniform(0.5, 1.8, n), rng.uniform(0.005, 2, n), rng.uniform(0.02, 3, n)
+    k, c = s * k, rng.random(n) < 0.5
+    p = black_scholes.price(s, k, y, v, c)
+    low, high = np.full(n, black_scholes.LOW), np.full(n, black_scholes.HIGH)
+    for _ in range(60):
+        mid = (low + high) / 2
+        below = black_scholes.price(s, k, y, mid, c) < p
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
+    got = black_scholes.solve(p, s, k, y, c)
+    told = black_scholes.slope(s, k, y, v) > 1e-2  # elsewhere many volatilities have the price
+    assert np.abs(got - mid)[told].max() < 1e-10 and np.abs(got - v)[told].max() < 1e-9
+    again = black_scholes.price(s, k, y, got, c)
+    there = ~np.isnan(got)
+    assert there[told].all() and np.abs(again - p)[there].max() < 1e-9
+    none = black_scholes.solve(np.array([1e-9, 99.99999]), np.array([100.0] * 2), np.array([100.0] * 2), np.array([1.0, 0.01]), np.array([True] * 2))
+    assert np.isnan(none).all()
+
+
+# bootstrap ----------------------------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("bucket", [16, 4096])
+def test_draws_are_multinomial(spark, bucket):
+    """Every draw takes as many clusters as there are; a cluster's weight has mean 1 and the variance of a draw with replacement."""
+    keys = spark.range(500).select((F.col("id") * 3).cast("string").alias("k"))
+    got = {r.k: list(r.w) for r in bootstrap.cluster_weights(keys.union(keys), "k", 300, 5, bucket).collect()}
+    w = np.array(list(got.values()))
+    assert w.shape == (500, 300) and (w.sum(0) == 500).all()
+    assert abs(w.var() - (1 - 1 / 500)) < 0.03 and abs(np.corrcoef(w[:2])[0, 1]) < 0.2
+    again = {r.k: list(r.w) for r in bootstrap.cluster_weights(keys.repartition(7), "k", 300, 5, bucket).collect()}
+    assert got == again
+
+
+def test_weighted_auc_over_many_ranges(spark):
+    """Ties that lie in several ranges, batches of few rows, groups with one class; against all pairs."""
+    rng = np.random.default_rng(3)
+    n, draws = 900, 7
+    data = pd.DataFrame({"g": rng.choice(["x", "y", None], n), "v": np.where(rng.random(n) < 0.4, 2.0, rng.integers(0, 25, n) / 4), "hit": rng.integers(0, 2, n)})
+    data.loc[data.g == "y", "hit"] = 1
+    w = rng.integers(0, 4, (n, draws)).astype("u1")
+    df = spark.createDataFrame([(*r, x.tobytes()) for r, x in zip(data.replace({np.nan: None}).itertuples(index=False), w, strict=True)], "g string, v double, hit int, w binary")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    spark.conf.set("spark.sql.shuffle.partitions", "23"), spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13"), spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.g: r.auc for r in bootstrap.weighted_auc(df.repartition(5), ["g"], "v", "hit", "w", draws).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for g, own in data.groupby(data.g.fillna("null")):
+        v, hit, ww = own.v.to_numpy(), own.hit.to_numpy() == 1, w[own.index].astype(float)
+        win = (v[hit][:, None] > v[~hit][None, :]) + 0.5 * (v[hit][:, None] == v[~hit][None, :])
+        for d in range(draws):
+            a, b = ww[hit, d], ww[~hit, d]
+            auc = got[None if g == "null" else g][d]
+            assert auc is None if not b.sum() else auc == pytest.approx(a @ win @ b / (a.sum() * b.sum()), abs=1e-12)
+
+
+def test_controls_tell_a_signal(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(400):
+        e = rng.normal()
+        rows += [(i, "real", e + 0.3 * rng.normal(), e), (i, "weak", rng.normal(), e), (i, "mask", 0.0 if i % 2 else rng.normal(), e), (i, "shuffle", rng.normal(), e if i % 9 else None)]
+    long = spark.createDataFrame([(i, m, float(s), None if e is None else float(e)) for i, m, s, e in rows], "event_id int, model string, score double, edge double")
+    got = {r.model_id: r for r in comparison.sequence_controls(long, [], "model", "event_id", "score", "edge", ["real", "weak"], "mask", "shuffle", 100).collect()}
+    assert got["real"].claim_scope == "diagnostic_grade_signal_indication" and got["real"].fail_reason is None and got["real"].best_real_sequence_lift == 0
+    assert {m for m in got if got[m].claim_scope == "diagnostic"} == {"weak", "mask", "shuffle"}
+    assert got["mask"].mask_only_lift == 0 and got["mask"].auc_lift_ci_low <= 0 and got["shuffle"].coverage == 355
