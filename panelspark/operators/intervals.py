@@ -86,8 +86,10 @@ def inside_intervals(
     down = Window.partitionBy(*on, "_b").orderBy(F.desc("_ts"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
     run = rows.select("_id", "_is_end", "_ts", *[F.sum(n).over(up).alias(n) for n in sums], *[s.over(down if k == "_first" else up).alias(k) for k, s in states.items()]).where("_id IS NOT NULL")
     side = lambda n, end: F.max(F.when(F.col("_is_end") == end, F.col(n)))
+    # two digits of room, so that the difference keeps all digits after the point
+    room = lambda n, c: c.cast(f"decimal({wide[n].precision - 2},{wide[n].scale})") if wide[n].typeName() == "decimal" else c
     got = run.groupBy("_id").agg(
-        side("_ts", False).alias("_from"), side("_ts", True).alias("_to"), *[(side(n, True) - side(n, False)).alias(n) for n in sums],
+        side("_ts", False).alias("_from"), side("_ts", True).alias("_to"), *[(room(n, side(n, True)) - room(n, side(n, False))).alias(n) for n in sums],
         *[(side(k, True) if k == "_last" else F.min(F.when(~F.col("_is_end"), F.col(k)))).alias(k) for k in states],
     )
     whole = F.col("_from") <= F.col("_to") if closed_end else F.col("_from") < F.col("_to")

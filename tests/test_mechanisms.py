@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 import random
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from panelspark.functions import black_scholes
 from panelspark.operators import asof, bootstrap, comparison, intervals, linear, models, ranks, selection
 from panelspark.sources import scans
+from panelspark.streaming import marks
 
 T0 = dt.datetime(2024, 3, 1, 9, 30)
 
@@ -336,3 +338,43 @@ def test_controls_tell_a_signal(spark):
     assert got["real"].claim_scope == "diagnostic_grade_signal_indication" and got["real"].fail_reason is None and got["real"].best_real_sequence_lift == 0
     assert {m for m in got if got[m].claim_scope == "diagnostic"} == {"weak", "mask", "shuffle"}
     assert got["mask"].mask_only_lift == 0 and got["mask"].auc_lift_ci_low <= 0 and got["shuffle"].coverage == 355
+
+
+# state of streams ---------------------------------------------------------------------------------------------------
+
+def data_files(folder):
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(f"{folder}/data") for f in names if f.endswith(".parquet")}
+
+
+def test_a_batch_rewrites_the_buckets_it_touches(spark, tmp_path):
+    """One contract, one bucket; a batch that is killed before its manifest is run again to the same table; old versions go."""
+    state = marks.State(spark, f"{tmp_path}/state", "contract string, " + marks.SUMS, 8)
+    requests = spark.createDataFrame([(i, f"c{i % 20}", at(0), at(1000 + i)) for i in range(200)], "request_id long, contract string, start_ts timestamp, end_ts timestamp")
+    frame = lambda rows: spark.createDataFrame([(c, at(s), v, n) for c, s, v, n in rows], "contract string, ts timestamp, value double, volume long")
+    table = lambda: sorted(map(tuple, state.latest().collect()))
+    first = [(f"c{k}", 10 * j, 1.0 + j / 7, 1 + j) for k in range(20) for j in range(5)]
+    state.merge(marks.batch_sums(frame(first), requests), 0, marks.merged_sums)
+    before = data_files(state.folder)
+    assert 1 < len(state.manifest(0)) <= 8
+    second = [("c3", 55, 2.0, 10), ("c3", 999_999, 5.0, 10)]
+    state.merge(marks.batch_sums(frame(second), requests), 1, marks.merged_sums)
+    after = data_files(state.folder)
+    new = set(after) - set(before)
+    assert len({os.path.dirname(f) for f in new}) == 1 and all(before[f] == after[f] for f in set(before) & set(after))
+    assert sorted(state.manifest(1).values()).count(1) == 1
+    want = table()
+    by = {r[1]: r for r in want}
+    assert by[3][5] == 6 and float(by[3][2]) == pytest.approx(sum(v * n for c, _, v, n in first if c == "c3") + 20) and by[4][5] == 5
+    # the batch again, after its manifest is lost: from the state before it, to the same rows
+    os.rename(f"{state.folder}/manifest/version-1", f"{tmp_path}/lost")
+    state.merge(marks.batch_sums(frame(second), requests), 1, marks.merged_sums)
+    assert table() == want
+    state.merge(marks.batch_sums(frame(second), requests), 1, marks.merged_sums)
+    assert table() == want
+    # versions that no manifest of the last two names are gone
+    for n in range(2, 5):
+        state.merge(marks.batch_sums(frame([("c3", 60 + n, 1.0, 1)]), requests), n, marks.merged_sums)
+    assert state.manifests() == [3, 4]
+    versions = {f.split("version-")[1].split("/")[0] for f in data_files(state.folder)}
+    assert versions == {str(v) for m in (3, 4) for v in state.manifest(m).values()}
+    assert {r[1]: r[5] for r in table()}[3] == 9
