@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from panelspark.operators import asof, filings, panel, quality, quotes, strategy
+from panelspark.operators import asof, filings, identity, panel, quality, quotes, strategy
 from panelspark.operators.staging import shared_folder
 from panelspark.plans.common import BARS, EV, TICKS, bars, load, order_events, query, rounded, ticks
 from panelspark.plans.contracts import OPT, option_events
@@ -189,3 +189,54 @@ def company_metadata(spark, sf):
     c = load(spark, sf, "customer")
     payload = F.to_json(F.struct(F.col("c_nationkey").alias("cik"), F.col("c_mktsegment").alias("category")))
     return filings.company_metadata(c.select(F.col("c_custkey").cast("string").alias("ticker"), payload.alias("payload"))).select("ticker", "cik", "category", "sic")
+
+
+# part names with commas, quotes and nulls through a CSV and back
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 5 = 1 THEN concat(p_name, ', \"', p_brand, '\"') ELSE p_name END AS name, round(p_retailprice, 2) AS price FROM part")
+def csv_round_trip(spark, sf):
+    name = F.when(F.col("p_partkey") % 5 == 0, None).when(F.col("p_partkey") % 5 == 1, F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"'))).otherwise(F.col("p_name"))
+    path = f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}.csv"
+    tables.write_table(load(spark, sf, "part").select("p_partkey", name.alias("name"), F.round("p_retailprice", 2).alias("price")), path)
+    return tables.read_table(spark, path, "p_partkey bigint, name string, price double")
+
+
+@query("SELECT upper(concat('t', l_partkey)) AS ticker, l_shipdate::DATE AS date, max(l_extendedprice) AS close, sum(l_quantity)::BIGINT AS volume FROM lineitem WHERE l_partkey % 10 > 0 GROUP BY 1, 2")
+def underlying_bars(spark, sf):
+    raw = load(spark, sf, "lineitem").where("l_partkey % 10 > 0").select(F.concat(F.lit("t"), "l_partkey").alias("ticker"), F.to_date("l_shipdate").alias("date"), F.col("l_extendedprice").cast("string").alias("close"), F.col("l_quantity").cast("string").alias("volume"))
+    raw = raw.withColumns({c: F.col("close") for c in ("open", "high", "low")})
+    return scans.underlying_days(raw).groupBy("ticker", "date").agg(F.max("close").alias("close"), F.sum("volume").alias("volume"))
+
+
+@query("SELECT o_orderkey, upper(concat('c', o_custkey)) || '_' || o_orderdate::DATE::VARCHAR AS event_id, concat('c', o_custkey, '_', o_orderdate::DATE, '_', o_orderpriority[1:1], '_', o_orderkey) AS source_event_id FROM orders")
+def event_ids(spark, sf):
+    o = load(spark, sf, "orders")
+    e = o.select("o_orderkey", F.concat(F.lit("c"), "o_custkey").alias("ticker"), F.to_date("o_orderdate").alias("event_date"), F.to_date("o_orderdate").alias("announcement_date"), F.concat(F.left("o_orderpriority", F.lit(1)), F.lit("/"), "o_orderkey").alias("source_id"))
+    return identity.with_event_id(e).select("o_orderkey", "event_id", identity.announced_id().alias("source_event_id"))
+
+
+# an order's lines as its contracts: some aren't fit for quotes, some are of other days, many are the same contract
+@query("SELECT DISTINCT l_orderkey AS event_id, l_partkey % 5 AS strike, l_linenumber % 2 AS \"right\" FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity > 10 AND l_linenumber < 6 AND o_orderkey % 3 > 0")
+def sequence_contracts(spark, sf):
+    events = load(spark, sf, "orders").where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("event_id"))
+    quantity = F.col("l_quantity")
+    lines = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("event_id"), (F.col("l_partkey") % 5).alias("strike"), (F.col("l_linenumber") % 2).alias("right"), (quantity > 10).alias("eligible_for_quote_pool"), (F.col("l_linenumber") < 6).alias("is_robustness_dte_3_21"))
+    return rounded(identity.sequence_contracts(lines, events))
+
+
+@query("SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS bytes, sha256(coalesce(text, '')) AS sha256 FROM documents")
+def content_hashes(spark, sf):
+    files = load(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return identity.content_hashes(files).withColumnRenamed("path", "doc_id")
+
+
+# filings of every customer with their acceptance: of one accession the archive's time counts, a time without a zone is none
+@query("SELECT o_custkey::VARCHAR AS ticker, o_orderkey::VARCHAR AS accn, CASE WHEN o_orderkey % 4 > 0 THEN epoch(o_orderdate)::BIGINT + 3600 * (o_orderkey % 24) + CASE WHEN o_orderkey % 2 = 0 THEN 3600 ELSE 0 END END AS accepted FROM orders")
+def acceptance_times(spark, sf):
+    k = F.col("o_orderkey")
+    at = lambda more: F.concat(F.date_format(F.timestamp_seconds(F.unix_timestamp(F.to_date("o_orderdate").cast("timestamp")) + 3600 * (k % 24 + more)), "yyyy-MM-dd'T'HH:mm:ss"), F.when(k % 4 > 0, "Z").otherwise(""))
+    block = lambda c, when: F.collect_list(F.when(when, c))
+    key, even = k.cast("string"), k % 2 == 0
+    made = load(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("ticker")).agg(block(key, k > 0).alias("a"), block(at(0), k > 0).alias("b"), block(key, even).alias("c"), block(at(1), even).alias("d"))
+    pair = lambda x, y: F.struct(F.col(x).alias("accessionNumber"), F.col(y).alias("acceptanceDateTime"))
+    payload = made.select("ticker", F.to_json(F.struct(F.struct(pair("a", "b").alias("recent")).alias("filings"), F.array(pair("c", "d")).alias("archive_payloads"))).alias("payload"))
+    return filings.acceptance_times(payload).select("ticker", "accn", F.unix_timestamp("acceptance_datetime").alias("accepted"))

@@ -24,6 +24,14 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, where:
     return cleaned(raw) if where is None else cleaned(raw.where(where)).where(where)
 
 
+def write_table(df: DataFrame, path: str) -> None:
+    """Parquet or CSV (with a header) by suffix; the path is a folder of part files. In CSV an empty text is read back as null."""
+    if path.endswith((".csv", ".csv.gz")):
+        df.write.mode("overwrite").option("compression", "gzip" if path.endswith(".gz") else "none").csv(path, header=True)
+    else:
+        df.write.mode("overwrite").parquet(path)
+
+
 def write_partitions(df: DataFrame, path: str, by: str = "date") -> None:
     """Overwrites just the partitions that ``df`` holds, so that a rerun of a day is idempotent."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

@@ -1,6 +1,7 @@
 """Cases whose results were worked out by hand, and ranks, quantiles and falls against pandas and numpy."""
 
 import datetime as dt
+import hashlib
 import math
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions import black_scholes
-from panelspark.operators import asof, comparison, features, filings, metrics, models, options, panel, quality, quotes, ranks, strategy, surface, variance
+from panelspark.operators import asof, comparison, features, filings, identity, metrics, models, options, panel, quality, quotes, ranks, strategy, surface, variance
 from panelspark.sources import scans, tables
 from panelspark.streaming import marks
 
@@ -331,3 +332,35 @@ def test_filters_on_doubles_reach_the_scan(spark, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(v,3.0)" in plan.split("PushedFilters: ")[1].split("]")[0]
     assert [r.id for r in out.collect()] == [2]
+
+
+def test_event_ids_and_their_dates(spark):
+    one = spark.createDataFrame([("aa", day("2025-01-02"), ts("2025-01-03T10:00:00"))], "ticker string, announcement_date date, event_entry_timestamp timestamp")
+    assert identity.date_column(one) == "event_entry_timestamp" and identity.with_event_id(one).head().event_id == "AA_2025-01-03"
+    assert identity.with_event_id(one.drop("event_entry_timestamp")).head().event_id == "AA_2025-01-02"
+    with pytest.raises(ValueError, match="none of"):
+        identity.with_event_id(one.select("ticker"))
+    assert identity.checked_event_ids(one.withColumn("entry_date", F.lit("2025-01-03"))).head().event_id == "AA_2025-01-03"
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "event_id string")
+    assert identity.checked_event_ids(ids("a", "b")).count() == 2
+    for bad, why in ((("a", None), "not empty"), (("a", " "), "not empty"), (("a", "b", "a"), "unique: a")):
+        with pytest.raises(Exception, match=why):
+            identity.checked_event_ids(ids(*bad)).collect()
+
+
+def test_digests_of_contents(spark, tmp_path):
+    rows = [(1, "a", 2.0), (2, None, 1.0), (2, "", 1.0)]
+    df = spark.createDataFrame(rows, "i int, s string, x double")
+    digest = lambda d: tuple(identity.table_digest(d, ["i", "s", "x"]).head())
+    assert digest(df) == digest(spark.createDataFrame(rows[::-1], df.schema).repartition(3)) != digest(df.unionByName(df.limit(1)))
+    assert digest(spark.createDataFrame([rows[0], rows[1], rows[1]], df.schema)) != digest(df) and digest(df.limit(0))[0] == 0
+    (tmp_path / "f.bin").write_bytes(b"\x00abc")
+    got = identity.content_hashes(spark.read.format("binaryFile").load(str(tmp_path))).head()
+    assert got.bytes == 4 and got.sha256 == hashlib.sha256(b"\x00abc").hexdigest()
+    told = spark.createDataFrame([('{"a": 1, "b": {"c": [1, 2]}}', '{"b": {"c": [1, 2]}, "a": 1}'), ('{"a": 1}', '{"a": 2}'), ('{"a": 1}', None), ("x", "x")], "p string, q string")
+    assert [r[0] for r in told.select(identity.same_parameters(F.col("p"), F.col("q"))).collect()] == [True, False, False, False]
+    frame = spark.createDataFrame([("a,b", 1.5), ('say "x"', None), (None, 2.0), ("", 3.0)], "s string, v double")
+    for name in ("t.csv", "t.csv.gz", "t.parquet"):
+        tables.write_table(frame, f"{tmp_path}/{name}")
+        want = frame if name == "t.parquet" else frame.withColumn("s", F.nullif("s", F.lit("")))
+        assert sorted(map(str, tables.read_table(spark, f"{tmp_path}/{name}", "s string, v double").collect())) == sorted(map(str, want.collect())), name
