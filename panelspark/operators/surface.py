@@ -17,8 +17,10 @@ BINS, BIN_MINUTES, DAILY_STEPS, MOST_MONEYNESS = 12, 5, 19, 0.05
 RUNUP = ("atm_iv_proxy", "event_ivar_proxy", "iv_skew_proxy", "iv_butterfly_proxy", "straddle_premium_to_spot", "option_volume_sum", "option_transactions_sum", "surface_missing_rate")
 
 
-def with_iv(options: DataFrame, price: str, spot: str) -> DataFrame:
-    """Adds iv_proxy, with at least a day to expiry."""
+def with_iv(options: DataFrame, price: str, spot: str, volatility: Column | None = None) -> DataFrame:
+    """Adds iv_proxy, with at least a day to expiry; or the given volatility of priced rows."""
+    if volatility is not None:
+        return options.withColumn("iv_proxy", F.when(F.col(price).isNotNull(), volatility))
     t = F.greatest(F.col("dte") / 365.0, F.lit(1 / 365.0))
     return options.withColumn("iv_proxy", implied_volatility(F.col(price), F.col(spot), F.col("strike"), t, F.lower("right") == "call"))
 
@@ -117,9 +119,9 @@ def index_candidates(options: DataFrame, keys: Sequence[str], spot: str = "spot"
     return frame.join(paired.withColumn("_n", n).where(F.col("_n") <= strikes).select(*keys, "expiration", "strike"), [*keys, "expiration", "strike"])
 
 
-def index_surface(priced: DataFrame, candidates: DataFrame, keys: Sequence[str], price: str = "vwap", spot: str = "spot") -> DataFrame:
+def index_surface(priced: DataFrame, candidates: DataFrame, keys: Sequence[str], price: str = "vwap", spot: str = "spot", volatility: Column | None = None) -> DataFrame:
     """Per key the surface of the priced candidates, and how many candidates and prices there were."""
-    rows = with_iv(priced.where(F.col(price).isNotNull()), price, spot)
+    rows = with_iv(priced.where(F.col(price).isNotNull()), price, spot, volatility)
     counted = candidates.groupBy(*keys).agg(F.count("*").alias("candidate_contracts"))
     got = rows.where("iv_proxy IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("priced_contracts"), F.sum(number("volume")).alias("option_volume_sum"))
     out = counted.join(got, list(keys), "left").join(surface_shape(rows, keys, price, spot), list(keys), "left").withColumnRenamed("iv_pairs", "valid_pair_count")

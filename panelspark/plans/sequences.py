@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.operators import calendar, panel, surface
-from panelspark.plans.common import BARS, DAYS, EV, bars, day_bars, order_events, query, rounded
+from panelspark.operators import calendar, covariates, panel, surface
+from panelspark.plans.common import BARS, DAYS, EV, bars, day_bars, load, order_events, query, rounded
 from panelspark.plans.contracts import OPT, option_events, option_table
 from panelspark.plans.panels import PLAN, plan_of
 
@@ -158,3 +158,52 @@ def hybrid_daily(spark, sf):
     e = order_events(spark, sf).select("event_id", "ticker", F.col("event_date").alias("entry_date"))
     d = e.join(bars(spark, sf).select("ticker", F.col("date").alias("source_date")).distinct(), "ticker").withColumn("is_valid_sequence_day", F.lit(True))
     return surface.hybrid_daily(d).select("event_id", "source_date", F.col("seq_index").cast("long").alias("seq_index"))
+
+
+# lines as the options of two indices on their ship date, their trades a quarter of an hour before 20:00, and the indices' own bars
+INDEX = """il AS (SELECT CASE l_suppkey % 2 WHEN 0 THEN 'SPY' ELSE 'QQQ' END AS symbol, l_shipdate::DATE AS date, concat(l_orderkey, '-', l_linenumber) AS tick, l_shipdate::DATE + (7 * (1 + l_linenumber % 2))::INT AS expiration, 98.0::DOUBLE + 4 * (l_partkey % 2) AS strike,
+ l_orderkey % 2 AS side, 7 * (1 + l_linenumber % 2) AS dte, l_extendedprice / 10000 AS close, l_quantity AS q, l_linenumber AS line FROM lineitem),
+sp AS (SELECT DISTINCT symbol, date, 100.0::DOUBLE AS spot FROM il WHERE day(date) % 13 > 0 OR symbol = 'QQQ'),
+ob AS (SELECT il.*, spot FROM il JOIN sp USING (symbol, date) WHERE close > 0),
+pk AS (SELECT symbol, date, expiration, strike FROM ob GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT side) >= 2 QUALIFY row_number() OVER (PARTITION BY symbol, date, expiration ORDER BY abs(strike - 100), strike) <= 4),
+cd AS (SELECT ob.* FROM ob JOIN pk USING (symbol, date, expiration, strike)), pr AS (SELECT *, 0.2 + q / 100 AS iv FROM cd WHERE q > 10),
+cc AS (SELECT symbol, date, count(*) AS candidates, count(*) FILTER (q > 10) AS priced, sum(q) FILTER (q > 10)::DOUBLE AS volume FROM cd GROUP BY 1, 2),
+pa AS (SELECT symbol, date, expiration, strike, avg(iv) AS iv, avg(iv) FILTER (side = 1) AS ci, avg(iv) FILTER (side = 0) AS pi, any_value(dte) AS dte FROM pr GROUP BY ALL HAVING ci IS NOT NULL AND pi IS NOT NULL),
+am AS (SELECT symbol, date, count(*) OVER (PARTITION BY symbol, date) AS pairs, iv, pi - ci AS skew FROM pa QUALIFY row_number() OVER (PARTITION BY symbol, date ORDER BY abs(strike / 100 - 1), abs(dte - 14), expiration, strike) = 1),
+ub AS (SELECT symbol, date, 100 + close / 100 AS p, q, date + to_minutes((1080 + 17 * line)::INT) AS ts FROM il),
+un AS (SELECT symbol, date, arg_max(p, {'t': ts, 'p': p}) AS last, arg_min(p, {'t': ts, 'p': p}) AS first, count(*) AS rows, sum(q) AS volume FROM ub WHERE ts BETWEEN date + INTERVAL 19 HOUR AND date + INTERVAL 20 HOUR GROUP BY 1, 2),
+un2 AS (SELECT symbol, date, sum(p * q) / sum(q) AS vwap FROM ub WHERE ts BETWEEN date + INTERVAL 1185 MINUTE AND date + INTERVAL 20 HOUR GROUP BY 1, 2),
+dy AS (SELECT sp.symbol, sp.date, CASE WHEN rows > 0 THEN 'ok' ELSE 'missing' END AS underlying_status, last, vwap, last / first - 1 AS ret, coalesce(rows, 0) AS rows, candidates, priced, CASE WHEN candidates IS NOT NULL THEN coalesce(pairs, 0) END AS pairs, iv, skew, cc.volume,
+ CASE WHEN candidates IS NOT NULL THEN CASE WHEN coalesce(pairs, 0) > 0 THEN 'ok' ELSE 'no_prices' END END AS status
+ FROM sp LEFT JOIN un USING (symbol, date) LEFT JOIN un2 USING (symbol, date) LEFT JOIN cc USING (symbol, date) LEFT JOIN am USING (symbol, date)),
+ie AS (SELECT o_orderkey AS event_id, o_orderdate::DATE AS date, CASE WHEN o_orderkey % 11 = 0 THEN 'invalid_event_entry_timestamp' WHEN o_orderdate::DATE NOT IN (SELECT date FROM il) THEN 'missing_options_day_aggs' ELSE 'ok' END AS market_second_status FROM orders)"""
+INDEX_COLUMNS = {
+    "underlying_close": "round(last, 6)", "underlying_vwap": "round(vwap, 6)", "underlying_return_in_buffer": "round(ret, 6)", "underlying_rows": "rows", "candidate_contracts": "candidates",
+    "priced_contracts": "priced", "valid_pair_count": "pairs", "atm_iv_proxy": "round(iv, 6)", "skew_proxy": "round(skew, 6)", "option_volume_sum": "volume", "status": "status",
+}
+
+
+def _index_columns(symbol: str) -> str:
+    s = symbol.lower()
+    known = f"CASE WHEN market_second_status = 'ok' THEN coalesce({s}.underlying_status, 'missing_underlying_day_aggs') END AS {s}_second_underlying_status"
+    own = {n: x.replace("(", f"({s}.") if "(" in x else f"{s}.{x}" for n, x in INDEX_COLUMNS.items()}
+    return ", ".join([known, *[f"CASE WHEN market_second_status = 'ok' THEN {x} END AS {s}_second_{n}" for n, x in own.items()]])
+
+
+@query(f"WITH {INDEX} SELECT event_id, market_second_status, {_index_columns('SPY')}, {_index_columns('QQQ')} FROM ie LEFT JOIN dy spy ON spy.symbol = 'SPY' AND spy.date = ie.date LEFT JOIN dy qqq ON qqq.symbol = 'QQQ' AND qqq.date = ie.date")
+def index_covariates(spark, sf):
+    li, o = load(spark, sf, "lineitem"), load(spark, sf, "orders")
+    day, q, n = F.to_date("l_shipdate"), F.col("l_quantity"), F.col("l_linenumber")
+    at = lambda minutes: day.cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), minutes.cast("int"))
+    symbol, dte = F.when(F.col("l_suppkey") % 2 == 0, "SPY").otherwise("QQQ"), (7 * (1 + n % 2)).cast("int")
+    tick, close = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"), F.col("l_extendedprice") / 10000
+    right = F.when(F.col("l_orderkey") % 2 == 1, "call").otherwise("put")
+    opts = li.select(symbol.alias("symbol"), day.alias("date"), tick.alias("options_ticker"), F.date_add(day, dte).alias("expiration"), (98.0 + 4 * (F.col("l_partkey") % 2)).alias("strike"), right.alias("right"), dte.alias("dte"), close.alias("option_close"))
+    spots = opts.select("symbol", "date", F.lit(100.0).alias("spot")).distinct().where((F.dayofmonth("date") % 13 > 0) | (F.col("symbol") == "QQQ"))
+    trades = li.where("l_quantity > 10").select(tick.alias("options_ticker"), at(F.lit(1190)).alias("ts"), close.alias("option_vwap"), q.alias("volume"), F.lit(1).alias("transactions"))
+    under = li.select(symbol.alias("symbol"), at(1080 + 17 * n).alias("ts"), (100 + close / 100).alias("close"), q.alias("volume"), F.lit(1).alias("transactions"))
+    entry = F.when(F.col("o_orderkey") % 11 > 0, F.to_date("o_orderdate").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(20)))
+    e = o.select(F.col("o_orderkey").alias("event_id"), F.to_date("o_orderdate").alias("entry_date"), entry.alias("event_entry_timestamp"))
+    out = covariates.index_covariates(e, opts, spots, under, trades, volatility=0.2 + F.col("volume") / 100)
+    names = [f"{s}_second_{c}" for s in ("spy", "qqq") for c in ("underlying_status", *INDEX_COLUMNS)]
+    return rounded(out.select("event_id", "market_second_status", *names), 6)
