@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.black_scholes import implied_volatility
 from panelspark.functions.numbers import number, ratio
 from panelspark.operators.intervals import inside_intervals
+from panelspark.operators.panel import rolling_variance
 from panelspark.operators.selection import column_quantiles
 
 STRIKES, DTE_RANGE, TARGET_DTE, NEAR, FAR_DTE = 4, (3, 45), 14, (3, 14), (15, 45)
@@ -50,7 +51,7 @@ def missing_rate(pairs: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - F.least(pairs, F.lit(10)) / 10.0)
 
 
-def daily_surface(options: DataFrame, keys: Sequence[str], spot: str = "spot", days_to_event: str | None = None) -> DataFrame:
+def daily_surface(options: DataFrame, keys: Sequence[str], spot: str = "spot", days_to_event: str | None = None, volatility: Column | None = None) -> DataFrame:
     """Per key (an event and a day) the surface of its options' closes: the four strikes nearest the spot of each expiry and right.
 
     ``options``: keys, expiration, strike, right, dte, option_close, option_volume, option_transactions and spot. Volumes
@@ -61,7 +62,7 @@ def daily_surface(options: DataFrame, keys: Sequence[str], spot: str = "spot", d
     both = frame.groupBy(*keys, "expiration", "strike").agg((F.count_distinct("right") >= 2).alias("pair"), v().alias("v"), F.coalesce(v("call"), F.lit(0.0)).alias("c"), F.coalesce(v("put"), F.lit(0.0)).alias("p"), F.sum(F.coalesce(number("option_transactions"), F.lit(0.0))).alias("t"))
     sums = both.groupBy(*keys).agg(F.count_if("pair").alias("valid_pair_count"), F.sum("v").alias("option_volume_sum"), F.sum("t").alias("option_transactions_sum"), ((F.sum("c") - F.sum("p")) / F.nullif(F.sum("c") + F.sum("p"), F.lit(0.0))).alias("call_put_volume_imbalance"))
     n = F.row_number().over(Window.partitionBy(*keys, "expiration", "right").orderBy(F.abs(F.col("strike") / F.col(spot) - 1), "strike"))
-    chosen = with_iv(frame.withColumn("_n", n).where(F.col("_n") <= STRIKES), "option_close", spot)
+    chosen = with_iv(frame.withColumn("_n", n).where(F.col("_n") <= STRIKES), "option_close", spot, volatility)
     shape = surface_shape(chosen, keys, "option_close", spot)
     any_iv = chosen.where("iv_proxy IS NOT NULL").groupBy(*keys).agg(F.lit(True).alias("_any"))
     out = sums.join(shape, list(keys), "left").join(any_iv, list(keys), "left").withColumnsRenamed({"skew_proxy": "iv_skew_proxy", "butterfly_proxy": "iv_butterfly_proxy"})
@@ -151,6 +152,30 @@ def sequence_long(plan: DataFrame, parts: Sequence[DataFrame], on: Sequence[Sequ
     return out.withColumn("is_valid_sequence_day", F.coalesce("is_valid_sequence_day", F.lit(False)))
 
 
+def level_as_of(levels: DataFrame, most_days: int = 5) -> DataFrame:
+    """date, level, level_date: for every day the level of the latest earlier one, not older than ``most_days``. ``levels``: date, level; one row a day."""
+    w = Window.orderBy("date")  # days of a calendar
+    until = F.least(F.date_add("date", most_days), F.coalesce(F.lead("date").over(w), F.date_add("date", most_days)))
+    known = levels.where("level IS NOT NULL AND date IS NOT NULL").select("date", "level", until.alias("_until"))
+    return known.select(F.explode(F.sequence(F.date_add("date", 1), "_until")).alias("day"), "level", F.col("date").alias("level_date")).withColumnRenamed("day", "date")
+
+
+def surface_sequence_long(plan: DataFrame, options: DataFrame, bars: DataFrame, levels: DataFrame, ticker: str = "ticker", date: str = "source_date", volatility: Column | None = None) -> DataFrame:
+    """Every step of every event's plan with its ticker's option surface of that day, the day's return and rolling variance (ret, rv5), and
+    the index level of the latest day before it (at most five days back).
+
+    ``plan``: event_id, ticker, seq_index, source_date. ``options``: ticker, date, expiration, strike, right, dte, option_close, option_volume,
+    option_transactions, spot. ``bars``: ticker, date, close. ``levels``: date, level. Surfaces and variances are made once for a
+    ticker and day, however many events' plans hold it, and meet on that key; steps are shuffled once.
+    """
+    keys = [ticker, "date"]
+    surfaces = daily_surface(options, keys, volatility=volatility)
+    returns = rolling_variance(bars.select(*keys, "close"), ticker, "date", "close").select(*keys, "ret", F.col("rv").alias("rv5"))
+    days = surfaces.join(returns, keys, "full").withColumnRenamed("date", date)
+    steps = sequence_long(plan, [days], [[ticker, date]])
+    return steps.join(F.broadcast(level_as_of(levels).withColumnRenamed("date", date)), date, "left")  # five rows a day of the calendar at most
+
+
 def hybrid_daily(daily: DataFrame, event: str = "event_id", date: str = "source_date", entry: str = "entry_date", steps: int = DAILY_STEPS) -> DataFrame:
     """The last 19 daily steps before the entry date, right-aligned in seq_index, stamped at 16:00 New York time."""
     before = daily.where(F.col(date) < F.col(entry))

@@ -207,3 +207,23 @@ def index_covariates(spark, sf):
     out = covariates.index_covariates(e, opts, spots, under, trades, volatility=0.2 + F.col("volume") / 100)
     names = [f"{s}_second_{c}" for s in ("spy", "qqq") for c in ("underlying_status", *INDEX_COLUMNS)]
     return rounded(out.select("event_id", "market_second_status", *names), 6)
+
+
+# the plan's steps with the options of the ticker's own orders that day, whose volatility is given
+LONG = f"""{PLAN}, {OPT}, so AS (SELECT ticker::BIGINT AS ticker, date, expiration, strike, side, expiration - date AS dte, 90.0::DOUBLE + day(date) % 20 AS spot, 0.2 + sum(volume) / 100 AS iv FROM op WHERE close > 0 AND expiration - date BETWEEN 3 AND 45 GROUP BY 1, 2, 3, 4, 5),
+su AS (SELECT ticker, date, count(*) FILTER (pair) AS pairs FROM (SELECT ticker, date, count(DISTINCT side) >= 2 AS pair FROM so GROUP BY ticker, date, expiration, strike) GROUP BY 1, 2),
+ch AS (SELECT * FROM so QUALIFY row_number() OVER (PARTITION BY ticker, date, expiration, side ORDER BY abs(strike / spot - 1), strike) <= 4),
+ps AS (SELECT ticker, date, expiration, strike, avg(iv) AS iv, any_value(dte) AS dte, any_value(spot) AS spot FROM ch GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT side) = 2),
+am AS (SELECT * FROM ps QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY abs(strike / spot - 1), abs(dte - 14), expiration, strike) = 1),
+re AS (SELECT ticker, date, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM days), rv AS (SELECT ticker, date, ret, CASE WHEN count(ret) OVER w >= 2 THEN var_samp(ret) OVER w END AS rv FROM re WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+lv AS (SELECT o_orderdate::DATE AS d, count(*) AS level FROM orders WHERE day(o_orderdate) % 9 > 0 GROUP BY 1), ld AS (SELECT source_date, CASE WHEN source_date - d <= 5 THEN level END AS level FROM (SELECT DISTINCT source_date FROM plan) ASOF LEFT JOIN lv ON source_date > d)"""
+
+
+@query(f"WITH {LONG} SELECT event_id, seq_index::BIGINT AS seq_index, source_date, pairs AS valid_pair_count, round(iv, 6) AS atm_iv_proxy, coalesce(pairs > 0 AND iv IS NOT NULL, false) AS is_valid_sequence_day, round(ret + 1e-7, 5) AS ret, round(rv + 1e-7, 5) AS rv5, level FROM plan LEFT JOIN su ON su.ticker = plan.ticker AND su.date = source_date LEFT JOIN am ON am.ticker = plan.ticker AND am.date = source_date LEFT JOIN rv ON rv.ticker = plan.ticker AND rv.date = source_date LEFT JOIN ld USING (source_date)")
+def surface_sequence_long(spark, sf):
+    one = option_table(spark, sf).where("close > 0").groupBy("ticker", "date", "expiration", "strike", "right").agg(F.max("close").alias("close"), F.sum("volume").alias("volume"))
+    opts = one.select(F.col("ticker").cast("bigint").alias("ticker"), "date", "expiration", "strike", "right", F.datediff("expiration", "date").alias("dte"), F.col("close").alias("option_close"), F.col("volume").alias("option_volume"), F.lit(1).alias("option_transactions"), (90.0 + F.dayofmonth("date") % 20).alias("spot"))
+    levels = load(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date")).where(F.dayofmonth("date") % 9 > 0).groupBy("date").agg(F.count("*").alias("level"))
+    out = surface.surface_sequence_long(plan_of(spark, sf), opts, day_bars(spark, sf), levels, volatility=0.2 + F.col("option_volume") / 100)
+    lean = lambda c: F.round(F.col(c) + 1e-7, 5).alias(c)
+    return out.select("event_id", F.col("seq_index").cast("long").alias("seq_index"), "source_date", "valid_pair_count", F.round("atm_iv_proxy", 6).alias("atm_iv_proxy"), "is_valid_sequence_day", lean("ret"), lean("rv5"), "level")
