@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.numbers import EPSILON, clip, number
 from panelspark.operators import ranks
+from panelspark.operators.selection import column_quantiles
 from panelspark.operators.staging import running_sum, spread_in_order
 
 FLOOR = 1e-6
@@ -103,7 +104,8 @@ def max_drawdown(df: DataFrame, by: Sequence[str], order: Sequence[str], net: st
     Range partitions are summed up each (total, highest, lowest and deepest fall inside); what falls across partitions
     follows from these few rows.
     """
-    rows = spread_in_order(df.withColumn("_net", F.coalesce(number(net), F.lit(0.0))), by, [F.col(c) for c in order])
+    # only what the sums need is dealt out
+    rows = spread_in_order(df.select(*dict.fromkeys([*by, *order]), F.coalesce(number(net), F.lit(0.0)).alias("_net")), by, [F.col(c) for c in order])
     inside = Window.partitionBy("_group", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     run = rows.withColumn("_cum", F.sum("_net").over(inside)).withColumn("_peak", F.max("_cum").over(inside))
     parts = run.groupBy("_group", "_part", *by).agg(F.count("*").alias("n"), F.sum("_net").alias("total"), F.max("_cum").alias("high"), F.min("_cum").alias("low"), F.min(F.col("_cum") - F.col("_peak")).alias("fall"))
@@ -128,7 +130,7 @@ def strategy_metrics(df: DataFrame, by: Sequence[str], order: Sequence[str], net
         n.alias("n"), F.sum("gross").alias("gross"), total.alias("net"), share("premium").alias("return_on_premium"), share("capital").alias("return_on_capital"), per(F.stddev_samp("net")).alias("sharpe"),
         per(F.stddev_samp(sign(False))).alias("sortino"), F.avg((F.col("net") > 0).cast("double")).alias("hit_rate"), F.avg(sign(True)).alias("avg_win"), F.avg(sign(False)).alias("avg_loss"), n.alias("turnover"),
     )
-    return _joined([one, max_drawdown(rows, by, order, "net").drop("n"), ranks.quantiles(rows, "net", by, {"tail_5pct": 0.05})], by)
+    return _joined([one, max_drawdown(rows, by, order, "net").drop("n"), column_quantiles(rows, ["net"], by, {"tail_5pct": 0.05}).drop("feature", "n")], by)
 
 
 def cost_sensitivity(df: DataFrame, by: Sequence[str], order: Sequence[str], gross: str, cost: str, multipliers: Sequence[float] = (0.0, 0.5, 1.0, 1.5, 2.0)) -> DataFrame:

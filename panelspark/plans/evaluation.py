@@ -401,3 +401,13 @@ def model_suite(spark, sf):
     names = ("day_c2c", "jump_c2o", "reaction_o2c")
     long = _learnable(spark, sf).select("*", F.explode(F.array(*map(F.lit, names))).alias("target_id")).where("NOT (target_id = 'reaction_o2c' AND split = 'test')")
     return models.model_suite(long.withColumn("target", value), FEATURES, ORDER, "target", "implied", "event_id", names)[1]
+
+
+@query(f"""WITH {FC}, so AS (SELECT model, key, f - b AS score, y - b AS edge FROM fc WHERE b IS NOT NULL), rk AS (SELECT *, (edge > 0)::INT AS hit, count(*) OVER (PARTITION BY model) AS n, rank() OVER (PARTITION BY model ORDER BY score) + (count(*) OVER (PARTITION BY model, score) - 1) / 2.0 AS r, row_number() OVER (PARTITION BY model ORDER BY score DESC, key) AS p FROM so),
+o AS (SELECT model, (sum(r) FILTER (hit = 1) - sum(hit) * (sum(hit) + 1) / 2.0) / (sum(hit) * (count(*) - sum(hit)))::DOUBLE AS auc, avg(hit) FILTER (p <= ceil(n / 10)) AS top FROM rk GROUP BY 1), e AS (SELECT model, sqrt(avg((f - y) ** 2)) AS rmse FROM fc WHERE b IS NOT NULL GROUP BY 1)
+SELECT model, round(auc + 0.001 * greatest(top, 0) - 0.000001 * rmse, 6) AS objective FROM o JOIN e USING (model) ORDER BY 1""")
+def tuning_objective(spark, sf):
+    """The number that trees are chosen by, for three models' forecasts."""
+    rows = forecasts(spark, sf)
+    found = [(m, models.tuning_objective(rows.where(F.col("model") == m), "f", "y", "b", "key")) for m in ("A", "N", "R")]
+    return rounded(spark.createDataFrame(found, "model string, objective double"), 6)
