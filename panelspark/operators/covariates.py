@@ -1,7 +1,8 @@
 """Index covariates at an event's entry: each index's second bars and the surface of its options, side by side.
 
-The options that describe an index on a day are chosen once for a (symbol, day), however many events fall on it. Bars are
-read through interval states, so events of one instant cost rows, not pairs of bars.
+The options that describe an index on a day are chosen once for a (symbol, day), and everything that follows from them and
+from bars is made once for each distinct entry instant of that day, however many events share it. Bars are read through
+interval states, so an instant costs rows, not pairs of bars.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.numbers import number
 from panelspark.operators.asof import first_last, interval_vwap
+from panelspark.operators.staging import materialise
 from panelspark.operators.surface import index_candidates, index_surface
 
 # The indices, and what is kept of each of them.
@@ -22,18 +24,20 @@ SURFACE = (
     "atm_iv_proxy", "skew_proxy", "term_slope_proxy", "butterfly_proxy", "straddle_premium_to_spot",
 )
 UNDERLYING = ("close", "vwap", "return_in_buffer", "volume_sum", "transactions_sum", "rows")
+#: What the features of an index depend on: events of one entry instant share them.
+INSTANT = ["entry_date", "event_entry_timestamp"]
 
 
 def _windows(events: DataFrame, keep: Sequence[str], seconds: int) -> DataFrame:
-    """The span of so many seconds up to each event's entry, both ends included."""
+    """The span of so many seconds up to each entry, both ends included."""
     end = F.col("event_entry_timestamp")
     return events.select(*keep, (end - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))).alias("start_ts"), end.alias("end_ts"))
 
 
 def underlying_features(bars: DataFrame, asked: DataFrame, lookback_seconds: int, buffer_seconds: int) -> DataFrame:
-    """event_id, symbol, and of the index's bars (symbol, ts, close, volume, transactions) before the entry: the last close, the mean price
+    """Entry instant, symbol, and of the index's bars (symbol, ts, close, volume, transactions) before the entry: the last close, the mean price
     weighted by volume over the lookback, the return, volume and transactions over the buffer, and a status."""
-    keys = ["event_id", "symbol"]
+    keys = [*INSTANT, "symbol"]
     wide = first_last(bars, _windows(asked, keys, buffer_seconds), ["symbol"], "ts", "close", "volume", keys, "transactions")
     near = interval_vwap(bars, _windows(asked, keys, lookback_seconds), ["symbol"], "ts", "close", "volume", keys).select(*keys, "vwap")
     zero = lambda c: F.coalesce(c, F.lit(0))
@@ -59,26 +63,27 @@ def index_covariates(
     status = F.when(F.col("event_entry_timestamp").isNull(), "invalid_event_entry_timestamp").when(F.col("_options").isNull(), "missing_options_day_aggs").otherwise("ok")
     base = one.join(held, "entry_date", "left").withColumn("market_second_status", status).drop("_options")
     known = spots.where(number("spot").isNotNull()).select("symbol", F.col("date").alias("entry_date"), number("spot").alias("spot"))
-    asked = base.where("market_second_status = 'ok'").select("event_id", "entry_date", "event_entry_timestamp", F.explode(F.array(*map(F.lit, symbols))).alias("symbol"))
+    instants = materialise(base.where("market_second_status = 'ok'").select(*INSTANT).distinct(), "index-instants")
+    asked = instants.select(*INSTANT, F.explode(F.array(*map(F.lit, symbols))).alias("symbol"))
     asked = asked.join(known, ["symbol", "entry_date"], "left")
     there = asked.where("spot IS NOT NULL")
     under = underlying_features(underlying, there, lookback_seconds, 60 * buffer_minutes)
 
-    # once a symbol and day
+    # once a symbol and day, then once an instant of that day
     day = options.withColumnRenamed("date", "entry_date").join(known, ["symbol", "entry_date"])
     chosen = index_candidates(day, ["symbol", "entry_date"]).select("symbol", "entry_date", "options_ticker", "expiration", "strike", "right", "dte", "spot")
-    each = chosen.join(there.select("event_id", "symbol", "entry_date", "event_entry_timestamp"), ["symbol", "entry_date"])
-    keys = ["event_id", "symbol"]
+    keys = [*INSTANT, "symbol"]
+    each = materialise(chosen.join(there.select(*keys), ["symbol", "entry_date"]), "index-asked")
     windows = _windows(each, [*keys, "options_ticker"], lookback_seconds)
     priced = interval_vwap(option_bars, windows, ["options_ticker"], "ts", "option_vwap", "volume", [*keys, "options_ticker"]).select(*keys, "options_ticker", "vwap", "volume")
-    shaped = index_surface(priced.join(each.drop("event_entry_timestamp"), [*keys, "options_ticker"]), each, keys, volatility=volatility)
+    shaped = index_surface(priced.hint("merge").join(each, [*keys, "options_ticker"]), each, keys, volatility=volatility)
 
-    every = asked.select("event_id", "symbol", F.col("spot").isNull().alias("_none")).join(under, keys, "left").withColumn("status", F.when(F.col("_none"), "missing_underlying_day_aggs").otherwise(F.col("status")))
+    every = asked.select(*keys, F.col("spot").isNull().alias("_none")).join(under, keys, "left").withColumn("status", F.when(F.col("_none"), "missing_underlying_day_aggs").otherwise(F.col("status")))
     every = every.join(shaped.withColumnRenamed("status", "surface_status"), keys, "left")
     pick = lambda s, c: F.max(F.when(F.col("symbol") == s, F.col(c)))
-    wide = every.groupBy("event_id").agg(*[
+    wide = every.groupBy(*INSTANT).agg(*[
         pick(s, c).alias(f"{s.lower()}_second_{n}")
         for s in symbols
         for c, n in [("status", "underlying_status"), *[(u, f"underlying_{u}") for u in UNDERLYING], ("surface_status", "status"), *[(v, v) for v in SURFACE]]
     ])
-    return base.join(wide, "event_id", "left")
+    return base.join(wide, INSTANT, "left")

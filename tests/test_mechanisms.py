@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions import black_scholes
-from panelspark.operators import asof, bootstrap, comparison, intervals, linear, models, ranks, selection
+from panelspark.operators import asof, bootstrap, comparison, covariates, intervals, linear, models, ranks, selection
 from panelspark.sources import scans
 from panelspark.streaming import marks
 
@@ -378,3 +378,20 @@ def test_a_batch_rewrites_the_buckets_it_touches(spark, tmp_path):
     versions = {f.split("version-")[1].split("/")[0] for f in data_files(state.folder)}
     assert versions == {str(v) for m in (3, 4) for v in state.manifest(m).values()}
     assert {r[1]: r[5] for r in table()}[3] == 9
+
+
+def test_index_features_are_made_once_an_instant(spark):
+    """Hundreds of events at one instant of a day with 80 contracts: no row for each event and contract, and all events have the same features."""
+    day, entry = dt.date(2024, 3, 1), dt.datetime(2024, 3, 1, 20)
+    contracts = [("SPY", day, f"{k}{r}", day + dt.timedelta(7), 80.0 + k, r, 7, 2.0) for k in range(40) for r in ("call", "put")]
+    options = spark.createDataFrame(contracts, "symbol string, date date, options_ticker string, expiration date, strike double, right string, dte int, option_close double")
+    trades = spark.createDataFrame([(c[2], entry - dt.timedelta(minutes=5), 2.0, 10.0, 1) for c in contracts], "options_ticker string, ts timestamp, option_vwap double, volume double, transactions int")
+    under = spark.createDataFrame([("SPY", entry - dt.timedelta(minutes=m), 100.0 + m, 1.0, 1) for m in (5, 50)], "symbol string, ts timestamp, close double, volume double, transactions int")
+    spots = spark.createDataFrame([("SPY", day, 100.0)], "symbol string, date date, spot double")
+    events = spark.createDataFrame([(i, day, entry if i % 10 else None) for i in range(500)], "event_id long, entry_date date, event_entry_timestamp timestamp")
+    out = covariates.index_covariates(events, options, spots, under, trades, volatility=F.lit(0.3))
+    assert shuffled_rows(out) < 4 * 500 + 2000
+    rows = out.collect()
+    assert len(rows) == 500 and {r.market_second_status for r in rows} == {"ok", "invalid_event_entry_timestamp"}
+    assert {(r.spy_second_candidate_contracts, r.spy_second_valid_pair_count, r.spy_second_underlying_close, r.qqq_second_underlying_status) for r in rows if r.event_id % 10} == {(8, 4, 105.0, "missing_underlying_day_aggs")}
+    assert all(r.spy_second_underlying_status is None for r in rows if r.event_id % 10 == 0)
