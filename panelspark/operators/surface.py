@@ -111,13 +111,15 @@ def intraday_surface(bars: DataFrame, contracts: DataFrame, events: DataFrame, e
 def index_candidates(options: DataFrame, keys: Sequence[str], spot: str = "spot", targets: Sequence[int] = (7, 14, 30), strikes: int = STRIKES) -> DataFrame:
     """Per key (a symbol and a day) the options at the few strikes nearest the spot, with a call and a put, of the expiries nearest 7, 14 and 30 days."""
     frame = options.where(F.col("dte").between(*DTE_RANGE) & (number("option_close") > 0) & (number(spot) > 0))
-    target = F.explode(F.array(*[F.lit(t) for t in targets]))
-    expiries = frame.select(*keys, "expiration", "dte").distinct().withColumn("target", target)
-    nearest = F.row_number().over(Window.partitionBy(*keys, "target").orderBy(F.abs(F.col("dte") - F.col("target")), "dte", "expiration"))
-    wanted = expiries.withColumn("_n", nearest).where("_n = 1").select(*keys, "expiration").distinct()
-    paired = frame.join(wanted, [*keys, "expiration"]).groupBy(*keys, "expiration", "strike").agg(F.count_distinct("right").alias("_r"), F.min(spot).alias("_s")).where("_r >= 2")
-    n = F.row_number().over(Window.partitionBy(*keys, "expiration").orderBy(F.abs(F.col("strike") - F.col("_s")), "strike"))
-    return frame.join(paired.withColumn("_n", n).where(F.col("_n") <= strikes).select(*keys, "expiration", "strike"), [*keys, "expiration", "strike"])
+    for k in (*keys, "expiration", "strike"):
+        frame = frame.where(F.col(k).isNotNull())
+    # rows are shuffled once, by key; all that is compared lies inside a key
+    day, chain, one = Window.partitionBy(*keys), Window.partitionBy(*keys, "expiration"), Window.partitionBy(*keys, "expiration", "strike")
+    nearest = [F.min(F.struct(F.abs(F.col("dte") - t), "dte", "expiration")).over(day)["expiration"] for t in targets]
+    wanted = frame.withColumn("_wanted", F.array(*nearest)).where(F.array_contains("_wanted", F.col("expiration"))).drop("_wanted")
+    sides = wanted.withColumns({"_low": F.min("right").over(one), "_high": F.max("right").over(one), "_s": F.min(spot).over(one)}).where("_low < _high")
+    n = F.dense_rank().over(chain.orderBy(F.abs(F.col("strike") - F.col("_s")), "strike"))
+    return sides.withColumn("_n", n).where(F.col("_n") <= strikes).drop("_low", "_high", "_s", "_n")
 
 
 def index_surface(priced: DataFrame, candidates: DataFrame, keys: Sequence[str], price: str = "vwap", spot: str = "spot", volatility: Column | None = None) -> DataFrame:
