@@ -12,6 +12,7 @@ from panelspark.functions.numbers import number, ratio
 from panelspark.operators.intervals import inside_intervals
 from panelspark.operators.panel import rolling_variance
 from panelspark.operators.selection import column_quantiles
+from panelspark.operators.staging import materialise
 
 STRIKES, DTE_RANGE, TARGET_DTE, NEAR, FAR_DTE = 4, (3, 45), 14, (3, 14), (15, 45)
 BINS, BIN_MINUTES, DAILY_STEPS, MOST_MONEYNESS = 12, 5, 19, 0.05
@@ -43,7 +44,7 @@ def surface_shape(rows: DataFrame, keys: Sequence[str], price: str, spot: str) -
     w = Window.partitionBy(*keys).orderBy("strike")
     sided = by_strike.withColumn("fly", F.lag("iv").over(w) + F.lead("iv").over(w) - 2 * F.col("iv"))
     fly = sided.groupBy(*keys).agg(F.min_by("fly", F.struct(F.abs(F.col("strike") - F.col("spot")), "strike")).alias("butterfly_proxy"))
-    out = one.join(fly, list(keys)).withColumns({"atm_iv_proxy": F.col("atm.iv"), "skew_proxy": F.col("atm.pi") - F.col("atm.ci"), "straddle_premium_to_spot": (F.col("atm.cp") + F.col("atm.pp")) / F.col("atm.spot")})
+    out = one.join(fly.hint("merge"), list(keys)).withColumns({"atm_iv_proxy": F.col("atm.iv"), "skew_proxy": F.col("atm.pi") - F.col("atm.ci"), "straddle_premium_to_spot": (F.col("atm.cp") + F.col("atm.pp")) / F.col("atm.spot")})
     return out.drop("atm")
 
 
@@ -65,7 +66,7 @@ def daily_surface(options: DataFrame, keys: Sequence[str], spot: str = "spot", d
     chosen = with_iv(frame.withColumn("_n", n).where(F.col("_n") <= STRIKES), "option_close", spot, volatility)
     shape = surface_shape(chosen, keys, "option_close", spot)
     any_iv = chosen.where("iv_proxy IS NOT NULL").groupBy(*keys).agg(F.lit(True).alias("_any"))
-    out = sums.join(shape, list(keys), "left").join(any_iv, list(keys), "left").withColumnsRenamed({"skew_proxy": "iv_skew_proxy", "butterfly_proxy": "iv_butterfly_proxy"})
+    out = sums.join(shape.hint("merge"), list(keys), "left").join(any_iv.hint("merge"), list(keys), "left").withColumnsRenamed({"skew_proxy": "iv_skew_proxy", "butterfly_proxy": "iv_butterfly_proxy"})
     rate = F.when((F.col("valid_pair_count") == 0) | F.col("_any").isNull(), 1.0).otherwise(missing_rate(F.col("valid_pair_count")))
     out = out.withColumns({"surface_missing_rate": rate, "is_valid_sequence_day": (F.col("valid_pair_count") > 0) & F.col("atm_iv_proxy").isNotNull()})
     if days_to_event:
@@ -89,19 +90,20 @@ def intraday_surface(bars: DataFrame, contracts: DataFrame, events: DataFrame, e
     Bins without a bar have a row: nothing valid, all missing. ``contracts``: event, contract, expiration, strike, right, dte.
     """
     asked = bin_requests(events, cutoff, [event, spot])
-    each = contracts.select(event, contract, "expiration", "strike", "right", "dte").join(asked, event)
+    # both sides of these joins grow with the events, and Spark takes what an explode makes for far smaller: none is broadcast
+    each = materialise(contracts.select(event, contract, "expiration", "strike", "right", "dte").hint("merge").join(asked, event), "intraday-asked")
     trades = bars.select(contract, F.col(ts).alias("_at"), number("option_vwap").alias("price"), "volume", "transactions")
     # the latest of a contract; of bars at one instant the one with the highest price
     latest = F.struct("_at", "price", F.col("volume").alias("_volume"), F.col("transactions").alias("_transactions"))
     last = inside_intervals(trades, each.select(event, "bin", contract, "start_ts", "end_ts"), [contract], "_at", [event, "bin", contract], {}, last=latest).where("_last IS NOT NULL")
     bar = F.struct("_last.price", F.col("_last._volume").alias("volume"), F.col("_last._transactions").alias("transactions"), F.col("_last._at").alias(ts))
     last = last.select(event, "bin", contract, bar.alias("b"))
-    rows = last.join(each, [event, "bin", contract]).select(event, "bin", contract, "expiration", "strike", "right", "dte", F.col(spot).alias("spot"), "end_ts", "b.*")
+    rows = last.hint("merge").join(each, [event, "bin", contract]).select(event, "bin", contract, "expiration", "strike", "right", "dte", F.col(spot).alias("spot"), "end_ts", "b.*")
     rows = rows.where((F.abs(F.col("strike") / F.col("spot") - 1) <= MOST_MONEYNESS) & (F.col("price") > 0) & (F.col("spot") > 0))
-    rows = with_iv(rows, "price", "spot").where("iv_proxy IS NOT NULL")
+    rows = materialise(with_iv(rows, "price", "spot").where("iv_proxy IS NOT NULL"), "intraday-rows")
     keys = [event, "bin"]
     sums = rows.groupBy(*keys).agg(F.sum(number("volume")).alias("option_volume_sum"), F.sum(number("transactions")).alias("option_transactions_sum"), ((F.unix_micros(F.max("end_ts")) - F.unix_micros(F.max(ts))) / 1e6).alias("latest_option_trade_bar_age_seconds"))
-    out = asked.select(event, "bin", "end_ts").join(sums, keys, "left").join(surface_shape(rows, keys, "price", "spot"), keys, "left").withColumnRenamed("iv_pairs", "valid_pair_count")
+    out = asked.select(event, "bin", "end_ts").join(sums.hint("merge"), keys, "left").join(surface_shape(rows, keys, "price", "spot").hint("merge"), keys, "left").withColumnRenamed("iv_pairs", "valid_pair_count")
     out = out.withColumn("valid_pair_count", F.coalesce("valid_pair_count", F.lit(0)))
     rate = F.when(F.col("valid_pair_count") == 0, 1.0).otherwise(missing_rate(F.col("valid_pair_count")))
     has = F.col("valid_pair_count") > 0

@@ -107,7 +107,7 @@ OPT = "op AS (SELECT o_custkey::VARCHAR AS ticker, o_orderdate::DATE AS date, co
 
 def option_table(spark, sf):
     li, o, n = load(spark, sf, "lineitem"), load(spark, sf, "orders"), F.col("l_linenumber")
-    j = li.join(o, li["l_orderkey"] == o["o_orderkey"])
+    j = li.join(o.hint("merge"), li["l_orderkey"] == o["o_orderkey"])  # both grow; a small file of orders is still too much for a driver
     return j.select(F.col("o_custkey").cast("string").alias("ticker"), F.to_date("o_orderdate").alias("date"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("options_ticker"), F.date_add(F.to_date("o_orderdate"), (7 * (1 + F.floor((n - 1) / 4))).cast("int")).alias("expiration"), (84.0 + 4 * (F.floor((n - 1) / 2) % 2) + 4 * (F.col("l_orderkey") % 3)).cast("double").alias("strike"), F.when(F.col("l_linenumber") % 2 == 0, "call").otherwise("put").alias("right"), F.when(F.col("l_linenumber") < 7, F.col("l_extendedprice") / 10000).otherwise(0.0).alias("close"), F.col("l_quantity").alias("volume"), F.lit(1).alias("transactions"))
 
 

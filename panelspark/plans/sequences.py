@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.operators import calendar, covariates, panel, surface
+from panelspark.operators.staging import materialise
 from panelspark.plans.common import BARS, DAYS, EV, bars, day_bars, load, order_events, query, rounded
 from panelspark.plans.contracts import OPT, option_events, option_table
 from panelspark.plans.panels import PLAN, plan_of
@@ -16,7 +17,7 @@ SHAPE = OPT + ", sx AS (SELECT event_id, expiration, strike, side, expiration -
 def shape_rows(spark, sf):
     e = option_events(spark, sf).select("event_id", "ticker", "entry_date", F.col("s_before").alias("spot"))
     o = option_table(spark, sf).withColumnRenamed("date", "entry_date").where("close > 0")
-    return e.join(o, ["ticker", "entry_date"]).select("event_id", "entry_date", "expiration", "strike", "right", F.datediff("expiration", "entry_date").alias("dte"), F.col("close").alias("option_close"), F.col("volume").alias("option_volume"), F.lit(1).alias("option_transactions"), "spot", (0.2 + F.col("volume") / 100).alias("iv_proxy"))
+    return e.hint("merge").join(o, ["ticker", "entry_date"]).select("event_id", "entry_date", "expiration", "strike", "right", F.datediff("expiration", "entry_date").alias("dte"), F.col("close").alias("option_close"), F.col("volume").alias("option_volume"), F.lit(1).alias("option_transactions"), "spot", (0.2 + F.col("volume") / 100).alias("iv_proxy"))
 
 
 @query(f"""WITH {SHAPE}, p AS (SELECT event_id, expiration, strike, avg(iv) FILTER (side = 'call') AS ci, avg(iv) FILTER (side = 'put') AS pi, avg(close) FILTER (side = 'call') AS cp, avg(close) FILTER (side = 'put') AS pp, avg(iv) AS iv, sum(iv) AS s, count(*) AS n, min(dte) AS dte, min(spot) AS spot FROM sx GROUP BY 1, 2, 3 HAVING ci IS NOT NULL AND pi IS NOT NULL),
@@ -52,7 +53,7 @@ def index_candidates(spark, sf):
 def intraday_surface(spark, sf):
     """The events' contracts trade once a minute of the last hour; the price follows the close of the day."""
     e = option_events(spark, sf).withColumn("event_entry_timestamp", F.col("entry_date").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(20)))
-    rows = shape_rows(spark, sf).withColumn("options_ticker", F.concat_ws("-", "event_id", "expiration", "strike", "right"))
+    rows = materialise(shape_rows(spark, sf), "shape-rows").withColumn("options_ticker", F.concat_ws("-", "event_id", "expiration", "strike", "right"))
     at = F.explode(F.sequence(F.lit(0), F.lit(60), F.lit(3))).alias("m")
     b = rows.select("options_ticker", "entry_date", "option_close", at).select("options_ticker", (F.col("entry_date").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(19), F.col("m"))).alias("ts"), (F.col("option_close") + F.col("m") / 100).alias("option_vwap"), F.lit(1).alias("volume"), F.lit(1).alias("transactions"))
     out = surface.intraday_surface(b, rows, e)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions import black_scholes
-from panelspark.operators import asof, bootstrap, comparison, covariates, intervals, linear, models, ranks, selection
+from panelspark.operators import asof, bootstrap, comparison, covariates, intervals, linear, models, ranks, selection, surface
 from panelspark.sources import scans
 from panelspark.streaming import marks
 
@@ -395,3 +395,36 @@ def test_index_features_are_made_once_an_instant(spark):
     assert len(rows) == 500 and {r.market_second_status for r in rows} == {"ok", "invalid_event_entry_timestamp"}
     assert {(r.spy_second_candidate_contracts, r.spy_second_valid_pair_count, r.spy_second_underlying_close, r.qqq_second_underlying_status) for r in rows if r.event_id % 10} == {(8, 4, 105.0, "missing_underlying_day_aggs")}
     assert all(r.spy_second_underlying_status is None for r in rows if r.event_id % 10 == 0)
+
+
+def option_rows(spark, days=3):
+    rows = [(e, "SPY", f"{e}/{d}/{k}{r}", T0.date() + dt.timedelta(d), 80.0 + k, r, d, 2.0 + k / 10, 100.0) for e in range(days) for d in (1, 5, 7, 9, 14, 28, 30, 33) for k in range(0, 40, 3) for r in ("call", "put") if (e + d + k) % 4 or r == "call"]
+    return spark.createDataFrame(rows, "event_id int, symbol string, options_ticker string, expiration date, strike double, right string, dte int, option_close double, spot double")
+
+
+def test_bins_of_events_are_not_broadcast(spark):
+    """An explode of events looks small to Spark, however much it makes."""
+    contracts = option_rows(spark)
+    events = spark.createDataFrame([(e, T0, 100.0) for e in range(3)], "event_id int, event_entry_timestamp timestamp, s_before double")
+    bars = contracts.select("options_ticker", F.lit(T0 - dt.timedelta(minutes=7)).alias("ts"), F.col("option_close").alias("option_vwap"), F.lit(1).alias("volume"), F.lit(1).alias("transactions"))
+    out = surface.intraday_surface(bars, contracts, events)
+    rows = out.collect()
+    assert len(rows) == 36 and {r.bin for r in rows if r.valid_pair_count} == {10}
+    assert "BroadcastExchange" not in out._jdf.queryExecution().toString()
+
+
+def test_candidates_need_one_shuffle(spark):
+    """The strikes of the wanted expiries against plain Python; rows are shuffled once."""
+    rows = option_rows(spark)
+    out = surface.index_candidates(rows, ["event_id"])
+    want = set()
+    held = [r for r in rows.collect() if 3 <= r.dte <= 45]
+    for e in range(3):
+        mine = [r for r in held if r.event_id == e]
+        for d in {min({r.dte for r in mine}, key=lambda x: (abs(x - t), x)) for t in (7, 14, 30)}:
+            of = [r for r in mine if r.dte == d]
+            both = {r.strike for r in of if r.right == "put"} & {r.strike for r in of if r.right == "call"}
+            best = sorted(both, key=lambda k: (abs(k - 100), k))[:4]
+            want |= {r.options_ticker for r in of if r.strike in best}
+    assert {r.options_ticker for r in out.collect()} == want and out.count() == len(want)
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Join") == 0 and shuffled_rows(out) <= len(held)
