@@ -25,7 +25,7 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
     placed = running_sum(counts, by, [F.col(value)], F.col("n"), "below")
     total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
-    return placed.alias("l").join(total.alias("r"), _same("l", "r", by)).select(*[F.col(f"l.{c}") for c in (*by, value, "n", "below")], "r.total")
+    return placed.alias("l").join(total.alias("r"), _same("l", "r", by), "left").select(*[F.col(f"l.{c}") for c in (*by, value, "n", "below")], "r.total")
 
 
 def places(df: DataFrame, value: str, by: Sequence[str], counted: Column | None = None) -> DataFrame:
@@ -50,10 +50,11 @@ def places(df: DataFrame, value: str, by: Sequence[str], counted: Column | None
     same = Window.partitionBy("_g", "v").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     each = each.withColumns({"_e": F.coalesce(F.sum("n").over(same), F.lit(0)), "_all": F.sum("n").over(Window.partitionBy("_g", "v"))})
     each = each.select("_g", "_part", "v", "_e", (F.col("_all") - F.col("_e") - F.col("n")).alias("_l"))
-    shift = parts.join(each, ["_g", "_part"], "left").groupBy("_g", "_part").agg(
+    shift = parts.join(each.hint("merge"), ["_g", "_part"], "left").groupBy("_g", "_part").agg(
         F.max("_start").alias("_start"), F.max("lo").alias("_lo"), F.max("hi").alias("_hi"), F.max(F.when(F.col("v") == F.col("lo"), F.col("_e"))).alias("_e"), F.max(F.when(F.col("v") == F.col("hi"), F.col("_l"))).alias("_l")
     )
-    out = held.join(shift, ["_g", "_part"])
+    # the small side by name: ordered rows make small files, and Spark would broadcast them
+    out = held.join(shift.hint("merge") if by else F.broadcast(shift), ["_g", "_part"])
     below = F.col("_start") + F.col("_upto") - F.col("_peers") - F.when(F.col(value) == F.col("_lo"), F.col("_e")).otherwise(0)
     upto = F.col("_start") + F.col("_upto") + F.when(F.col(value) == F.col("_hi"), F.col("_l")).otherwise(0)
     known = lambda c: F.when(F.col(value).isNotNull(), c)
@@ -92,7 +93,7 @@ def buckets(df: DataFrame, value: str, tie: str, by: Sequence[str], q: int, name
     kept = df.where(F.col(value).isNotNull())
     ranked = running_sum(kept, by, [F.col(value), F.col(tie)], F.lit(1), "_below")
     total = kept.groupBy(*by).agg(F.count("*").alias("_total"))
-    met = ranked.alias("l").join(F.broadcast(total.alias("r")) if not by else total.alias("r"), _same("l", "r", by))
+    met = ranked.alias("l").join(F.broadcast(total.alias("r")) if not by else total.alias("r"), _same("l", "r", by), "left")  # never the rows are broadcast
     return met.select(*[f"l.{c}" for c in df.columns], quantile_bucket(F.col("_below") + 1, F.col("_total"), q).alias(name))
 
 

@@ -44,7 +44,7 @@ def _enclosed(df: DataFrame, columns: Sequence[str], by: Sequence[str], shares:
 def _selected(df: DataFrame, columns: Sequence[str], by: Sequence[str], shares: Sequence[float], edges: DataFrame) -> DataFrame:
     """by, feature, n and q (an array, an item for each share; null where the edges don't enclose the place)."""
     wide = edges.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("lo", "hi")))).alias("_edges"))
-    met = df.alias("l").join(F.broadcast(wide.alias("r")) if not by else wide.alias("r"), same("l", "r", by)).select(*[F.col(f"l.{c}") for c in dict.fromkeys([*by, *columns])], "r._edges")
+    met = df.alias("l").join(F.broadcast(wide.alias("r")) if not by else wide.alias("r"), same("l", "r", by), "left").select(*[F.col(f"l.{c}") for c in dict.fromkeys([*by, *columns])], "r._edges")
     edge = lambda c, side, i: F.get(F.col("_edges")[c][side], F.lit(i))
     parts = [(c, i) for c in columns for i in range(len(shares))]
     below = met.groupBy(*by).agg(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("i"), F.count_if(F.col(c) < edge(c, "lo", i)).alias("start")) for c, i in parts]).alias("_s")).select(*by, F.inline("_s"))

@@ -45,11 +45,12 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[Column], add:
     """Adds ``name``: the sum of ``add`` over the rows of the same group that come before in the given total order.
 
     Sums inside a range partition are windows, and only one sum for each (group, partition) goes through a window over
-    partitions. A group of any size spreads over many tasks.
+    partitions. A group of any size spreads over many tasks. Rows are sorted by group and partition already, so starts are merged
+    in; left alone, Spark broadcasts the rows where their file is small, as files of ordered rows are.
     """
     rows = spread_in_order(df.withColumn("_add", add), by, order)
     before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("_group", "_part").agg(F.sum("_add").alias("_s"))
     starts = sums.select("_group", "_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_group", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("_in", F.coalesce(F.sum("_add").over(inside), F.lit(0))).join(starts, ["_group", "_part"]).withColumn(name, F.col("_start") + F.col("_in")).drop("_group", "_part", "_start", "_in", "_add")
+    return rows.withColumn("_in", F.coalesce(F.sum("_add").over(inside), F.lit(0))).join(starts.hint("merge"), ["_group", "_part"]).withColumn(name, F.col("_start") + F.col("_in")).drop("_group", "_part", "_start", "_in", "_add")

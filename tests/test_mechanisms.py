@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions import black_scholes
-from panelspark.operators import asof, bootstrap, comparison, covariates, intervals, linear, models, ranks, selection, surface
+from panelspark.operators import asof, bootstrap, comparison, covariates, intervals, linear, models, ranks, selection, staging, surface
 from panelspark.sources import scans
 from panelspark.streaming import marks
 
@@ -428,3 +428,12 @@ def test_candidates_need_one_shuffle(spark):
             want |= {r.options_ticker for r in of if r.strike in best}
     assert {r.options_ticker for r in out.collect()} == want and out.count() == len(want)
     assert out._jdf.queryExecution().sparkPlan().toString().count("Join") == 0 and shuffled_rows(out) <= len(held)
+
+
+def test_ordered_rows_are_not_broadcast(spark):
+    """Rows in order make small files; what is merged into them is a row for each partition."""
+    rows = spark.range(20000).select((F.col("id") % 3).alias("g"), (F.col("id") % 7).cast("double").alias("v"), "id")
+    for out in (staging.running_sum(rows, ["g"], [F.col("v"), F.col("id")], F.lit(1), "below"), ranks.places(rows, "v", ["g"])):
+        assert out.count() == 20000 and out.agg(F.max("below")).head()[0] < 6667
+        out.collect()
+        assert "BroadcastExchange" not in out._jdf.queryExecution().toString()
