@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.numbers import number
 from panelspark.operators import linear, metrics, ranks
-from panelspark.operators.staging import running_sum
+from panelspark.operators.staging import materialise, running_sum
 from panelspark.operators.strategy import from_log, log_target
 
 # How strong and of what kind the penalty may be, the fewest rows a model is fitted on, and the tree variants.
@@ -145,6 +145,7 @@ def model_suite(long: DataFrame, features: Sequence[str], order: Sequence[str],
     have a forecast. A model that was trained but has no usable forecast there is marked invalid.
     """
     done, frames = [], []
+    long = materialise(long, "suite-rows")  # read by every model's passes, so what made them runs once
     for t in targets:
         rows, said = long.where(F.col(target_id) == t), {}
         rows, said["elastic_net"] = elastic_net(rows, features, target, order, split=split)

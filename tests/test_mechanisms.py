@@ -437,3 +437,19 @@ def test_ordered_rows_are_not_broadcast(spark):
         assert out.count() == 20000 and out.agg(F.max("below")).head()[0] < 6667
         out.collect()
         assert "BroadcastExchange" not in out._jdf.queryExecution().toString()
+
+
+def test_the_suite_makes_its_rows_once(spark):
+    """What the rows are made of runs once, however many models and targets read them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.range(10).select("id", F.lit("a").alias("target_id"), F.lit("train").alias("split"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"), F.lit(1.0).alias("i"))
+    long = rows.mapInArrow(counted, rows.schema)
+    report = models.model_suite(long, ["x"], ["id"], "y", "i", "id", ["a"])[1].collect()
+    assert {(r.model_id, r.status, r.train_rows) for r in report} == {(m, "skipped_insufficient_train_rows", 10) for m in models.SUITE}
+    assert made.value == 10
