@@ -7,11 +7,11 @@ however large the corpus is); what a context gives to n-grams that aren't kept g
 still sum to one. The models are one set of sorted arrays of n-gram hashes with a row of log-probabilities (one column a
 language); a text's score under each language is its cross-entropy per character, the lowest wins. The temperature that
 turns entropies into a probability, and the entropy above which a language's own texts are rarely found, are calibrated on
-a bounded sample of training rows, whole texts; texts beyond either bound are marked ``rejected`` (the best language is
+all training rows, whole texts; texts beyond either bound are marked ``rejected`` (the best language is
 still named).
 
-Bounds: at most MOST_LANGUAGES languages (an error beyond); calibration uses at most about ``CALIBRATION`` rows, of which
-a few numbers each come to the driver. Counts cover every training row.
+Bounds: at most MOST_LANGUAGES languages (an error beyond). Counts and calibration cover every training row; of the calibration
+one row of sums and one quantile a language come to the driver.
 
 Defined results: null texts and texts without a letter (emoji and digits have none) are ``und`` with score 0; rows with a
 null language or null text teach nothing; with no training rows every text is ``und``; ties go to the language that sorts
@@ -29,9 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.operators.ranks import quantiles
+
 from .common import materialise, table
 
-LEAST_SHARE, CALIBRATION, MOST_LANGUAGES = 1e-7, 4000, 200
+LEAST_SHARE, MOST_LANGUAGES = 1e-7, 200
+#: Of these the temperature with the least loss over all training rows is taken; a language with fewer rows than ROWS_FOR_USUAL has no bound.
+TEMPERATURES, ROWS_FOR_USUAL = (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0), 20
 STRIDE = 1 << 21  # code units in memory at once
 _PAD = np.array([1, 1, 1], np.uint16)
 _M16 = np.uint64(0xFFFF)
@@ -282,11 +286,20 @@ def from_counts(counts: DataFrame, least_share: float = LEAST_SHARE) -> Models |
     return Models(langs, built)
 
 
-def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", least_share: float = LEAST_SHARE, calibration: int = CALIBRATION) -> Identifier:
+def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", least_share: float = LEAST_SHARE) -> Identifier:
     models = from_counts(materialise(count_grams(rows, text_col, lang_col), "lang-counts"), least_share)
     if models is None:
         return Identifier(None)
+    return Identifier(models, *calibrated(rows, models, text_col, lang_col))
+
+
+def calibrated(rows: DataFrame, models: Models, text_col: str = "text", lang_col: str = "lang") -> tuple[float, np.ndarray]:
+    """The temperature of the least mean loss, and 1.25 times the 0.99 quantile of each language's entropies of its own texts.
+
+    Every row with a language and a letter counts; losses are summed and quantiles counted by Spark.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(models)
+    losses = [f"l{i}" for i in range(len(TEMPERATURES))]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {x: i for i, x in enumerate(shared.value.langs)}
@@ -296,23 +309,22 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
                 texts = [(number[x], u) for x, t in zip(part.column(0).to_pylist(), part.column(1)) if has_letter(u := units(t.as_py()))]
                 if texts:
                     h, n = shared.value.entropies([u for _, u in texts])
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in texts], pa.int32()), pa.array(list(h), pa.list_(pa.float64())), pa.array(n, pa.int64())], names=["own", "h", "n"])
+                    at, own = np.arange(len(texts)), np.array([x for x, _ in texts], np.int32)
+                    loss = [-np.log(np.maximum(Identifier.probability(h, n, t)[at, own], 1e-9)) for t in TEMPERATURES]
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(h[at, own]), *map(pa.array, loss)], names=["own", "h", *losses])
 
-    known = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col).alias("h")).dropna()
-    share = min(1.0, calibration / max(1, known.count()))
-    part = known.where((F.shiftrightunsigned("h", 11) / float(2**53)) <= share).select("lang", "text")
-    # a number for each language, of the rows of the sample only
-    found = part.mapInArrow(measure, "own int, h array<double>, n long").limit(4 * calibration).toPandas()
+    known = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).dropna()
+    found = materialise(known.mapInArrow(measure, ", ".join(["own int", "h double", *[f"{c} double" for c in losses]])), "lang-entropies")
+    sums = found.agg(*[F.sum(c).alias(c) for c in losses]).head()
     usual = np.full(len(models.langs), np.inf)
-    temperature = 1.0
-    if len(found):
-        h, n, own = np.array(found["h"].tolist()), found["n"].to_numpy(), found["own"].to_numpy()
-        loss = {t: -np.log(np.maximum(Identifier.probability(h, n, t)[np.arange(len(own)), own], 1e-9)).mean() for t in (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)}
-        temperature = min(loss, key=loss.get)
-        for i in range(len(models.langs)):
-            if (own == i).sum() >= 20:
-                usual[i] = np.quantile(h[own == i, i], 0.99) * 1.25
-    return Identifier(models, temperature, usual)
+    if sums[0] is None:  # no text with a letter
+        return 1.0, usual
+    # a row for each language
+    sizes = {r["own"]: r["count"] for r in found.groupBy("own").count().collect()}
+    for r in quantiles(found.select("own", "h"), "h", ["own"], {"q": 0.99}).collect():
+        if sizes[r["own"]] >= ROWS_FOR_USUAL:
+            usual[r["own"]] = r["q"] * 1.25
+    return min(zip(sums, TEMPERATURES))[1], usual
 
 
 def identify(docs: DataFrame, model: Identifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -522,6 +522,23 @@ def test_entropy_against_a_plain_kneser_ney(spark):
     assert got == pytest.approx(want, rel=1e-5)
 
 
+def test_calibration_covers_every_training_row(spark):
+    """Temperature and the usual entropies against plain loops over all rows, far more than a sample of thousands would hold."""
+    rng = np.random.default_rng(5)
+    words = {"aa": ["ba", "bo", "bi", "nur"], "bb": ["ka", "ku", "bo", "tel"]}
+    rows = [(x, " ".join(rng.choice(words[x], 1 + i % 7))) for i in range(9000) for x in words]
+    rows += [("cc", "zyx"), (None, "ba bo"), ("aa", None), ("aa", "12 34")]
+    train = spark.createDataFrame([(i, x, t) for i, (x, t) in enumerate(rows)], "doc_id long, lang string, text string").repartition(6)
+    model = language.train(train)
+    parts = [(model.models.langs.index(x), language.units(t)) for x, t in rows if x and t and language.has_letter(language.units(t))]
+    own = np.array([x for x, _ in parts])
+    h, n = model.models.entropies([u for _, u in parts])
+    loss = {t: -np.log(np.maximum(language.Identifier.probability(h, n, t)[np.arange(len(own)), own], 1e-9)).mean() for t in language.TEMPERATURES}
+    assert model.temperature == min(loss, key=loss.get)
+    assert model.usual[:2] == pytest.approx([1.25 * np.quantile(h[own == i, i], 0.99) for i in (0, 1)], rel=1e-12)
+    assert math.isinf(model.usual[2])
+
+
 def test_texts_without_a_letter_are_und(spark):
     model = language.Identifier(models_of(spark, [("en", "the cat sat on the mat"), ("de", "die katze lag auf der matte")]))
     got = [x[0] for x in model.identify(["🙂🙂", "🙂 123", "", None, "…", "the mat 🙂", "𝒶"])]
