@@ -9,10 +9,11 @@ pairs. Larger ones take an exact route that is linear in their members: at radiu
 reach just if the balls of radius 1 around them share a point, a point lies in at most 65 balls, and members of
 a point's ball are linked to the smallest of them after a check. Links become classes by ``components``.
 
-For similarity 0.8 on five-word shingles (``near_duplicates``, which the pipeline uses) 64 bits are too noisy
-and a covering family of that radius would need thousands of tables. There, MinHash signatures only propose
-pairs: texts that agree on all of ``band_rows`` minima of one of ``bands`` bands meet in a bucket (0.998 of the
-pairs of similarity 0.8 do), and pairs whose signatures agree in far fewer minima than 0.8 (four standard errors)
+``near_duplicates``, which the pipeline uses, takes five-word shingles and the same steps: fingerprints, and buckets of the
+covering masks, in which every two texts meet whose fingerprints differ in at most ``RADIUS`` bits. For similarity 0.8 64 bits
+are too noisy and a covering family of that radius would need thousands of tables, so MinHash signatures add buckets:
+texts that agree on all of ``band_rows`` minima of one of ``bands`` bands meet too (0.998 of the
+pairs of similarity 0.8 do). An exact check follows. Pairs whose signatures agree in far fewer minima than 0.8 (four standard errors)
 go no further. What is left is compared by the sets of 64-bit shingle hashes, and a pair links just if the Jaccard
 similarity of these sets reaches the bound. Within a bucket every member is compared with a few leaders. The members of
 buckets that still hold several classes are then compared where they share rare shingles (``prefix_pairs``), which misses
@@ -186,23 +187,28 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     minima = bands * band_rows
     lists = lambda x, ends, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, kind))
 
-    def sketched(sketch, name: str, kind):
-        """A function over batches of (node, text) that gives each node met in a task once, with a list from its shingle hashes."""
+    def sketched(sketch, name: str, kind, fingerprint: bool = False):
+        """A function over batches of (node, text) that gives each node met in a task once, with a list from its distinct shingle
+        hashes and, if asked, the fingerprint of all of them."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
             for b in batches:
                 for i in range(0, b.num_rows, 256):
-                    part, nodes, found = b.slice(i, 256), [], []
+                    part, nodes, found, fps = b.slice(i, 256), [], [], []
                     for node, t in zip(part.column(0).to_pylist(), part.column(1)):
                         if node not in seen:
                             seen.add(node)
                             nodes.append(node)
-                            found.append(sketch(np.unique(shingle_hashes(t.as_py(), words))))
+                            hashes = shingle_hashes(t.as_py(), words)
+                            found.append(sketch(np.unique(hashes)))
+                            if fingerprint:
+                                fps.append(_signed(majority(hashes)))
                     if len(seen) > MOST_SEEN:
                         seen.clear()
                     if nodes:
-                        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), lists(np.concatenate(found), np.cumsum([0, *map(len, found)]), kind)], names=["node", name])
+                        columns = {"node": pa.array(nodes, pa.int64()), name: lists(np.concatenate(found), np.cumsum([0, *map(len, found)]), kind)}
+                        yield pa.RecordBatch.from_pydict(columns | ({"fp": pa.array(fps, pa.int64())} if fingerprint else {}))
 
         return run
 
@@ -211,10 +217,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     texts = docs.select(F.col(id_col).cast("long").alias("id"), digest.alias("digest"), F.xxhash64(digest).alias("node"), text.alias("text"))
     firsts = materialise(texts.groupBy("digest", "node").agg(F.min("id").alias("least")), "near-texts")
     full = texts.where(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "") != "").select("node", "text")
-    signed = sketched(lambda h: signature(h, minima), "sig", pa.int32())
-    sigs = materialise(full.mapInArrow(signed, "node long, sig array<int>").dropDuplicates(["node"]), "near-signatures")
+    signed = sketched(lambda h: signature(h, minima), "sig", pa.int32(), fingerprint=True)
+    sigs = materialise(full.mapInArrow(signed, "node long, sig array<int>, fp long").dropDuplicates(["node"]), "near-signatures")
+    # buckets: the fingerprint under each covering mask, and each band of minima
+    masked = [F.xxhash64(F.lit(f"mask {i}"), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(covering_masks(RADIUS))]
     band = [F.xxhash64(F.lit(i), F.slice("sig", i * band_rows + 1, band_rows)) for i in range(bands)]
-    keyed = sigs.select("node", F.explode(F.array(*band)).alias("key"))
+    keyed = sigs.select("node", F.explode(F.array(*masked, *band)).alias("key"))
     # a bucket's leaders are the members that a hash for each of them ranks first, alike in all buckets
     first = [F.min(F.struct(F.xxhash64("node", F.lit(t)).alias("h"), F.col("node").alias("b")))["b"] for t in range(leaders)]
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*first)).alias("leaders")).where("n > 1").select("key", "leaders")

@@ -259,6 +259,24 @@ def test_near_duplicates_link_at_exactly_the_bound(spark):
     assert sum(linked) >= 0.98 * sum(want), (sum(linked), sum(want))
 
 
+def test_near_duplicates_meet_by_fingerprints(spark):
+    """Long texts with a changed word, whose fingerprints differ in two bits at most: the covering masks bring them together
+    where the one band of minima doesn't."""
+    rng = np.random.default_rng(3)
+    rows, apart = [], 0
+    for i in range(20):
+        text = [f"w{x}" for x in rng.integers(0, 50_000, 2000)]
+        other = [*text[:700], "changed", *text[701:]]
+        a, b = (simhash.shingle_hashes(" ".join(t), simhash.NEAR_SHINGLE) for t in (text, other))
+        if (simhash.majority(a) ^ simhash.majority(b)).bit_count() <= simhash.RADIUS:
+            apart += list(simhash.signature(np.unique(a), 900)) != list(simhash.signature(np.unique(b), 900))
+            rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(other))]
+    assert apart >= 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.near_duplicates(docs, bands=1, band_rows=900).where("kept").collect()
+    assert {r.least for r in kept} == {i for i, _ in rows if i % 2 == 0}
+
+
 def test_prefix_pairs_lose_no_pair(spark):
     rng = np.random.default_rng(8)
     common = rng.integers(0, 2**62, 60).tolist()
