@@ -33,10 +33,9 @@ def defeat_events(df: DataFrame, forecast: str, realised: str, implied: str, by:
     out = out.withColumns(flags)
     if key is None:
         return out
-    total = out.groupBy(*by).agg(F.count("*").alias("_n"), F.min("forecast_edge").alias("_low"), F.max("forecast_edge").alias("_high"))
-    placed = running_sum(out, by, [F.col("forecast_edge").desc(), F.col(key)], F.lit(1), "_above")
-    met = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
-    joined = placed.alias("l").join(total.alias("r"), met).select("l.*", "r._n", "r._low", "r._high") if by else placed.crossJoin(F.broadcast(total))  # one row
+    edge = F.col("forecast_edge")
+    whole = {"_n": (F.sum, F.lit(1)), "_low": (F.min, edge), "_high": (F.max, edge)}
+    joined = running_sum(out, by, [edge.desc(), F.col(key)], F.lit(1), "_above", whole)
     return joined.withColumn("top_decile", (F.col("_low") == F.col("_high")) | (F.col("_above") < F.ceil(F.col("_n") / 10))).drop("_n", "_low", "_high", "_above")
 
 

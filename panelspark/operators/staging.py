@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,16 +41,20 @@ def spread_in_order(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -
     return materialise(df.withColumn("_group", own).repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "in-order")
 
 
-def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[Column], add: Column, name: str) -> DataFrame:
+def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[Column], add: Column, name: str, whole: dict[str, tuple[Callable, Column]] | None = None) -> DataFrame:
     """Adds ``name``: the sum of ``add`` over the rows of the same group that come before in the given total order.
 
+    ``whole``: names and (function, column) pairs, sums, minima or maxima of the whole group, which are added too; they come
+    with the partitions' sums, so no join gathers a group in a task.
+
     Sums inside a range partition are windows, and only one sum for each (group, partition) goes through a window over
     partitions. A group of any size spreads over many tasks. Rows are sorted by group and partition already, so starts are merged
     in; left alone, Spark broadcasts the rows where their file is small, as files of ordered rows are.
     """
     rows = spread_in_order(df.withColumn("_add", add), by, order)
+    whole, group = whole or {}, Window.partitionBy("_group")
     before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("_group", "_part").agg(F.sum("_add").alias("_s"))
-    starts = sums.select("_group", "_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))
+    sums = rows.groupBy("_group", "_part").agg(F.sum("_add").alias("_s"), *[f(c).alias(n) for n, (f, c) in whole.items()])
+    starts = sums.select("_group", "_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"), *[f(n).over(group).alias(n) for n, (f, _) in whole.items()])
     inside = Window.partitionBy("_group", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("_in", F.coalesce(F.sum("_add").over(inside), F.lit(0))).join(starts.hint("merge"), ["_group", "_part"]).withColumn(name, F.col("_start") + F.col("_in")).drop("_group", "_part", "_start", "_in", "_add")

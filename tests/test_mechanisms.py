@@ -453,3 +453,16 @@ def test_the_suite_makes_its_rows_once(spark):
     report = models.model_suite(long, ["x"], ["id"], "y", "i", "id", ["a"])[1].collect()
     assert {(r.model_id, r.status, r.train_rows) for r in report} == {(m, "skipped_insufficient_train_rows", 10) for m in models.SUITE}
     assert made.value == 10
+
+
+def test_a_group_of_defeats_is_not_gathered(spark):
+    """Sizes and ends of groups come with the partitions' sums: rows meet no join on their group, null ones and constant edges included."""
+    rows = spark.range(5000).select(F.when(F.col("id") % 5 > 0, F.col("id") % 2).alias("g"), "id", F.when(F.col("id") % 2 == 0, (F.col("id") * 7 % 113).cast("double")).otherwise(1.0).alias("f"), F.lit(50.0).alias("y"), F.lit(20.0).alias("b"))
+    out = comparison.defeat_events(rows, "f", "y", "b", ["g"], "id")
+    got = out.collect()
+    want = set()
+    for g in (None, 0, 1):
+        mine = sorted((r for r in rows.collect() if r.g == g), key=lambda r: (-r.f, r.id))
+        want |= {r.id for r in (mine if mine[0].f == mine[-1].f else mine[: math.ceil(len(mine) / 10)])}
+    assert len(got) == 5000 and {r.id for r in got if r.top_decile} == want
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Join") == 1
