@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from panelspark.functions.numbers import number
 from panelspark.operators import metrics, ranks
 from panelspark.operators.bootstrap import cluster_weights, weighted_auc
+from panelspark.operators.selection import same
 from panelspark.operators.staging import materialise, running_sum
 
 FLAGS = ("model_nearer", "sign_correct", "false_positive", "false_negative", "model_corrected_market", "market_right_model_wrong")
 CASES = 25
+#: Slices of a case and group whose severest rows tell what is too mild for the casebook.
+SLICES = 1000
 BAND = "execution_confidence_band"
 
 
@@ -57,7 +60,7 @@ def defeat_breakdowns(defeats: DataFrame, by: Sequence[str], dimensions: Sequenc
 def casebook(defeats: DataFrame, by: Sequence[str], key: Sequence[str], fragile: Column | None = None, n: int = CASES) -> DataFrame:
     """The ``n`` severest rows of each case and group, ties to the smaller key; a row may illustrate several cases.
 
-    Spark keeps ``n`` rows a group before it shuffles, so groups may be of any size.
+    Rows that can't be among them go before any is sorted (``_severe``), so groups may be of any size.
     """
     gain = F.col("market_error") - F.col("model_error")
     # fixed values: the names of the cases
@@ -67,7 +70,20 @@ def casebook(defeats: DataFrame, by: Sequence[str], key: Sequence[str], fragile:
     case = F.array(*[F.struct(F.lit(name).alias("case_type"), holds.alias("holds"), F.abs(severity).alias("severity")) for name, holds, severity in cases])
     met = defeats.select("*", F.inline(F.filter(case, lambda c: c["holds"]))).drop("holds")
     place = F.row_number().over(Window.partitionBy("case_type", *by).orderBy(F.col("severity").desc(), *key))
-    return met.withColumn("rank", place).where(F.col("rank") <= n)
+    return _severe(met, ["case_type", *by], key, n).withColumn("rank", place).where(F.col("rank") <= n)
+
+
+def _severe(rows: DataFrame, by: Sequence[str], key: Sequence[str], n: int) -> DataFrame:
+    """``rows`` without those that ``n`` others of their group exceed for certain.
+
+    The n-th largest of the slices' severest rows is a bound that n rows reach; the n-th severest row isn't below it. Slices are
+    counted, not sorted. Groups with fewer slices have no bound and keep all rows.
+    """
+    most = rows.groupBy(*by, F.pmod(F.xxhash64(*key), F.lit(SLICES)).alias("_slice")).agg(F.max("severity").alias("_most"))
+    w = Window.partitionBy(*by).orderBy(F.col("_most").desc(), "_slice")
+    bounds = most.withColumn("_place", F.row_number().over(w)).where(F.col("_place") == n).select(*by, F.col("_most").alias("_bound"))
+    met = rows.alias("l").join(F.broadcast(bounds.alias("r")), same("l", "r", by), "left")  # a row for each case and group
+    return met.where("r._bound IS NULL OR l.severity >= r._bound").select("l.*")
 
 
 def band_coverage(predictions: DataFrame, by: Sequence[str] = ("split", "target_id")) -> DataFrame:
