@@ -13,6 +13,9 @@ from panelspark.plans.contracts import OPT, option_events
 from panelspark.plans.panels import CALENDAR, span_calendar
 from panelspark.sources import scans, tables
 
+#: Most lines of one day file that a query writes.
+FILE_LINES = 1_000_000
+
 
 @query("SELECT l_returnflag AS flag, count(*) AS lines, round(sum(l_extendedprice), 2) AS total FROM lineitem WHERE l_quantity > 45 AND l_discount BETWEEN 0.02 AND 0.05 GROUP BY 1")
 def filtered_scan(spark, sf):
@@ -38,14 +41,19 @@ def date_listing(spark, sf):
     return scans.list_dates(scans.between_dates(bars(spark, sf), "1995-01-01", "1995-12-31"))
 
 
+def day_files(spark, sf, folder):
+    noon = (F.unix_timestamp(F.to_date("l_shipdate").cast("timestamp")) + 17 * 3600) * 10**9
+    text = lambda c: F.col(c).cast("string")
+    raw = load(spark, sf, "lineitem").select(text("l_partkey").alias("ticker"), F.when(F.col("l_linenumber") < 7, text("l_quantity")).otherwise("n/a").alias("volume"), text("l_extendedprice").alias("open"), text("l_extendedprice").alias("close"), text("l_extendedprice").alias("high"), text("l_extendedprice").alias("low"), text("l_discount").alias("vwap"), noon.alias("window_start"), F.lit("1").alias("transactions"))
+    # a gzipped file is read by one task, so its lines are bounded
+    raw.write.option("compression", "gzip").option("maxRecordsPerFile", FILE_LINES).csv(folder, header=True)
+
+
 @query("SELECT l_partkey::VARCHAR AS ticker, l_shipdate::DATE AS date, count(*) AS n, round(sum(l_extendedprice), 3) AS close, count(*) FILTER (l_linenumber < 7) AS with_volume FROM lineitem GROUP BY 1, 2")
 def day_file_ingest(spark, sf):
     """All lines as gzipped day files, taken in twice: the second time replaces the same dates."""
     folder = f"{shared_folder(spark)}/days-{uuid.uuid4().hex}"
-    noon = (F.unix_timestamp(F.to_date("l_shipdate").cast("timestamp")) + 17 * 3600) * 10**9
-    text = lambda c: F.col(c).cast("string")
-    raw = load(spark, sf, "lineitem").select(text("l_partkey").alias("ticker"), F.when(F.col("l_linenumber") < 7, text("l_quantity")).otherwise("n/a").alias("volume"), text("l_extendedprice").alias("open"), text("l_extendedprice").alias("close"), text("l_extendedprice").alias("high"), text("l_extendedprice").alias("low"), text("l_discount").alias("vwap"), noon.alias("window_start"), F.lit("1").alias("transactions"))
-    raw.repartition(4).write.option("compression", "gzip").csv(f"{folder}/raw", header=True)
+    day_files(spark, sf, f"{folder}/raw")
     for _ in range(2):
         out = scans.ingest_day_files(spark, [f"{folder}/raw"], f"{folder}/bronze", "day_aggs")
     return rounded(out.groupBy("ticker", "date").agg(F.count("*").alias("n"), F.sum("close").alias("close"), F.count("volume").alias("with_volume")), 3)

@@ -56,7 +56,7 @@ def ingest_day_files(spark: SparkSession, paths: Sequence[str], folder: str, dat
     """Day files (CSV, gzipped or not, header) into a table partitioned by date; a rerun replaces just the dates that it brings."""
     raw = spark.read.csv(list(paths), header=True, schema=DAY_FILE).withColumn("source_key", F.input_file_name())
     days = normalised_days(raw, dataset).where("date IS NOT NULL")
-    write_partitions(days.repartition("date").sortWithinPartitions("ticker"), folder)
+    write_partitions(days.repartition("date").sortWithinPartitions("date", "ticker"), folder)  # the writer wants them by date
     return spark.read.schema(days.schema).parquet(folder)
 
 
