@@ -53,9 +53,10 @@ def validate_calendar(calendar: DataFrame, timing_col: str = "announcement_timin
 
 def text_status(text: Column) -> Column:
     """What a filing's text says: other matters beat earnings, and without the item number neither counts."""
-    flat = F.lower(single_spaced(text))
-    has = lambda marks: F.greatest(*[F.contains(flat, F.lit(m)) for m in marks])
-    return F.when(F.coalesce(text, F.lit("")) == "", NO_TEXT).when(~F.contains(flat, F.lit(ITEM)), NOT_ITEM).when(has(OTHER), UNRELATED).when(has(EARNINGS), VALIDATED).otherwise(AMBIGUOUS)
+    has = lambda flat, marks: F.greatest(*[F.contains(flat, F.lit(m)) for m in marks])
+    said = lambda flat: F.when(~F.contains(flat, F.lit(ITEM)), NOT_ITEM).when(has(flat, OTHER), UNRELATED).when(has(flat, EARNINGS), VALIDATED).otherwise(AMBIGUOUS)
+    # an array of one text, as Spark would make the text anew for each of twenty marks
+    return F.when(F.coalesce(text, F.lit("")) == "", NO_TEXT).otherwise(F.get(F.transform(F.array(F.lower(single_spaced(text))), said), F.lit(0)))
 
 
 def classify_filing(texts: DataFrame, text: str) -> DataFrame:
