@@ -221,10 +221,11 @@ def hybrid_report(coverage: DataFrame, total_events: int) -> DataFrame:
 
 def distribution_audit(steps: DataFrame, source: str, metrics: Sequence[str]) -> DataFrame:
     """Per source and metric: n, mean, population deviation, three percentiles and the share missing."""
-    long = steps.select(source, *[number(m).alias(m) for m in metrics]).unpivot([source], list(metrics), "metric", "value")
+    held = materialise(steps.select(source, *[number(m).alias(m) for m in metrics]), "audited")  # read by every pass of the quantiles
+    long = held.unpivot([source], list(metrics), "metric", "value")
     keys = [source, "metric"]
     one = long.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.avg(F.col("value").isNull().cast("int")).alias("missing_rate"))
-    cuts = column_quantiles(steps.select(source, *[number(m).alias(m) for m in metrics]), metrics, [source], {"p01": 0.01, "p50": 0.5, "p99": 0.99}).withColumnRenamed("feature", "metric")
+    cuts = column_quantiles(held, metrics, [source], {"p01": 0.01, "p50": 0.5, "p99": 0.99}).withColumnRenamed("feature", "metric")
     return one.alias("l").join(cuts.alias("r"), F.col(f"l.{source}").eqNullSafe(F.col(f"r.{source}")) & (F.col("l.metric") == F.col("r.metric")), "left").select("l.*", "r.p01", "r.p50", "r.p99")
 
 
@@ -305,6 +306,7 @@ def robust_scaled(steps: DataFrame, features: Sequence[str], step_type: str = "s
     for f in features:
         v = number(f)
         out = out.withColumn(f, F.when(v.isNotNull(), F.log1p(F.greatest(v, F.lit(0.0)))) if any(x in f for x in LOGGED) else v)
+    out = materialise(out, "scaled-steps")  # read by every pass of the quantiles and again with them
     cuts = column_quantiles(out.where(F.col(split) == "train"), list(features), [step_type], {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     pick = lambda f, c: F.max(F.when(F.col("feature") == f, F.col(c))).alias(f"_{c}_{f}")
     wide = F.broadcast(cuts.groupBy(step_type).agg(*[pick(f, c) for f in features for c in ("q1", "q2", "q3")]))  # a row for each step type
