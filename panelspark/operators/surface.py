@@ -284,7 +284,8 @@ def underlying_runup(steps: DataFrame, event: str, ret: str = "underlying_return
 def sequence_matrix(steps: DataFrame, event: str, features: Sequence[str], step: str = "seq_index", length: int = 20) -> DataFrame:
     """One row per event with seq_t00_<feature> … (the mean where a step repeats); steps are given, so no pass looks for them."""
     pick = lambda i, f: F.avg(F.when(F.col(step) == i, number(f))).alias(f"seq_t{i:02d}_{f}")
-    return steps.groupBy(event).agg(*[pick(i, f) for f in features for i in range(length)])
+    # narrow rows are shuffled and summed where they arrive: sums made before would be a row of all columns for each step
+    return steps.select(event, step, *features).repartition(event).groupBy(event).agg(*[pick(i, f) for f in features for i in range(length)])
 
 
 def sequence_arrays(matrix: DataFrame, event: str, features: Sequence[str], length: int = 20) -> DataFrame:

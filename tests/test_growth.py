@@ -1,10 +1,12 @@
 """What keeps a task's memory and the work from growing faster than the rows."""
 
+import glob
 import random
 
 from pyspark.sql import functions as F
 
-from panelspark.operators import comparison
+from panelspark.operators import comparison, filings, surface
+from panelspark.plans import feeds
 
 
 def test_casebook_sorts_few_rows_and_keeps_the_severest(spark):
@@ -20,3 +22,33 @@ def test_casebook_sorts_few_rows_and_keeps_the_severest(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
     met = d.where("false_positive").withColumn("severity", F.col("forecast_edge"))
     assert comparison._severe(met, ["model"], ["id"], 10).where("model IS DISTINCT FROM 'few'").count() < 400
+
+
+def test_day_files_are_bounded(spark, sf, monkeypatch, tmp_path):
+    monkeypatch.setattr(feeds, "FILE_LINES", 500)
+    feeds.day_files(spark, sf, f"{tmp_path}/raw")
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert spark.read.csv(f"{tmp_path}/raw", header=True).count() == lines and len(glob.glob(f"{tmp_path}/raw/*.csv.gz")) >= lines / 500
+
+
+def test_filing_text_is_made_once(spark):
+    d = spark.createDataFrame([("Item\u00a02.02  quarter\tended",), ("item 2.02 annual meeting financial results",), ("",), (None,), ("other",), ("item 2.02",)], "text string")
+    out = filings.classify_filing(d, "text")
+    assert [r.status for r in out.collect()] == [filings.VALIDATED, filings.UNRELATED, filings.NO_TEXT, filings.NO_TEXT, filings.NOT_ITEM, filings.AMBIGUOUS]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 1
+
+
+def steps(spark):
+    return spark.createDataFrame([(e, i, float(e * i), float(i), "daily" if i % 2 else "intraday", "train") for e in range(30) for i in range(20)], "event_id long, seq_index int, close double, volume double, step_type string, split string")
+
+
+def test_steps_are_made_once_for_all_passes(spark):
+    assert "scaled-steps" in surface.robust_scaled(steps(spark), ("close", "volume")).inputFiles()[0]
+    assert any("audited" in f for f in surface.distribution_audit(steps(spark), "step_type", ["close", "volume"]).inputFiles())
+
+
+def test_sequence_matrix_shuffles_narrow_rows(spark):
+    out = surface.sequence_matrix(steps(spark), "event_id", ("close", "volume"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan[plan.index("Exchange") :]
+    assert out.where("event_id = 3").head()["seq_t05_close"] == 15.0
