@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,19 +15,13 @@ from panelspark.operators import linear, metrics, ranks
 from panelspark.operators.staging import materialise, running_sum
 from panelspark.operators.strategy import from_log, log_target
 
-# How strong and of what kind the penalty may be, the fewest rows a model is fitted on, and the tree variants.
+# How strong and of what kind the penalty may be, the bins of a feature for trees, the fewest rows a model is fitted on, and the tree variants.
 ALPHAS, L1_RATIOS = (0.0025, 0.005, 0.01, 0.02, 0.05, 0.1), (0.05, 0.1, 0.25, 0.5, 0.7, 0.9, 0.95, 0.99, 1.0)
+BINS = 32
 LEAST = {"train": 20, "validation": 5, "test": 5}
 TREES = ({"maxDepth": 3, "maxIter": 30, "stepSize": 0.1}, {"maxDepth": 4, "maxIter": 20, "stepSize": 0.2})
 
 
-def assembled(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """Adds x, the features as a vector (missing numbers are 0), and y, the target (its logarithm)."""
-    out = df.withColumns({f"_x{i}": F.coalesce(number(f), F.lit(0.0)) for i, f in enumerate(features)}).withColumn("y", log_target(number(target)))
-    names = [f"_x{i}" for i in range(len(features))]
-    return VectorAssembler(inputCols=names, outputCol="x").transform(out).drop(*names)
-
-
 def skip_reason(df: DataFrame, target: str, split: str = "split") -> str | None:
     """Why no model can be fitted on these rows, or None (three counts come to the driver)."""
     found = {r["s"]: r for r in df.groupBy(F.col(split).alias("s")).agg(F.count("*").alias("n"), F.count(number(target)).alias("known")).collect()}
@@ -51,6 +46,47 @@ def time_folds(train: DataFrame, order: Sequence[str], folds: int = 5) -> DataFr
     return placed.crossJoin(n).withColumn("fold", fold.cast("int")).drop("_at", "_n")
 
 
+def bin_starts(df: DataFrame, features: Sequence[str], most: int = BINS) -> list[list[float]]:
+    """Per feature the least value of each bin but the first: bins are its values, where there are at most ``most``, otherwise equal shares of the rows.
+
+    Missing numbers are 0. What comes to the driver is ``most`` numbers a feature.
+    """
+    cells = df.select(*[F.coalesce(number(f), F.lit(0.0)).alias(f) for f in features]).unpivot([], list(features), "feature", "v")
+    placed = ranks.value_counts(cells, "v", ["feature"])
+    share = F.floor(F.col("below") * most / F.col("total"))
+    shares, values, kinds = {}, {}, {}
+    for r in placed.groupBy("feature", share.alias("share")).agg(F.min("v").alias("v"), F.count("*").alias("n")).collect():
+        shares.setdefault(r.feature, []).append(r.v)
+        kinds[r.feature] = kinds.get(r.feature, 0) + r.n
+    few = [f for f in features if kinds.get(f, 0) <= most]
+    for r in placed.where(F.col("feature").isin(few)).select("feature", "v").collect() if few else []:
+        values.setdefault(r.feature, []).append(r.v)
+    return [sorted(values.get(f) or shares.get(f, []))[1:] for f in features]
+
+
+def binned(df: DataFrame, features: Sequence[str], starts: Sequence[Sequence[float]]) -> DataFrame:
+    """Adds x, a vector of the features' bins, numbered from 0. A missing number is 0; a feature of one bin is left out."""
+    cut = [(f"_v{i}", f"_x{i}", f, [-float("inf"), *s, float("inf")]) for i, (f, s) in enumerate(zip(features, starts, strict=True)) if s]
+    if not cut:
+        return VectorAssembler(inputCols=["_x"], outputCol="x").transform(df.withColumn("_x", F.lit(0.0))).drop("_x")
+    values, names, _, edges = map(list, zip(*cut))
+    out = df.withColumns({v: F.coalesce(number(f), F.lit(0.0)) for v, _, f, _ in cut})
+    out = Bucketizer(inputCols=values, outputCols=names, splitsArray=edges).transform(out)
+    out = out.withColumns({n: F.col(n) + 0.0 for n in names})  # plain numbers: a bucket's own metadata would make trees take bins for categories without an order
+    return VectorAssembler(inputCols=names, outputCol="x").transform(out).drop(*values, *names)
+
+
+def weighted_cells(df: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """parts, x, y and _weight: rows of equal ``x`` as two rows at most, with the number, sum and sum of squares of their ``y``.
+
+    Trees are cut between bins and their loss is the squared error, so nothing else of the rows counts.
+    """
+    cells = df.groupBy(*parts, "x").agg(F.count("*").cast("double").alias("_n"), F.avg("y").alias("_m"), F.stddev_pop("y").alias("_s"))
+    two = F.array(*[F.struct((F.col("_m") + F.lit(d) * F.col("_s")).alias("y"), (F.col("_n") / 2).alias("_weight")) for d in (-1, 1)])
+    one = F.array(F.struct(F.col("_m").alias("y"), F.col("_n").alias("_weight")))
+    return cells.select(*parts, "x", F.inline(F.when(F.col("_s") > 0, two).otherwise(one)))
+
+
 def _predicted(model, df: DataFrame, name: str) -> DataFrame:
     return model.transform(df).withColumn(name, from_log(F.col("p"))).drop("p")
 
@@ -86,6 +122,7 @@ def elastic_net(df: DataFrame, features: Sequence[str], target: str, order: Sequ
 def tuning_objective(scored: DataFrame, forecast: str, target: str, implied: str, key: str) -> float:
     """AUC of the forecast edge, then a thousandth of the top decile's precision, less a millionth of the RMSE; -1e6 without an AUC."""
     rows = scored.withColumns({"_score": number(forecast) - number(implied), "_edge": number(target) - number(implied)})
+    rows = materialise(rows.select("_score", "_edge", *dict.fromkeys([key, forecast, target, implied])), "scored")  # read by several passes, so a model predicts once
     rank = metrics.ranking_metrics(rows, [], "_score", "_edge", key).head()
     if rank is None or rank["auc"] is None:
         return -1e6
@@ -94,21 +131,29 @@ def tuning_objective(scored: DataFrame, forecast: str, target: str, implied: str
 
 
 def boosted_trees(df: DataFrame, features: Sequence[str], target: str, implied: str, key: str, name: str = "forecast_gbt", variants: Sequence[dict] = TREES, split: str = "split", seed: int = 17) -> tuple[DataFrame, dict]:
-    """Adds the forecast of boosted trees; of the variants the one that ranks validation rows best counts."""
+    """Adds the forecast of boosted trees; of the variants the one that ranks validation rows best counts.
+
+    Features are cut into bins by train rows once, and boosting's many passes are over the bins' weighted cells: with few
+    features these are far fewer than the rows.
+    """
+    df = materialise(df, "tree-rows")  # read by every pass below
     reason = skip_reason(df, target, split)
     if reason:
         return _none(df, name), {"status": reason}
-    ready = assembled(df, features, target)
-    known = ready.where(F.col(split).isin("train", "validation") & F.col("y").isNotNull()).withColumn("_held", F.col(split) == "validation").persist()
+    known = df.withColumn("y", log_target(number(target))).where(F.col(split).isin("train", "validation") & F.col("y").isNotNull())
+    starts = bin_starts(known.where(F.col(split) == "train"), features)
+    held = F.col(split) == "validation"
+    cells = materialise(weighted_cells(binned(known.withColumn("_held", held), features, starts), ["_held"]), "tree-cells").persist()
+    bins = max(BINS, math.ceil(math.sqrt(cells.count())))  # so that Spark looks for a bin's edges in all cells, not in a sample
     best = None
     for variant in variants:
         # rows of the validation split stop the boosting early
-        model = GBTRegressor(featuresCol="x", labelCol="y", predictionCol="p", validationIndicatorCol="_held", seed=seed, **variant).fit(known)
-        value = tuning_objective(_predicted(model, known.where("_held"), name), name, target, implied, key)
+        model = GBTRegressor(featuresCol="x", labelCol="y", predictionCol="p", weightCol="_weight", validationIndicatorCol="_held", maxBins=bins, seed=seed, **variant).fit(cells)
+        value = tuning_objective(_predicted(model, binned(known.where(held), features, starts), name), name, target, implied, key)
         if best is None or value > best[0]:
             best = (value, model, variant)
-    known.unpersist()
-    out = _predicted(best[1], ready, name).drop("x", "y")
+    cells.unpersist()
+    out = _predicted(best[1], binned(df, features, starts), name).drop("x")
     return _forecast(out, name, F.col(name), split), {"status": "trained", "objective": best[0], **best[2]}
 
 

@@ -1,11 +1,14 @@
 """What keeps a task's memory and the work from growing faster than the rows."""
 
 import glob
+import math
 import random
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
-from panelspark.operators import comparison, filings, surface
+from panelspark.operators import comparison, filings, models, surface
 from panelspark.plans import feeds
 
 
@@ -52,3 +55,30 @@ def test_sequence_matrix_shuffles_narrow_rows(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Aggregate" not in plan[plan.index("Exchange") :]
     assert out.where("event_id = 3").head()["seq_t05_close"] == 15.0
+
+
+def test_trees_are_fitted_on_cells(spark, monkeypatch):
+    """Boosting passes over the features' bins, not over the rows, and forecasts as Spark's trees on the rows do."""
+    rng, sizes = random.Random(5), []
+    rows = [(i, float(rng.randrange(20)), float(rng.randrange(12)), ("train", "validation", "test")[i % 3]) for i in range(6000)]
+    rows = [(i, a, None if b == 3 else b, math.exp((a - 9) * (b - 4) / 30 + rng.random()), 1.0, s) for i, a, b, s in rows]
+    d = spark.createDataFrame(rows, "id long, a double, b double, y double, implied double, split string")
+
+    class Counted(GBTRegressor):
+        def fit(self, df):
+            sizes.append(df.count())
+            return super().fit(df)
+
+    monkeypatch.setattr(models, "GBTRegressor", Counted)
+    variant = {"maxDepth": 3, "maxIter": 8, "stepSize": 0.2}
+    got = {r.id: r.forecast_gbt for r in models.boosted_trees(d, ["a", "b"], "y", "implied", "id", variants=[variant])[0].collect()}
+    assert sizes[0] <= 20 * 12 * 4
+    plain = VectorAssembler(inputCols=["a", "b"], outputCol="x").transform(d.fillna(0.0)).withColumns({"y": models.log_target(F.col("y")), "held": F.col("split") == "validation"})
+    model = GBTRegressor(featuresCol="x", labelCol="y", validationIndicatorCol="held", seed=17, **variant).fit(plain.where("split <> 'test'"))
+    want = {r.id: None if r.split == "train" else r.p for r in model.transform(plain).select("id", "split", models.from_log(F.col("prediction")).alias("p")).collect()}
+    assert all((w is None and got[i] is None) or abs(got[i] - w) < 1e-9 for i, w in want.items()) and len(got) == 6000
+
+
+def test_bins_of_many_values_hold_equal_shares(spark):
+    d = spark.range(6400).select((F.col("id") * 7919 % 6400).cast("double").alias("a"), F.lit(None).cast("double").alias("b"))
+    assert models.bin_starts(d, ["a", "b"]) == [[float(200 * i) for i in range(1, 32)], []]
