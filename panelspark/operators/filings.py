@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.numbers import number, ratio
 from panelspark.functions.texts import single_spaced, stripped
-from panelspark.operators.asof import asof_backward, gated_latest
+from panelspark.operators.asof import asof_backward
+from panelspark.operators.staging import materialise
 from panelspark.sources.tables import keep_last
 
 # Wordings of filings about earnings and about other matters.
@@ -160,31 +161,37 @@ def facts_at_events(events: DataFrame, facts: DataFrame, event: str = "event_id"
     """``events`` with ratios and growth of the facts that were known at ``asof``, how fresh they are and how many counted.
 
     A fact counts from its acceptance on, or, without one, from the day after its filing; one filed on the day of the event
-    without acceptance is dropped and counted. Growth compares the last two values of a concept.
+    without acceptance is dropped and counted. Growth compares the last two values of a concept. All that is known of a
+    ticker is one narrow row for each instant at which it changes, and events meet these rows in one as-of join.
     """
-    named = facts.select(F.upper("ticker").alias("ticker"), F.col("feature_concept").alias("concept"), number("val").alias("val"), F.col("end"), F.col("filed").cast("date").alias("filed"), F.col("acceptance_datetime").alias("accepted"))
-    keys = events.select(event, F.upper("ticker").alias("ticker"), F.col(asof).alias("_asof"))
-    each = keys.withColumn("concept", F.explode(F.array(*[F.lit(c) for c in concepts])))
-    got = gated_latest(each, named.where(F.col("concept").isin(*concepts)), ["ticker", "concept"], "_asof", "accepted", "filed", ["end"], "val")
-    pick = lambda c, what: F.max(F.when(F.col("concept") == c, F.col(what)))
-    wide = got.groupBy(event).agg(*[pick(c, "latest").alias(c) for c in concepts], *[pick(c, "previous").alias(f"_{c}") for c in ("revenue", "net_income")])
-    # counts: of facts known by then, by kind; of same-day filings; of concepts with any fact
-    numbered = lambda test, at: named.where(test).select("ticker", at.alias("_at")).groupBy("ticker", "_at").agg(F.count("*").alias("_c"))
-    known = F.coalesce(F.col("accepted"), F.date_add("filed", 1).cast("timestamp"))
-    out = events.join(wide, event, "left")
-    for name, test in (("mapped_acceptance_rows", F.col("accepted").isNotNull()), ("fallback_filed_rows", F.col("accepted").isNull())):
-        w = Window.partitionBy("ticker").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-        upto = numbered(test & known.isNotNull(), known).select("ticker", "_at", F.sum("_c").over(w).alias(name))
-        found = asof_backward(keys, upto, ["ticker"], "_asof", "_at", [name]).select(event, F.coalesce(name, F.lit(0)).alias(name))
-        out = out.join(found, event, "left")
-    same = named.where(F.col("accepted").isNull()).groupBy("ticker", F.col("filed").alias("_day")).agg(F.count("*").alias("dropped_same_day_rows"))
-    out = out.join(keys.withColumn("_day", F.to_date("_asof")).join(same, ["ticker", "_day"]).select(event, "dropped_same_day_rows"), event, "left").withColumn("dropped_same_day_rows", F.coalesce("dropped_same_day_rows", F.lit(0)))
-    # a few concepts for each ticker, however many facts there are
-    first = named.where(F.col("concept").isNotNull()).groupBy("ticker", "concept").agg(F.min(known).alias("_since"))
-    covered = keys.join(first, "ticker").where(F.col("_since") <= F.col("_asof")).groupBy(event).agg(F.count("*").alias("coverage"))
-    last = asof_backward(keys, named.withColumn("_known", known).select("ticker", "_known", F.coalesce("accepted", F.col("filed").cast("timestamp")).alias("_sort")), ["ticker"], "_asof", "_known", ["_sort"]).select(event, "_sort")
-    out = out.join(covered, event, "left").join(last, event, "left").withColumn("coverage", F.coalesce("coverage", F.lit(0)))
     c = F.col
+    named = facts.select(F.upper("ticker").alias("_ticker"), c("feature_concept").alias("concept"), number("val").alias("val"), "end", c("filed").cast("date").alias("filed"), c("acceptance_datetime").alias("accepted"))
+    known = F.coalesce("accepted", F.date_add("filed", 1).cast("timestamp"))
+    # all that follows lies inside a ticker, so facts are shuffled once
+    rows = named.withColumns({"_at": known, "_sort": F.coalesce("accepted", c("filed").cast("timestamp")), "_mapped": c("accepted").isNotNull()}).where("_at IS NOT NULL").repartition("_ticker")
+    item = F.struct("_sort", "end", c("val").alias("_value"))
+    own = Window.partitionBy("_ticker", "concept", "_mapped", c("val").isNull())
+    rows = rows.withColumns({"_item": F.when(c("val").isNotNull(), F.struct(item.alias("now"), F.lag(item).over(own.orderBy("_sort", "end", "val")).alias("last"))), "_n": F.row_number().over(Window.partitionBy("_ticker", "concept").orderBy("_at"))})
+    # a fact filed without acceptance tells of its day, too
+    fact = F.struct("_at", F.lit(True).alias("_fact"), F.lit(None).cast("date").alias("_day"))
+    told = F.when(c("_mapped"), F.array(fact)).otherwise(F.array(fact, F.struct(c("filed").cast("timestamp").alias("_at"), F.lit(False).alias("_fact"), c("filed").alias("_day"))))
+    each = rows.select("_ticker", "concept", "_mapped", "_sort", "_item", "_n", F.inline(told))
+    of = {(x, m): F.max(F.when(c("_fact") & (c("concept") == x) & (c("_mapped") == m), c("_item"))) for x in concepts for m in (True, False)}
+    names = {k: f"_i{i}" for i, k in enumerate(of)}
+    count = lambda test: F.count_if(c("_fact") & test)
+    cells = each.groupBy("_ticker", "_at").agg(
+        *[v.alias(names[k]) for k, v in of.items()], count(c("_mapped")).alias("m"), count(~c("_mapped")).alias("f"), count(c("concept").isNotNull() & (c("_n") == 1)).alias("k"), F.max(F.when(c("_fact"), c("_sort"))).alias("_sort"), F.max("_day").alias("_day"), F.count_if(~c("_fact")).alias("_same")
+    )
+    upto = Window.partitionBy("_ticker").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    best = lambda x: F.reverse(F.array_sort(F.array_compact(F.array(*[c(names[x, m])[w] for m in (True, False) for w in ("now", "last")]))))
+    states = cells.select("_ticker", "_at", *[F.max(n).over(upto).alias(n) for n in names.values()], *[F.sum(a).over(upto).alias(n) for a, n in (("m", "mapped_acceptance_rows"), ("f", "fallback_filed_rows"), ("k", "coverage"))], F.last("_sort", True).over(upto).alias("_sort"), F.max(F.when(c("_day").isNotNull(), F.struct("_day", "_same"))).over(upto).alias("_d"))
+    counts = ("mapped_acceptance_rows", "fallback_filed_rows", "coverage")
+    states = states.withColumns({f"_b{i}": best(x) for i, x in enumerate(concepts)})
+    states = states.select("_ticker", "_at", *counts, "_sort", "_d._day", "_d._same", *[F.get(f"_b{i}", F.lit(0))["_value"].alias(x) for i, x in enumerate(concepts)], *[F.get(f"_b{concepts.index(x)}", F.lit(1))["_value"].alias(f"_{x}") for x in ("revenue", "net_income")])
+    values = [n for n in states.columns if n not in ("_ticker", "_at")]
+    out = asof_backward(events.withColumn("_ticker", F.upper("ticker")), materialise(states, "fact-states"), ["_ticker"], asof, "_at", values).drop("_ticker", "matched__at")
+    same = F.when(c("_day") == F.to_date(asof), c("_same"))
+    out = out.withColumns({n: F.coalesce(n, F.lit(0)) for n in counts} | {"dropped_same_day_rows": F.coalesce(same, F.lit(0))}).drop("_day", "_same")
     out = out.withColumns({
         "available": (c("mapped_acceptance_rows") + c("fallback_filed_rows")) > 0, "log_assets": F.log1p(F.greatest("assets", F.lit(0.0))), "log_revenue": F.log1p(F.greatest("revenue", F.lit(0.0))), "cash_to_assets": ratio(c("cash"), c("assets")),
         "liabilities_to_assets": ratio(c("liabilities"), c("assets")), "current_ratio": ratio(c("current_assets"), c("current_liabilities")), "roa": ratio(c("net_income"), c("assets")), "operating_margin": ratio(c("operating_income"), c("revenue")),

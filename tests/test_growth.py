@@ -82,3 +82,21 @@ def test_trees_are_fitted_on_cells(spark, monkeypatch):
 def test_bins_of_many_values_hold_equal_shares(spark):
     d = spark.range(6400).select((F.col("id") * 7919 % 6400).cast("double").alias("a"), F.lit(None).cast("double").alias("b"))
     assert models.bin_starts(d, ["a", "b"]) == [[float(200 * i) for i in range(1, 32)], []]
+
+
+def test_facts_are_read_once(spark):
+    """Facts are made once for all that is told of them, and a fact without any day is known to nobody."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = [("a", "revenue", 100.0, "2024-03-01", None), ("A", "revenue", 120.0, "2024-03-05", "2024-03-05 12:00:00"), ("a", "revenue", 7.0, None, None), ("a", None, 1.0, "2024-03-09", None), ("a", "assets", None, "2024-03-02", None)]
+    facts = spark.createDataFrame(rows, "ticker string, feature_concept string, val double, f string, t string").select("ticker", "feature_concept", "val", F.lit("2023-12-31").cast("date").alias("end"), F.to_date("f").alias("filed"), F.col("t").cast("timestamp").alias("acceptance_datetime"))
+    events = spark.createDataFrame([(1, "a", "2024-03-01 20:00:00"), (2, "a", "2024-03-02 00:00:00"), (3, "A", "2024-03-05 12:00:00"), (4, "a", "2024-03-09 23:00:00"), (5, "b", "2024-03-09 23:00:00"), (6, "a", None)], "event_id long, ticker string, t string").select("event_id", "ticker", F.col("t").cast("timestamp").alias("asof"))
+    out = filings.facts_at_events(events, facts.mapInArrow(counted, facts.schema)).collect()
+    got = {r.event_id: (r.mapped_acceptance_rows, r.fallback_filed_rows, r.dropped_same_day_rows, r.coverage, r.revenue, r.revenue_growth and round(r.revenue_growth, 6), r.freshness_days and round(r.freshness_days, 4)) for r in out}
+    assert got == {1: (0, 0, 1, 0, None, None, None), 2: (0, 1, 1, 1, 100.0, None, 1.0), 3: (1, 2, 0, 2, 120.0, 0.2, 0.0), 4: (1, 2, 1, 2, 120.0, 0.2, 4.4583), 5: (0, 0, 0, 0, None, None, None), 6: (0, 0, 0, 0, None, None, None)}
+    assert made.value == len(rows)
