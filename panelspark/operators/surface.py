@@ -33,10 +33,21 @@ def surface_shape(rows: DataFrame, keys: Sequence[str], price: str, spot: str) -
     Only strikes with a call and a put of an expiry count. The nearest to the spot is at the money (then by days from 14,
     expiry, strike); the butterfly is that of the strike nearest the spot and its neighbours.
     """
-    side = lambda c, r: F.avg(F.when(F.lower("right") == r, F.col(c)))
-    pairs = rows.where("iv_proxy IS NOT NULL").groupBy(*keys, "expiration", "strike").agg(
-        side("iv_proxy", "call").alias("ci"), side("iv_proxy", "put").alias("pi"), side(price, "call").alias("cp"), side(price, "put").alias("pp"), F.avg("iv_proxy").alias("iv"), F.sum("iv_proxy").alias("ivs"), F.count("*").alias("n"), F.min("dte").alias("dte"), F.min(spot).alias("spot")
-    ).where("ci IS NOT NULL AND pi IS NOT NULL")
+    pairs = rows.where("iv_proxy IS NOT NULL").groupBy(*keys, "expiration", "strike").agg(*_strike_sums(price, spot))
+    return _shape_of_pairs(pairs.where("ci IS NOT NULL AND pi IS NOT NULL"), keys)
+
+
+def _strike_sums(price: str, spot: str) -> list[Column]:
+    """What the shape needs of the rows with iv_proxy of one strike and expiry."""
+    has = F.col("iv_proxy").isNotNull()
+    side = lambda c, r: F.avg(F.when(has & (F.lower("right") == r), F.col(c)))
+    return [
+        side("iv_proxy", "call").alias("ci"), side("iv_proxy", "put").alias("pi"), side(price, "call").alias("cp"), side(price, "put").alias("pp"), F.avg("iv_proxy").alias("iv"), F.sum("iv_proxy").alias("ivs"), F.count("iv_proxy").alias("n"),
+        F.min(F.when(has, F.col("dte"))).alias("dte"), F.min(F.when(has, F.col(spot))).alias("spot"),
+    ]
+
+
+def _shape_of_pairs(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     near = F.struct(F.abs(F.col("strike") / F.col("spot") - 1), F.abs(F.col("dte") - TARGET_DTE), "expiration", "strike")
     mean = lambda a, b: F.sum(F.when(F.col("dte").between(a, b), F.col("ivs"))) / F.sum(F.when(F.col("dte").between(a, b), F.col("n")))
     one = pairs.groupBy(*keys).agg(F.min_by(F.struct("iv", "ci", "pi", "cp", "pp", "spot"), near).alias("atm"), F.count("*").alias("iv_pairs"), (mean(*FAR_DTE) - mean(*NEAR)).alias("term_slope_proxy"))
@@ -60,13 +71,16 @@ def daily_surface(options: DataFrame, keys: Sequence[str], spot: str = "spot", d
     """
     frame = options.where(F.col("dte").between(*DTE_RANGE) & (number(spot) > 0))
     v = lambda r=None: F.sum(F.when(F.lower("right") == r, F.coalesce(number("option_volume"), F.lit(0.0))) if r else F.coalesce(number("option_volume"), F.lit(0.0)))
-    both = frame.groupBy(*keys, "expiration", "strike").agg((F.count_distinct("right") >= 2).alias("pair"), v().alias("v"), F.coalesce(v("call"), F.lit(0.0)).alias("c"), F.coalesce(v("put"), F.lit(0.0)).alias("p"), F.sum(F.coalesce(number("option_transactions"), F.lit(0.0))).alias("t"))
-    sums = both.groupBy(*keys).agg(F.count_if("pair").alias("valid_pair_count"), F.sum("v").alias("option_volume_sum"), F.sum("t").alias("option_transactions_sum"), ((F.sum("c") - F.sum("p")) / F.nullif(F.sum("c") + F.sum("p"), F.lit(0.0))).alias("call_put_volume_imbalance"))
+    # all that is compared lies inside a key: rows are shuffled once, volatilities are found once, and strikes are written down
     n = F.row_number().over(Window.partitionBy(*keys, "expiration", "right").orderBy(F.abs(F.col("strike") / F.col(spot) - 1), "strike"))
-    chosen = with_iv(frame.withColumn("_n", n).where(F.col("_n") <= STRIKES), "option_close", spot, volatility)
-    shape = surface_shape(chosen, keys, "option_close", spot)
-    any_iv = chosen.where("iv_proxy IS NOT NULL").groupBy(*keys).agg(F.lit(True).alias("_any"))
-    out = sums.join(shape.hint("merge"), list(keys), "left").join(any_iv.hint("merge"), list(keys), "left").withColumnsRenamed({"skew_proxy": "iv_skew_proxy", "butterfly_proxy": "iv_butterfly_proxy"})
+    rows = frame.repartition(*keys).withColumn("_n", n)
+    chosen = F.col("_n") <= STRIKES
+    rows = with_iv(rows.withColumn("_price", F.when(chosen, F.col("option_close"))), "_price", spot, volatility)
+    cells = rows.groupBy(*keys, "expiration", "strike").agg(F.coalesce(F.min("right") < F.max("right"), F.lit(False)).alias("pair"), v().alias("v"), F.coalesce(v("call"), F.lit(0.0)).alias("c"), F.coalesce(v("put"), F.lit(0.0)).alias("p"), F.sum(F.coalesce(number("option_transactions"), F.lit(0.0))).alias("t"), *_strike_sums("_price", spot))
+    cells = materialise(cells, "surface-strikes")
+    sums = cells.groupBy(*keys).agg(F.count_if("pair").alias("valid_pair_count"), F.sum("v").alias("option_volume_sum"), F.sum("t").alias("option_transactions_sum"), ((F.sum("c") - F.sum("p")) / F.nullif(F.sum("c") + F.sum("p"), F.lit(0.0))).alias("call_put_volume_imbalance"), F.max(F.when(F.col("n") > 0, F.lit(True))).alias("_any"))
+    shape = _shape_of_pairs(cells.where("ci IS NOT NULL AND pi IS NOT NULL"), keys)
+    out = sums.join(shape.hint("merge"), list(keys), "left").withColumnsRenamed({"skew_proxy": "iv_skew_proxy", "butterfly_proxy": "iv_butterfly_proxy"})
     rate = F.when((F.col("valid_pair_count") == 0) | F.col("_any").isNull(), 1.0).otherwise(missing_rate(F.col("valid_pair_count")))
     out = out.withColumns({"surface_missing_rate": rate, "is_valid_sequence_day": (F.col("valid_pair_count") > 0) & F.col("atm_iv_proxy").isNotNull()})
     if days_to_event:

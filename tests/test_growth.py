@@ -100,3 +100,21 @@ def test_facts_are_read_once(spark):
     got = {r.event_id: (r.mapped_acceptance_rows, r.fallback_filed_rows, r.dropped_same_day_rows, r.coverage, r.revenue, r.revenue_growth and round(r.revenue_growth, 6), r.freshness_days and round(r.freshness_days, 4)) for r in out}
     assert got == {1: (0, 0, 1, 0, None, None, None), 2: (0, 1, 1, 1, 100.0, None, 1.0), 3: (1, 2, 0, 2, 120.0, 0.2, 0.0), 4: (1, 2, 1, 2, 120.0, 0.2, 4.4583), 5: (0, 0, 0, 0, None, None, None), 6: (0, 0, 0, 0, None, None, None)}
     assert made.value == len(rows)
+
+
+def test_options_of_a_day_are_read_once(spark):
+    """Volumes, pairs and shape of a surface come from one reading of its options; strikes are written down."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = [(e, "2024-03-15", 90.0 + 5 * k, r, 10, 2.0 + k, 3.0, 1, 100.0 + e) for e in range(20) for k in range(6) for r in (("call", "put") if e else ("call",))]
+    opts = spark.createDataFrame(rows, "event_id long, expiration string, strike double, right string, dte int, option_close double, option_volume double, option_transactions int, spot double")
+    out = surface.daily_surface(opts.mapInArrow(counted, opts.schema), ["event_id"], volatility=F.col("strike") / 100).orderBy("event_id").collect()
+    assert made.value == len(rows) and len(out) == 20
+    assert [r.valid_pair_count for r in out] == [0] + [6] * 19 and [r.option_volume_sum for r in out] == [18.0] + [36.0] * 19
+    assert out[0].atm_iv_proxy is None and out[0].surface_missing_rate == 1.0 and not out[0].is_valid_sequence_day
+    assert abs(out[1].atm_iv_proxy - 1.0) < 1e-12 and abs(out[1].surface_missing_rate - 0.4) < 1e-12 and out[1].is_valid_sequence_day
