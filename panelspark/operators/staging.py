@@ -32,6 +32,11 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts_for(spark: SparkSession, rows: int, most: int) -> int:
+    """Into how many parts so many rows are dealt, for ``most`` in a part (if their keys allow it), and no fewer than Spark's own number."""
+    return max(rows // most + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread_in_order(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """``df`` range-partitioned by group and order, with _group (its group as one value, null being one) and _part.
 

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.black_scholes import implied_volatility
 from panelspark.functions.numbers import number, ratio
-from panelspark.operators.intervals import inside_intervals
 from panelspark.operators.panel import rolling_variance
 from panelspark.operators.selection import column_quantiles
-from panelspark.operators.staging import materialise
+from panelspark.operators.staging import materialise, parts_for
 
 STRIKES, DTE_RANGE, TARGET_DTE, NEAR, FAR_DTE = 4, (3, 45), 14, (3, 14), (15, 45)
 BINS, BIN_MINUTES, DAILY_STEPS, MOST_MONEYNESS = 12, 5, 19, 0.05
+PART_ROWS = 1_000_000  # last bars that a task sums up
 RUNUP = ("atm_iv_proxy", "event_ivar_proxy", "iv_skew_proxy", "iv_butterfly_proxy", "straddle_premium_to_spot", "option_volume_sum", "option_transactions_sum", "surface_missing_rate")
 
 
@@ -47,16 +47,27 @@ def _strike_sums(price: str, spot: str) -> list[Column]:
     ]
 
 
-def _shape_of_pairs(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    near = F.struct(F.abs(F.col("strike") / F.col("spot") - 1), F.abs(F.col("dte") - TARGET_DTE), "expiration", "strike")
-    mean = lambda a, b: F.sum(F.when(F.col("dte").between(a, b), F.col("ivs"))) / F.sum(F.when(F.col("dte").between(a, b), F.col("n")))
-    one = pairs.groupBy(*keys).agg(F.min_by(F.struct("iv", "ci", "pi", "cp", "pp", "spot"), near).alias("atm"), F.count("*").alias("iv_pairs"), (mean(*FAR_DTE) - mean(*NEAR)).alias("term_slope_proxy"))
-    by_strike = pairs.groupBy(*keys, "strike").agg((F.sum("ivs") / F.sum("n")).alias("iv"), F.min("spot").alias("spot"))
-    w = Window.partitionBy(*keys).orderBy("strike")
-    sided = by_strike.withColumn("fly", F.lag("iv").over(w) + F.lead("iv").over(w) - 2 * F.col("iv"))
-    fly = sided.groupBy(*keys).agg(F.min_by("fly", F.struct(F.abs(F.col("strike") - F.col("spot")), "strike")).alias("butterfly_proxy"))
-    out = one.join(fly.hint("merge"), list(keys)).withColumns({"atm_iv_proxy": F.col("atm.iv"), "skew_proxy": F.col("atm.pi") - F.col("atm.ci"), "straddle_premium_to_spot": (F.col("atm.cp") + F.col("atm.pp")) / F.col("atm.spot")})
-    return out.drop("atm")
+def _shape_of_pairs(cells: DataFrame, keys: Sequence[str], also: dict[str, Callable] | None = None) -> DataFrame:
+    """The shape of each key's cells (``_strike_sums`` of an expiry and strike); cells without a call and a put count for ``also`` only.
+
+    ``also``: columns of the cells and their sum, minimum or maximum per key. Strikes are summed up inside their key, so that
+    rows which are dealt out by key, or by a part of it, are shuffled no more and nothing is joined.
+    """
+    pair, also = F.col("ci").isNotNull() & F.col("pi").isNotNull(), also or {}
+    near = [F.abs(F.col("strike") / F.col("spot") - 1).alias("far"), F.abs(F.col("dte") - TARGET_DTE).alias("days"), F.col("expiration"), F.col("strike").alias("at")]
+    part = lambda c, span=None: F.sum(F.when(pair & F.col("dte").between(*span) if span else pair, F.col(c)))
+    spans = {"far": FAR_DTE, "near": NEAR}
+    by_strike = cells.groupBy(*keys, "strike").agg(
+        F.min(F.when(pair, F.struct(*near, "iv", "ci", "pi", "cp", "pp", "spot"))).alias("atm"), F.count_if(pair).alias("iv_pairs"), (part("ivs") / part("n")).alias("_iv"), F.min(F.when(pair, F.col("spot"))).alias("_spot"),
+        *[part(c, span).alias(f"_{name}_{c}") for name, span in spans.items() for c in ("ivs", "n")], *[f(c).alias(c) for c, f in also.items()],
+    )
+    # strikes without a pair come last, so that they are no neighbours
+    w = Window.partitionBy(*keys).orderBy(F.col("_iv").isNull(), "strike")
+    sided = by_strike.withColumn("_fly", F.lag("_iv").over(w) + F.lead("_iv").over(w) - 2 * F.col("_iv"))
+    middle = F.when(F.col("_iv").isNotNull(), F.struct(F.abs(F.col("strike") - F.col("_spot")), "strike"))
+    mean = lambda name: F.sum(f"_{name}_ivs") / F.sum(f"_{name}_n")
+    out = sided.groupBy(*keys).agg(F.min("atm").alias("atm"), F.sum("iv_pairs").alias("iv_pairs"), (mean("far") - mean("near")).alias("term_slope_proxy"), F.min_by("_fly", middle).alias("butterfly_proxy"), *[f(c).alias(c) for c, f in also.items()])
+    return out.withColumns({"atm_iv_proxy": F.col("atm.iv"), "skew_proxy": F.col("atm.pi") - F.col("atm.ci"), "straddle_premium_to_spot": (F.col("atm.cp") + F.col("atm.pp")) / F.col("atm.spot")}).drop("atm")
 
 
 def missing_rate(pairs: Column) -> Column:
@@ -90,38 +101,45 @@ def daily_surface(options: DataFrame, keys: Sequence[str], spot: str = "spot", d
     return out.drop("_any", "iv_pairs")
 
 
-def bin_requests(events: DataFrame, cutoff: str, keep: Sequence[str], bins: int = BINS, minutes: int = BIN_MINUTES) -> DataFrame:
-    """Each event once per five-minute bin of its last hour: bin, start_ts, end_ts. Bins share their edges."""
-    bin_ = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
-    each = events.where(F.col(cutoff).isNotNull()).select(*keep, F.col(cutoff).alias("_cut"), bin_)
-    at = lambda i: F.col("_cut") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes) * (F.lit(bins) - i))
-    return each.withColumns({"start_ts": at(F.col("bin")), "end_ts": at(F.col("bin") + 1)}).drop("_cut")
-
-
 def intraday_surface(bars: DataFrame, contracts: DataFrame, events: DataFrame, event: str = "event_id", contract: str = "options_ticker", ts: str = "ts", cutoff: str = "event_entry_timestamp", spot: str = "s_before") -> DataFrame:
-    """Per event and bin the surface of the last bar of each contract within 5 % of the spot; a bar on an edge is in both bins.
+    """Per event and five-minute bin of its last hour the surface of the last bar of each contract within 5 % of the spot; a bar on an edge is in both bins.
 
     Bins without a bar have a row: nothing valid, all missing. ``contracts``: event, contract, expiration, strike, right, dte.
+    Bars are dealt out once, by contract, and meet the contract's distinct entry instants (few, as a contract lives for some weeks). Only
+    the last bars go on; they are dealt out once, by event, and all the rest is done there.
     """
-    asked = bin_requests(events, cutoff, [event, spot])
-    # both sides of these joins grow with the events, and Spark takes what an explode makes for far smaller: none is broadcast
-    each = materialise(contracts.select(event, contract, "expiration", "strike", "right", "dte").hint("merge").join(asked, event), "intraday-asked")
+    asked = events.where(F.col(cutoff).isNotNull()).select(event, F.col(spot).alias("spot"), F.col(cutoff).alias("_cut"))
+    near = (F.abs(F.col("strike") / F.col("spot") - 1) <= MOST_MONEYNESS) & (F.col("spot") > 0)
+    # both sides of these joins grow with the events: none is broadcast
+    each = materialise(contracts.select(event, contract, "expiration", "strike", "right", "dte").hint("merge").join(asked, event).where(near), "intraday-asked")
+    width = BIN_MINUTES * 60_000_000
     trades = bars.select(contract, F.col(ts).alias("_at"), number("option_vwap").alias("price"), "volume", "transactions")
+    left = F.unix_micros("_cut") - F.unix_micros("_at")
+    met = trades.join(each.select(contract, "_cut").distinct().hint("shuffle_hash"), contract).where(left.between(0, BINS * width))
     # the latest of a contract; of bars at one instant the one with the highest price
-    latest = F.struct("_at", "price", F.col("volume").alias("_volume"), F.col("transactions").alias("_transactions"))
-    last = inside_intervals(trades, each.select(event, "bin", contract, "start_ts", "end_ts"), [contract], "_at", [event, "bin", contract], {}, last=latest).where("_last IS NOT NULL")
-    bar = F.struct("_last.price", F.col("_last._volume").alias("volume"), F.col("_last._transactions").alias("transactions"), F.col("_last._at").alias(ts))
-    last = last.select(event, "bin", contract, bar.alias("b"))
-    rows = last.hint("merge").join(each, [event, "bin", contract]).select(event, "bin", contract, "expiration", "strike", "right", "dte", F.col(spot).alias("spot"), "end_ts", "b.*")
-    rows = rows.where((F.abs(F.col("strike") / F.col("spot") - 1) <= MOST_MONEYNESS) & (F.col("price") > 0) & (F.col("spot") > 0))
-    rows = materialise(with_iv(rows, "price", "spot").where("iv_proxy IS NOT NULL"), "intraday-rows")
+    last = lambda i: F.max(F.when(left.between((BINS - 1 - i) * width, (BINS - i) * width), F.struct("_at", "price", "volume", "transactions")))
+    lasts = met.groupBy(contract, "_cut").agg(F.array(*[last(i) for i in range(BINS)]).alias("_bars")).withColumnRenamed("_cut", "_till")
+    # instants are compared as a difference, as the contract alone is what both sides are dealt out by
+    rows = lasts.join(each.hint("shuffle_hash"), contract).where(F.unix_micros("_till") - F.unix_micros("_cut") == 0)
+    rows = rows.select(event, "_cut", "expiration", "strike", "right", "dte", "spot", F.posexplode("_bars").alias("bin", "_bar")).select("*", "_bar.*").drop("_bar")
+    rows = with_iv(rows.where("price > 0"), "price", "spot").where("iv_proxy IS NOT NULL")
+    # an event itself is a row too, without a strike and in no bin
+    rows = rows.unionByName(asked.select(event, "_cut"), allowMissingColumns=True).repartition(parts_for(each.sparkSession, each.count() * BINS, PART_ROWS), event)
     keys = [event, "bin"]
-    sums = rows.groupBy(*keys).agg(F.sum(number("volume")).alias("option_volume_sum"), F.sum(number("transactions")).alias("option_transactions_sum"), ((F.unix_micros(F.max("end_ts")) - F.unix_micros(F.max(ts))) / 1e6).alias("latest_option_trade_bar_age_seconds"))
-    out = asked.select(event, "bin", "end_ts").join(sums.hint("merge"), keys, "left").join(surface_shape(rows, keys, "price", "spot").hint("merge"), keys, "left").withColumnRenamed("iv_pairs", "valid_pair_count")
+    sums = {"option_volume_sum": number("volume"), "option_transactions_sum": number("transactions")}
+    cells = rows.groupBy(*keys, "expiration", "strike").agg(*_strike_sums("price", "spot"), *[F.sum(c).alias(n) for n, c in sums.items()], F.max("_at").alias("_at"), F.max("_cut").alias("_cut"))
+    found = _shape_of_pairs(cells, keys, {n: F.sum for n in sums} | {"_at": F.max, "_cut": F.max})
+    # each row, and the bins after it up to the next that has one
+    after = F.coalesce(F.lead("bin").over(Window.partitionBy(event).orderBy("bin")), F.lit(BINS))
+    every = found.withColumn("_next", after).select("*", F.explode(F.sequence(F.coalesce("bin", F.lit(-1)), F.col("_next") - 1)).alias("_bin")).where("_bin >= 0")
+    own = {c: F.when(F.col("_bin") == F.col("bin"), F.col(c)) for c in found.columns if c not in (*keys, "_cut")}
+    end = F.col("_cut") - F.make_dt_interval(F.lit(0), F.lit(0), BIN_MINUTES * (BINS - 1 - F.col("_bin")))
+    out = every.withColumns({**own, "end_ts": end}).select(event, F.col("_bin").alias("bin"), "end_ts", *own).withColumnRenamed("iv_pairs", "valid_pair_count")
     out = out.withColumn("valid_pair_count", F.coalesce("valid_pair_count", F.lit(0)))
     rate = F.when(F.col("valid_pair_count") == 0, 1.0).otherwise(missing_rate(F.col("valid_pair_count")))
     has = F.col("valid_pair_count") > 0
-    return out.withColumns({"surface_missing_rate": rate, "event_ivar_proxy": F.when(has, F.pow("atm_iv_proxy", F.lit(2.0)) / 365.0), "hybrid_valid_step": has & F.col("atm_iv_proxy").isNotNull(), "latest_option_trade_bar_age_seconds": F.when(has, F.col("latest_option_trade_bar_age_seconds"))})
+    age = (F.unix_micros("end_ts") - F.unix_micros("_at")) / 1e6
+    return out.withColumns({"surface_missing_rate": rate, "event_ivar_proxy": F.when(has, F.pow("atm_iv_proxy", F.lit(2.0)) / 365.0), "hybrid_valid_step": has & F.col("atm_iv_proxy").isNotNull(), "latest_option_trade_bar_age_seconds": F.when(has, age)}).drop("_at")
 
 
 def index_candidates(options: DataFrame, keys: Sequence[str], spot: str = "spot", targets: Sequence[int] = (7, 14, 30), strikes: int = STRIKES) -> DataFrame:

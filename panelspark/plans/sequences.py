@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.operators import calendar, covariates, panel, surface
-from panelspark.operators.staging import materialise
+from panelspark.operators.staging import materialise, parts_for
 from panelspark.plans.common import BARS, DAYS, EV, bars, day_bars, load, order_events, query, rounded
 from panelspark.plans.contracts import OPT, option_events, option_table
 from panelspark.plans.panels import PLAN, plan_of
 
+#: Contracts whose bars of an hour are made in one task.
+PART_CONTRACTS = 100_000
+
 # options of an event's day with a volatility of their own
 SHAPE = OPT + ", sx AS (SELECT event_id, expiration, strike, side, expiration - entry_date AS dte, close, volume, spot, 0.2 + volume / 100 AS iv FROM oe JOIN op ON op.ticker = oe.ticker AND op.date = oe.entry_date WHERE close > 0)"
 
@@ -53,9 +56,11 @@ def index_candidates(spark, sf):
 def intraday_surface(spark, sf):
     """The events' contracts trade once a minute of the last hour; the price follows the close of the day."""
     e = option_events(spark, sf).withColumn("event_entry_timestamp", F.col("entry_date").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(20)))
-    rows = materialise(shape_rows(spark, sf), "shape-rows").withColumn("options_ticker", F.concat_ws("-", "event_id", "expiration", "strike", "right"))
-    at = F.explode(F.sequence(F.lit(0), F.lit(60), F.lit(3))).alias("m")
-    b = rows.select("options_ticker", "entry_date", "option_close", at).select("options_ticker", (F.col("entry_date").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(19), F.col("m"))).alias("ts"), (F.col("option_close") + F.col("m") / 100).alias("option_vwap"), F.lit(1).alias("volume"), F.lit(1).alias("transactions"))
+    rows = materialise(shape_rows(spark, sf).withColumn("options_ticker", F.concat_ws("-", "event_id", "expiration", "strike", "right")), "shape-rows")
+    # bars are made where their contract is dealt to, in parts whose bars a task can sort
+    dealt = rows.select("options_ticker", "entry_date", "option_close").repartition(parts_for(spark, rows.count(), PART_CONTRACTS), "options_ticker")
+    b = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(60), F.lit(3))).alias("m"))
+    b = b.select("options_ticker", (F.col("entry_date").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(19), F.col("m"))).alias("ts"), (F.col("option_close") + F.col("m") / 100).alias("option_vwap"), F.lit(1).alias("volume"), F.lit(1).alias("transactions"))
     out = surface.intraday_surface(b, rows, e)
     return rounded(out.select("event_id", "bin", "valid_pair_count", "surface_missing_rate", "atm_iv_proxy", "latest_option_trade_bar_age_seconds", "hybrid_valid_step"), 6)
 

@@ -1,5 +1,6 @@
 """What keeps a task's memory and the work from growing faster than the rows."""
 
+import datetime as dt
 import glob
 import math
 import random
@@ -118,3 +119,24 @@ def test_options_of_a_day_are_read_once(spark):
     assert [r.valid_pair_count for r in out] == [0] + [6] * 19 and [r.option_volume_sum for r in out] == [18.0] + [36.0] * 19
     assert out[0].atm_iv_proxy is None and out[0].surface_missing_rate == 1.0 and not out[0].is_valid_sequence_day
     assert abs(out[1].atm_iv_proxy - 1.0) < 1e-12 and abs(out[1].surface_missing_rate - 0.4) < 1e-12 and out[1].is_valid_sequence_day
+
+
+def test_last_bars_are_dealt_out_once(spark):
+    """Bars that lie by contract already stay where they are, last bars go to their event once; against plain Python, shared contracts and edges included."""
+    rng, t0 = random.Random(11), dt.datetime(2024, 3, 1, 20)
+    cuts = {1: t0, 2: t0 + dt.timedelta(minutes=7), 3: t0, 4: t0, 5: None}
+    plan = [(e, f"{'s' if e < 3 else e}/{k}{r}", t0.date() + dt.timedelta(8), 94.0 + 3 * k, r, 8) for e in (1, 2, 3, 5) for k in range(5) for r in ("call", "put")]
+    bars = [(c, cuts[1] - dt.timedelta(seconds=15 * rng.randrange(-40, 260)), 8.0 + rng.random(), i + 1, 1) for i, c in enumerate(c for c in sorted({p[1] for p in plan}) for _ in range(60))]
+    contracts = spark.createDataFrame(plan, "event_id long, options_ticker string, expiration date, strike double, right string, dte int")
+    events = spark.createDataFrame([(e, c, 100.0) for e, c in cuts.items()], "event_id long, event_entry_timestamp timestamp, s_before double")
+    dealt = spark.createDataFrame(bars, "options_ticker string, ts timestamp, option_vwap double, volume long, transactions long").repartition(4, "options_ticker")
+    out = surface.intraday_surface(dealt, contracts, events)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning(event_id") == 1 and text.count("Exchange hashpartitioning(options_ticker") == 4 and "BroadcastExchange" not in text
+    want = {}
+    for e in (1, 2, 3, 4):
+        for b in range(12):
+            end = cuts[e] - dt.timedelta(minutes=5 * (11 - b))
+            last = [max((x[1], x[2], x[3]) for x in mine) for p in plan if p[0] == e and abs(p[3] / 100 - 1) <= 0.05 for mine in [[x for x in bars if x[0] == p[1] and end - dt.timedelta(minutes=5) <= x[1] <= end]] if mine]
+            want[e, b] = (float(sum(x[2] for x in last)) or None, end)
+    assert {(r.event_id, r.bin): (r.option_volume_sum, r.end_ts) for r in out.collect()} == want
