@@ -59,7 +59,7 @@ def intraday_surface(spark, sf):
     rows = materialise(shape_rows(spark, sf).withColumn("options_ticker", F.concat_ws("-", "event_id", "expiration", "strike", "right")), "shape-rows")
     # bars are made where their contract is dealt to, in parts whose bars a task can sort
     dealt = rows.select("options_ticker", "entry_date", "option_close").repartition(parts_for(spark, rows.count(), PART_CONTRACTS), "options_ticker")
-    b = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(60), F.lit(3))).alias("m"))
+    b = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(60))).alias("m"))
     b = b.select("options_ticker", (F.col("entry_date").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(19), F.col("m"))).alias("ts"), (F.col("option_close") + F.col("m") / 100).alias("option_vwap"), F.lit(1).alias("volume"), F.lit(1).alias("transactions"))
     out = surface.intraday_surface(b, rows, e)
     return rounded(out.select("event_id", "bin", "valid_pair_count", "surface_missing_rate", "atm_iv_proxy", "latest_option_trade_bar_age_seconds", "hybrid_valid_step"), 6)

@@ -10,7 +10,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from panelspark.operators import comparison, filings, models, surface
-from panelspark.plans import feeds
+from panelspark.plans import feeds, sequences
 
 
 def test_casebook_sorts_few_rows_and_keeps_the_severest(spark):
@@ -140,3 +140,9 @@ def test_last_bars_are_dealt_out_once(spark):
             last = [max((x[1], x[2], x[3]) for x in mine) for p in plan if p[0] == e and abs(p[3] / 100 - 1) <= 0.05 for mine in [[x for x in bars if x[0] == p[1] and end - dt.timedelta(minutes=5) <= x[1] <= end]] if mine]
             want[e, b] = (float(sum(x[2] for x in last)) or None, end)
     assert {(r.event_id, r.bin): (r.option_volume_sum, r.end_ts) for r in out.collect()} == want
+
+
+def test_contracts_trade_every_minute(spark, sf):
+    """Each bin ends on a minute, and so on a bar."""
+    out = sequences.intraday_surface(spark, sf).where("hybrid_valid_step")
+    assert [r[0] for r in out.select("latest_option_trade_bar_age_seconds").distinct().collect()] == [0.0]
