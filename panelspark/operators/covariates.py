@@ -1,8 +1,9 @@
 """Index covariates at an event's entry: each index's second bars and the surface of its options, side by side.
 
 The options that describe an index on a day are chosen once for a (symbol, day), and everything that follows from them and
-from bars is made once for each distinct entry instant of that day, however many events share it. Bars are read through
-interval states, so an instant costs rows, not pairs of bars.
+from bars is made once for each distinct entry instant of that day, however many events share it. An index's bars are summed up
+by instant and read through interval states, so that an entry costs rows, not pairs of bars; the bars of an option meet the
+entries of their own hour.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.numbers import number
-from panelspark.operators.asof import first_last, interval_vwap
-from panelspark.operators.staging import materialise
+from panelspark.operators.intervals import exact, inside_intervals
+from panelspark.operators.staging import materialise, parts_for
 from panelspark.operators.surface import index_candidates, index_surface
 
 # The indices, and what is kept of each of them.
@@ -26,6 +27,8 @@ SURFACE = (
 UNDERLYING = ("close", "vwap", "return_in_buffer", "volume_sum", "transactions_sum", "rows")
 #: What the features of an index depend on: events of one entry instant share them.
 INSTANT = ["entry_date", "event_entry_timestamp"]
+HOUR = 3_600_000_000  # in microseconds
+PART_CONTRACTS = 500_000  # contracts of entry instants that a task joins with their bars
 
 
 def _windows(events: DataFrame, keep: Sequence[str], seconds: int) -> DataFrame:
@@ -34,17 +37,48 @@ def _windows(events: DataFrame, keep: Sequence[str], seconds: int) -> DataFrame:
     return events.select(*keep, (end - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))).alias("start_ts"), end.alias("end_ts"))
 
 
+def _hour(c: Column) -> Column:
+    """The hour that a time lies in, by its start; a full hour is the end of the one before it."""
+    before = F.unix_micros(c) - 1
+    return before - F.pmod(before, F.lit(HOUR))
+
+
 def underlying_features(bars: DataFrame, asked: DataFrame, lookback_seconds: int, buffer_seconds: int) -> DataFrame:
     """Entry instant, symbol, and of the index's bars (symbol, ts, close, volume, transactions) before the entry: the last close, the mean price
     weighted by volume over the lookback, the return, volume and transactions over the buffer, and a status."""
     keys = [*INSTANT, "symbol"]
-    wide = first_last(bars, _windows(asked, keys, buffer_seconds), ["symbol"], "ts", "close", "volume", keys, "transactions")
-    near = interval_vwap(bars, _windows(asked, keys, lookback_seconds), ["symbol"], "ts", "close", "volume", keys).select(*keys, "vwap")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return wide.join(near, keys, "left").select(
-        *keys, F.col("status"), F.col("last_close").alias("close"), "vwap", F.col("window_return").alias("return_in_buffer"),
-        zero(F.col("volume")).alias("volume_sum"), zero(F.col("transactions")).alias("transactions_sum"), zero(F.col("rows")).alias("rows"),
+    rows = bars.select("symbol", "ts", number("close").alias("_p"), number("volume").alias("_v"), F.coalesce("transactions", F.lit(0)).cast("long").alias("_n")).where("_p > 0")
+    # of the bars of an instant the highest is the last, the lowest the first; sums are exact, and numbers are summed up without a sort
+    sound = F.col("_v") > 0
+    one = rows.groupBy("symbol", "ts").agg(
+        F.max("_p").alias("_high"), F.min("_p").alias("_low"), F.count("*").alias("_rows"), F.sum("_n").alias("_transactions"), exact(F.sum(exact(F.coalesce("_v", F.lit(0.0))))).alias("_volume"),
+        exact(F.sum(F.when(sound, exact(F.col("_p") * F.col("_v"))))).alias("_pv"), exact(F.sum(F.when(sound, exact(F.col("_v"))))).alias("_weight"),
     )
+    both = [_windows(asked, keys, seconds).withColumn("_wide", F.lit(wide)) for seconds, wide in ((buffer_seconds, True), (lookback_seconds, False))]
+    sums = {n: F.col(n) for n in ("_rows", "_transactions", "_volume", "_pv", "_weight")}
+    found = inside_intervals(one, both[0].unionByName(both[1]), ["symbol"], "ts", [*keys, "_wide"], sums, last=F.struct("ts", "_high"), first=F.struct("ts", "_low"))
+    at = lambda wide, c: F.max(F.when(F.col("_wide") == wide, c))
+    zero = lambda n: F.coalesce(at(True, F.col(n)), F.lit(0))
+    some = F.col("_rows") > 0
+    return found.groupBy(*keys).agg(
+        F.when(zero("_rows") > 0, "ok").otherwise("missing").alias("status"), at(True, F.col("_last._high")).alias("close"), at(False, F.when(F.col("_weight") > 0, F.col("_pv").cast("double") / F.col("_weight").cast("double"))).alias("vwap"),
+        at(True, F.col("_last._high") / F.col("_first._low") - 1).alias("return_in_buffer"), F.coalesce(at(True, F.when(some, F.col("_volume").cast("double"))), F.lit(0)).alias("volume_sum"),
+        zero("_transactions").alias("transactions_sum"), zero("_rows").alias("rows"),
+    )
+
+
+def priced_contracts(bars: DataFrame, each: DataFrame, lookback_seconds: int) -> DataFrame:
+    """The rows of ``each`` (an entry instant's contracts) that have bars in the seconds up to their entry, with vwap and volume of these.
+
+    Contract and hour are the join's key: a contract's entries in an hour are few, and at most as many as its seconds.
+    """
+    trades = bars.select("options_ticker", F.col("ts").alias("_at"), number("option_vwap").alias("_p"), number("volume").alias("_v")).where("_p > 0 AND _v > 0").withColumn("_h", _hour(F.col("_at")))
+    start = F.col("event_entry_timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(lookback_seconds))
+    asked = each.select("*", F.explode(F.sequence(_hour(start), _hour(F.col("event_entry_timestamp")), F.lit(HOUR))).alias("_h"))
+    asked = asked.repartition(parts_for(each.sparkSession, each.count(), PART_CONTRACTS), "options_ticker", "_h")
+    met = asked.join(trades.hint("merge"), ["options_ticker", "_h"]).where(F.col("_at").between(start, F.col("event_entry_timestamp")))
+    sums = met.groupBy(*each.columns).agg(F.sum(exact(F.col("_p") * F.col("_v"))).alias("_pv"), F.sum(exact(F.col("_v"))).alias("_sum"))
+    return sums.select(*each.columns, (F.col("_pv").cast("double") / F.col("_sum").cast("double")).alias("vwap"), F.col("_sum").cast("long").alias("volume"))
 
 
 def index_covariates(
@@ -74,9 +108,7 @@ def index_covariates(
     chosen = index_candidates(day, ["symbol", "entry_date"]).select("symbol", "entry_date", "options_ticker", "expiration", "strike", "right", "dte", "spot")
     keys = [*INSTANT, "symbol"]
     each = materialise(chosen.join(there.select(*keys), ["symbol", "entry_date"]), "index-asked")
-    windows = _windows(each, [*keys, "options_ticker"], lookback_seconds)
-    priced = interval_vwap(option_bars, windows, ["options_ticker"], "ts", "option_vwap", "volume", [*keys, "options_ticker"]).select(*keys, "options_ticker", "vwap", "volume")
-    shaped = index_surface(priced.hint("merge").join(each, [*keys, "options_ticker"]), each, keys, volatility=volatility)
+    shaped = index_surface(priced_contracts(option_bars, each, lookback_seconds), each, keys, volatility=volatility)
 
     every = asked.select(*keys, F.col("spot").isNull().alias("_none")).join(under, keys, "left").withColumn("status", F.when(F.col("_none"), "missing_underlying_day_aggs").otherwise(F.col("status")))
     every = every.join(shaped.withColumnRenamed("status", "surface_status"), keys, "left")

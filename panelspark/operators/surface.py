@@ -160,8 +160,9 @@ def index_surface(priced: DataFrame, candidates: DataFrame, keys: Sequence[str],
     """Per key the surface of the priced candidates, and how many candidates and prices there were."""
     rows = with_iv(priced.where(F.col(price).isNotNull()), price, spot, volatility)
     counted = candidates.groupBy(*keys).agg(F.count("*").alias("candidate_contracts"))
-    got = rows.where("iv_proxy IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("priced_contracts"), F.sum(number("volume")).alias("option_volume_sum"))
-    out = counted.join(got, list(keys), "left").join(surface_shape(rows, keys, price, spot), list(keys), "left").withColumnRenamed("iv_pairs", "valid_pair_count")
+    got = {"priced_contracts": F.count("*"), "option_volume_sum": F.sum(number("volume"))}
+    cells = rows.where("iv_proxy IS NOT NULL").groupBy(*keys, "expiration", "strike").agg(*_strike_sums(price, spot), *[c.alias(n) for n, c in got.items()])
+    out = counted.join(_shape_of_pairs(cells, keys, {n: F.sum for n in got}), list(keys), "left").withColumnRenamed("iv_pairs", "valid_pair_count")
     most = F.greatest(F.col("candidate_contracts") / 2.0, F.lit(1.0))
     pairs = F.coalesce("valid_pair_count", F.lit(0))
     return out.withColumns({"valid_pair_count": pairs, "priced_contracts": F.coalesce("priced_contracts", F.lit(0)), "surface_missing_rate": 1 - F.least(pairs.cast("double"), most) / most, "status": F.when(pairs > 0, "ok").otherwise("no_prices")})

@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
-from panelspark.operators import comparison, filings, models, surface
+from panelspark.operators import comparison, covariates, filings, models, surface
 from panelspark.plans import feeds, sequences
 
 
@@ -146,3 +146,34 @@ def test_contracts_trade_every_minute(spark, sf):
     """Each bin ends on a minute, and so on a bar."""
     out = sequences.intraday_surface(spark, sf).where("hybrid_valid_step")
     assert [r[0] for r in out.select("latest_option_trade_bar_age_seconds").distinct().collect()] == [0.0]
+
+
+def test_bars_of_an_index_are_read_once(spark, monkeypatch):
+    """An index's bars are summed up by instant before they are dealt out; a contract goes to its hour once, and windows over a full hour lose nothing."""
+    asked, t0 = [], dt.datetime(2024, 3, 1, 20)
+    inside = covariates.inside_intervals
+
+    def counted(ticks, *more, **named):
+        asked.append(ticks.count())
+        return inside(ticks, *more, **named)
+
+    monkeypatch.setattr(covariates, "inside_intervals", counted)
+    entries = {1: t0, 2: t0 + dt.timedelta(minutes=5), 3: t0 + dt.timedelta(minutes=5)}
+    events = spark.createDataFrame([(e, t0.date(), at) for e, at in entries.items()], "event_id long, entry_date date, event_entry_timestamp timestamp")
+    chain = [("SPY", t0.date(), f"{k}{r}", t0.date() + dt.timedelta(7), 96.0 + 4 * k, r, 7, 2.0) for k in range(3) for r in ("call", "put")]
+    options = spark.createDataFrame(chain, "symbol string, date date, options_ticker string, expiration date, strike double, right string, dte int, option_close double")
+    bars = [(c[2], t0 + dt.timedelta(minutes=m), 4.0 + m / 10, 30.0 + m, 1) for c in chain for m in (-16, -15, -10, -2, 0, 3, 5, 6)]
+    trades = spark.createDataFrame(bars, "options_ticker string, ts timestamp, option_vwap double, volume double, transactions int")
+    seconds = [("SPY", t0 + dt.timedelta(minutes=m), 100.0 + i, None if i == 5 else 1.0 + i, 1) for m in (-61, -50, -10, 0, 5) for i in range(40)]
+    under = spark.createDataFrame(seconds, "symbol string, ts timestamp, close double, volume double, transactions int")
+    spots = spark.createDataFrame([("SPY", t0.date(), 100.0)], "symbol string, date date, spot double")
+    out = {r.event_id: r for r in covariates.index_covariates(events, options, spots, under, trades, volatility=F.col("volume") / 1000).collect()}
+    assert asked == [5]
+    for e, at in entries.items():
+        mine = lambda s, far: [x for x in s if at - dt.timedelta(minutes=far) <= x[1] <= at]  # noqa: B023, E731
+        wide, near = mine(seconds, 60), [x for x in mine(seconds, 15) if x[3]]
+        volume = sum(x[3] for x in mine(bars, 15)) / len(chain)
+        assert (out[e].spy_second_underlying_close, out[e].spy_second_underlying_rows, out[e].spy_second_underlying_volume_sum) == (139.0, len(wide), sum(x[3] or 0.0 for x in wide))
+        assert abs(out[e].spy_second_underlying_vwap - sum(x[2] * x[3] for x in near) / sum(x[3] for x in near)) < 1e-9 and abs(out[e].spy_second_underlying_return_in_buffer - 0.39) < 1e-12
+        assert (out[e].spy_second_candidate_contracts, out[e].spy_second_priced_contracts, out[e].spy_second_valid_pair_count, out[e].spy_second_option_volume_sum) == (6, 6, 3, 6 * volume)
+        assert abs(out[e].spy_second_atm_iv_proxy - volume / 1000) < 1e-12
