@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.numbers import EPSILON, clip, number
 from panelspark.operators import ranks
+from panelspark.operators.intervals import exact
 from panelspark.operators.selection import column_quantiles
 from panelspark.operators.staging import running_sum, spread_in_order
 
@@ -98,31 +99,33 @@ def ranking_metrics(df: DataFrame, by: Sequence[str], score: str, edge: str, key
     return _joined([one, top, rises], by)
 
 
-def max_drawdown(df: DataFrame, by: Sequence[str], order: Sequence[str], net: str) -> DataFrame:
+def max_drawdown(df: DataFrame, by: Sequence[str], order: Sequence[str], net: str, exactly: bool = False) -> DataFrame:
     """Per group n and the deepest fall of the cumulative sum below its running peak (which starts at the first value).
 
     Range partitions are summed up each (total, highest, lowest and deepest fall inside); what falls across partitions
-    follows from these few rows.
+    follows from these few rows. ``exactly``: numbers (below 10^18) count to ten digits after the point, and groups of the same rows fall alike.
     """
+    kept = exact if exactly else lambda c: c
     # only what the sums need is dealt out
-    rows = spread_in_order(df.select(*dict.fromkeys([*by, *order]), F.coalesce(number(net), F.lit(0.0)).alias("_net")), by, [F.col(c) for c in order])
+    rows = spread_in_order(df.select(*dict.fromkeys([*by, *order]), F.coalesce(kept(number(net)), F.lit(0)).alias("_net")), by, [F.col(c) for c in order])
     inside = Window.partitionBy("_group", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = rows.withColumn("_cum", F.sum("_net").over(inside)).withColumn("_peak", F.max("_cum").over(inside))
-    parts = run.groupBy("_group", "_part", *by).agg(F.count("*").alias("n"), F.sum("_net").alias("total"), F.max("_cum").alias("high"), F.min("_cum").alias("low"), F.min(F.col("_cum") - F.col("_peak")).alias("fall"))
+    run = rows.withColumn("_cum", kept(F.sum("_net").over(inside))).withColumn("_peak", F.max("_cum").over(inside))
+    parts = run.groupBy("_group", "_part", *by).agg(F.count("*").alias("n"), kept(F.sum("_net")).alias("total"), F.max("_cum").alias("high"), F.min("_cum").alias("low"), F.min(F.col("_cum") - F.col("_peak")).alias("fall"))
     earlier = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("start", F.coalesce(F.sum("total").over(earlier), F.lit(0.0)))
+    parts = parts.withColumn("start", F.coalesce(kept(F.sum("total").over(earlier)), F.lit(0)))
     peak = F.max(F.col("start") + F.col("high")).over(earlier)
     parts = parts.withColumn("fall", F.least("fall", F.col("start") + F.col("low") - peak))
-    return parts.groupBy("_group", *by).agg(F.min("fall").alias("max_drawdown"), F.sum("n").alias("n")).drop("_group")
+    return parts.groupBy("_group", *by).agg(F.min("fall").cast("double").alias("max_drawdown"), F.sum("n").alias("n")).drop("_group")
 
 
-def strategy_metrics(df: DataFrame, by: Sequence[str], order: Sequence[str], net: str, gross: str, premium: str, capital: str | None = None) -> DataFrame:
+def strategy_metrics(df: DataFrame, by: Sequence[str], order: Sequence[str], net: str, gross: str, premium: str, capital: str | None = None, exactly: bool = False) -> DataFrame:
     """Sums, returns, Sharpe and Sortino ratios, drawdown (in ``order``), hits, wins, losses and 5 % tail per group.
 
-    Rows without a finite net result don't count.
+    Rows without a finite net result don't count. ``exactly``: net and drawdown come from sums of ten digits after the point, which
+    don't hang on the order of rows.
     """
     rows = df.select(*by, *order, number(net).alias("net"), number(gross).alias("gross"), F.abs(number(premium)).alias("premium"), F.abs(number(capital or premium)).alias("capital")).where("net IS NOT NULL")
-    n, total = F.count("*"), F.sum("net")
+    n, total = F.count("*"), F.sum(exact(F.col("net"))).cast("double") if exactly else F.sum("net")
     sign = lambda up: F.when((F.col("net") > 0) if up else (F.col("net") < 0), F.col("net"))
     per = lambda d: F.when(d > EPSILON, F.avg("net") / d * F.sqrt(n))
     share = lambda c: F.when(F.sum(c) > EPSILON, total / F.sum(c))
@@ -130,7 +133,7 @@ def strategy_metrics(df: DataFrame, by: Sequence[str], order: Sequence[str], net
         n.alias("n"), F.sum("gross").alias("gross"), total.alias("net"), share("premium").alias("return_on_premium"), share("capital").alias("return_on_capital"), per(F.stddev_samp("net")).alias("sharpe"),
         per(F.stddev_samp(sign(False))).alias("sortino"), F.avg((F.col("net") > 0).cast("double")).alias("hit_rate"), F.avg(sign(True)).alias("avg_win"), F.avg(sign(False)).alias("avg_loss"), n.alias("turnover"),
     )
-    return _joined([one, max_drawdown(rows, by, order, "net").drop("n"), column_quantiles(rows, ["net"], by, {"tail_5pct": 0.05}).drop("feature", "n")], by)
+    return _joined([one, max_drawdown(rows, by, order, "net", exactly).drop("n"), column_quantiles(rows, ["net"], by, {"tail_5pct": 0.05}).drop("feature", "n")], by)
 
 
 def cost_sensitivity(df: DataFrame, by: Sequence[str], order: Sequence[str], gross: str, cost: str, multipliers: Sequence[float] = (0.0, 0.5, 1.0, 1.5, 2.0)) -> DataFrame:

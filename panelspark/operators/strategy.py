@@ -191,7 +191,7 @@ def tune_policy(df: DataFrame, key: str, date: str, forecast: str, ivar: str, pn
 
     The objective is the net result less ``penalty`` times the drawdown. Policies with ``least_trades`` are preferred; ties
     go to the larger net result, then more trades, then the first of the grid. Validation rows meet the grid's signals
-    once (an explode over a constant), and only rows that a policy trades go on.
+    once (an explode over a constant), and only rows that a policy trades go on. Sums are exact, so that policies of the same trades tie.
     """
     validation = df.where(F.col(split) == "validation")
     modes = filter_modes(validation)
@@ -217,7 +217,7 @@ def tune_policy(df: DataFrame, key: str, date: str, forecast: str, ivar: str, pn
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    results = metrics.strategy_metrics(every, ["candidate_id"], [date, key], "net", "gross", "premium")
+    results = metrics.strategy_metrics(every, ["candidate_id"], [date, key], "net", "gross", "premium", exactly=True)
     out = grid.join(results, "candidate_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     out = out.withColumn("objective", F.when(F.col("n") > 0, F.col("net") - penalty * F.abs(F.least("max_drawdown", F.lit(0.0)))).otherwise(-1e18))
     out = out.withColumn("enough_trades", (F.col("n") > 0) & (F.col("n") >= least_trades))

@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
-from panelspark.operators import comparison, covariates, filings, models, surface
+from panelspark.operators import comparison, covariates, filings, models, strategy, surface
 from panelspark.plans import feeds, sequences
 
 
@@ -177,3 +177,13 @@ def test_bars_of_an_index_are_read_once(spark, monkeypatch):
         assert abs(out[e].spy_second_underlying_vwap - sum(x[2] * x[3] for x in near) / sum(x[3] for x in near)) < 1e-9 and abs(out[e].spy_second_underlying_return_in_buffer - 0.39) < 1e-12
         assert (out[e].spy_second_candidate_contracts, out[e].spy_second_priced_contracts, out[e].spy_second_valid_pair_count, out[e].spy_second_option_volume_sum) == (6, 6, 3, 6 * volume)
         assert abs(out[e].spy_second_atm_iv_proxy - volume / 1000) < 1e-12
+
+
+def test_policies_of_the_same_trades_tie(spark):
+    """Net results and drawdowns are exact in any order of the rows, and of equal policies the first of the grid is selected."""
+    pnl = [0.3] * 3 + [-0.1] * 30 + [0.2] * 7 + [1e6, -0.1, 0.7] + [0.1] * 57
+    rows = [(i, dt.date(2024, 1, 1) + dt.timedelta(i), 0.5, 0.25, v, 100.0, 0.0, "validation") for i, v in enumerate(pnl)]
+    d = spark.createDataFrame(rows, "id long, d date, f double, i double, pnl double, premium double, fee double, split string").repartition(7)
+    out = strategy.tune_policy(d, "id", "d", "f", "i", "pnl", "premium", "fee", top_ks=(None,)).collect()
+    assert {(r.n, r.net, r.max_drawdown) for r in out} == {(100, 1000005.6, -3.0)}
+    assert [r.candidate_id for r in out if r.selected] == [0]
